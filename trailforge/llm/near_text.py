@@ -62,14 +62,15 @@ def _expand(alo, ahi, blo, bhi, same):
     return i[keep], j[keep]
 
 
-def trie_links(keys: np.ndarray, roots: list[np.ndarray], depth: int, budget: int, leaf: int = 64, most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_links(keys: np.ndarray, roots: list[np.ndarray], depth: int, budget: int, leaf: int = 64, most: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of ``keys`` (uint64, sorted inside every root range) at ``budget`` or fewer
     differing bits.
 
     ``roots`` are node pairs (a_lo, a_hi, b_lo, b_hi) whose keys share the first ``depth`` bits.
     A node of the binary trie is a range of the sorted keys; both nodes of a pair are split at
     the next bit, a pair that takes different branches has one more differing bit, and pairs
-    beyond the budget are pruned. Pairs with at most ``leaf`` combinations are compared.
+    beyond the budget are pruned. Pairs with at most ``leaf`` combinations are compared. Depth
+    first over blocks of ``most`` node pairs, so that a dense cluster keeps a few blocks a level.
     """
     stack = [(depth, *roots, np.zeros(len(roots[0]), np.int8))]
     while stack:
@@ -84,7 +85,7 @@ def trie_links(keys: np.ndarray, roots: list[np.ndarray], depth: int, budget: in
             part = np.flatnonzero(done)
             # leaves of one bit depth can be many: a bounded number of combinations at a time
             sizes = np.cumsum((ahi[part] - alo[part]) * (bhi[part] - blo[part]))
-            for piece in np.split(part, np.searchsorted(sizes, np.arange(1 << 21, int(sizes[-1]), 1 << 21))):
+            for piece in np.split(part, np.searchsorted(sizes, np.arange(1 << 19, int(sizes[-1]), 1 << 19))):
                 i, j = _expand(alo[piece], ahi[piece], blo[piece], bhi[piece], same[piece])
                 near = np.bitwise_count(keys[i] ^ keys[j]) <= budget
                 if near.any():
