@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trailforge.llm.common import small_batches
+
 
 def load_ranks(path: str) -> dict[bytes, int]:
     """The token bytes and ranks of a .tiktoken file."""
@@ -78,7 +80,7 @@ class PrefixBPE:
                 limit, y = y + 1, self.halves(y)[0]
             else:
                 break
-        if len(self._fits) > 400_000:
+        if len(self._fits) > 150_000:
             self._fits.clear()
         self._fits[key] = ok
         return ok
@@ -164,7 +166,7 @@ def _pieces(pattern: str):
 
 
 #: Bytes of encoded pieces that a worker keeps between rows, by piece; emptied at this many.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 200_000
 _kept: dict[tuple[str, str], dict[str, bytes]] = {}
 
 
@@ -191,6 +193,7 @@ def encode_docs(docs: DataFrame, path: str, pattern: str, text: str = "text", de
     repeated rows and null ids pass through. The vocabulary is read by each worker from ``path``,
     which every executor must have.
     """
+    small_batches(docs.sparkSession)
     new = names if decode else names[:2]
     keep = [c for c in docs.columns if c not in (text, *new)]
     kinds = {"n_tokens": "bigint", "ids": "binary", "decoded": "binary"}
@@ -199,8 +202,8 @@ def encode_docs(docs: DataFrame, path: str, pattern: str, text: str = "text", de
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _encoder(path)
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
                 ids = [encode_text(t or "", path, pattern) for t in batch.column(0).to_pylist()]
                 columns = [*batch.columns[1:], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
                 if decode:

@@ -45,6 +45,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand documents to Python in batches of ``rows`` rows, where the session has Spark's default
+    of 10,000: a document can be long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(col, UPPER, LOWER)
@@ -75,3 +83,23 @@ def gapless(df: DataFrame, groups: Sequence[str], order: str, name: str, rows_pe
     inside = Window.partitionBy(*keys).orderBy(F.col(order))
     numbered = spread.withColumn("_r", F.row_number().over(inside) - 1)
     return numbered.join(starts, same).withColumn(name, (F.col("_start") + F.col("_r")).cast("long")).drop("_b", "_r", "_start", *[f"_k{i}" for i in range(len(keys))])
+
+
+def deal_pairs(rows: DataFrame, bucket: str, spread: str, chunk: int) -> DataFrame:
+    """Rows with ``task`` and ``side`` so that any two rows of a bucket meet in one task.
+
+    A bucket of at most ``chunk`` rows is one task (side 0). A larger one is cut into parts by
+    the hash of ``spread``, and every two parts meet: a task of one part has side 0 only, a task
+    of two parts has sides 0 and 1. ``rows`` should be cheap to read twice.
+    """
+    large = rows.groupBy(bucket).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk)
+    large = written(large.select(bucket, F.ceil(F.col("n") / chunk).cast("int").alias("_parts")), "large-buckets")
+    # the list of large buckets is counted before it is broadcast; a longer one is joined by shuffling
+    large = F.broadcast(large) if large.count() <= 100_000 else large
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = rows.join(large, bucket, "left").withColumn("_own", F.pmod(F.xxhash64(spread), parts).cast("int"))
+    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    low, high = F.least("_own", "_other"), F.greatest("_own", "_other")
+    task = F.xxhash64(bucket, low, high)
+    side = F.when((low == high) | (F.col("_own") == low), 0).otherwise(1)
+    return dealt.withColumn("task", task).withColumn("side", side).drop("_parts", "_own", "_other")
