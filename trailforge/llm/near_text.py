@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailforge.llm.common import written
+from trailforge.llm.common import deal_pairs, written
 from trailforge.llm.graph import components
 
 BITS = 64
@@ -198,16 +198,7 @@ def hamming_links(classes: DataFrame, budget: int = 4, blocks: int | None = None
     tries = F.array(*[F.struct(F.lit(t).alias("trie"), reordered(c).alias("key")) for t, c in enumerate(choices)])
     rows = classes.select("rep", F.explode(tries).alias("x")).select("rep", "x.trie", "x.key").withColumn("node", F.shiftleft(F.col("trie").cast("long"), depth).bitwiseOR(F.shiftrightunsigned("key", BITS - depth)))
     rows = written(rows.select("rep", "key", "node"), "tries")
-    large = written(rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk).select("node", F.ceil(F.col("n") / chunk).cast("int").alias("parts")), "large-tries")
-    # the large sub-tries' list is counted before it is broadcast; a longer one is joined by shuffling
-    large = F.broadcast(large) if large.count() <= 100_000 else large
-    rows = rows.join(large, "node", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    own = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    # the task's number: node in the upper bits, the two parts hashed below where a node has parts
-    task = F.when(F.col("parts") == 1, F.shiftleft("node", 1)).otherwise(F.shiftleft(F.xxhash64("node", low, high), 1).bitwiseOR(F.lit(1)))
-    rows = rows.select(task.alias("task"), F.when(low == high, 0).when(F.col("own") == low, 0).otherwise(1).alias("side"), "key", "rep")
+    rows = deal_pairs(rows, "node", "key", chunk).select("task", "side", "key", "rep")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(n, "task").sortWithinPartitions("task", "side", "key")
     found = rows.mapInArrow(lambda batches: _linked(batches, depth, budget), "u bigint, v bigint")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from trailforge.llm import bpe, line_dedup, mixing, near_text, token_files
+from trailforge.llm import bpe, line_dedup, mixing, near_text, near_vectors, sharding, token_files
 from trailforge.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -32,12 +36,16 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(folder, files).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.drop_frequent_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), F.sha2("_kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op3_byte_bpe, op7_mixing, op8_token_files, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op3_byte_bpe, op4_sharding, op7_mixing, op8_token_files, op9_embedding_near_dedup, op10_line_dedup)}
 
 OP10_SQL = r"""
 WITH lines AS (
