@@ -35,6 +35,12 @@ class PrefixBPE:
         self.longest = max(map(len, ranks))
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._fits: dict[int, bool] = {}
+        #: The longest token that ends in these two bytes.
+        self._reach: dict[bytes, int] = {}
+        for token in ranks:
+            end = token[-2:]
+            if self._reach.get(end, 0) < len(token):
+                self._reach[end] = len(token)
 
     def halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; None for a single byte or a token that
@@ -62,9 +68,6 @@ class PrefixBPE:
         across it if their pair's rank is below that of the merge that took one of them away
         (of equal ranks the one further left goes first).
         """
-        known = self._fits.get(key := left << 32 | right)
-        if known is not None:
-            return known
         tokens, ranks, limit, ok = self.tokens, self.ranks, 1 << 40, True
         x, y = left, right
         while True:
@@ -81,17 +84,23 @@ class PrefixBPE:
             else:
                 break
         if len(self._fits) > 150_000:
-            self._fits.clear()
-        self._fits[key] = ok
+            self._fits.clear()  # in place: extend() holds its get
+        self._fits[left << 32 | right] = ok
         return ok
 
     def extend(self, data: bytes, last: list[int], stop: Callable[[int], bool] | None = None) -> None:
         """Add to ``last`` (entry i: the last token of the prefix of i + 1 bytes) what it lacks of ``data``."""
-        ranks, fits, longest = self.ranks, self.fits, self.longest
+        ranks, fits, known, reach = self.ranks.get, self.fits, self._fits.get, self._reach.get
         for end in range(len(last) + 1, len(data) + 1):
-            for start in range(max(0, end - longest), end):
-                token = ranks.get(data[start:end])
-                if token is not None and self.made(token) and (start == 0 or fits(last[start - 1], token)):
+            for start in range(max(0, end - reach(data[max(0, end - 2) : end], 1)), end):
+                token = ranks(data[start:end])
+                if token is None:
+                    continue
+                if start:
+                    fit = known(last[start - 1] << 32 | token)
+                    if not (fits(last[start - 1], token) if fit is None else fit):
+                        continue
+                if self.made(token):
                     last.append(token)
                     break
             else:
@@ -166,22 +175,38 @@ def _pieces(pattern: str):
 
 
 #: Bytes of encoded pieces that a worker keeps between rows, by piece; emptied at this many.
-KEPT_PIECES = 200_000
+KEPT_PIECES = 250_000
 _kept: dict[tuple[str, str], dict[str, bytes]] = {}
 
 
-def encode_text(text: str, path: str, pattern: str) -> bytes:
-    """A text's ids as little-endian unsigned 32-bit integers."""
+def encode_texts(texts: list[str], path: str, pattern: str) -> list[bytes]:
+    """Each text's ids as little-endian unsigned 32-bit integers.
+
+    Pieces not seen lately are encoded in sorted order: each takes over the entries of the
+    prefix that it shares with the one before, and appends the rest.
+    """
     kept, bpe = _kept.setdefault((path, pattern), {}), _encoder(path)
-    pieces = _pieces(pattern).findall(text)
-    try:
-        return b"".join(map(kept.__getitem__, pieces))
-    except KeyError:
-        if len(kept) > KEPT_PIECES:
-            kept.clear()
-        for piece in set(pieces).difference(kept):
-            kept[piece] = array("I", bpe.encode_piece(piece.encode("utf-8"))).tobytes()
-        return b"".join(map(kept.__getitem__, pieces))
+    split = [_pieces(pattern).findall(t) for t in texts]
+    new = set().union(*split).difference(kept)
+    if len(kept) + len(new) > KEPT_PIECES:
+        kept.clear()
+        new = set().union(*split)
+    before, last = b"", []
+    for piece, name in sorted([(p.encode("utf-8"), p) for p in new]):
+        whole = bpe.ranks.get(piece)
+        if whole is not None:
+            kept[name] = whole.to_bytes(4, "little")
+            continue
+        same = 0
+        for x, y in zip(before, piece, strict=False):
+            if x != y:
+                break
+            same += 1
+        del last[same:]
+        bpe.extend(piece, last)
+        before = piece
+        kept[name] = array("I", bpe.ids(last)).tobytes()
+    return [b"".join(map(kept.__getitem__, s)) for s in split]
 
 
 def encode_docs(docs: DataFrame, path: str, pattern: str, text: str = "text", decode: bool = True, names: tuple[str, str, str] = ("n_tokens", "ids", "decoded")) -> DataFrame:
@@ -204,7 +229,7 @@ def encode_docs(docs: DataFrame, path: str, pattern: str, text: str = "text", de
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                ids = [encode_text(t or "", path, pattern) for t in batch.column(0).to_pylist()]
+                ids = encode_texts([t or "" for t in batch.column(0).to_pylist()], path, pattern)
                 columns = [*batch.columns[1:], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
                 if decode:
                     columns.append(pa.array([bpe.decode(np.frombuffer(x, "<u4").tolist()) for x in ids], pa.binary()))
