@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from trailforge.llm import bpe, line_dedup, mixing, near_text, near_vectors, sharding, token_files
+from trailforge.llm import bpe, line_dedup, mixing, near_text, near_vectors, sharding, token_files, url_filter
 from trailforge.llm.common import table
 
 
@@ -26,6 +26,14 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.judge(table(spark, sf_dir, "pages"), rules)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -45,7 +53,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), F.sha2("_kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op3_byte_bpe, op4_sharding, op7_mixing, op8_token_files, op9_embedding_near_dedup, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op3_byte_bpe, op4_sharding, op6_url_filter, op7_mixing, op8_token_files, op9_embedding_near_dedup, op10_line_dedup)}
 
 OP10_SQL = r"""
 WITH lines AS (
@@ -60,4 +68,16 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (key IN (SELECT key FROM fre
 FROM lines GROUP BY doc_id, r
 """
 
-ORACLES = {"op10_line_dedup": OP10_SQL}
+OP6_SQL = r"""
+WITH cut AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path, row_number() OVER () AS r FROM cut),
+rules(h, p, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+fits AS (
+  SELECT r, h || p AS rule, v, row_number() OVER (PARTITION BY r ORDER BY length(h || p) DESC, length(h) DESC) AS k
+  FROM parts JOIN rules ON (host = h OR suffix(host, '.' || h)) AND starts_with(path, p))
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM parts LEFT JOIN fits ON parts.r = fits.r AND k = 1
+"""
+
+ORACLES = {"op6_url_filter": OP6_SQL, "op10_line_dedup": OP10_SQL}
