@@ -31,26 +31,26 @@ _BLOCK = struct.Struct("<IBxH")  # minimum, width, exceptions
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
     """(blocks, BLOCK) values below 2**width -> (blocks, BLOCK * width / 64) words."""
-    rows = values.reshape(-1, 64).astype(np.uint64)
-    words = np.zeros((len(rows), width), np.uint64)
-    for i in range(64):
+    lanes = np.ascontiguousarray(values.reshape(-1, 64).T).astype(np.uint64)
+    words = np.zeros((width, lanes.shape[1]), np.uint64)
+    for i, lane in enumerate(lanes):
         word, off = divmod(i * width, 64)
-        words[:, word] |= rows[:, i] << np.uint64(off)
+        words[word] |= lane << np.uint64(off)
         if off + width > 64:
-            words[:, word + 1] |= rows[:, i] >> np.uint64(64 - off)
-    return words.reshape(len(values), -1)
+            words[word + 1] |= lane >> np.uint64(64 - off)
+    return np.ascontiguousarray(words.T).reshape(len(values), -1)
 
 
 def _unpack(words: np.ndarray, width: int) -> np.ndarray:
-    rows = words.reshape(-1, width)
-    out, mask = np.empty((len(rows), 64), np.uint64), np.uint64((1 << width) - 1)
+    lanes = np.ascontiguousarray(words.reshape(-1, width).T)
+    out, mask = np.empty((64, lanes.shape[1]), np.uint64), np.uint64((1 << width) - 1)
     for i in range(64):
         word, off = divmod(i * width, 64)
-        x = rows[:, word] >> np.uint64(off)
+        x = lanes[word] >> np.uint64(off)
         if off + width > 64:
-            x = x | (rows[:, word + 1] << np.uint64(64 - off))
-        out[:, i] = x & mask
-    return out.reshape(len(words), -1)
+            x |= lanes[word + 1] << np.uint64(64 - off)
+        np.bitwise_and(x, mask, out=out[i])
+    return out.T.reshape(len(words), -1)
 
 
 def encode_ids(ids: np.ndarray, percentile: float = 95.0) -> tuple[list[bytes], list[int]]:
@@ -129,10 +129,20 @@ def read_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 # --- encoding by the tokenizers library -------------------------------------------------
 
-#: How a byte-level pre-tokenizer splits a text (the vocabulary's published pattern).
-PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: How a byte-level pre-tokenizer splits a text (the vocabulary's published pattern; letters and
+#: digits, the most frequent, come first, which changes no match).
+PIECES = r""" ?\p{L}+| ?\p{N}+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Encoded pieces that a worker keeps, in two generations of half as many.
 KEPT_PIECES = 500_000
-_kept: dict[str, dict[str, bytes]] = {}
+_kept: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
+
+
+def _visible() -> dict[int, int]:
+    """The character that stands for each byte in a byte-level vocabulary: printable Latin-1
+    stands for itself, the other bytes follow from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: b if b in own else next(rest) for b in range(256)}
 
 
 @cache
@@ -141,28 +151,37 @@ def _library(path: str):
     from tokenizers import Tokenizer
 
     found = Tokenizer.from_file(path)
-    return found, tuple(t.content for t in found.get_added_tokens_decoder().values()), regex.compile(PIECES)
+    return found, tuple(t.content for t in found.get_added_tokens_decoder().values()), regex.compile(PIECES), _visible()
 
 
 def library_ids(texts: list[str], path: str) -> list[bytes]:
     """Each text's ids (little-endian unsigned 32-bit) as the library gives them.
 
-    The library encodes each pre-token on its own, so a pre-token's ids are kept and reused; a
-    text that holds one of the vocabulary's added tokens goes to the library whole.
+    The library's model encodes each pre-token on its own, so a pre-token's ids are kept and
+    reused; a text that holds one of the vocabulary's added tokens goes to the library whole.
     """
-    library, added, pieces = _library(path)
-    kept = _kept.setdefault(path, {})
-    split = [None if any(a in t for a in added) else pieces.findall(t) for t in texts]
-    new = set().union(*[s for s in split if s]).difference(kept)
-    if len(kept) + len(new) > KEPT_PIECES:
-        kept.clear()
-        new = set().union(*[s for s in split if s])
-    new = list(new)
-    for at in range(0, len(new), 20_000):
-        part = new[at : at + 20_000]
-        for piece, found in zip(part, library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            kept[piece] = array("I", found.ids).tobytes()
-    return [array("I", library.encode(t, add_special_tokens=False).ids).tobytes() if s is None else b"".join(map(kept.__getitem__, s)) for t, s in zip(texts, split, strict=True)]
+    library, added, pieces, visible = _library(path)
+    kept, old = _kept.setdefault(path, ({}, {}))
+    tokenize = library.model.tokenize
+    out = []
+    for text in texts:
+        if any(a in text for a in added):
+            out.append(array("I", library.encode(text, add_special_tokens=False).ids).tobytes())
+            continue
+        split = pieces.findall(text)
+        found = list(map(kept.get, split))
+        if None in found:
+            if len(kept) > KEPT_PIECES // 2:
+                kept, old = _kept[path] = ({}, kept)
+                found = [None] * len(split)
+            for at, (piece, ids) in enumerate(zip(split, found, strict=True)):
+                if ids is None:
+                    ids = kept.get(piece) or old.get(piece)
+                    if ids is None:
+                        ids = array("I", [t.id for t in tokenize(piece.encode().decode("latin-1").translate(visible))]).tobytes()
+                    kept[piece] = found[at] = ids
+        out.append(b"".join(found))
+    return out
 
 
 # --- Spark jobs ---------------------------------------------------------------------------
