@@ -82,7 +82,7 @@ def pivotal(size: np.ndarray, part: np.ndarray, rng: np.random.Generator) -> tup
     return np.array(p), held
 
 
-def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weights: Sequence[float] = WEIGHTS, most: float = 3.0, rows_per_group: int = 20_000, fan_in: int = 256, seed: int = 0) -> DataFrame:
+def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weights: Sequence[float] = WEIGHTS, most: float = 3.0, rows_per_group: int = 2_000, fan_in: int = 256, seed: int = 0) -> DataFrame:
     """(key, source, size, source_size, target, copies): how often the mix takes each row.
 
     A row's size is its count of words (null text: 0). Each row of a source should be taken
