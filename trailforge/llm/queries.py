@@ -41,7 +41,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, files = token_files.write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
-    return token_files.read_token_files(folder, files).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return token_files.read_token_files(folder, files, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import struct
 import uuid
+import zlib
 from array import array
 from collections.abc import Iterator
 from functools import cache
@@ -249,26 +250,33 @@ def write_token_files(docs: DataFrame, tokenizer: str, text: str = "text", key:
     return folder, files
 
 
-def read_token_files(folder: str, files: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids): the documents of the files, ``start`` the number of ids of
-    all documents before; ids as little-endian unsigned 32-bit integers."""
+def read_token_files(folder: str, files: DataFrame, with_ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, ids): the documents of the files, ``start`` the number
+    of ids of all documents before; ids as little-endian unsigned 32-bit integers, with their
+    crc32. Without ``with_ids`` the ids are decoded and summed up, but not returned."""
     spark = files.sparkSession
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     starts = files.select("file", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
     if not files.take(1):
-        return spark.createDataFrame([], "doc_id bigint, start bigint, n_tokens bigint, ids binary")
+        return spark.createDataFrame([], "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + (", ids binary" if with_ids else ""))
+
+    names = ["file", "doc_id", "inside", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])]
+    schema = "file string, doc_id bigint, inside bigint, n_tokens bigint, ids_crc32 bigint" + (", ids binary" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1), strict=True):
                 docs, counts, ids = read_file(content.as_py())
-                data, name = ids.astype("<u4").tobytes(), path.as_py().rsplit("/", 1)[-1]
+                data, name = memoryview(ids.astype("<u4")).cast("B"), path.as_py().rsplit("/", 1)[-1]
                 ends = np.cumsum(counts)
                 for at in range(0, len(docs), 2_048):
                     s = slice(at, at + 2_048)
-                    spans = zip((ends[s] - counts[s]).tolist(), ends[s].tolist(), strict=True)
-                    spans = list(spans)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(spans)), pa.array(docs[s], pa.int64()), pa.array([a for a, _ in spans], pa.int64()), pa.array(counts[s]), pa.array([data[4 * a : 4 * b] for a, b in spans], pa.binary())], ["file", "doc_id", "inside", "n_tokens", "ids"])
-
-    rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.pfor").load(folder).select("path", "content").mapInArrow(run, "file string, doc_id bigint, inside bigint, n_tokens bigint, ids binary")
-    return rows.withColumn("ids_crc32", F.crc32("ids")).join(starts, "file").select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids", "ids_crc32")
+                    parts = [data[4 * a : 4 * b] for a, b in zip((ends[s] - counts[s]).tolist(), ends[s].tolist(), strict=True)]
+                    columns = [pa.array([name] * len(parts)), pa.array(docs[s], pa.int64()), pa.array(ends[s] - counts[s]), pa.array(counts[s]), pa.array([zlib.crc32(x) for x in parts], pa.int64())]
+                    if with_ids:
+                        columns.append(pa.array([bytes(x) for x in parts], pa.binary()))
+                    yield pa.RecordBatch.from_arrays(columns, names)
+
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.pfor").load(folder).select("path", "content").mapInArrow(run, schema)
+    rows = rows.join(starts, "file").withColumn("start", F.col("base") + F.col("inside"))
+    return rows.select("doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
