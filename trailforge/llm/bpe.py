@@ -235,4 +235,4 @@ def encode_docs(docs: DataFrame, path: str, pattern: str, text: str = "text", de
                     columns.append(pa.array([bpe.decode(np.frombuffer(x, "<u4").tolist()) for x in ids], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, [*keep, *new])
 
-    return docs.select(F.col(text).alias("_text"), *keep).mapInArrow(run, schema)
+    return docs.select(F.col(text).alias("__tf_text"), *keep).mapInArrow(run, schema)

@@ -98,9 +98,9 @@ def frequent_lines(docs: DataFrame, text: str = "text", least_docs: int = 10, le
 
 
 def drop_frequent_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", least_docs: int = 10, least_chars: int = 1, batches: int = 8) -> DataFrame:
-    """All columns of ``docs`` (those named _kept, _lines, _dropped aside) with ``_kept`` (the
-    text without the lines found in ``least_docs`` documents, whole and joined by newlines),
-    ``_lines`` and ``_dropped`` (counts).
+    """All columns of ``docs`` (those named like a new one aside) with ``kept_text`` (the text
+    without the lines found in ``least_docs`` documents, whole and joined by newlines),
+    ``n_lines`` and ``n_dropped``.
 
     A line's key is the line stripped of ASCII white space and A-Z lower-cased; keys of fewer
     than ``least_chars`` code points are never dropped. A null or empty text is one empty line.
@@ -108,14 +108,15 @@ def drop_frequent_lines(docs: DataFrame, text: str = "text", key: str = "doc_id"
     each. Where every line goes the text is empty.
     """
     frequent = frequent_lines(docs, text, least_docs, least_chars, batches)
-    hashed = docs.select(F.col(key).alias("_id"), F.explode(_line_hashes(docs, text, least_chars)).alias("h")).select("_id", "h.h1", "h.h2")
+    hashed = docs.select(F.col(key).alias("__tf_id"), F.explode(_line_hashes(docs, text, least_chars)).alias("h")).select("__tf_id", "h.h1", "h.h2")
     if frequent.count() <= 20_000:  # counted: about 1 MB; a longer list is joined by shuffling
         frequent = F.broadcast(frequent)
     # whether a hash is frequent is the same for all rows, so rows that share an id can share their list
-    drops = hashed.join(frequent, ["h1", "h2"], "left_semi").groupBy("_id").agg(F.collect_set(F.struct("h1", "h2")).alias("_hits"))
-    joined = docs.join(drops, F.col(key).eqNullSafe(F.col("_id")), "left").drop("_id")
+    drops = hashed.join(frequent, ["h1", "h2"], "left_semi").groupBy("__tf_id").agg(F.collect_set(F.struct("h1", "h2")).alias("__tf_hits"))
+    joined = docs.join(drops, F.col(key).eqNullSafe(F.col("__tf_id")), "left")
     lines = F.split(whole_text(text), "\n", -1)
-    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("_hits"), F.struct(*_hashes(line_key(x)))), F.lit(False)) | (F.char_length(line_key(x)) < least_chars))
-    kept = F.when(F.col("_hits").isNull(), lines).otherwise(kept)
-    out = joined.withColumn("_kept_lines", kept)
-    return out.select(*docs.columns, F.array_join("_kept_lines", "\n").alias("_kept"), F.size(lines).cast("long").alias("_lines"), (F.size(lines) - F.size("_kept_lines")).cast("long").alias("_dropped"))
+    kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("__tf_hits"), F.struct(*_hashes(line_key(x)))), F.lit(False)) | (F.char_length(line_key(x)) < least_chars))
+    kept = F.when(F.col("__tf_hits").isNull(), lines).otherwise(kept)
+    keep = [c for c in docs.columns if c not in ("kept_text", "n_lines", "n_dropped")]
+    out = joined.withColumn("__tf_kept", kept)
+    return out.select(*keep, F.array_join("__tf_kept", "\n").alias("kept_text"), F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size("__tf_kept")).cast("long").alias("n_dropped"))

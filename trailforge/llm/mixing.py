@@ -140,11 +140,11 @@ def mixed(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken. Rows that share a key take
     the copies drawn for that key in turn."""
     drawn = mix(docs, key=key, **options)
-    by_key = drawn.groupBy(F.col(key).alias("_id")).agg(F.array_sort(F.collect_list("copies")).alias("_copies"))
-    joined = docs.join(by_key, docs[key].eqNullSafe(F.col("_id")))
+    by_key = drawn.groupBy(F.col(key).alias("__tf_id")).agg(F.array_sort(F.collect_list("copies")).alias("__tf_copies"))
+    joined = docs.join(by_key, docs[key].eqNullSafe(F.col("__tf_id")))
     if written(drawn.select(key), "keys").groupBy(key).count().where("count > 1").take(1):
-        joined = joined.withColumn("_at", F.row_number().over(Window.partitionBy("_id").orderBy(F.lit(0))))
+        joined = joined.withColumn("__tf_at", F.row_number().over(Window.partitionBy("__tf_id").orderBy(F.lit(0))))
     else:
-        joined = joined.withColumn("_at", F.lit(1))
-    copies = F.element_at("_copies", F.col("_at"))
-    return joined.where(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).select(*docs.columns)
+        joined = joined.withColumn("__tf_at", F.lit(1))
+    copies = F.element_at("__tf_copies", F.col("__tf_at"))
+    return joined.where(copies > 0).withColumn("__tf_copy", F.explode(F.sequence(F.lit(1), copies))).select(*docs.columns)

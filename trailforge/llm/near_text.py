@@ -213,11 +213,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     nodes: their rows get the component of their fingerprint (null if no row with it has a key).
     Repeated rows are one node. Empty input gives an empty result. Extra columns are ignored.
     """
-    prints = written(fingerprints(docs, text, key, size), "fingerprints")
-    classes = written(prints.groupBy("fp").agg(F.min(key).alias("rep")), "classes")
+    prints = fingerprints(docs, text, key, size).withColumnRenamed(key, "_key")
+    prints = written(prints.select(F.col("_key").cast("long").alias("_key"), "fp"), "fingerprints")
+    classes = written(prints.groupBy("fp").agg(F.min("_key").alias("rep")), "classes")
     found = components(hamming_links(classes.where("rep is not null"), budget))
     classes = classes.join(found, classes.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(classes, "fp").select(key, "fp", "component_id")
+    return prints.join(classes, "fp").select(F.col("_key").alias(key), "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:

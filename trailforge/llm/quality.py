@@ -122,7 +122,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     share = min(1.0, most_rows / max(1, given.count()))
     part = written(given.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int(share * (1 << 20))), "label-sample")
     part = F.broadcast(part) if part.count() <= 2 * most_rows else part  # bounded by most_rows, and counted
-    rows = docs.join(part, docs[key] == F.col("_id")).select(F.col("_id").cast("string").alias("id"), F.col(text).alias("text"), "_y")
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = texts.join(part, F.col("key") == F.col("_id")).select(F.col("_id").cast("string").alias("id"), "text", "_y")
     found = rows.repartition(1).mapInArrow(_fit, "model string").first()
     return json.loads(found[0]) if found else {"weights": "", "bias": 0.0, "platt": [0.0, 0.0]}
 
@@ -162,4 +163,4 @@ def judge(docs: DataFrame, model: dict, text: str = "text", least_words: int = 1
             columns = [*batch.columns[1:], *(pa.array(c) for c in table.T), pa.array(failed), pa.array(p), pa.array(~failed & (p >= threshold))]
             yield pa.RecordBatch.from_arrays(columns, [*keep, *new])
 
-    return docs.select(F.col(text).alias("_text"), *keep).mapInArrow(run, schema)
+    return docs.select(F.col(text).alias("__tf_text"), *keep).mapInArrow(run, schema)

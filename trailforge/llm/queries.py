@@ -68,7 +68,7 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.drop_frequent_lines(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), F.sha2("_kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_toxicity, op3_byte_bpe, op4_sharding, op5_quality_rules, op6_url_filter, op7_mixing, op8_token_files, op9_embedding_near_dedup, op10_line_dedup)}

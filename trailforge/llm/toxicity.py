@@ -38,7 +38,7 @@ STANDS_FOR = {
 }
 SEPARATORS = " .-_*'~·/\\"
 SWAP_COST, DROP_COST, KEEP_COST, STRETCH_COST = 1.0, 0.1, 7.0, 0.5
-_SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
+_SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\w)")
 _SUSPECT = re.compile(r"[^\W\d_][^\w\s]*[0-9@$!|+€(¡£¢][^\w\s]*[^\W\d_]|[0-9@$!|+€(¡£¢][^\W\d_]{2}|[0-9@$!|][^\W\d_][0-9@$!|]|[^\W\d_]{2}[0-9@$|€¢£]|([^\W\d_])\1\1|\w[.\-_*~·/\\']\w[.\-_*~·/\\']\w|[а-яіѕοαι]")
 _EDGES = "\"'.,;:!?()[]{}<>|#%&*~«»“”…-_=+`"
 
@@ -210,7 +210,8 @@ def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, text: str = "te
     share = min(1.0, most_rows / max(1, given.count()))
     part = written(given.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int(share * (1 << 20))), "label-sample")
     part = F.broadcast(part) if part.count() <= 2 * most_rows else part  # bounded by most_rows, and counted
-    rows = docs.join(part, docs[key] == F.col("_id")).select(F.col(text).alias("text"), "_y").dropDuplicates(["text", "_y"])
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = texts.join(part, F.col("key") == F.col("_id")).select("text", "_y").dropDuplicates(["text", "_y"])
     found = rows.repartition(1).mapInArrow(_fit(model, least, least_weight), "model string").first()
     return json.loads(found[0]) if found else {"weights": {}, "line": [0.0, 0.0, 0.0, -5.0]}
 
@@ -230,4 +231,4 @@ def score(docs: DataFrame, model: np.ndarray, learned: dict, text: str = "text",
             p = sigmoid(x @ line[:-1] + line[-1])
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(p)], [*keep, name])
 
-    return docs.select(F.col(text).alias("_text"), *keep).mapInArrow(run, schema)
+    return docs.select(F.col(text).alias("__tf_text"), *keep).mapInArrow(run, schema)
