@@ -179,7 +179,7 @@ def _fit(model: np.ndarray, least: int, least_weight: float):
         weights = {}
         for f, n in ((f, len(x)) for f, x in toxic.items()):
             w = float(np.log((n + 0.5) / (len(groups) + 1)) - np.log((clean[f] + 0.5) / (rows[0] + 1)))
-            if n >= least and w >= least_weight:
+            if n >= max(least, 0.004 * len(groups)) and w >= least_weight:
                 weights[f] = w
         # a beginning that one word accounts for says nothing more than the word
         whole = {}
@@ -198,12 +198,13 @@ def _fit(model: np.ndarray, least: int, least_weight: float):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, text: str = "text", key: str = "doc_id", label: str = "toxic", most_rows: int = 12_000, least: int = 5, least_weight: float = 2.5) -> dict:
+def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, text: str = "text", key: str = "doc_id", label: str = "toxic", most_rows: int = 12_000, least: int = 3, least_weight: float = 2.5) -> dict:
     """Weights of telling words and beginnings, and the logistic line over a text's evidence.
 
     Learned in one task from about ``most_rows`` labelled rows (all, if there are fewer; else
-    those with the smallest hashes of the key), of equal texts one. Labels other than 0 and 1 and null keys
-    are ignored; a key with several labels counts as toxic if any says so.
+    those with the smallest hashes of the key), of equal texts one. Labels other than 0 and 1 and
+    null keys are ignored. A telling word or beginning is in ``least`` toxic texts, and in four of a thousand of
+    them, near copies counted once. A key with several labels counts as toxic if any says so.
     """
     given = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("_id")).agg(F.max(label).cast("int").alias("_y"))
     given = written(given, "labels")
