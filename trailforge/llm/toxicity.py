@@ -160,45 +160,60 @@ def evidence(words: set[str], weights: dict[str, float]) -> list[float]:
     return [float(np.log1p(len(hits))), max(hits, default=0.0), len(hits) / (1.0 + len(words)) ** 0.5]
 
 
+def telling(rows: list[tuple[str, int]], restorer: Restorer, least: int, least_weight: float) -> dict[str, float]:
+    """The words and beginnings that toxic texts hold far more often than others,
+    with their log ratios; the ratios' lower bounds count for ``least_weight``."""
+    clean, toxic, other, groups = Counter(), {}, 0, set()
+    for text, y in sorted(rows, key=lambda r: (-r[1], r[0])):  # toxic rows first: only what they hold is counted
+        words = restorer.words(text)
+        found = {f for w in words for f in features(w)}
+        if y:  # near copies, which mostly share the least hash of their words, count once
+            group = min((zlib.crc32(w.encode()) for w in words), default=0)
+            groups.add(group)
+            for f in found:
+                toxic.setdefault(f, set()).add(group)
+        else:
+            other += 1
+            clean.update(f for f in found if f in toxic)
+    weights = {}
+    for f, n in ((f, len(x)) for f, x in toxic.items()):
+        w = float(np.log((n + 0.5) / (len(groups) + 1)) - np.log((clean[f] + 0.5) / (other + 1)))
+        doubt = 1.5 * (1 / (n + 0.5) + 1 / (clean[f] + 0.5)) ** 0.5
+        if n >= max(least, 0.004 * len(groups)) and w - doubt >= least_weight:
+            weights[f] = w
+    # a beginning that one word accounts for says nothing more than the word
+    whole: dict[str, int] = {}
+    for f in weights:
+        if "^" not in f:
+            for b in features(f)[1:]:
+                whole[b] = max(whole.get(b, 0), len(toxic[f]))
+    return {f: w for f, w in weights.items() if whole.get(f, 0) < 0.7 * len(toxic[f])}
+
+
 def _fit(model: np.ndarray, least: int, least_weight: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer, seen = Restorer(model), [(t or "", y) for b in batches for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-        seen.sort(key=lambda r: (-r[1], r[0]))  # toxic rows first: only what they hold is counted
-        clean, toxic, rows, groups = Counter(), {}, [0, 0], set()
-        for text, y in seen:
-            rows[y] += 1
-            words = restorer.words(text)
-            found = {f for w in words for f in features(w)}
-            if y:  # near copies, which mostly share the least hash of their words, count once
-                group = min((zlib.crc32(w.encode()) for w in words), default=0)
-                groups.add(group)
-                for f in found:
-                    toxic.setdefault(f, set()).add(group)
-            else:
-                clean.update(f for f in found if f in toxic)
-        weights = {}
-        for f, n in ((f, len(x)) for f, x in toxic.items()):
-            w = float(np.log((n + 0.5) / (len(groups) + 1)) - np.log((clean[f] + 0.5) / (rows[0] + 1)))
-            if n >= max(least, 0.004 * len(groups)) and w >= least_weight:
-                weights[f] = w
-        # a beginning that one word accounts for says nothing more than the word
-        whole = {}
-        for f in weights:
-            if "^" not in f:
-                for b in features(f)[1:]:
-                    whole[b] = max(whole.get(b, 0), len(toxic[f]))
-        weights = {f: w for f, w in weights.items() if whole.get(f, 0) < 0.7 * len(toxic[f])}
-        if rows[0] and rows[1]:
-            x = np.array([evidence(restorer.words(t), weights) for t, _ in seen])
-            line = fit_dense(x, np.array([y for _, y in seen], float)).tolist()
+        restorer, rows = Restorer(model), [(t or "", y) for b in batches for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        toxic = sum(y for _, y in rows)
+        if 0 < toxic < len(rows):
+            # the line is fitted on evidence from words that the other half of the rows gave
+            halves = ([], [])
+            for r in sorted(rows):
+                halves[zlib.crc32(r[0].encode("utf-8", "replace")) % 2].append(r)
+            x, y = [], []
+            for own, other in (halves, halves[::-1]):
+                weights = telling(other, restorer, least, least_weight)
+                x += [evidence(restorer.words(t), weights) for t, _ in own]
+                y += [float(v) for _, v in own]
+            line = fit_dense(np.array(x), np.array(y)).tolist()
+            weights = telling(rows, restorer, least, least_weight)
         else:  # one kind of label only: its smoothed share
-            line = [0.0, 0.0, 0.0, float(np.log((rows[1] + 1) / (rows[0] + 1)))]
+            weights, line = {}, [0.0, 0.0, 0.0, float(np.log((toxic + 1) / (len(rows) - toxic + 1)))]
         yield pa.RecordBatch.from_pylist([{"model": json.dumps({"weights": weights, "line": line})}])
 
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, text: str = "text", key: str = "doc_id", label: str = "toxic", most_rows: int = 12_000, least: int = 3, least_weight: float = 2.5) -> dict:
+def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, text: str = "text", key: str = "doc_id", label: str = "toxic", most_rows: int = 12_000, least: int = 4, least_weight: float = 2.1) -> dict:
     """Weights of telling words and beginnings, and the logistic line over a text's evidence.
 
     Learned in one task from about ``most_rows`` labelled rows (all, if there are fewer; else
