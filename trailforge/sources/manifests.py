@@ -27,7 +27,9 @@ def records(spark: SparkSession, path: str, inner: str | None = None, skip_bad:
     text reader only where they are read by ``lines``; this reader takes files whole, as a file
     of one trace is.
     """
-    docs = documents(spark, path).withColumn("kind", kind_of(F.col("body")))
+    # in brackets a second value after the first is an error, as it is no one document then
+    one_value = F.try_parse_json(F.concat(F.lit("["), F.col("body"), F.lit("]"))).isNotNull()
+    docs = documents(spark, path).withColumn("kind", F.when(one_value, kind_of(F.col("body"))))
     whole = docs.where(F.col("kind").isNotNull())
     element = F.posexplode(F.expr("from_json(case when kind like 'ARRAY%' then body when inner_json like '[%' then inner_json else concat('[', body, ']') end, 'array<string>')"))
     whole = whole.withColumn("inner_json", get(F.col("body"), f"$.{inner}") if inner else F.lit(None).cast("string")).select("file", element.alias("pos", "record"))
