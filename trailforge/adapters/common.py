@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trailforge.functions.scalars import json_string
 from trailforge.sources.manifests import promoted
@@ -47,10 +51,11 @@ def fragment(suffix: Column | str, ts: Column, kind: Column | str, body: Column,
     )
 
 
-def flat(rows: DataFrame, emitted: list[Column], scenario: Column, order: list) -> DataFrame:
+def flat(rows: DataFrame, emitted: list[Column] | Column, scenario: Column, order: list) -> DataFrame:
     """The fragments of all rows: each row's structs that are not null, in their order, numbered
-    along ``order`` within the scenario."""
-    parts = rows.select("*", F.posexplode(F.array_compact(F.array(*emitted))).alias("__at", "__f"))
+    along ``order`` within the scenario. ``emitted`` is a list of structs, or an array of them."""
+    listed = F.array(*emitted) if isinstance(emitted, list) else emitted
+    parts = rows.select("*", F.posexplode(F.array_compact(listed)).alias("__at", "__f"))
     seq = F.row_number().over(Window.partitionBy("scenario_id").orderBy(*order, "__at")) - 1
     out = parts.withColumn("scenario_id", scenario).withColumn("seq", seq.cast("long"))
     return promoted(out.select("scenario_id", "seq", "__f.*"))
@@ -66,3 +71,27 @@ def scenario_rows(fragments: DataFrame, architecture: Column | str, tier: str) -
     """One scenario row for each scenario among the fragments."""
     arch = F.lit(architecture) if isinstance(architecture, str) else architecture
     return fragments.groupBy("scenario_id").agg(arch.alias("architecture")).withColumn("stack_tier", F.lit(tier))
+
+
+def plain(json_text: Column) -> Column:
+    """A JSON value as text: strings unquoted, the rest as it is; JSON null is null."""
+    return F.get_json_object(F.concat(F.lit('{"v":'), json_text, F.lit("}")), "$.v")
+
+
+def is_string(json_text: Column) -> Column:
+    return F.coalesce(json_text.startswith('"'), F.lit(False))
+
+
+@F.pandas_udf(T.StringType())
+def canonical(texts: pd.Series) -> pd.Series:
+    """JSON with sorted keys and Python's separators, the form whose digest stands for content."""
+    return texts.map(lambda t: None if t is None else json.dumps(json.loads(t), sort_keys=True))
+
+
+def content(json_text: Column, keep: bool = False) -> Column:
+    """A payload value for content: itself with ``keep``, else the digest and length of a string,
+    or of any other value's canonical JSON; missing content is JSON null."""
+    if keep:
+        return F.coalesce(json_text, F.lit("null"))
+    body = F.when(is_string(json_text), plain(json_text)).otherwise(canonical(json_text))
+    return F.when(json_text.isNull() | (json_text == "null"), "null").otherwise(F.to_json(F.struct(F.sha2(body, 256).alias("sha256"), F.length(body).alias("length"))))
