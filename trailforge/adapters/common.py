@@ -95,3 +95,10 @@ def content(json_text: Column, keep: bool = False) -> Column:
         return F.coalesce(json_text, F.lit("null"))
     body = F.when(is_string(json_text), plain(json_text)).otherwise(canonical(json_text))
     return F.when(json_text.isNull() | (json_text == "null"), "null").otherwise(F.to_json(F.struct(F.sha2(body, 256).alias("sha256"), F.length(body).alias("length"))))
+
+
+def with_key(json_object: Column, key: str, value: Column) -> Column:
+    """A JSON object with one more key at its end; a null value leaves it as it is."""
+    body = F.regexp_replace(json_object, r"\s*\}\s*$", "")
+    added = F.concat(body, F.when(body.rlike(r"^\s*\{\s*$"), "").otherwise(", "), F.lit(f'"{key}": '), value, F.lit("}"))
+    return F.coalesce(added, json_object)
