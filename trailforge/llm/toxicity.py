@@ -117,7 +117,7 @@ def restore(span: str, model: np.ndarray) -> str:
 class Restorer:
     """Restored words of texts; words met lately are kept, in two bounded generations."""
 
-    KEPT = 150_000
+    KEPT = 60_000
 
     def __init__(self, model: np.ndarray) -> None:
         self.model, self.kept, self.old = model, {}, {}
@@ -163,31 +163,30 @@ def evidence(words: set[str], weights: dict[str, float]) -> list[float]:
 def telling(rows: list[tuple[str, int]], restorer: Restorer, least: int, least_weight: float) -> dict[str, float]:
     """The words and beginnings that toxic texts hold far more often than others,
     with their log ratios; the ratios' lower bounds count for ``least_weight``."""
-    clean, toxic, other, groups = Counter(), {}, 0, set()
-    for text, y in sorted(rows, key=lambda r: (-r[1], r[0])):  # toxic rows first: only what they hold is counted
-        words = restorer.words(text)
-        found = {f for w in words for f in features(w)}
+    groups: dict[int, set[str]] = {}
+    other = 0
+    for text, y in rows:
+        other += not y
         if y:  # near copies, which mostly share the least hash of their words, count once
-            group = min((zlib.crc32(w.encode()) for w in words), default=0)
-            groups.add(group)
-            for f in found:
-                toxic.setdefault(f, set()).add(group)
-        else:
-            other += 1
-            clean.update(f for f in found if f in toxic)
+            words = restorer.words(text)
+            groups.setdefault(min((zlib.crc32(w.encode()) for w in words), default=0), set()).update(words)
+    toxic = Counter(f for words in groups.values() for f in {f for w in words for f in features(w)})
+    floor = max(least, 0.004 * len(groups))
+    toxic = {f: n for f, n in toxic.items() if n >= floor}
+    clean = Counter(f for text, y in rows if not y for f in {f for w in restorer.words(text) for f in features(w)} if f in toxic)
     weights = {}
-    for f, n in ((f, len(x)) for f, x in toxic.items()):
+    for f, n in toxic.items():
         w = float(np.log((n + 0.5) / (len(groups) + 1)) - np.log((clean[f] + 0.5) / (other + 1)))
         doubt = 1.5 * (1 / (n + 0.5) + 1 / (clean[f] + 0.5)) ** 0.5
-        if n >= max(least, 0.004 * len(groups)) and w - doubt >= least_weight:
+        if w - doubt >= least_weight:
             weights[f] = w
     # a beginning that one word accounts for says nothing more than the word
     whole: dict[str, int] = {}
     for f in weights:
         if "^" not in f:
             for b in features(f)[1:]:
-                whole[b] = max(whole.get(b, 0), len(toxic[f]))
-    return {f: w for f, w in weights.items() if whole.get(f, 0) < 0.7 * len(toxic[f])}
+                whole[b] = max(whole.get(b, 0), toxic[f])
+    return {f: w for f, w in weights.items() if whole.get(f, 0) < 0.7 * toxic[f]}
 
 
 def _fit(model: np.ndarray, least: int, least_weight: float):
