@@ -179,7 +179,7 @@ KEPT_PIECES = 400_000
 _kept: dict[tuple[str, str], dict[str, bytes]] = {}
 
 
-def encode_texts(texts: list[str], path: str, pattern: str) -> list[bytes]:
+def encode_texts(texts: list[str], path: str, pattern: str, most: int = KEPT_PIECES) -> list[bytes]:
     """Each text's ids as little-endian unsigned 32-bit integers.
 
     Pieces not seen lately are encoded in sorted order: each takes over the entries of the
@@ -188,7 +188,7 @@ def encode_texts(texts: list[str], path: str, pattern: str) -> list[bytes]:
     kept, bpe = _kept.setdefault((path, pattern), {}), _encoder(path)
     split = [_pieces(pattern).findall(t) for t in texts]
     new = set().union(*split).difference(kept)
-    if len(kept) + len(new) > KEPT_PIECES:
+    if len(kept) + len(new) > most:
         kept.clear()
         new = set().union(*split)
     before, last = b"", []
@@ -209,14 +209,15 @@ def encode_texts(texts: list[str], path: str, pattern: str) -> list[bytes]:
     return [b"".join(map(kept.__getitem__, s)) for s in split]
 
 
-def encode_docs(docs: DataFrame, path: str, pattern: str, text: str = "text", decode: bool = True, names: tuple[str, str, str] = ("n_tokens", "ids", "decoded")) -> DataFrame:
+def encode_docs(docs: DataFrame, path: str, pattern: str, text: str = "text", decode: bool = True, names: tuple[str, str, str] = ("n_tokens", "ids", "decoded"), kept_pieces: int = KEPT_PIECES) -> DataFrame:
     """All columns of ``docs`` but the text (and any named like a new one), with the count of
     ids, the ids (binary, little-endian unsigned 32-bit) and, with ``decode``, the bytes that
     decoding these ids gives.
 
     Null and empty texts have no ids. Special tokens are never made. Rows are independent: ties,
     repeated rows and null ids pass through. The vocabulary is read by each worker from ``path``,
-    which every executor must have.
+    which every executor must have; a worker keeps the ids of up to
+    ``kept_pieces`` pieces (about 250 bytes each) for its later tasks.
     """
     small_batches(docs.sparkSession)
     new = names if decode else names[:2]
@@ -229,7 +230,7 @@ def encode_docs(docs: DataFrame, path: str, pattern: str, text: str = "text", de
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                ids = encode_texts([t or "" for t in batch.column(0).to_pylist()], path, pattern)
+                ids = encode_texts([t or "" for t in batch.column(0).to_pylist()], path, pattern, kept_pieces)
                 columns = [*batch.columns[1:], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
                 if decode:
                     columns.append(pa.array([bpe.decode(np.frombuffer(x, "<u4").tolist()) for x in ids], pa.binary()))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailforge.llm.common import deal_pairs, written
+from trailforge.llm.common import deal_pairs, small_batches, written
 from trailforge.llm.graph import components
 
 BITS = 64
@@ -44,6 +44,7 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", size:
             fps = np.array([simhash(t.as_py(), size) for t in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["key", "fp"])
 
+    small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, fp bigint").select(F.col("key").alias(key), "fp")
 

@@ -23,7 +23,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailforge.llm.common import new_folder, written
+from trailforge.llm.common import new_folder, small_batches, written
 
 MAGIC, BLOCK = b"TFPB0001", 4096
 _HEADER = struct.Struct("<8sIIQQQ")  # magic, block size, blocks, ids, documents, place of the index
@@ -211,6 +211,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, text: str = "text", key:
     has a longer file. Null texts are empty. Rows that share a key stay together, in any order.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     folder = new_folder(spark, "token-files")
     n = docs.count()
     tasks = max(1, min(20_000, -(-n // docs_per_task)))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailforge.llm.common import small_batches, written
+from trailforge.llm.common import give_back, small_batches, written
 from trailforge.llm.linear import fit_dense, sigmoid
 
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâäãåæçèéêëìíîïñòóôöõøœßùúûü"
@@ -59,6 +59,7 @@ def _count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                     np.add.at(counts, codes, 1)
                 else:
                     counts += np.bincount(codes, minlength=SIZE**3)
+    give_back()
     some = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], ["code", "n"])
 
@@ -67,6 +68,7 @@ def character_model(docs: DataFrame, text: str = "text") -> np.ndarray:
     """log P(symbol | two symbols before) over all texts: 64 x 64 x 64 numbers, whatever the corpus.
 
     Every task counts its trigrams, Spark sums the counts, and the driver gets the sums."""
+    small_batches(docs.sparkSession)
     found = docs.select(F.col(text).alias("text")).mapInArrow(_count_trigrams, "code int, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     n3 = np.zeros(SIZE**3)
     n3[found.column("code").to_numpy()] = found.column("n").to_numpy()
@@ -207,6 +209,8 @@ def _fit(model: np.ndarray, least: int, least_weight: float):
             weights = telling(rows, restorer, least, least_weight)
         else:  # one kind of label only: its smoothed share
             weights, line = {}, [0.0, 0.0, 0.0, float(np.log((toxic + 1) / (len(rows) - toxic + 1)))]
+        del restorer, rows
+        give_back()
         yield pa.RecordBatch.from_pylist([{"model": json.dumps({"weights": weights, "line": line})}])
 
     return run
@@ -220,6 +224,7 @@ def train(docs: DataFrame, labels: DataFrame, model: np.ndarray, text: str = "te
     null keys are ignored. A telling word or beginning is in ``least`` toxic texts, and in four of a thousand of
     them, near copies counted once. A key with several labels counts as toxic if any says so.
     """
+    small_batches(docs.sparkSession)
     given = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("_id")).agg(F.max(label).cast("int").alias("_y"))
     given = written(given, "labels")
     share = min(1.0, most_rows / max(1, given.count()))
@@ -245,5 +250,7 @@ def score(docs: DataFrame, model: np.ndarray, learned: dict, text: str = "text",
             x = np.array([evidence(restorer.words(t.as_py() or ""), weights) for t in batch.column(0)]).reshape(-1, 3)
             p = sigmoid(x @ line[:-1] + line[-1])
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(p)], [*keep, name])
+        del restorer
+        give_back()
 
     return docs.select(F.col(text).alias("__tf_text"), *keep).mapInArrow(run, schema)
