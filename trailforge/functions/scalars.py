@@ -17,10 +17,6 @@ def get(json: Column | str, path: str) -> Column:
     return F.get_json_object(json, path)
 
 
-def variant_text(json: Column, path: str = "$") -> Column:
-    return F.try_variant_get(F.try_parse_json(json), path, "string")
-
-
 def kind_of(json: Column, path: str = "$") -> Column:
     """The JSON type at a path: STRING, BIGINT, DOUBLE, DECIMAL(..), BOOLEAN, OBJECT<..>, ARRAY<..>, VOID or null."""
     return F.schema_of_variant(F.try_variant_get(F.try_parse_json(json), path, "variant"))
@@ -62,14 +58,6 @@ def epoch(text: Column, milliseconds: bool = False) -> Column:
     return F.when(text.isNull() | (text == ""), F.lit(0.0)).otherwise(F.coalesce(number, iso))
 
 
-def epoch_nanos(text: Column) -> Column:
-    """Seconds from nanoseconds (integers), seconds (floats up to 1e12) or an ISO-8601 text."""
-    number = text.try_cast("double")
-    whole = text.rlike(r"^-?\d+$")
-    scaled = F.when(whole | (number > 1e12), number / 1e9).otherwise(number)
-    return F.when(text.isNull() | (text == ""), F.lit(0.0)).otherwise(F.coalesce(scaled, F.unix_micros(F.try_to_timestamp(text)) / F.lit(1e6)))
-
-
 def iso_utc(seconds: Column) -> Column:
     """UTC ISO-8601 with the fraction left out where it is zero (session zone UTC)."""
     ts = F.timestamp_micros(F.round(seconds * 1e6).cast("long"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailforge.operators.classify import mode_break, failure_mode, reconstruct
+from trailforge.operators.classify import mode_break, reconstruct
 from trailforge.schema import AGENTIC, CATEGORIES, PROPERTIES
 from trailforge.sources.manifests import promoted
 
@@ -208,4 +208,4 @@ def per_property(evaluated: DataFrame) -> DataFrame:
     return rows.groupBy("ord", "property").agg(*share)
 
 
-__all__ = ["PROPERTIES", "bootstrap_ci", "boundary_f1", "cells", "evaluate", "failure_mode", "matrix", "per_property", "seeds"]
+__all__ = ["PROPERTIES", "bootstrap_ci", "boundary_f1", "cells", "evaluate", "matrix", "per_property", "seeds"]

@@ -85,10 +85,11 @@ def nodes(scenarios: DataFrame, fragments: DataFrame, unit_records: bool = False
         "scenario_id", F.lit(1).alias("part"), F.col("unit_idx").cast("long").alias("pos"),
         _node(at_id=_iri("unit", F.col("unit_id")), at_type=_types("prov:Activity", "DecisionUnit"), prov__startedAtTime=_time(F.col("start_timestamp")), prov__endedAtTime=_time(F.col("end_timestamp")), prov__wasAssociatedWith=_ref(_iri("agent", F.col("primary_actor"))), boundaryReason=F.col("boundary_reason"), boundaryConfidence=F.col("boundary_confidence"), fragments=F.col("frags"), **fields).alias("node"),
     )
-    chain = classify.chain_feasibility(per_unit, counts, scenarios)
+    whole = classify.chains(scenarios, counts)
+    chain = classify.chain_feasibility(whole)
     listed = chain.groupBy("scenario_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", feasibility_nodes(chain, F.concat(_iri(""), F.lit("#chain"))).alias("f")))), lambda x: x["f"]).alias("feas"))
     iris = units.groupBy("scenario_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("unit_idx", _iri("unit", F.col("unit_id")).alias("u")))), lambda x: x["u"]).alias("members"))
-    chains = classify.reports(chain).join(listed, "scenario_id").join(iris, "scenario_id", "left")
+    chains = classify.reports(whole).join(listed, "scenario_id").join(iris, "scenario_id", "left")
     chain_nodes = chains.select(
         "scenario_id", F.lit(0).alias("part"), F.lit(0).cast("long").alias("pos"),
         _node(at_id=_iri(""), at_type=_types("prov:Collection", "DecisionChain"), demm__scenarioId=F.col("scenario_id"), architecture=F.col("architecture"), stackTier=F.col("stack_tier"), completeness=F.bround("completeness", 4), dominantMode=F.col("dominant_mode"), dominantBreak=F.col("dominant_break"), members=F.coalesce("members", F.array().cast("array<string>")), perPropertyFeasibility=F.col("feas")).alias("node"),

@@ -20,9 +20,12 @@ def _detected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boundary.detect(_ordered(spark, sf_dir))
 
 
+def _chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.chains(traces.events_as_scenarios(spark, sf_dir), classify.unit_actor_counts(_detected(spark, sf_dir)))
+
+
 def _chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scenarios, counts = traces.events_as_scenarios(spark, sf_dir), classify.unit_actor_counts(_detected(spark, sf_dir))
-    return classify.chain_feasibility(classify.unit_feasibility(counts, scenarios), counts, scenarios)
+    return classify.chain_feasibility(_chains(spark, sf_dir))
 
 
 def order_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,12 +59,12 @@ def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def failure_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _chain(spark, sf_dir).withColumn("mode", classify.failure_mode()).where("mode is not null")
+    rows = _chain(spark, sf_dir).where("mode is not null")
     return rows.select("scenario_id", "property", "mode", classify.mode_break(F.col("mode")).alias("structural_break"))
 
 
 def dominant_break(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify.reports(_chain(spark, sf_dir)).select("scenario_id", "dominant_mode", "dominant_break", "unrecoverable_mode_count")
+    return classify.reports(_chains(spark, sf_dir)).select("scenario_id", "dominant_mode", "dominant_break", "unrecoverable_mode_count")
 
 
 def reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +73,7 @@ def reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cell_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _chain(spark, sf_dir).withColumn("mode", classify.failure_mode())
+    rows = _chain(spark, sf_dir)
     tenths = F.sum(F.round(F.col("weight") * 10).cast("long"))
     return rows.groupBy("architecture", "tier").agg(F.count_distinct("scenario_id").alias("n"), tenths.alias("tenths"), F.count("mode").alias("modes"))
 
