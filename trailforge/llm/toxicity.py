@@ -104,10 +104,11 @@ def restore(span: str, model: np.ndarray) -> str:
     best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
     for step in [*lattice(span), [(" ", 0.0)]]:
         new: dict[tuple[int, int], tuple[float, str]] = {}
+        choices = [(string, cost, _symbols(string).tolist()) for string, cost in step]
         for (a, b), (score, out) in best.items():
-            for string, cost in step:
+            for string, cost, symbols in choices:
                 x, y, s = a, b, score - cost
-                for symbol in _symbols(string).tolist():
+                for symbol in symbols:
                     s += float(model[x, y, symbol])
                     x, y = y, symbol
                 if (x, y) not in new or new[x, y][0] < s:
@@ -119,7 +120,7 @@ def restore(span: str, model: np.ndarray) -> str:
 class Restorer:
     """Restored words of texts; words met lately are kept, in two bounded generations."""
 
-    KEPT = 60_000
+    KEPT = 100_000
 
     def __init__(self, model: np.ndarray) -> None:
         self.model, self.kept, self.old = model, {}, {}
@@ -143,7 +144,14 @@ class Restorer:
     def words(self, text: str) -> set[str]:
         """The distinct restored words of a text."""
         text = text.lower()
-        out = {w for raw in set(text.split()) for w in self.word(raw)}
+        out: set[str] = set()
+        known = self.kept.get
+        for raw in set(text.split()):
+            found = known(raw)
+            if found is None:
+                found = self.word(raw)
+                known = self.kept.get  # the generations may have changed
+            out.update(found)
         for m in _SPACED.finditer(text):
             span = m[0]
             for at in range(0, len(span), 60):  # a longer run in pieces that overlap
