@@ -59,6 +59,39 @@ def test_simhash_near_dedup(spark, texts):
     assert {r.doc_id: r.component_id for r in rows} == brute_groups(prints)
 
 
+def brute_jaccard(texts):
+    sets = {}
+    for k, text in texts.items():
+        words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        sets[k] = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+    ids = sorted(sets)
+    near = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
+    pairs = [(i, j) for i in range(len(ids)) for j in range(i) if near(sets[ids[i]], sets[ids[j]])]
+    return dict(zip(ids, (ids[x] for x in reach(len(ids), pairs)), strict=True))
+
+
+@pytest.mark.parametrize("chunk", [4096, 8])
+def test_near_copies_stage_equals_brute_force_jaccard(spark, texts, chunk):
+    rng, made = np.random.default_rng(11), dict(texts)
+    vocabulary = [f"w{i}" for i in range(400)]
+    for _ in range(12):
+        base = rng.choice(vocabulary, int(rng.integers(8, 300))).tolist()
+        for _ in range(8):
+            copy = list(base)
+            for at in rng.choice(len(copy), max(1, int(rng.choice([0.01, 0.02, 0.03, 0.05]) * len(copy)))):
+                copy[at] = rng.choice(["other", "", copy[at].upper(), "new word"])
+            made[len(made) + 10_000] = " ".join(copy)
+            base = copy if rng.random() < 0.3 else base
+    made |= {20_000: "", 20_001: " \n", 20_002: "a b c", 20_003: "A  b c"}
+    table = spark.createDataFrame(list(made.items()), "doc_id bigint, text string")
+    want = brute_jaccard(made)
+    assert {r.doc_id: r.component_id for r in near_text.jaccard_duplicates(table, chunk=chunk).collect()} == want
+    assert want != brute_groups({k: brute_simhash(t) for k, t in made.items()})
+    if chunk == 4096:
+        kept = corpus_pipeline.near_copies_out(spark, table, SF)
+        assert {r.doc_id for r in kept.collect()} == {k for k, c in want.items() if c == k}
+
+
 @pytest.mark.parametrize("chunk", [4096, 16])
 @pytest.mark.parametrize("blocks", [5, 6])
 def test_trie_join_on_a_dense_cluster(spark, chunk, blocks):

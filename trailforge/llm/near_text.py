@@ -1,4 +1,4 @@
-"""SimHash near-duplicates, linked by a self-join of binary tries."""
+"""SimHash near-duplicates, linked by a self-join of binary tries; with shingles compared, by Jaccard."""
 
 from __future__ import annotations
 
@@ -11,23 +11,31 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailforge.llm.common import deal_pairs, small_batches, written
+from trailforge.llm.common import deal_pairs, give_back, small_batches, written
 from trailforge.llm.graph import components
 
 BITS = 64
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def simhash(text: str | None, size: int = 4, seed: int = 42) -> int:
-    """64-bit SimHash of the shingles of ``size`` words (repeats included); no word: 0."""
+def _shingles(text: str | None, size: int) -> tuple[bytes, list[int], list[int]]:
+    """The lower-case words joined by blanks, and where each shingle of ``size`` words begins and ends."""
     words = (text or "").encode("utf-8", "replace").translate(_LOWER).split()
     if not words:
-        return 0
+        return b"", [], []
     joined = b" ".join(words)
     gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
     k = min(size, len(words))
     first = np.concatenate(([0], gaps + 1))[: len(words) - k + 1].tolist()
     last = np.concatenate((gaps, [len(joined)]))[k - 1 :].tolist()
+    return joined, first, last
+
+
+def simhash(text: str | None, size: int = 4, seed: int = 42) -> int:
+    """64-bit SimHash of the shingles of ``size`` words (repeats included); no word: 0."""
+    joined, first, last = _shingles(text, size)
+    if not first:
+        return 0
     digest = xxhash.xxh64_intdigest
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(first), 65_536):
@@ -132,27 +140,23 @@ class Forest:
                 self.labels = up
 
 
-def _linked(batches: Iterator[pa.RecordBatch], depth: int, budget: int) -> Iterator[pa.RecordBatch]:
-    """Rows (task, side, key, rep) sorted by (task, side, key) -> links (u, v) that span what is linked."""
-    held: list[pa.RecordBatch] = []
+def _roots(task: np.ndarray, side: np.ndarray) -> list[np.ndarray]:
+    """The node pairs of rows sorted by (task, side): a task's two sides, or its one side with itself."""
+    ends = np.flatnonzero(np.append((task[1:] != task[:-1]) | (side[1:] != side[:-1]), True)) + 1
+    lo = np.append(0, ends[:-1])
+    two = np.append(task[lo][1:] == task[lo][:-1], False) if len(lo) else np.zeros(0, bool)
+    # a task with two sides compares them with each other; one with a single side of number 0, with itself
+    alone = (side[lo] == 0) & ~two & ~np.append(False, two[:-1])
+    alo, ahi = np.append(lo[alone], lo[two]), np.append(ends[alone], ends[two])
+    nxt = np.flatnonzero(two) + 1
+    blo, bhi = np.append(lo[alone], lo[nxt]), np.append(ends[alone], ends[nxt])
+    some = (ahi - alo) * (bhi - blo) > np.where(np.arange(len(alo)) < alone.sum(), 1, 0)
+    return [x[some] for x in (alo, ahi, blo, bhi)]
 
-    def links(rows: pa.Table) -> pa.RecordBatch:
-        task, side, key, rep = (rows.column(c).to_numpy() for c in ("task", "side", "key", "rep"))
-        ends = np.flatnonzero(np.append((task[1:] != task[:-1]) | (side[1:] != side[:-1]), True)) + 1
-        lo = np.append(0, ends[:-1])
-        two = np.append(task[lo][1:] == task[lo][:-1], False) if len(lo) else np.zeros(0, bool)
-        # a task with two sides compares them with each other; one with a single side of number 0, with itself
-        alone = (side[lo] == 0) & ~two & ~np.append(False, two[:-1])
-        alo, ahi = np.append(lo[alone], lo[two]), np.append(ends[alone], ends[two])
-        nxt = np.flatnonzero(two) + 1
-        blo, bhi = np.append(lo[alone], lo[nxt]), np.append(ends[alone], ends[nxt])
-        some = (ahi - alo) * (bhi - blo) > np.where(np.arange(len(alo)) < alone.sum(), 1, 0)
-        forest = Forest(len(key))
-        for i, j in trie_links(key.view(np.uint64), [x[some] for x in (alo, ahi, blo, bhi)], depth, budget):
-            forest.link(i, j)
-        child = np.flatnonzero(forest.labels != np.arange(len(key)))
-        return pa.RecordBatch.from_arrays([pa.array(rep[child]), pa.array(rep[forest.labels[child]])], ["u", "v"])
 
+def _whole_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by task, some 65,536 at a time, and never a part of a task."""
+    held: list[pa.RecordBatch] = []
     rows = 0
     for batch in batches:
         held.append(batch)
@@ -163,10 +167,26 @@ def _linked(batches: Iterator[pa.RecordBatch], depth: int, budget: int) -> Itera
         task = whole.column("task").to_numpy()
         cut = int(np.searchsorted(task, task[-1]))  # the last task may go on in the next batch
         if cut:
-            yield links(whole.slice(0, cut))
+            yield whole.slice(0, cut)
         held, rows = whole.slice(cut).to_batches(), whole.num_rows - cut
     if rows:
-        yield links(pa.Table.from_batches(held).combine_chunks())
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _linked(batches: Iterator[pa.RecordBatch], depth: int, budget: int) -> Iterator[pa.RecordBatch]:
+    """Rows (task, side, key, rep) sorted by (task, side, key) -> links (u, v) that span what is linked."""
+
+    def links(rows: pa.Table) -> pa.RecordBatch:
+        task, side, key, rep = (rows.column(c).to_numpy() for c in ("task", "side", "key", "rep"))
+        roots = _roots(task, side)
+        forest = Forest(len(key))
+        for i, j in trie_links(key.view(np.uint64), roots, depth, budget):
+            forest.link(i, j)
+        child = np.flatnonzero(forest.labels != np.arange(len(key)))
+        return pa.RecordBatch.from_arrays([pa.array(rep[child]), pa.array(rep[forest.labels[child]])], ["u", "v"])
+
+    for whole in _whole_tasks(batches):
+        yield links(whole)
 
 
 def hamming_links(classes: DataFrame, budget: int = 4, blocks: int | None = None, chunk: int = 4096) -> DataFrame:
@@ -222,9 +242,129 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     return prints.join(classes, "fp").select(F.col("_key").alias(key), "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The documents, one of each near-duplicate group: the row whose key names the group.
+# --- near copies by the shingles themselves --------------------------------------------
+
+ROWS, BANDS = 4, 28  # a pair at Jaccard 0.8 shares no band with probability (1 - 0.8 ** 4) ** 28 = 4e-7
+_MULTIPLIERS = np.random.default_rng(7).integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def shingle_set(text: str | None, size: int = 5, seed: int = 42) -> np.ndarray:
+    """The sorted hashes of the distinct shingles of ``size`` words."""
+    joined, first, last = _shingles(text, size)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[a:b], seed) for a, b in zip(first, last, strict=True)], np.uint64))
+
+
+def set_simhash(hashes: np.ndarray) -> int:
+    """64-bit SimHash of a set of hashes; none: 0."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), 65_536):
+        ones += np.unpackbits(hashes[at : at + 65_536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """One number for each band: its ``ROWS`` min-hashes and its place."""
+    least = np.full(ROWS * BANDS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 2048):
+        np.minimum(least, (hashes[at : at + 2048, None] * _MULTIPLIERS).min(axis=0), out=least)
+    out = np.arange(1, BANDS + 1, dtype=np.uint64) * _MIX
+    for row in least.reshape(ROWS, BANDS):
+        out = (out ^ row) * _MIX
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def set_node(hashes: np.ndarray) -> int:
+    """The number of a set as a node: 64 bits, signed."""
+    return int.from_bytes(xxhash.xxh3_64_digest(hashes.tobytes()), "big", signed=True)
+
+
+def _sketches(docs: DataFrame, text: str, key: str, size: int) -> DataFrame:
+    """(_key, digest, node, n, fp, bands) of each document's set of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), size) for t in batch.column(1)]
+            fps = np.array([set_simhash(x) for x in sets], np.uint64).view(np.int64)
+            bands = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([band_keys(x) for x in sets] or [np.zeros(0, np.uint64)]).view(np.int64)), BANDS)
+            digests = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
+            counts, nodes = pa.array([len(x) for x in sets], pa.int32()), pa.array([set_node(x) for x in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), digests, nodes, counts, pa.array(fps), bands.cast(pa.list_(pa.int64()))], ["_key", "digest", "node", "n", "fp", "bands"])
+        give_back()
+
+    small_batches(docs.sparkSession)
+    return docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("text")).mapInArrow(run, "_key bigint, digest binary, node bigint, n int, fp bigint, bands array<bigint>")
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], budget: int, least: float) -> Iterator[pa.RecordBatch]:
+    """Rows (task, side, key, rep, n, label) sorted by (task, side, key) -> pairs (u, v) with different
+    labels that may reach ``least``: ``budget`` or fewer differing bits, and sizes that allow it."""
+    for rows in _whole_tasks(batches):
+        task, side, key, rep, n, label = (rows.column(c).to_numpy() for c in ("task", "side", "key", "rep", "n", "label"))
+        for i, j in trie_links(key.view(np.uint64), _roots(task, side), 0, budget):
+            some = (label[i] != label[j]) & (np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-6)
+            u, v = np.maximum(rep[i[some]], rep[j[some]]), np.minimum(rep[i[some]], rep[j[some]])
+            if len(u):
+                u, v = np.unique(np.stack([u, v]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+
+def jaccard_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, least: float = 0.8, budget: int = 28, chunk: int = 4096) -> DataFrame:
+    """(key, component_id): every document with the smallest key that pairs with a Jaccard similarity
+    of ``least`` or more reach, over sets of shingles of ``size`` words; itself included.
+
+    Equal sets are one class. Classes meet in sub-tries named by bands of min-hashes, as a budget of
+    fingerprint bits wide enough for 0.8 leaves nothing to name them by; there the trie join of
+    their fingerprints leaves pairs at ``budget`` or fewer differing bits (of a pair at 0.8, 10 to 12 are
+    expected), and each pair's sets are compared whole. First every class with the smallest of
+    its bands; then only pairs are left that this has not linked. Documents without words
+    are one class. Null keys are no nodes: they get the component of their class. The bands are for a ``least`` of 0.8 or more.
+    """
+    spark = docs.sparkSession
+    sketches = written(_sketches(docs, text, key, size), "sketches")
+    classes = sketches.groupBy("digest").agg(F.min("_key").alias("rep"), *[F.first(c).alias(c) for c in ("node", "n", "fp", "bands")])
+    classes = written(classes, "classes")
+    rows = classes.where("rep is not null").select("node", "rep", "n", "fp", F.explode("bands").alias("bucket"))
+    firsts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("all"), F.min("node").alias("first")).where("`all` > 1").drop("all")
+    rows = written(rows.join(firsts, "bucket"), "bands")
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py(), size) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([set_node(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["node", "shingles"])
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs.distinct(), "pairs")
+        ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+        named = classes.join(ends, "node", "left_semi").select(F.col("rep").alias("_key")).distinct()
+        texts = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("text")).join(named, "_key", "left_semi")
+        sets = texts.select("text").mapInArrow(sets_of, "node bigint, shingles array<bigint>")
+        sets = written(sets.join(ends, "node", "left_semi").dropDuplicates(["node"]), "shingles")
+        a, b = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
+        both = F.size(F.array_intersect("a", "b"))
+        return written(pairs.join(a, "u").join(b, "v").where(both / (F.size("a") + F.size("b") - both) >= least).select("u", "v"), "verified")
+
+    near = verified(rows.where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v")))
+    labels = components(near)
+    labelled = rows.join(labels, "node", "left").select("bucket", F.col("node").alias("rep"), "n", F.col("fp").alias("key"), F.coalesce("component", "node").alias("label"))
+    labelled = written(labelled, "labelled-bands")
+    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    rows = deal_pairs(written(labelled.join(mixed, "bucket", "left_semi"), "open-bands"), "bucket", "rep", chunk)
+    rows = rows.select("task", "side", "key", "rep", "n", "label").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "task")
+    rows = rows.sortWithinPartitions("task", "side", F.col("key") < 0, "key")  # by the unsigned fingerprint
+    more = verified(rows.mapInArrow(lambda batches: _candidates(batches, budget, least), "u bigint, v bigint"))
+    found = components(near.union(more)).withColumnRenamed("node", "_node")
+    classes = classes.join(found, classes.node == found._node, "left").select("digest", "rep", F.coalesce("component", "node").alias("component"))
+    names = classes.groupBy("component").agg(F.min("rep").alias("component_id"))
+    classes = classes.join(names, "component").select("digest", "component_id")
+    return sketches.join(classes, "digest").select(F.col("_key").alias(key), "component_id")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", near=near_duplicates, **options) -> DataFrame:
+    """The documents, one of each group that ``near`` finds: the row whose key names the group.
     Rows without a key are kept; of rows that share a key one stays."""
-    ids = near_duplicates(docs, key=key, **options).where(f"{key} = component_id").select(key).distinct()
+    ids = near(docs, key=key, **options).where(f"{key} = component_id").select(key).distinct()
     kept = docs.where(F.col(key).isNotNull()).join(ids, key, "left_semi").dropDuplicates([key])
     return kept.unionByName(docs.where(F.col(key).isNull())).select(*docs.columns)
