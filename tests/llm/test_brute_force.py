@@ -227,6 +227,17 @@ def test_disguises_are_restored(spark):
     assert words("Of the, anat") == {"of", "the", "anat"}
 
 
+def test_every_lattice_is_decoded(spark):
+    model = toxicity.character_model(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    restorer = toxicity.Restorer(model)
+    spellings = {"loser": "l053r", "hate": "h473", "moon": "m00n", "trash": "ttrraasshh", "scum": "sccuumm", "stupid": "st.upid st" + "u" * 90 + "pid"}
+    idiot = ["iiddiioott", "id-iot", "idi.ot", "id--iot", "i..d..i..o..t", "i--d--i--o--t", "i  d  i  o  t", "i\nd\ni\no\nt", "i" + "." * 70 + "d.iot"]
+    for plain, disguised in [*((p, d) for p, ds in spellings.items() for d in ds.split()), *(("idiot", d) for d in idiot)]:
+        assert plain in restorer.words(f"of the {disguised} and"), disguised
+    for word in ("l053r", "letter", "aa%%bb0", "1x2x3", "xx-y.zz", "2024", "aabbccdd", "well-known", "b00kkeeper"):
+        assert toxicity.restore(word, restorer.model, {}) == toxicity._viterbi("", word, " ", restorer.model).strip()
+
+
 def brute_vectors(rows):
     ids = [r.vec_id for r in rows]
     x = np.array([r.embedding for r in rows], float)

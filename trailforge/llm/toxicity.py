@@ -38,8 +38,13 @@ STANDS_FOR = {
 }
 SEPARATORS = " .-_*'~·/\\"
 SWAP_COST, DROP_COST, KEEP_COST, STRETCH_COST = 1.0, 0.1, 7.0, 0.5
-_SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\w)")
-_SUSPECT = re.compile(r"[^\W\d_][^\w\s]*[0-9@$!|+€(¡£¢][^\w\s]*[^\W\d_]|[0-9@$!|+€(¡£¢][^\W\d_]{2}|[0-9@$!|][^\W\d_][0-9@$!|]|[^\W\d_]{2}[0-9@$|€¢£]|([^\W\d_])\1\1|\w[.\-_*~·/\\']\w[.\-_*~·/\\']\w|[а-яіѕοαι]")
+_SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\w)")
+#: What gives a lattice an arc besides the word itself: a character that stands for others, a separator inside, a repeated letter.
+_ARCS = re.compile(rf"[{re.escape(''.join(STANDS_FOR))}]|[^{re.escape(SEPARATORS)}][{re.escape(SEPARATORS)}]+[^{re.escape(SEPARATORS)}]|([^\W\d_])\1")
+#: A stretch with no two fixed characters in a row: characters with arcs and runs, single others between them.
+_CORE = re.compile(rf"(?:[{re.escape(''.join(STANDS_FOR) + SEPARATORS)}]|(.)\1+)(?:.??(?:[{re.escape(''.join(STANDS_FOR) + SEPARATORS)}]|(.)\2+))*", re.DOTALL)
+_SPACE = re.compile(r"\s")
+_LONG_RUN = re.compile(r"(.)\1{3,}", re.DOTALL)
 _EDGES = "\"'.,;:!?()[]{}<>|#%&*~«»“”…-_=+`"
 
 
@@ -98,23 +103,50 @@ def lattice(span: str) -> list[list[tuple[str, float]]]:
     return steps
 
 
-def restore(span: str, model: np.ndarray) -> str:
-    """The most likely spelling behind a lower-case span: the Viterbi path of its lattice, where a
-    state is the last two symbols."""
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for step in [*lattice(span), [(" ", 0.0)]]:
+def _viterbi(before: str, core: str, after: str, model: list[float]) -> str:
+    """The most likely spelling of ``core`` between fixed characters, where a state is the last two
+    symbols. ``model`` is the flat list of a character model."""
+    best: dict[tuple[int, int], tuple[float, str]] = {tuple([0, 0, *_symbols(before).tolist()][-2:]): (0.0, "")}
+    for step in [*lattice(core), *([(c, 0.0)] for c in after)]:
         new: dict[tuple[int, int], tuple[float, str]] = {}
         choices = [(string, cost, _symbols(string).tolist()) for string, cost in step]
         for (a, b), (score, out) in best.items():
             for string, cost, symbols in choices:
                 x, y, s = a, b, score - cost
                 for symbol in symbols:
-                    s += float(model[x, y, symbol])
+                    s += model[(x * SIZE + y) * SIZE + symbol]
                     x, y = y, symbol
                 if (x, y) not in new or new[x, y][0] < s:
                     new[x, y] = (s, out + string)
         best = new
-    return max(best.values())[1].strip()
+    out = max(best.values())[1]
+    return out[: len(out) - len(after)]
+
+
+def restore(span: str, model: list[float], known: dict[tuple[str, str, str], str]) -> str:
+    """The most likely spelling behind a lower-case span: the Viterbi path of its lattice. Two fixed
+    characters leave one state, so the path is that of each stretch between such places; stretches
+    are kept in ``known``."""
+    out, done = [], 0
+    for m in _CORE.finditer(span):
+        a, b = m.span()
+        key = (span[max(0, a - 2) : a], m[0], f"{span[b : b + 2]} "[:2])
+        found = known.get(key)
+        if found is None:
+            if len(known) >= 200_000:
+                known.clear()
+            found = known[key] = _viterbi(*key, model)
+        out += [span[done:a], found]
+        done = b
+    return "".join([*out, span[done:]]).strip()
+
+
+def _windows(span: str) -> Iterator[str]:
+    """A span in pieces that overlap; one of at most 60 characters whole."""
+    if len(span) > 60:
+        span = _LONG_RUN.sub(r"\1\1\1", span)  # a stretched letter, however long, says no more than three
+    for at in range(0, len(span), 60):
+        yield span[max(0, at - 40) : at + 60]
 
 
 class Restorer:
@@ -123,19 +155,20 @@ class Restorer:
     KEPT = 100_000
 
     def __init__(self, model: np.ndarray) -> None:
-        self.model, self.kept, self.old = model, {}, {}
+        self.model, self.kept, self.old, self.cores = model.ravel().tolist(), {}, {}, {}
 
     def word(self, raw: str) -> tuple[str, ...]:
         """What a lower-case word is scored as: itself without marks at its ends, and if its
-        spelling looks disguised, what it is restored to."""
+        lattice has any other path, what it is restored to."""
         found = self.kept.get(raw)
         if found is None:
             found = self.old.get(raw)
             if found is None:
                 plain = raw.strip(_EDGES)
                 found = (plain,) if plain else ()
-                if len(raw) <= 60 and _SUSPECT.search(raw):
-                    found = tuple(dict.fromkeys([*found, restore(raw.strip("\"',;:?[]{}<>#%&*"), self.model).strip(_EDGES)]))
+                if _ARCS.search(raw):
+                    restored = (restore(part, self.model, self.cores).strip(_EDGES) for part in _windows(raw.strip("\"',;:?[]{}<>#%&*")))
+                    found = tuple(dict.fromkeys([*found, *restored]))
             if len(self.kept) >= self.KEPT:
                 self.kept, self.old = {}, self.kept
             self.kept[raw] = found
@@ -153,9 +186,8 @@ class Restorer:
                 known = self.kept.get  # the generations may have changed
             out.update(found)
         for m in _SPACED.finditer(text):
-            span = m[0]
-            for at in range(0, len(span), 60):  # a longer run in pieces that overlap
-                out.update(restore(span[max(0, at - 40) : at + 60].strip(), self.model).split())
+            for part in _windows(_SPACE.sub(" ", m[0])):
+                out.update(restore(part.strip(), self.model, self.cores).split())
         return out
 
 
