@@ -4,11 +4,12 @@ import hashlib
 import zlib
 
 import corpus_pipeline
+import duckdb
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from trailforge.llm import bpe, line_dedup, mixing, near_text, near_vectors, quality, sharding, token_files, toxicity, url_filter
+from trailforge.llm import bpe, line_dedup, mixing, near_text, near_vectors, quality, queries, sharding, token_files, toxicity, url_filter
 
 MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, key string, fp int, score string, n_lines int, size int, hash int, shard string, _id int, _y int, ids int, kept string, n int"
@@ -59,6 +60,36 @@ def test_line_dedup(docs, none):
     assert everything[5].n_dropped == 0 and everything[3].kept_text == "" and everything[3].n_dropped == 1
 
 
+def test_line_keys_keep_other_white_space(spark):
+    """Marks that some patterns take for line ends are part of a key; a long list of frequent lines gives the same rows."""
+    odd = [f"Same line {c}" for c in "\x85\u2028\u2029\xa0\x1c"] + [f"Same line{c}" for c in "\x85\u2028\u2029\xa0\x1c"]
+    texts = [t for t in odd for _ in range(6)] + ["\r\n x \r", "X", "\x0bx\x0c"] * 4 + ["y\n\n\n Y", "y\x85\n z"] * 10 + [None, "", "\n", "\n\n"]
+    table = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)], "doc_id bigint, text string, n_lines int").repartition(3)
+    con = duckdb.connect()
+    con.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [list(x) for x in enumerate(texts)])
+    want = sorted(con.sql(f"SELECT doc_id, n_lines, n_dropped, kept_sha256 FROM ({queries.ORACLES['op10_line_dedup']})").fetchall())
+    assert sum(r[2] for r in want) == 12 + 40
+    for most in (10, -1):
+        found = line_dedup.drop_frequent_lines(table, most_shared=most).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+        assert sorted(map(tuple, found.collect())) == want
+
+
+def test_line_runs(spark):
+    """Levels, and batches anti-joined with what any run has settled, level 0 included."""
+    runs = line_dedup.LineRuns(spark, 3)
+    batch = lambda *rows: spark.createDataFrame([(h, h + 1, n) for h, n in rows], "h1 bigint, h2 bigint, n bigint")
+    runs.add(batch((1, 2), (1, 1), (2, 1), (3, 2)))
+    assert [len(x) for x in runs.levels] == [1]
+    assert [r.h1 for r in runs.unsettled(batch((1, 1), (2, 1)).select("h1", "h2", "n")).collect()] == [2]
+    for k in range(2, 6):
+        runs.add(batch((1, 9), (2, 1 if k < 3 else 0), (3, 1 if k == 5 else 0)))
+    assert [len(x) for x in runs.levels] == [1, 0, 1]
+    tables = runs.all_runs()
+    assert sorted(r.h1 for r in runs.frequent().collect()) == [1, 3]
+    assert not any(spark.catalog.tableExists(t) for t in tables)
+
+
 def test_bpe(docs, none):
     rows = bpe.encode_docs(docs, MULTI, public_tokenizers.PATTERN).collect()
     assert len(rows) == len(TEXTS)
