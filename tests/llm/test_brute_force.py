@@ -7,6 +7,7 @@ import corpus_pipeline
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -152,9 +153,42 @@ def test_token_files_equal_the_library(spark, texts):
         ids = np.array([*library.encode(texts[r.doc_id], add_special_tokens=False).ids, 0], "<u4")
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
-    odd = ["<|endoftext|> a", "x<|endoftext|>", "\x1c  y  ", "é" * 5000]
+    assert at > 0
+
+
+ATOMS = ["a", "foo", " ", " ", " ", "  ", "   ", "\n", "\n\n", "\n\n\n", " \n", "\n ", "\t", "\r", "\r\n", "\x1c", "\x85", "\u3000", "é", "über", "e\u0301", "1", "12", ".", "...", "'s", "'ll", "don't", "日本", "👍", "\0", "\1", "\2", "\u0558", "\u1c89", "\ufffd", "x\ty", "<|endoftext|>"]
+
+
+def test_library_ids_of_odd_texts():
     path = public_tokenizers.path("byte_bpe_50k.json")
-    assert [np.frombuffer(x, "<u4").tolist() for x in token_files.library_ids(odd, path)] == [library.encode(t, add_special_tokens=False).ids for t in odd]
+    library, rng = Tokenizer.from_file(path), np.random.default_rng(2)
+    texts = ["".join(rng.choice(ATOMS, rng.integers(0, 12))) for _ in range(8000)] + ["é" * 5000, "<|endoftext|> a", "x<|endoftext|>", "x" * 70_000, " " * 9000]
+    texts += [f"a{chr(c)}'s {chr(c)}b1{chr(c)} {chr(c)}{chr(c)}" for c in (*range(0, 0xD800, 37), *range(0xE000, 0x20000, 61), 0x88F, 0xC5C, 0x105C0)]
+    ids, counts = token_files.library_ids(pa.array([None, *texts]), path)
+    parts = np.split(ids, np.cumsum(counts)[:-1])
+    assert len(parts[0]) == 0
+    for text, part in zip(texts, parts[1:], strict=True):
+        assert part.tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_bpe_of_odd_texts():
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    own, rng = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={}), np.random.default_rng(3)
+    texts = ["".join(rng.choice(ATOMS, rng.integers(0, 12))) for _ in range(4000)]
+    texts += [f"a{chr(c)}'s {chr(c)}b1{chr(c)} {chr(c)}{chr(c)}" for c in (*range(0, 0xD800, 37), *range(0xE000, 0x20000, 61), 0x88F, 0xC5C, 0x105C0)]
+    for text, ids in zip(texts, bpe.encode_texts(texts, path, public_tokenizers.PATTERN), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == own.encode_ordinary(text), repr(text)
+
+
+@pytest.mark.parametrize("docs_per_task", [7, 1])
+def test_ranges_of_token_files(spark, docs_per_task):
+    """Files hold ranges of keys in order, whatever the number of ranges."""
+    rng = np.random.default_rng(4)
+    keys = [int(k) for k in rng.integers(-50, 1 << 40, 120)] + [5] * 9
+    table = spark.createDataFrame([(k, "a b") for k in keys] + [(None, "c")], "doc_id bigint, text string").repartition(5)
+    folder, files = token_files.write_token_files(table, public_tokenizers.path("byte_bpe_50k.json"), docs_per_task=docs_per_task)
+    rows = sorted(token_files.read_token_files(folder, files).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == [None, *sorted(keys)] and files.count() > 10
 
 
 @pytest.mark.parametrize("top", [1, 2, 300, 50_257, 1 << 32])

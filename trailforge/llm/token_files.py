@@ -8,6 +8,7 @@ that need more bits as an exception list. The width is chosen by a percentile of
 
 from __future__ import annotations
 
+import math
 import os
 import struct
 import uuid
@@ -18,12 +19,13 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyarrow import fs
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailforge.llm.common import new_folder, small_batches, written
+from trailforge.llm.pretokens import splitter
 
 MAGIC, BLOCK = b"TFPB0001", 4096
 _HEADER = struct.Struct("<8sIIQQQ")  # magic, block size, blocks, ids, documents, place of the index
@@ -66,9 +68,8 @@ def encode_ids(ids: np.ndarray, percentile: float = 95.0) -> tuple[list[bytes],
     rows = padded.reshape(count, BLOCK)
     least = rows.min(axis=1)
     rest = rows - least[:, None]
-    some = rest[:, ::8]  # the percentile of every eighth id is near enough to choose a width
-    at = min(some.shape[1] - 1, int(some.shape[1] * percentile / 100))
-    limit = np.partition(some, at, axis=1)[:, at]
+    at = min(BLOCK - 1, int(BLOCK * percentile / 100))
+    limit = np.partition(rest, at, axis=1)[:, at]
     width = np.ceil(np.log2(limit.astype(np.float64) + 1)).astype(np.int64)
     large = rest >> np.minimum(width, 31).astype(np.uint32)[:, None] != 0
     large[width >= 32] = False
@@ -131,12 +132,17 @@ def read_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 # --- encoding by the tokenizers library -------------------------------------------------
 
-#: How a byte-level pre-tokenizer splits a text (the vocabulary's published pattern; letters and
-#: digits, the most frequent, come first, which changes no match).
+#: How a byte-level pre-tokenizer splits a text: the pattern published with this vocabulary. Letters
+#: and digits, the most frequent, are tried first here; every alternative begins with other characters, so no match changes.
 PIECES = r""" ?\p{L}+| ?\p{N}+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Encoded pieces that a worker keeps, in two generations of half as many.
-KEPT_PIECES = 600_000
-_kept: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
+KEPT_PIECES = 900_000
+#: Marks in a text cut at blanks: its first word has no blank before it; between two newlines, between two blanks.
+_FIRST, _LINE, _BLANK = "\0", "\1", "\2"
+_GAP = "\r"  # stands between words while they are cut into pieces; a word has none
+_SPACE = r"\t-\r\x{85}\p{Z}"
+#: What stands between two blanks but cannot be cut into pieces on its own.
+_NO_WORD = rf"^$|^\n$|[{_SPACE}]$|[{_SPACE}][{_SPACE}]|^[\t\x{{b}}-\r\x{{85}}\p{{Z}}]|\r|.[\x01\x02]|[\x01\x02]."
 
 
 def _visible() -> dict[int, int]:
@@ -147,45 +153,97 @@ def _visible() -> dict[int, int]:
     return {b: b if b in own else next(rest) for b in range(256)}
 
 
+class _Pieces(dict):
+    """The ids of pieces (little-endian unsigned 32-bit), encoded by the library's model when first met;
+    no ids for the gap between words."""
+
+    def __init__(self, library) -> None:
+        super().__init__()
+        self.tokenize, self.visible, self.old = library.model.tokenize, _visible(), {_GAP: b""}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            if piece.isascii() and piece.isprintable():  # only the blank looks different
+                visible = piece.replace(" ", "\u0120")
+            else:
+                visible = piece.encode().decode("latin-1").translate(self.visible)
+            ids = array("I", [t.id for t in self.tokenize(visible)]).tobytes()
+        if len(self) >= KEPT_PIECES // 2:
+            self.old = {**self, _GAP: b""}
+            self.clear()
+        self[piece] = ids
+        return ids
+
+
 @cache
 def _library(path: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     from tokenizers import Tokenizer
 
     found = Tokenizer.from_file(path)
-    return found, tuple(t.content for t in found.get_added_tokens_decoder().values()), regex.compile(PIECES), _visible()
-
-
-def library_ids(texts: list[str], path: str) -> list[bytes]:
-    """Each text's ids (little-endian unsigned 32-bit) as the library gives them.
-
-    The library's model encodes each pre-token on its own, so a pre-token's ids are kept and
-    reused; a text that holds one of the vocabulary's added tokens goes to the library whole.
+    return found, tuple(t.content for t in found.get_added_tokens_decoder().values()), _Pieces(found), splitter(PIECES)
+
+
+def _words_ids(words: pa.Array, lacking: pa.Array, pieces: _Pieces, split) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of distinct words one after the other, and each word's count; none for lacking ones."""
+    first, after = pc.starts_with(words, _FIRST), pc.starts_with(words, "\n")
+    bare = pc.if_else(first, pc.utf8_slice_codeunits(words, 1), pc.if_else(after, words, pc.binary_join_element_wise("", words, " ")))
+    for mark, text in ((_FIRST, ""), (_LINE, "\n"), (_BLANK, " ")):
+        at = pc.equal(words, mark)
+        lacking = pc.or_(lacking, at) if not text else lacking
+        bare = pc.if_else(at, text, bare)
+    marks = pc.or_(pc.equal(bare, "\n"), pc.equal(bare, " "))
+    plain = pc.if_else(pc.or_(lacking, marks), "x", bare)  # no piece of white space beside a gap
+    cut = split(_GAP + pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(plain)], pa.int32()), plain), _GAP)[0].as_py())
+    ids = [*map(pieces.__getitem__, cut)]
+    gaps = np.flatnonzero(np.fromiter(map(len, ids), np.int64, len(ids)) == 0)
+    for k in np.flatnonzero(pc.or_(lacking, marks).to_numpy(zero_copy_only=False)):
+        ids[gaps[k] + 1] = b"" if lacking[int(k)].as_py() else pieces[bare[int(k)].as_py()]
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    return np.frombuffer(b"".join(ids), "<u4"), np.add.reduceat(sizes, gaps)
+
+
+def library_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts, as the library gives them, one after the other, and each text's count.
+
+    Texts are cut where the pre-tokenizer cuts too: at single blanks and newlines, and inside pairs of
+    them. Each distinct word is cut into pieces once, each piece is encoded by the library's model
+    and kept, and the words' ids are put together by their numbers. A text with longer runs of white
+    space is cut into pieces as a whole; one that holds one of the vocabulary's added tokens, or a
+    character that serves as a mark or gap here, goes to the library.
     """
-    library, added, pieces, visible = _library(path)
-    kept, old = _kept.setdefault(path, ({}, {}))
-    tokenize = library.model.tokenize
-    out = []
-    for text in texts:
-        if any(a in text for a in added):
-            out.append(array("I", library.encode(text, add_special_tokens=False).ids).tobytes())
-            continue
-        split = pieces.findall(text)
-        found = list(map(kept.get, split))
-        if None in found:
-            if len(kept) > KEPT_PIECES // 2:
-                kept, old = _kept[path] = ({}, kept)
-                found = [None] * len(split)
-            at = -1
-            for _ in range(found.count(None)):
-                at = found.index(None, at + 1)
-                piece = split[at]
-                ids = kept.get(piece) or old.get(piece)
-                if ids is None:
-                    ids = array("I", [t.id for t in tokenize(piece.encode().decode("latin-1").translate(visible))]).tobytes()
-                kept[piece] = found[at] = ids
-        out.append(b"".join(found))
-    return out
+    library, added, pieces, split = _library(path)
+    if not len(texts):
+        return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+    texts = pc.fill_null(texts, "")
+    odd = pc.match_substring(texts, _FIRST)
+    for x in (_LINE, _BLANK, *added):
+        odd = pc.or_(odd, pc.match_substring(texts, x))
+    marked = pc.if_else(odd, "", texts)
+    for x, mark in (("\n", " \n"), ("\n \n", f"{_LINE} \n"), ("  ", f" {_BLANK} ")):
+        marked = pc.replace_substring(marked, x, mark)
+    cut = pc.split_pattern(pc.binary_join_element_wise(_FIRST, marked, ""), " ")
+    found = cut.flatten().dictionary_encode()
+    at, ends = found.indices.to_numpy(), cut.offsets.to_numpy()
+    lacking = pc.match_substring_regex(found.dictionary, _NO_WORD)
+    flat, sizes = _words_ids(found.dictionary, lacking, pieces, split)
+    each = sizes[at]
+    out = flat[np.arange(each.sum()) + np.repeat((np.cumsum(sizes) - sizes)[at] - (np.cumsum(each) - each), each)]
+    counts = np.add.reduceat(each, ends[:-1])
+    odd = odd.to_numpy(zero_copy_only=False)
+    runs = np.logical_or.reduceat(lacking.to_numpy(zero_copy_only=False)[at], ends[:-1])
+    if (odd | runs).any():
+        parts = np.split(out, np.cumsum(counts)[:-1])
+        for k in np.flatnonzero(odd | runs):
+            text = texts[int(k)].as_py()
+            if odd[k] or _GAP in text:
+                parts[k] = np.array(library.encode(text, add_special_tokens=False).ids, "<u4")
+            else:
+                parts[k] = np.frombuffer(b"".join(map(pieces.__getitem__, split(text))), "<u4")
+            counts[k] = len(parts[k])
+        out = np.concatenate(parts)
+    return out, counts
 
 
 # --- Spark jobs ---------------------------------------------------------------------------
@@ -201,6 +259,39 @@ def _save(folder: str, name: str, data: bytes) -> None:
     system.move(hidden, f"{path}/{name}")
 
 
+def _rank(value: Column, bounds: list[int]) -> Column:
+    """The number of sorted bounds below a value: first among every k-th bound, then among the k that
+    follow, with k about the root of their number."""
+    if not bounds:
+        return F.lit(0)
+
+    def constant(numbers: list[int]) -> Column:  # one literal, however long
+        return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<bigint>")
+
+    k = math.isqrt(len(bounds)) + 1
+    rows = [bounds[i : i + k] for i in range(0, len(bounds), k)]
+    inner = F.split(F.lit(";".join(",".join(map(str, row)) for row in rows)), ";")
+    below = lambda array: F.size(F.filter(array, lambda b: b < value))
+    row = F.greatest(below(constant([r[0] for r in rows])), F.lit(1))
+    return (row - 1) * k + below(F.split(F.element_at(inner, row), ",").cast("array<bigint>"))
+
+
+ROWS_AT_ONCE = 4_000
+
+
+def _some_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together to ``ROWS_AT_ONCE`` rows or 16 MB, whichever comes first."""
+    held, rows, size = [], 0, 0
+    for batch in batches:
+        held.append(batch)
+        rows, size = rows + batch.num_rows, size + batch.nbytes
+        if rows >= ROWS_AT_ONCE or size >= 16_000_000:
+            yield pa.concat_batches(held)
+            held, rows, size = [], 0, 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def write_token_files(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", end_id: int = 0, ids_per_file: int = 4_000_000, docs_per_task: int = 8_000) -> tuple[str, DataFrame]:
     """Encode the texts, end each document with ``end_id``, and write token-id files in
     ascending order of ``key`` (nulls first). Gives the folder and the list of files
@@ -208,17 +299,17 @@ def write_token_files(docs: DataFrame, tokenizer: str, text: str = "text", key:
 
     Ranges of the key go to tasks (its quantiles come from the key column alone); each task
     sorts its range and streams it into files of about ``ids_per_file`` ids; a longer document
-    has a longer file. Null texts are empty. Rows that share a key stay together, in any order.
+    has a longer file. Null texts are empty. Rows that share a key stay together, in any order. There are
+    100,000 ranges at most; a task holds one file's ids, however long its range is.
     """
     spark = docs.sparkSession
     small_batches(spark)
     folder = new_folder(spark, "token-files")
     n = docs.count()
-    tasks = max(1, min(20_000, -(-n // docs_per_task)))
+    tasks = max(1, min(100_000, -(-n // docs_per_task)))
     bounds = docs.select(F.percentile_approx(key, [i / tasks for i in range(1, tasks)], 10 * tasks)).first()[0] if tasks > 1 else []
     bounds = sorted(set(bounds or []))
-    part = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b < F.col(key))) if bounds else F.lit(0)
-    part = F.when(F.col(key).isNull(), 0).otherwise(part).cast("int")
+    part = F.when(F.col(key).isNull(), 0).otherwise(_rank(F.col(key).cast("long"), bounds)).cast("int")
     dealt = docs.select(part.alias("part"), F.col(key).cast("long").alias("key"), F.col(text).alias("text")).repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,25 +319,26 @@ def write_token_files(docs: DataFrame, tokenizer: str, text: str = "text", key:
         def flush():
             nonlocal seq, keys, counts, held, total
             name = f"part-{now:06d}-{seq:06d}.pfor"
-            _save(folder, name, file_bytes(keys, counts, np.frombuffer(b"".join(held), "<u4")))
+            _save(folder, name, file_bytes(keys, counts, np.concatenate(held)))
             out = pa.RecordBatch.from_pylist([{"file": name, "part": now, "seq": seq, "n_docs": len(keys), "n_ids": total}], listed)
             seq, keys, counts, held, total = seq + 1, [], [], [], 0
             return out
 
-        stop = np.array([end_id], "<u4").tobytes()
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                ids = library_ids([t or "" for t in batch.column(2).to_pylist()], tokenizer)
-                for p, k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ids, strict=True):
+        for whole in _some_rows(batches):
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(at, ROWS_AT_ONCE)
+                ids, sizes = library_ids(batch.column(2), tokenizer)
+                ids = np.insert(ids, np.cumsum(sizes), end_id)
+                ends = np.cumsum(sizes + 1)
+                for p, k, n, end in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), (sizes + 1).tolist(), ends.tolist(), strict=True):
                     if keys and (p != now or total >= ids_per_file):
                         yield flush()
                     if p != now:
                         now, seq = p, 0
                     keys.append(k)
-                    counts.append(len(x) // 4 + 1)
-                    held += [x, stop]
-                    total += counts[-1]
+                    counts.append(n)
+                    held.append(ids[end - n : end])
+                    total += n
         if keys:
             yield flush()
 
