@@ -15,11 +15,11 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailforge.llm.common import small_batches
+from trailforge.llm.pretokens import splitter
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -169,11 +169,6 @@ def _encoder(path: str) -> PrefixBPE:
     return PrefixBPE(load_ranks(path))
 
 
-@cache
-def _pieces(pattern: str):
-    return regex.compile(pattern)
-
-
 #: Bytes of encoded pieces that a worker keeps between rows, by piece; emptied at this many.
 KEPT_PIECES = 400_000
 _kept: dict[tuple[str, str], dict[str, bytes]] = {}
@@ -186,7 +181,7 @@ def encode_texts(texts: list[str], path: str, pattern: str, most: int = KEPT_PIE
     prefix that it shares with the one before, and appends the rest.
     """
     kept, bpe = _kept.setdefault((path, pattern), {}), _encoder(path)
-    split = [_pieces(pattern).findall(t) for t in texts]
+    split = [*map(splitter(pattern), texts)]
     new = set().union(*split).difference(kept)
     if len(kept) + len(new) > most:
         kept.clear()
