@@ -1,6 +1,7 @@
 """The operators against plain versions of the same rules, on whole small tables."""
 
 import re
+import zlib
 from collections import Counter
 
 import corpus_pipeline
@@ -13,7 +14,7 @@ import tiktoken
 import xxhash
 from tokenizers import Tokenizer
 
-from trailforge.llm import bpe, near_text, near_vectors, queries, quality, token_files, toxicity
+from trailforge.llm import bpe, near_text, near_vectors, queries, quality, sharding, token_files, toxicity
 from trailforge.llm.graph import components
 
 SF = "/root/testdata/sf0.001"
@@ -147,8 +148,6 @@ def test_token_files_equal_the_library(spark, texts):
     library, at = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), 0
     rows = sorted(queries.op8_token_files(spark, SF).collect())
     assert [r.doc_id for r in rows] == sorted(texts)
-    import zlib
-
     for r in rows:
         ids = np.array([*library.encode(texts[r.doc_id], add_special_tokens=False).ids, 0], "<u4")
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
@@ -321,6 +320,59 @@ def test_sharding_law_and_whole_groups(spark, texts):
     assert len(cut) <= 2
 
 
+@pytest.mark.parametrize(("rows", "copies"), [(4000, 2), (4000, 10), (4003, 7)])
+def test_sharding_of_tables_full_of_copies(spark, rows, copies):
+    """Full shards exchange rows: few groups stay cut, against what a plain version leaves."""
+    texts = [f"text {k // copies}" for k in range(rows)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    out = sharding.shard_documents(table).collect()
+    per, shards = Counter(r.shard for r in out), {}
+    for r in out:
+        shards.setdefault(texts[r.doc_id], set()).add(r.shard)
+    assert len(out) == rows and max(per.values()) - min(per.values()) <= 1
+    assert all(sorted(r.slot for r in out if r.shard == s) == list(range(per[s])) for s in range(16))
+    cut = sum(len(x) > 1 for x in shards.values())
+    assert cut < 0.05 * len(shards) and cut <= plain_cut(texts) + 0.03 * len(shards)
+
+
+def plain_cut(texts):
+    """Groups that plain label propagation under quotas leaves cut: one row after the other moves to the shard with
+    most of its group that has room, or changes places with a row that gains by it."""
+    rng, groups = np.random.default_rng(0), {}
+    shard, room = rng.integers(0, 16, len(texts)), np.full(16, -(-len(texts) // 16))
+    for k, t in enumerate(texts):
+        groups.setdefault(t, []).append(k)
+    room -= np.bincount(shard, minlength=16)
+    for _ in range(10):
+        wants = {}
+        for t, rows in groups.items():
+            here = np.bincount(shard[rows], minlength=16)
+            to = int(np.argmax(here + np.random.default_rng(zlib.crc32(t.encode())).random(16) * 0.9 * (here > 0)))
+            for k in rows:
+                if shard[k] != to:
+                    if room[to] > 0:
+                        room[shard[k]] += 1
+                        room[to] -= 1
+                        shard[k] = to
+                    elif wants.get((to, shard[k])):
+                        other = wants[to, shard[k]].pop()
+                        shard[other], shard[k] = shard[k], to
+                    else:
+                        wants.setdefault((shard[k], to), []).append(k)
+    return sum(len(set(shard[rows])) > 1 for rows in groups.values())
+
+
+def test_exchanges_keep_to_the_room():
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        wanted = {(a, b): int(rng.integers(1, 200)) for a in range(5) for b in range(5) if a != b and rng.random() < 0.7}
+        room = rng.integers(-5, 40, 5).tolist()
+        share = sharding._let_in(wanted, room)
+        gain = [sum(n * share[b] for (_, b), n in wanted.items() if b == s) - sum(n * share[b] for (a, b), n in wanted.items() if a == s) for s in range(5)]
+        assert all(0 <= x <= 1 for x in share) and all(g <= max(0, r) + 25 for g, r in zip(gain, room, strict=True))
+    assert sharding._let_in({(0, 1): 7, (1, 0): 7}, [0, 0]) == [1, 1]
+
+
 def test_pipeline_stages_against_plain_versions(spark):
     """Each stage's rows against the same rule worked out from what the stage was given."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")

@@ -75,16 +75,17 @@ def whole_text(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
-def gapless(df: DataFrame, groups: Sequence[str], order: str, name: str, rows_per_bucket: int = 100_000) -> DataFrame:
-    """Number the rows of each group from 0 without gaps, in an order fixed by the rows alone.
+def gapless(df: DataFrame, groups: Sequence[str], order: Sequence[str], name: str, rows_per_bucket: int = 100_000) -> DataFrame:
+    """Number the rows of each group from 0 without gaps, in an order fixed by the rows alone; rows
+    that agree in the first column of ``order`` follow one another.
 
-    No task sees a whole group: rows go to hash buckets of about ``rows_per_bucket`` rows,
-    each bucket is numbered on its own, and the buckets' counts, summed up bucket by bucket,
-    give where each one starts. ``df`` should be cheap to read twice (a written table).
+    No task sees a whole group: rows go to buckets of about ``rows_per_bucket`` rows by the hash of
+    that first column, each bucket is numbered on its own, and the buckets' counts, summed up
+    bucket by bucket, give where each one starts. ``df`` should be cheap to read twice (a written table).
     """
     n = df.count()
     buckets = max(1, -(-n // rows_per_bucket))
-    spread = df.withColumn("_b", F.pmod(F.xxhash64(F.col(order)), F.lit(buckets)).cast("int"))
+    spread = df.withColumn("_b", F.pmod(F.xxhash64(F.col(order[0])), F.lit(buckets)).cast("int"))
     keys = [*groups, "_b"]
     counts = spread.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -93,7 +94,7 @@ def gapless(df: DataFrame, groups: Sequence[str], order: str, name: str, rows_pe
     same = F.lit(True)
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    inside = Window.partitionBy(*keys).orderBy(F.col(order))
+    inside = Window.partitionBy(*keys).orderBy(*order)
     numbered = spread.withColumn("_r", F.row_number().over(inside) - 1)
     return numbered.join(starts, same).withColumn(name, (F.col("_start") + F.col("_r")).cast("long")).drop("_b", "_r", "_start", *[f"_k{i}" for i in range(len(keys))])
 

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from trailforge.llm.common import gapless, whole_text, written
 
+PARTS = 64  # cells of one group and shard
+
 
 def _per_shard(df: DataFrame, shard: str, amount: str, shards: int) -> list[int]:
     """Sums by shard; the driver gets one number for each shard."""
-    found = dict(df.where(F.col(shard).isNotNull()).groupBy(shard).agg(F.sum(amount)).collect())
+    found = dict(df.groupBy(shard).agg(F.sum(amount)).collect())
     return [int(found.get(s) or 0) for s in range(shards)]
 
 
@@ -21,46 +23,79 @@ def _pick(values: list, index) -> F.Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), index.cast("int") + 1)
 
 
-def propagate(cells: DataFrame, quotas: list[int], rounds: int = 8) -> DataFrame:
+def _let_in(wanted: dict[tuple[int, int], int], room: list[int]) -> list[float]:
+    """The share of the rows that want each shard, such that no shard ends above its room.
+
+    ``wanted`` counts rows by (from, to). What leaves a shard makes room there, so shards that are
+    full exchange rows; a shard whose inflow is still too large cuts it, by which others keep
+    rows they would have given away and cut in turn, until all fit.
+    """
+    flow = {pair: float(n) for pair, n in wanted.items()}
+    shards = range(len(room))
+    tight = True
+    while tight:
+        tight = False
+        for to in shards:
+            inflow = sum(n for (_, t), n in flow.items() if t == to)
+            most = max(0.0, room[to] + sum(n for (s, _), n in flow.items() if s == to))
+            if inflow > most + 0.5:
+                tight = True
+                for pair in flow:
+                    if pair[1] == to:
+                        flow[pair] *= most / inflow
+    total = [sum(n for (_, t), n in wanted.items() if t == to) for to in shards]
+    return [sum(n for (_, t), n in flow.items() if t == to) / total[to] if total[to] else 1.0 for to in shards]
+
+
+def propagate(cells: DataFrame, quotas: list[int], rounds: int = 20, slack: float = 0.1, whole: int = 500) -> DataFrame:
     """Move cells (group, cell, n, shard) to the shard where most of their group is.
 
-    A cell is the rows of one group that start in one shard. In each round every group's
-    histogram over the shards is summed up, each cell asks for the open shard with more of its
-    group than its own (ties by a hash, so that two cells never swap), and a shard lets in what
-    its quota leaves: all, or a share drawn by hash (whole groups; cells of large groups). Cells
-    and histograms are joined by group; the driver sees two numbers for each shard and round.
+    A cell is some rows of one group that start in one shard. In each round every group's
+    histogram over the shards is summed up, and cells ask for the open shard that holds more of
+    their group than their own (ties by a hash, so that two cells never swap): every move
+    leaves fewer links cut. Rows pass between full shards in both directions as far as every shard
+    stays within its quota and ``slack`` of it (``_let_in``, from one number for each pair of
+    shards); who passes is drawn by hash, the cells of a group in a shard together, one by one where
+    they have more than ``whole`` rows. Shards that had to refuse rows are closed in the next round,
+    so that refused groups gather elsewhere. It ends when no move is wanted or possible, or after
+    ``rounds``.
     """
     shards = len(quotas)
-    total = int(cells.agg(F.sum("n")).first()[0] or 0)
+    closed = [False] * shards
     for turn in range(rounds):
-        free = [q - x for q, x in zip(quotas, _per_shard(cells, "shard", "n", shards), strict=True)]
-        open_ = [f > 0.002 * q for f, q in zip(free, quotas, strict=True)]
-        tie = F.xxhash64("group", "shard")
-        here = cells.groupBy("group", "shard").agg(F.sum("n").alias("here")).withColumn("weight", F.struct("here", tie.alias("tie")))
-        best = here.where(_pick(open_, F.col("shard"))).groupBy("group").agg(F.max(F.struct("weight", "shard")).alias("best"))
-        asked = cells.join(here, ["group", "shard"]).join(best, "group", "left")
-        to = F.when(F.col("best.weight") > F.col("weight"), F.col("best.shard"))
-        asked = written(asked.select("group", "cell", "n", "shard", "here", to.alias("to")), "asked")
-        wanted = _per_shard(asked, "to", "n", shards)
-        if sum(wanted) <= total // 1000:
-            break
-        share = [min(1.0, 0.98 * max(0, f) / w) if w else 0.0 for f, w in zip(free, wanted, strict=True)]
-        whole = F.when(F.col("here") > 200, F.col("cell")).otherwise(-1)
-        drawn = F.pmod(F.xxhash64("group", whole, F.lit(turn)), F.lit(1_000_000)) / 1_000_000.0
-        moves = F.col("to").isNotNull() & (drawn < _pick(share, F.coalesce("to", F.lit(0))))
-        cells = written(asked.select("group", "cell", "n", F.when(moves, F.col("to")).otherwise(F.col("shard")).alias("shard")), "cells")
+        here = cells.groupBy("group", "shard").agg(F.sum("n").alias("here")).withColumn("weight", F.struct("here", F.xxhash64("group", "shard").alias("tie")))
+        best = here.where(~_pick(closed, F.col("shard"))).groupBy("group").agg(F.max(F.struct("weight", "shard")).alias("best"))
+        asked = here.join(best, "group", "left").select("group", "shard", "here", F.when(F.col("best.weight") > F.col("weight"), F.col("best.shard")).alias("to"))
+        asked = written(asked, "asked")
+        wanted = {(r["shard"], r["to"]): int(r["n"]) for r in asked.where("to is not null").groupBy("shard", "to").agg(F.sum("here").alias("n")).collect()}
+        now = _per_shard(asked, "shard", "here", shards)
+        share = _let_in(wanted, [int(q * (1 + slack)) - n for q, n in zip(quotas, now, strict=True)])
+        if sum(n * share[to] for (_, to), n in wanted.items()) < 1:
+            if not any(closed):
+                break
+            closed = [False] * shards
+            continue
+        moved = cells.join(asked.where("to is not null").select("group", "shard", "here", "to"), ["group", "shard"], "left")
+        alone = F.when(F.col("here") > whole, F.col("cell")).otherwise(-1)
+        drawn = F.pmod(F.xxhash64("group", alone, F.lit(turn)), F.lit(1_000_000)) / 1_000_000.0
+        goes = F.col("to").isNotNull() & (drawn < _pick(share, F.coalesce("to", F.lit(0))))
+        cells = written(moved.select("group", "cell", "n", F.when(goes, F.col("to")).otherwise(F.col("shard")).alias("shard")), "cells")
+        closed = [x < 0.999 for x in share]
     return cells
 
 
-def shard_documents(docs: DataFrame, shards: int = 16, text: str = "text", key: str = "doc_id", rounds: int = 8, rows_per_cell: int = 500) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 16, text: str = "text", key: str = "doc_id", rounds: int = 20) -> DataFrame:
     """(key, size, text_crc32, law, shard, slot, grown_shard), one row for each document.
 
     Documents with equal texts are linked. The law is ``rows``: the shards' counts are at most
     one apart. Linked documents start in a shard by hash and move by label propagation under the
-    quotas; documents with no link, and what is above a quota, then fill what the quotas leave,
-    so a group is cut only where it is too large or its shard is full. Slots are gapless from 0
-    in each shard. A null text is empty; repeated rows are documents of their own. An empty table
-    gives an empty result. ``grown_shard`` belongs to another law and is null.
+    quotas. Then each shard keeps its quota of rows, group by group, so that what is above it are
+    whole groups but for one; these and the documents with no link fill what the quotas leave, again
+    group by group. So few groups are cut: those above a quota, and those at a border of two shards.
+
+    Slots are gapless from 0 in each shard. A null text is empty; null keys and repeated rows
+    are documents of their own. An empty table gives an empty result. ``grown_shard`` belongs to another law and is null.
+    A group of any size is dealt in ``PARTS`` cells a shard, so no task holds it whole.
     """
     body = whole_text(text)
     base = docs.select(
@@ -68,26 +103,28 @@ def shard_documents(docs: DataFrame, shards: int = 16, text: str = "text", key:
         F.col(key).alias("key"),
         (F.octet_length(body) + 1).cast("long").alias("size"),
         F.crc32(body.cast("binary")).alias("text_crc32"),
-        F.unhex(F.sha2(body.cast("binary"), 256)).alias("hash"),
+        F.unhex(F.sha2(body.cast("binary"), 256)).alias("group"),
     )
-    base = written(base, "shard-rows")
+    cell = F.pmod(F.xxhash64("row", F.lit(1)), F.lit(PARTS)) * shards + F.pmod(F.xxhash64("row"), F.lit(shards))
+    base = written(base.withColumn("cell", cell.cast("int")), "shard-rows")
     n = base.count()
     quotas = [n // shards + (s < n % shards) for s in range(shards)]
-    groups = base.groupBy("hash").agg(F.count(F.lit(1)).alias("copies"), F.min("row").alias("group")).where("copies > 1")
-    start = F.pmod(F.xxhash64("row"), F.lit(shards))
-    part = F.pmod(F.xxhash64("row", F.lit(1)), F.ceil(F.col("copies") / (shards * rows_per_cell)))
-    rows = base.join(groups, "hash", "left").withColumn("cell", (part * shards + start).cast("long")).drop("hash", "copies")
-    rows = written(rows, "shard-groups")
-    cells = rows.where("group is not null").groupBy("group", "cell").agg(F.count(F.lit(1)).alias("n"))
-    cells = propagate(written(cells.withColumn("shard", F.pmod("cell", F.lit(shards)).cast("int")), "cells"), quotas, rounds)
-    linked = rows.where("group is not null").join(cells.select("group", "cell", "shard"), ["group", "cell"])
-    linked = written(linked.select("row", "key", "size", "text_crc32", "group", "shard"), "linked")
-    placed = written(gapless(linked, ["shard"], "row", "slot").withColumn("fits", F.col("slot") < _pick(quotas, F.col("shard"))), "placed")
-    stay = placed.where("fits")
+    cells = written(base.groupBy("group", "cell").agg(F.count(F.lit(1)).alias("n")), "all-cells")
+    groups = cells.groupBy("group").agg(F.sum("n").alias("copies")).where("copies > 1")
+    # a group's rows are numbered one after the other; those of a large group cell by cell
+    run = F.when(F.col("copies") > 1000, F.xxhash64("group", "cell")).otherwise(F.xxhash64("group"))
+    linked = written(cells.join(groups, "group").select("group", "cell", "n", F.pmod("cell", F.lit(shards)).cast("int").alias("shard"), run.alias("run")), "cells")
+    placed = propagate(linked.drop("run"), quotas, rounds).select("group", "cell", F.col("shard").alias("to"))
+    placed = placed.join(linked.select("group", "cell", "run"), ["group", "cell"])
+    columns = ["row", "key", "size", "text_crc32", "run"]
+    rows = base.join(placed, ["group", "cell"], "left").withColumn("run", F.coalesce("run", F.xxhash64("row")))
+    rows = written(rows.select(*columns, F.col("to").alias("shard")), "shard-groups")
+    numbered = gapless(rows.where("shard is not null"), ["shard"], ["run", "row"], "slot")
+    numbered = written(numbered.withColumn("fits", F.col("slot") < _pick(quotas, F.col("shard"))), "placed")
+    stay = numbered.where("fits")
     filled = _per_shard(stay.withColumn("one", F.lit(1)), "shard", "one", shards)
-    columns = ["row", "key", "size", "text_crc32"]
-    rest = rows.where("group is null").select(*columns).unionByName(placed.where("not fits").select(*columns))
-    rest = gapless(written(rest, "unplaced"), [], "row", "at")
+    rest = rows.where("shard is null").select(*columns).unionByName(numbered.where("not fits").select(*columns))
+    rest = gapless(written(rest, "unplaced"), [], ["run", "row"], "at")
     ends, begins, so_far = [], [], 0
     for q, f in zip(quotas, filled, strict=True):
         begins.append(so_far)
@@ -95,5 +132,6 @@ def shard_documents(docs: DataFrame, shards: int = 16, text: str = "text", key:
         ends.append(so_far)
     shard = F.size(F.filter(F.array(*[F.lit(e).cast("long") for e in ends]), lambda e: e <= F.col("at"))).cast("int")
     rest = rest.withColumn("shard", shard).withColumn("slot", F.col("at") - _pick(begins, F.col("shard")) + _pick(filled, F.col("shard")))
-    out = stay.select(*columns, "shard", "slot").unionByName(rest.select(*columns, "shard", "slot"))
+    kept = ["key", "size", "text_crc32", "shard", "slot"]
+    out = stay.select(*kept).unionByName(rest.select(*kept))
     return out.select(F.col("key").alias(key), "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
