@@ -24,7 +24,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailforge.llm.common import new_folder, small_batches, written
+from trailforge.llm.common import give_back, new_folder, small_batches, written
 from trailforge.llm.pretokens import splitter
 
 MAGIC, BLOCK = b"TFPB0001", 4096
@@ -56,11 +56,18 @@ def _unpack(words: np.ndarray, width: int) -> np.ndarray:
     return out.T.reshape(len(words), -1)
 
 
-def encode_ids(ids: np.ndarray, percentile: float = 95.0) -> tuple[list[bytes], list[int]]:
-    """Blocks of the ids (unsigned, below 2**32), and each block's length in bytes."""
+def encode_ids(ids: np.ndarray, percentile: float = 95.0, at_once: int = 128) -> tuple[list[bytes], list[int]]:
+    """Blocks of the ids (unsigned, below 2**32), and each block's length in bytes; ``at_once`` blocks are worked on together."""
+    blocks, sizes = [], []
+    for at in range(0, len(ids), at_once * BLOCK):
+        some = _encode_blocks(ids[at : at + at_once * BLOCK], percentile)
+        blocks += some
+        sizes += map(len, some)
+    return blocks, sizes
+
+
+def _encode_blocks(ids: np.ndarray, percentile: float) -> list[bytes]:
     n = len(ids)
-    if not n:
-        return [], []
     count = -(-n // BLOCK)
     padded = np.empty(count * BLOCK, np.uint32)
     padded[:n] = ids
@@ -80,13 +87,12 @@ def encode_ids(ids: np.ndarray, percentile: float = 95.0) -> tuple[list[bytes],
         if w:
             for k, words in zip(some.tolist(), _pack(low[some], int(w)), strict=True):
                 packed[k] = words.tobytes()
-    out, sizes = [], []
+    out = []
     for k in range(count):
         where = np.flatnonzero(large[k])
         body = _BLOCK.pack(int(least[k]), int(width[k]), len(where)) + packed[k] + where.astype("<u2").tobytes() + rest[k, where].astype("<u4").tobytes()
         out.append(body)
-        sizes.append(len(body))
-    return out, sizes
+    return out
 
 
 def decode_ids(data: bytes, starts: np.ndarray, n: int) -> np.ndarray:
@@ -136,7 +142,7 @@ def read_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 #: and digits, the most frequent, are tried first here; every alternative begins with other characters, so no match changes.
 PIECES = r""" ?\p{L}+| ?\p{N}+|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Encoded pieces that a worker keeps, in two generations of half as many.
-KEPT_PIECES = 900_000
+KEPT_PIECES = 500_000
 #: Marks in a text cut at blanks: its first word has no blank before it; between two newlines, between two blanks.
 _FIRST, _LINE, _BLANK = "\0", "\1", "\2"
 _GAP = "\r"  # stands between words while they are cut into pieces; a word has none
@@ -276,16 +282,16 @@ def _rank(value: Column, bounds: list[int]) -> Column:
     return (row - 1) * k + below(F.split(F.element_at(inner, row), ",").cast("array<bigint>"))
 
 
-ROWS_AT_ONCE = 4_000
+ROWS_AT_ONCE = 2_000
 
 
 def _some_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches put together to ``ROWS_AT_ONCE`` rows or 16 MB, whichever comes first."""
+    """Batches put together to ``ROWS_AT_ONCE`` rows or 8 MB, whichever comes first."""
     held, rows, size = [], 0, 0
     for batch in batches:
         held.append(batch)
         rows, size = rows + batch.num_rows, size + batch.nbytes
-        if rows >= ROWS_AT_ONCE or size >= 16_000_000:
+        if rows >= ROWS_AT_ONCE or size >= 8_000_000:
             yield pa.concat_batches(held)
             held, rows, size = [], 0, 0
     if held:
@@ -341,6 +347,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, text: str = "text", key:
                     total += n
         if keys:
             yield flush()
+        give_back()
 
     files = written(dealt.mapInArrow(run, "file string, part int, seq int, n_docs bigint, n_ids bigint"), "token-file-list")
     return folder, files
