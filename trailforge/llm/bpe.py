@@ -18,7 +18,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailforge.llm.common import small_batches
 from trailforge.llm.pretokens import splitter
 
 
@@ -214,7 +213,6 @@ def encode_docs(docs: DataFrame, path: str, pattern: str, text: str = "text", de
     which every executor must have; a worker keeps the ids of up to
     ``kept_pieces`` pieces (about 250 bytes each) for its later tasks.
     """
-    small_batches(docs.sparkSession)
     new = names if decode else names[:2]
     keep = [c for c in docs.columns if c not in (text, *new)]
     kinds = {"n_tokens": "bigint", "ids": "binary", "decoded": "binary"}

@@ -92,24 +92,28 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     fraction at most, and these go up a reduction tree of ``fan_in``, to one for each source.
     Large rows are paired first, so that the fraction left at a root is that of a small row as a
     rule; it is rounded to the nearer side. Draws depend on the seed, source, group and sorted rows only: reruns agree. A source
-    without words has target 0 and is not taken. Null ids and sources are values of their own.
+    without words has target 0 and is not taken. Null ids and sources are values of their own; rows
+    that agree in id, source and size are drawn one by one.
     """
     size = F.regexp_count(whole_text(text), F.lit(f"[^{SPACES}]+")).cast("long")
     sizes = written(docs.select(F.col(key).alias("id"), F.col(source).cast("string").alias("source"), size.alias("size")), "sizes")
     targets = written(source_targets(sizes, weights, most), "targets")
     few = F.broadcast(targets) if targets.count() <= 50_000 else targets  # counted; a longer list is joined by shuffling
     few = few.withColumnRenamed("source", "_source")
-    rows = sizes.join(few, sizes.source.eqNullSafe(F.col("_source"))).drop("_source")
+    # rows that agree in all of these are told apart by a number, so that they spread over groups
+    alike = sizes.groupBy("id", "source", "size").agg(F.count(F.lit(1)).alias("alike"))
+    rows = alike.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("alike")))).drop("alike")
+    rows = rows.join(few, rows.source.eqNullSafe(F.col("_source"))).drop("_source")
     ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
     groups = F.ceil(F.col("n_rows") / rows_per_group)
-    rows = rows.withColumn("base", F.floor(ratio)).withColumn("part", ratio - F.floor(ratio)).withColumn("n_groups", groups).withColumn("group", F.pmod(F.xxhash64("id", "size"), groups))
-    columns = ["id", "source", "size", "source_size", "target", "base", "part", "n_groups", "group"]
+    rows = rows.withColumn("base", F.floor(ratio)).withColumn("part", ratio - F.floor(ratio)).withColumn("n_groups", groups).withColumn("group", F.pmod(F.xxhash64("id", "size", "nth"), groups))
+    columns = ["id", "source", "size", "nth", "source_size", "target", "base", "part", "n_groups", "group"]
     id_type = sizes.schema["id"].dataType.simpleString()
-    schema = f"id {id_type}, source string, size bigint, source_size bigint, target double, base bigint, part double, n_groups bigint, `group` bigint"
+    schema = f"id {id_type}, source string, size bigint, nth bigint, source_size bigint, target double, base bigint, part double, n_groups bigint, `group` bigint"
 
     def rounded(level: int):
         def run(group: pa.Table) -> pa.Table:
-            order = pc.sort_indices(group, [("size", "descending"), ("id", "ascending")])
+            order = pc.sort_indices(group, [("size", "descending"), ("id", "ascending"), ("nth", "ascending")])
             group = group.take(order)
             name = f"{seed}|{level}|{group.column('source')[0].as_py()}|{group.column('group')[0].as_py()}"
             rng = np.random.default_rng(zlib.crc32(name.encode()))
@@ -136,15 +140,15 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     return out.select(F.col("id").alias(key), "source", "size", "source_size", "target", (F.col("base") + F.col("part")).cast("long").alias("copies"))
 
 
-def mixed(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as it is taken. Rows that share a key take
-    the copies drawn for that key in turn."""
-    drawn = mix(docs, key=key, **options)
-    by_key = drawn.groupBy(F.col(key).alias("__tf_id")).agg(F.array_sort(F.collect_list("copies")).alias("__tf_copies"))
-    joined = docs.join(by_key, docs[key].eqNullSafe(F.col("__tf_id")))
-    if written(drawn.select(key), "keys").groupBy(key).count().where("count > 1").take(1):
-        joined = joined.withColumn("__tf_at", F.row_number().over(Window.partitionBy("__tf_id").orderBy(F.lit(0))))
-    else:
-        joined = joined.withColumn("__tf_at", F.lit(1))
-    copies = F.element_at("__tf_copies", F.col("__tf_at"))
-    return joined.where(copies > 0).withColumn("__tf_copy", F.explode(F.sequence(F.lit(1), copies))).select(*docs.columns)
+def mixed(docs: DataFrame, most_shared: int = 500_000, **options) -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as it is taken.
+
+    Rows are numbered and written first, and the draw is by row number, so each row gets its own
+    copies, whatever keys rows share. Up to ``most_shared`` draws, counted, are sent to every
+    task; more are joined by number. Options are those of ``mix`` but for the key.
+    """
+    numbered = written(docs.withColumn("__tf_row", F.monotonically_increasing_id()), "numbered")
+    drawn = mix(numbered, key="__tf_row", **options).where("copies > 0").select("__tf_row", F.col("copies").alias("__tf_copies"))
+    drawn = written(drawn, "drawn")
+    drawn = F.broadcast(drawn) if drawn.count() <= most_shared else drawn
+    return numbered.join(drawn, "__tf_row").withColumn("__tf_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "__tf_copies"))).select(*docs.columns)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailforge.llm.common import deal_pairs, give_back, small_batches, written
+from trailforge.llm.common import deal_pairs, give_back, written
 from trailforge.llm.graph import components
 
 BITS = 64
@@ -52,7 +52,6 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", size:
             fps = np.array([simhash(t.as_py(), size) for t in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["key", "fp"])
 
-    small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, fp bigint").select(F.col("key").alias(key), "fp")
 
@@ -294,7 +293,6 @@ def _sketches(docs: DataFrame, text: str, key: str, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), digests, nodes, counts, pa.array(fps), bands.cast(pa.list_(pa.int64()))], ["_key", "digest", "node", "n", "fp", "bands"])
         give_back()
 
-    small_batches(docs.sparkSession)
     return docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("text")).mapInArrow(run, "_key bigint, digest binary, node bigint, n int, fp bigint, bands array<bigint>")
 
 
@@ -362,9 +360,19 @@ def jaccard_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id",
     return sketches.join(classes, "digest").select(F.col("_key").alias(key), "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", near=near_duplicates, **options) -> DataFrame:
-    """The documents, one of each group that ``near`` finds: the row whose key names the group.
-    Rows without a key are kept; of rows that share a key one stays."""
-    ids = near(docs, key=key, **options).where(f"{key} = component_id").select(key).distinct()
-    kept = docs.where(F.col(key).isNotNull()).join(ids, key, "left_semi").dropDuplicates([key])
-    return kept.unionByName(docs.where(F.col(key).isNull())).select(*docs.columns)
+def keep_one(docs: DataFrame, key: str = "doc_id", near=near_duplicates, most_shared: int = 1_000_000, **options) -> DataFrame:
+    """The documents, one of each group that ``near`` finds: the one with the smallest key, nulls last.
+
+    Every row is a document of its own: rows are numbered and written first, and groups are made
+    of row numbers, so rows that share a key, or have none, go only where their texts are near
+    another's. Which of the rows with a group's smallest key stays follows from the row numbers.
+    Up to ``most_shared`` dropped rows, counted, are sent to every task; more are joined by number.
+    """
+    numbered = written(docs.withColumn("__tf_row", F.monotonically_increasing_id()), "numbered")
+    groups = near(numbered, key="__tf_row", **options).select("__tf_row", "component_id")
+    groups = groups.join(numbered.select("__tf_row", F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("__tf_row").alias("row")).alias("rank")), "__tf_row")
+    groups = written(groups, "groups")
+    first = groups.groupBy("component_id").agg(F.min("rank").alias("first"))
+    dropped = written(groups.join(first, "component_id").where("rank.row <> first.row").select("__tf_row"), "dropped")
+    dropped = F.broadcast(dropped) if dropped.count() <= most_shared else dropped
+    return numbered.join(dropped, "__tf_row", "left_anti").select(*docs.columns)

@@ -8,11 +8,16 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from trailforge.llm import bpe, line_dedup, mixing, near_text, near_vectors, quality, sharding, token_files, toxicity, url_filter
-from trailforge.llm.common import table
+from trailforge.llm.common import small_batches, table
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return table(spark, sf_dir, "documents")
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_text.near_duplicates(table(spark, sf_dir, "documents"))
+    found = near_text.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -21,7 +26,7 @@ def held_out() -> Column:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs, labels = documents(spark, sf_dir), table(spark, sf_dir, "labels")
     model = toxicity.character_model(docs)
     learned = toxicity.train(docs, labels.where(~held_out()), model)
     scored = toxicity.score(docs.select("doc_id", "text"), model, learned)
@@ -29,17 +34,17 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     found = bpe.encode_docs(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+    return sharding.shard_documents(documents(spark, sf_dir))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.judge(docs.select("doc_id", "text"), model).select("doc_id", *quality.COLUMNS, "base_failed", "kept")
 
@@ -53,12 +58,12 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mixing.mix(table(spark, sf_dir, "documents"))
+    found = mixing.mix(documents(spark, sf_dir))
     return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder, files = token_files.write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    folder, files = token_files.write_token_files(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
     return token_files.read_token_files(folder, files, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
@@ -67,7 +72,7 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.drop_frequent_lines(table(spark, sf_dir, "documents"))
+    found = line_dedup.drop_frequent_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 

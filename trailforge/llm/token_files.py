@@ -24,7 +24,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailforge.llm.common import give_back, new_folder, small_batches, written
+from trailforge.llm.common import give_back, new_folder, written
 from trailforge.llm.pretokens import splitter
 
 MAGIC, BLOCK = b"TFPB0001", 4096
@@ -309,7 +309,6 @@ def write_token_files(docs: DataFrame, tokenizer: str, text: str = "text", key:
     100,000 ranges at most; a task holds one file's ids, however long its range is.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     folder = new_folder(spark, "token-files")
     n = docs.count()
     tasks = max(1, min(100_000, -(-n // docs_per_task)))
