@@ -69,41 +69,54 @@ def list_decode(unit: np.ndarray, words: int, structures: int, slack: float) ->
     return np.concatenate(rows), np.concatenate(filters)
 
 
-def _unit(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    found = np.stack([np.frombuffer(v, "<f8") for v in vectors.to_pylist()])
-    return found / np.linalg.norm(found, axis=1, keepdims=True)
+def _unit(vectors: pa.Array | pa.ChunkedArray, kind: str) -> np.ndarray:
+    """Vectors of length 1 in double precision, from their bytes in the column's own precision."""
+    found = np.stack([np.frombuffer(v, kind) for v in vectors.to_pylist()]).astype("<f8")
+    with np.errstate(over="ignore"):
+        length = np.linalg.norm(found, axis=1, keepdims=True)
+    if not (extreme := (length > 1e-140) & (length < np.inf)).all():  # squares that leave the range of doubles
+        rows = np.flatnonzero(~extreme[:, 0])
+        found[rows] /= np.abs(found[rows]).max(axis=1, keepdims=True)
+        length = np.linalg.norm(found, axis=1, keepdims=True)
+    return found / length
 
 
-def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, label, embedding) -> the vector's bytes in double precision; null where it links with nothing."""
-    for batch in batches:
-        out = []
-        for label, v in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-            x = None
-            if label is not None and v.is_valid and len(v) and v.values.null_count == 0:
-                x = v.values.to_numpy(zero_copy_only=False).astype("<f8")
-                if not np.isfinite(x).all() or not 0 < np.linalg.norm(x) < np.inf:
-                    x = None
-            out.append(None if x is None else x.tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["id", "label", "vector"])
-
-
-def _decoded(words: int, structures: int, threshold: float, spread: float):
+def _vectors(kind: str):
+    """(id, label, embedding) -> the vector's bytes; null where it links with nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for label, v in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                x = None
+                if label is not None and v.is_valid and len(v) and v.values.null_count == 0:
+                    x = v.values.to_numpy(zero_copy_only=False).astype(kind) + 0.0  # one zero
+                    if not np.isfinite(x).all() or not x.any():
+                        x = None
+                out.append(None if x is None else x.astype(kind).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["id", "label", "vector"])
+
+    return run
+
+
+def _decoded(words: int, structures: int, threshold: float, spread: float, kind: str):
+    step = max(16, min(1024, (1 << 21) // words))  # so that a block of scores stays at 16 MB
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
                 sizes = np.array([len(v) for v in batch.column("vector").to_pylist()])
                 lists: list = [None] * len(sizes)
                 for size in np.unique(sizes):
                     some = np.flatnonzero(sizes == size)
-                    unit = _unit(batch.column("vector").take(pa.array(some)))
+                    unit = _unit(batch.column("vector").take(pa.array(some)), kind)
                     row, number = list_decode(unit, words, structures, spread * np.sqrt(2 - 2 * threshold) / np.sqrt(size / 8))
                     order = np.lexsort((number, row))
-                    row, number = row[order], number[order].astype(np.int32)
+                    row, number = row[order], number[order]
                     for k, part in zip(some, np.split(number, np.searchsorted(row, np.arange(1, len(some)))), strict=True):
                         lists[k] = part
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int32()))], [*batch.schema.names, "filters"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int64()))], [*batch.schema.names, "filters"])
 
     return run
 
@@ -111,21 +124,21 @@ def _decoded(words: int, structures: int, threshold: float, spread: float):
 def _first_common(a: list[np.ndarray], b: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """The least filter that both lists of each pair have."""
     wide = max(map(len, [*a, *b]))
-    left, right = np.full((len(a), wide), -1, np.int32), np.full((len(b), wide), -2, np.int32)
+    left, right = np.full((len(a), wide), -1, np.int64), np.full((len(b), wide), -2, np.int64)
     for k, x in enumerate(a):
         left[k, : len(x)] = x
     for k, x in enumerate(b):
         right[k, : len(x)] = x
-    out = np.empty(len(i), np.int32)
+    out = np.empty(len(i), np.int64)
     step = max(1, 4_000_000 // (wide * wide))
     for at in range(0, len(i), step):
         x, y = left[i[at : at + step]], right[j[at : at + step]]
         common = (x[:, :, None] == y[:, None, :]).any(axis=2)
-        out[at : at + step] = np.where(common, x, np.iinfo(np.int32).max).min(axis=1)
+        out[at : at + step] = np.where(common, x, np.iinfo(np.int64).max).min(axis=1)
     return out
 
 
-def _verified(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+def _verified(batches: Iterator[pa.RecordBatch], threshold: float, kind: str) -> Iterator[pa.RecordBatch]:
     """Rows (task, side, filter, rep, copies, vector, filters) sorted by task and side -> rows
     (u, v, links): a count of links of u, or a link u, v of a set that spans all found ones.
 
@@ -138,7 +151,7 @@ def _verified(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[p
             return None
         side, rep, copies = (group.column(c).to_numpy() for c in ("side", "rep", "copies"))
         number = group.column("filter")[0].as_py()
-        unit, lists = _unit(group.column("vector")), [np.array(x, np.int32) for x in group.column("filters").to_pylist()]
+        unit, lists = _unit(group.column("vector"), kind), [np.array(x, np.int64) for x in group.column("filters").to_pylist()]
         two = side[0] != side[-1]
         a, b = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if two else (np.arange(len(rep)),) * 2
         close = unit[a] @ unit[b].T >= threshold
@@ -171,7 +184,7 @@ def _verified(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[p
         yield found
 
 
-def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.98, structures: int = 3, spread: float = 1.5, words: int | None = None, chunk: int = 2048) -> DataFrame:
+def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.98, structures: int = 2, spread: float = 0.3, words: int | None = None, chunk: int = 2048) -> DataFrame:
     """(key, n_links, component_id, kept): vectors of equal labels with cosine of at least
     ``threshold``, in double precision.
 
@@ -179,29 +192,31 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     class is decoded to the filters whose caps it falls into; classes meet under a filter of
     their label and are compared there; every link returned is checked, and recall is that of
     the filters (tests hold it to at least 0.99). ``words`` follows the number of classes, so
-    that the classes under a filter stay few. A large filter is compared part by part.
+    that the classes under a filter stay few; a vector falls into about 4 filters with 8 words and 8
+    with 512, at any size of table. A large filter is compared part by part.
 
     Null, empty, zero and non-finite vectors, vectors with a null component, and rows with a null
     label link with nothing: n_links 0, their own component. Vectors of different lengths never
-    link. A null key is no node; its row counts as a copy and gets the component of its class.
+    link; components of any finite size count. A null key is no node; its row counts as a copy and gets the component of its class.
     Repeated rows are copies.
     """
     spark = vectors.sparkSession
     key_type, label_type = (vectors.schema[c].dataType.simpleString() for c in (key, label))
-    rows = vectors.select(F.col(key).alias("id"), F.col(label).alias("label"), F.col(vector).alias("vector")).mapInArrow(_vectors, f"id {key_type}, label {label_type}, vector binary")
+    kind = "<f4" if vectors.schema[vector].dataType.elementType.simpleString() == "float" else "<f8"
+    rows = vectors.select(F.col(key).alias("id"), F.col(label).alias("label"), F.col(vector).alias("vector")).mapInArrow(_vectors(kind), f"id {key_type}, label {label_type}, vector binary")
     rows = written(rows.withColumn("same", F.sha2("vector", 256)), "vectors")
     classes = rows.where("same is not null").groupBy("label", "same").agg(F.min("id").cast("long").alias("rep"), F.count(F.lit(1)).alias("copies"), F.min("vector").alias("vector"))
     classes = written(classes, "vector-classes")
     if words is None:
         most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 1
-        words = int(min(512, max(8, 2 ** np.ceil(np.log2(np.sqrt(most) + 1)))))
+        words = int(max(8, 2 ** np.ceil(np.log2(np.sqrt(most) + 1))))
     live = classes.where("rep is not null").select("label", "rep", "copies", "vector")
-    decoded = live.mapInArrow(_decoded(words, structures, threshold, spread), f"label {label_type}, rep bigint, copies bigint, vector binary, filters array<int>")
+    decoded = live.mapInArrow(_decoded(words, structures, threshold, spread, kind), f"label {label_type}, rep bigint, copies bigint, vector binary, filters array<bigint>")
     decoded = written(decoded, "filter-lists")
     under = decoded.withColumn("filter", F.explode("filters")).withColumn("bucket", F.xxhash64("label", "filter", F.length("vector")))
     under = deal_pairs(under, "bucket", "rep", chunk).select("task", "side", "filter", "rep", "copies", "vector", "filters")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = under.repartition(n, "task").sortWithinPartitions("task", "side").mapInArrow(lambda b: _verified(b, threshold), "u bigint, v bigint, links bigint")
+    found = under.repartition(n, "task").sortWithinPartitions("task", "side").mapInArrow(lambda b: _verified(b, threshold, kind), "u bigint, v bigint, links bigint")
     found = written(found, "vector-links")
     counts = found.where("v is null").groupBy("u").agg(F.sum("links").alias("links"))
     named = components(found.where("v is not null").select("u", "v"))
