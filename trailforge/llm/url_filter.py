@@ -76,13 +76,13 @@ def _probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def stored(probes: DataFrame, rules: DataFrame, per_part: int = 200_000) -> DataFrame:
     """The distinct strings of ``probes`` (string) that are among ``rules`` (string).
 
-    Both are dealt by digest over parts of about ``per_part`` rules; a task sorts its part's
-    digests into a memory-mapped array and streams the part's distinct probes past it. No task
-    holds more rules than its parts, and a frequent probe is one row.
+    Both are dealt by digest over parts of about ``per_part`` rules or probes; a task sorts its part's
+    digests into a memory-mapped array in its own temporary folder, gone with the part, and streams the part's
+    distinct probes past it. No task holds more rules than its part's, and a frequent probe is one row.
     """
     digest = F.xxhash64("string").alias("digest")
-    rules, probes = rules.select("string", digest).distinct(), probes.select("string", digest).distinct()
-    parts = max(1, -(-rules.count() // per_part))
+    rules, probes = rules.select("string", digest).distinct(), written(probes.select("string", digest).distinct(), "probes")
+    parts = max(1, -(-max(rules.count(), probes.count()) // per_part))
     part = F.pmod(F.shiftright("digest", 7), F.lit(parts)).cast("int")
     both = rules.withColumn("kind", F.lit(0)).unionByName(probes.withColumn("kind", F.lit(1))).withColumn("part", part).select("part", "kind", "digest", "string")
     return both.repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(_probed, "string string")
@@ -111,6 +111,8 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", key: str = "page
     parents = parts.where("host <> ''").select("host").distinct().select("host", F.explode(F.array_distinct(up)).alias("string"))
     known = stored(parents, rules.select(F.col("rule_host").alias("string")))
     named = parents.join(known, "string").join(hosts, F.col("string") == F.col("rule_host")).select("host", "rule_host", "lengths")
+    named = written(named, "named-hosts")
+    named = F.broadcast(named) if named.count() <= 50_000 else named  # counted; so a frequent host is not gathered
     cuts = parts.join(named, "host").select("row", "rule_host", "path", F.explode("lengths").alias("n")).where(F.length("path") >= F.col("n"))
     cuts = written(cuts.select("row", "rule_host", F.substring("path", F.lit(1), F.col("n")).alias("rule_path")), "url-cuts")
     text = F.concat_ws("\n", "rule_host", "rule_path")
