@@ -1,5 +1,6 @@
 """The operators against plain versions of the same rules, on whole small tables."""
 
+import inspect
 import itertools
 import re
 import time
@@ -382,6 +383,19 @@ def test_vectors_equal_brute_force(spark, chunk):
     assert np.mean([r.component_id == want[r.vec_id][1] for r in got]) > 0.98
 
 
+@pytest.mark.parametrize(("dim", "words"), [(16, 8), (64, 64), (64, 512), (384, 512), (64, 2048)])
+def test_recall_of_filters_at_any_size(dim, words):
+    """Pairs just above the threshold share a filter, and a vector falls into few, whatever the code's size."""
+    rng = np.random.default_rng(12)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    a, b = unit(rng.standard_normal((1000, dim))), rng.standard_normal((1000, dim))
+    b = 0.9802 * a + np.sqrt(1 - 0.9802**2) * unit(b - (a * b).sum(axis=1, keepdims=True) * a)
+    defaults = inspect.signature(near_vectors.near_duplicates).parameters
+    slack = defaults["spread"].default * np.sqrt(2 - 2 * 0.98) / np.sqrt(dim / 8)
+    one, other = (set(zip(*(x.tolist() for x in near_vectors.list_decode(v, words, defaults["structures"].default, slack)), strict=True)) for v in (a, b))
+    assert len({row for row, _ in one & other}) >= 990 and len(one) < 30 * 1000
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_equal_sql(spark, name):
     con = duckdb.connect()

@@ -140,6 +140,8 @@ def test_urls(spark):
     assert (None, "a.example.net", "example.net/en/", "allow") in rows
     assert (4, "example.net", None, "allow") in rows and (5, "example.net", "net/", "block") in rows
     assert (5, "b.org", "org/fr/", "allow") in rows and (1, "", None, "allow") in rows and (7, ".net", "net/", "block") in rows and (8, "net", "net/", "block") in rows
+    extra = pages.select("*", F.lit("p").alias("path"), F.lit("r").alias("rule"), F.lit("v").alias("verdict"), F.lit(1).alias("row"), F.lit(2).alias("key"))
+    assert sorted([(r.page_id, r.host, r.rule, r.verdict) for r in url_filter.judge(extra, rules).collect()], key=str) == sorted(rows, key=str)
     assert url_filter.judge(pages.limit(0), rules).count() == 0
     assert url_filter.judge(pages, rules.limit(0)).where("verdict = 'allow' and rule is null").count() == 9
 
@@ -188,6 +190,10 @@ def test_vectors(spark):
     for k in (4, 5, 6, 7, 8, 9, 10, 11, 12):
         assert (k, 0, k, True) in out
     assert near_vectors.near_duplicates(table.limit(0)).count() == 0
+    far = [(1, [1e200, 2e200], 1), (2, [2e200, 4e200], 1), (3, [1e-200, 2e-200], 1), (4, [-0.0, 1.0], 1), (5, [0.0, 1.0], 1)]
+    table = spark.createDataFrame([(*r, "x", 7, 8, 9) for r in far], "vec_id bigint, embedding array<double>, label int, same string, n_links int, component_id int, filters int")
+    out = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors.near_duplicates(table).collect()}
+    assert out == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4)}
 
 
 def test_stages_keep_columns(spark, docs, none, labels, tmp_path):

@@ -19,7 +19,6 @@ DIM = 1 << 17  # the upper half for words and word pairs, the lower half for cha
 _HALF = DIM // 2
 _SYMBOL = np.zeros(256, np.uint8)
 _SYMBOL[list(SYMBOLS)] = 1
-_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
 def base_counts(text: str, data: bytes, words: list[bytes]) -> tuple[int, int, int, int, int]:
@@ -53,26 +52,26 @@ def base_counts(text: str, data: bytes, words: list[bytes]) -> tuple[int, int, i
     return n, len(text) - spaces, symbols, repeated, inside
 
 
-def hashed(data: bytes, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of a text's character 1-, 2- and 4-grams (of its bytes), and of its words and word pairs."""
+def hashed(text: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a text's character 1-, 2- and 4-grams, and of its words and word pairs."""
     chars: list[np.ndarray] = []
-    b = np.frombuffer(data, np.uint8).astype(np.uint32)
-    if len(b):
-        chars.append(b)
-    if len(b) > 1:
-        two = b[:-1] << np.uint32(8) | b[1:]
+    c = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
+    if len(c):
+        chars.append(c & np.uint32(_HALF - 1))
+    if len(c) > 1:
+        two = (c[:-1] * np.uint32(0x01000193)) ^ c[1:]
         chars.append((two * np.uint32(0x9E3779B1)) >> np.uint32(16))
-        if len(b) > 3:
-            four = two[:-2] << np.uint32(16) | two[2:]
+        if len(c) > 3:
+            four = (two[:-2] * np.uint32(0xC2B2AE3D)) ^ two[2:]
             chars.append((four * np.uint32(0x85EBCA6B)) >> np.uint32(16))
     w = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
     pairs = (w[:-1] * np.uint32(31) + w[1:]) * np.uint32(0x9E3779B1)
     return np.concatenate(chars) if chars else np.zeros(0, np.uint32), np.concatenate([w & np.uint32(_HALF - 1), pairs >> np.uint32(16)])
 
 
-def margin(data: bytes, words: list[bytes], weights: np.ndarray, bias: float) -> float:
+def margin(text: str, words: list[bytes], weights: np.ndarray, bias: float) -> float:
     """The regression's margin; features are the n-grams' shares of the text."""
-    chars, tokens = hashed(data, words)
+    chars, tokens = hashed(text, words)
     out = bias
     if len(chars):
         out += SCALE * float(weights[:_HALF][chars].mean())
@@ -85,8 +84,7 @@ SCALE = 30.0
 
 
 def _row(text: str) -> tuple[np.ndarray, np.ndarray]:
-    data = text.encode("utf-8", "replace")
-    chars, tokens = hashed(data, data.split())
+    chars, tokens = hashed(text, text.encode("utf-8", "replace").split())
     at, x = [], []
     for start, found in ((0, chars), (_HALF, tokens)):
         if len(found):
@@ -138,7 +136,8 @@ def judge(docs: DataFrame, model: dict, text: str = "text", least_words: int = 1
 
     The base fails texts of fewer than ``least_words`` words or with more than ``most_repeated``
     per cent of the words in repeated windows; the others are kept at a probability of
-    ``threshold`` or more. Null texts are empty. Every row is judged on its whole text alone.
+    ``threshold`` or more. Null texts are empty. Every row is judged on its whole text alone, however long;
+    repeated rows and null ids pass through, an empty table gives an empty result.
     """
     new = [*COLUMNS, "base_failed", "quality", "kept"]
     keep = [c for c in docs.columns if c not in (text, *new)]
@@ -154,7 +153,7 @@ def judge(docs: DataFrame, model: dict, text: str = "text", least_words: int = 1
                 data = body.encode("utf-8", "replace")
                 words = data.split()
                 counts.append(base_counts(body, data, words))
-                margins.append(margin(data, words, weights, bias))
+                margins.append(margin(body, words, weights, bias))
             table = np.array(counts, np.int64).reshape(-1, len(COLUMNS))
             n, inside = table[:, 0], table[:, 4]
             failed = (n < least_words) | (100 * inside > most_repeated * n)
