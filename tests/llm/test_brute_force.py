@@ -97,6 +97,26 @@ def test_near_copies_stage_equals_brute_force_jaccard(spark, texts, chunk):
         assert {r.doc_id for r in kept.collect()} == {k for k, c in want.items() if c == k}
 
 
+def test_a_large_group_of_near_copies_gives_few_links(spark):
+    """Copies of one text that are near it, but hardly near each other: rows out of the tasks follow the rows, not the pairs."""
+    rng, base = np.random.default_rng(13), [f"w{i}" for i in range(200)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 500):
+        words = list(base)
+        for at in rng.choice(200, 3, replace=False):
+            words[at] = f"x{k}"
+        rows.append((k, " ".join(words)))
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    assert {r.component_id for r in near_text.jaccard_duplicates(table, chunk=64).collect()} == {0}
+    sets = [near_text.shingle_set(t) for _, t in rows]
+    want = [len(set(sets[0].tolist()) & set(x.tolist())) / len(set(sets[0].tolist()) | set(x.tolist())) for x in sets]
+    assert near_text.pair_similarity(sets, np.zeros(500, int), np.arange(500)).tolist() == want
+    key = np.array([near_text.set_simhash(x) for x in sets], np.uint64)
+    order = np.argsort(key)
+    batch = pa.RecordBatch.from_pydict({"task": np.zeros(500, np.int64), "side": np.zeros(500, np.int32), "key": key[order].view(np.int64), "rep": order, "n": np.array([len(sets[k]) for k in order]), "label": order, "shingles": [sets[k].tobytes() for k in order]})
+    assert sum(b.num_rows for b in near_text._near_links(iter([batch]), 28, 0.8)) == 499
+
+
 @pytest.mark.parametrize("chunk", [4096, 16])
 @pytest.mark.parametrize("blocks", [5, 6])
 def test_trie_join_on_a_dense_cluster(spark, chunk, blocks):

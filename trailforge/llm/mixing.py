@@ -140,7 +140,7 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     return out.select(F.col("id").alias(key), "source", "size", "source_size", "target", (F.col("base") + F.col("part")).cast("long").alias("copies"))
 
 
-def mixed(docs: DataFrame, most_shared: int = 500_000, **options) -> DataFrame:
+def mixed(docs: DataFrame, most_shared: int = 100_000, **options) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken.
 
     Rows are numbered and written first, and the draw is by row number, so each row gets its own

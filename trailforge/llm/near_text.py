@@ -153,14 +153,14 @@ def _roots(task: np.ndarray, side: np.ndarray) -> list[np.ndarray]:
     return [x[some] for x in (alo, ahi, blo, bhi)]
 
 
-def _whole_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows sorted by task, some 65,536 at a time, and never a part of a task."""
+def _whole_tasks(batches: Iterator[pa.RecordBatch], most: int = 65_536) -> Iterator[pa.Table]:
+    """Rows sorted by task, some ``most`` at a time, and never a part of a task."""
     held: list[pa.RecordBatch] = []
     rows = 0
     for batch in batches:
         held.append(batch)
         rows += batch.num_rows
-        if rows < 65_536:
+        if rows < most:
             continue
         whole = pa.Table.from_batches(held).combine_chunks()
         task = whole.column("task").to_numpy()
@@ -296,17 +296,56 @@ def _sketches(docs: DataFrame, text: str, key: str, size: int) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("text")).mapInArrow(run, "_key bigint, digest binary, node bigint, n int, fp bigint, bands array<bigint>")
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], budget: int, least: float) -> Iterator[pa.RecordBatch]:
-    """Rows (task, side, key, rep, n, label) sorted by (task, side, key) -> pairs (u, v) with different
-    labels that may reach ``least``: ``budget`` or fewer differing bits, and sizes that allow it."""
-    for rows in _whole_tasks(batches):
+def pair_similarity(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The Jaccard similarity of pairs of sets (sorted, distinct); of two empty ones 1."""
+    ends = np.array([len(x) for x in sets])
+    pair = np.concatenate([np.repeat(np.arange(len(i)), ends[i]), np.repeat(np.arange(len(j)), ends[j])])
+    values = np.concatenate([sets[k] for k in (*i.tolist(), *j.tolist())])
+    order = np.lexsort((values, pair))
+    pair, values = pair[order], values[order]
+    twice = (pair[1:] == pair[:-1]) & (values[1:] == values[:-1])
+    both = np.bincount(pair[1:][twice], minlength=len(i))
+    every = ends[i] + ends[j] - both
+    return np.where(every > 0, both / np.maximum(every, 1), 1.0)
+
+
+def _near_links(batches: Iterator[pa.RecordBatch], budget: int, least: float, at_once: int = 400_000) -> Iterator[pa.RecordBatch]:
+    """Rows (task, side, key, rep, n, label, shingles) sorted by (task, side, key) -> links (u, v) that span
+    what is near: pairs of ``budget`` or fewer differing bits with a similarity of ``least`` or more.
+
+    Rows of one label are linked already. Pairs are compared nearest fingerprints first, and only while no
+    path links them, so a large group costs about a comparison a row once its middle is found.
+    """
+    for rows in _whole_tasks(batches, 8_192):
         task, side, key, rep, n, label = (rows.column(c).to_numpy() for c in ("task", "side", "key", "rep", "n", "label"))
-        for i, j in trie_links(key.view(np.uint64), _roots(task, side), 0, budget):
-            some = (label[i] != label[j]) & (np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-6)
-            u, v = np.maximum(rep[i[some]], rep[j[some]]), np.minimum(rep[i[some]], rep[j[some]])
-            if len(u):
-                u, v = np.unique(np.stack([u, v]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+        key, sets = key.view(np.uint64), [np.frombuffer(x, "<u8") for x in rows.column("shingles").to_pylist()]
+        forest, order = Forest(len(key)), np.argsort(label, kind="stable")
+        known = label[order][1:] == label[order][:-1]
+        forest.link(order[1:][known], order[:-1][known])
+
+        def settle(i: np.ndarray, j: np.ndarray) -> None:
+            i, j = i[(o := np.argsort(np.bitwise_count(key[i] ^ key[j]), kind="stable"))], j[o]
+            while len(i):
+                some = max(1, int(np.searchsorted(np.cumsum(n[i] + n[j]), at_once)))
+                near = pair_similarity(sets, i[:some], j[:some]) >= least
+                forest.link(i[:some][near], j[:some][near])
+                apart = forest.labels[i[some:]] != forest.labels[j[some:]]
+                i, j = i[some:][apart], j[some:][apart]
+
+        held, count = [], 0
+        for i, j in trie_links(key, _roots(task, side), 0, budget):
+            some = (forest.labels[i] != forest.labels[j]) & (np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-6)
+            held.append((i[some], j[some]))
+            count += int(some.sum())
+            if count > 1 << 17:
+                settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held, count = [], 0
+        if count:
+            settle(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        child = np.flatnonzero(forest.labels != np.arange(len(key)))
+        child = child[label[child] != label[forest.labels[child]]]
+        yield pa.RecordBatch.from_arrays([pa.array(rep[child]), pa.array(rep[forest.labels[child]])], ["u", "v"])
+    give_back()
 
 
 def jaccard_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, least: float = 0.8, budget: int = 28, chunk: int = 4096) -> DataFrame:
@@ -316,9 +355,10 @@ def jaccard_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id",
     Equal sets are one class. Classes meet in sub-tries named by bands of min-hashes, as a budget of
     fingerprint bits wide enough for 0.8 leaves nothing to name them by; there the trie join of
     their fingerprints leaves pairs at ``budget`` or fewer differing bits (of a pair at 0.8, 10 to 12 are
-    expected), and each pair's sets are compared whole. First every class with the smallest of
-    its bands; then only pairs are left that this has not linked. Documents without words
-    are one class. Null keys are no nodes: they get the component of their class. The bands are for a ``least`` of 0.8 or more.
+    expected), and the pairs' sets are compared whole. First every class with the smallest of
+    its bands; then, in the tasks of the bands that this left open, all that no path links yet, and
+    only links that span come out. Documents without words are one class. Null keys are no nodes:
+    they get the component of their class. The bands are for a ``least`` of 0.8 or more.
     """
     spark = docs.sparkSession
     sketches = written(_sketches(docs, text, key, size), "sketches")
@@ -331,28 +371,40 @@ def jaccard_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id",
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t.as_py(), size) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([set_node(x) for x in sets], pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array([set_node(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "shingles"])
+
+    def shingles(nodes: DataFrame) -> DataFrame:
+        """(node, shingles) of some classes, from the text of one row of each."""
+        named = written(classes.join(nodes, "node", "left_semi").select(F.col("rep").alias("_key")).distinct(), "named")
+        named = F.broadcast(named) if named.count() <= 500_000 else named  # counted; else texts are exchanged
+        texts = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("text")).join(named, "_key", "left_semi")
+        sets = texts.select("text").mapInArrow(sets_of, "node bigint, shingles binary")
+        return written(sets.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "shingles")
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = ([np.frombuffer(x, "<u8") for x in batch.column(c).to_pylist()] for c in ("a", "b"))
+            at = np.arange(len(a))
+            near = pa.array(pair_similarity([*a, *b], at, at + len(a)) >= least) if len(a) else pa.array([], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("u").filter(near), batch.column("v").filter(near)], ["u", "v"])
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs.distinct(), "pairs")
-        ends = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-        named = classes.join(ends, "node", "left_semi").select(F.col("rep").alias("_key")).distinct()
-        texts = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("text")).join(named, "_key", "left_semi")
-        sets = texts.select("text").mapInArrow(sets_of, "node bigint, shingles array<bigint>")
-        sets = written(sets.join(ends, "node", "left_semi").dropDuplicates(["node"]), "shingles")
+        sets = shingles(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct())
         a, b = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
-        both = F.size(F.array_intersect("a", "b"))
-        return written(pairs.join(a, "u").join(b, "v").where(both / (F.size("a") + F.size("b") - both) >= least).select("u", "v"), "verified")
+        return written(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(compared, "u bigint, v bigint"), "verified")
 
     near = verified(rows.where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v")))
     labels = components(near)
     labelled = rows.join(labels, "node", "left").select("bucket", F.col("node").alias("rep"), "n", F.col("fp").alias("key"), F.coalesce("component", "node").alias("label"))
     labelled = written(labelled, "labelled-bands")
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    rows = deal_pairs(written(labelled.join(mixed, "bucket", "left_semi"), "open-bands"), "bucket", "rep", chunk)
-    rows = rows.select("task", "side", "key", "rep", "n", "label").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "task")
+    opened = written(labelled.join(mixed, "bucket", "left_semi"), "open-bands")
+    sets = shingles(opened.select(F.col("rep").alias("node")).distinct()).withColumnRenamed("node", "rep")
+    rows = deal_pairs(opened, "bucket", "rep", chunk).join(sets, "rep")
+    rows = rows.select("task", "side", "key", "rep", "n", "label", "shingles").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "task")
     rows = rows.sortWithinPartitions("task", "side", F.col("key") < 0, "key")  # by the unsigned fingerprint
-    more = verified(rows.mapInArrow(lambda batches: _candidates(batches, budget, least), "u bigint, v bigint"))
+    more = written(rows.mapInArrow(lambda batches: _near_links(batches, budget, least), "u bigint, v bigint"), "near-links")
     found = components(near.union(more)).withColumnRenamed("node", "_node")
     classes = classes.join(found, classes.node == found._node, "left").select("digest", "rep", F.coalesce("component", "node").alias("component"))
     names = classes.groupBy("component").agg(F.min("rep").alias("component_id"))
@@ -372,7 +424,9 @@ def keep_one(docs: DataFrame, key: str = "doc_id", near=near_duplicates, most_sh
     groups = near(numbered, key="__tf_row", **options).select("__tf_row", "component_id")
     groups = groups.join(numbered.select("__tf_row", F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("__tf_row").alias("row")).alias("rank")), "__tf_row")
     groups = written(groups, "groups")
-    first = groups.groupBy("component_id").agg(F.min("rank").alias("first"))
-    dropped = written(groups.join(first, "component_id").where("rank.row <> first.row").select("__tf_row"), "dropped")
+    first = groups.groupBy("component_id").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = written(first.select("component_id", F.col("first.row").alias("first")), "first")
+    first = F.broadcast(first) if first.count() <= most_shared // 4 else first
+    dropped = written(groups.join(first, "component_id").where("__tf_row <> first").select("__tf_row"), "dropped")
     dropped = F.broadcast(dropped) if dropped.count() <= most_shared else dropped
     return numbered.join(dropped, "__tf_row", "left_anti").select(*docs.columns)
