@@ -1,0 +1,19 @@
+"""The queries that run adapters and statistics, against their SQL."""
+
+import duckdb
+import pytest
+
+from trailforge.plans import adapter_queries
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(adapter_queries.ORACLES))
+def test_queries_equal_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("events", "conversations"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = con.sql(adapter_queries.ORACLES[name])
+    got = adapter_queries.QUERIES[name](spark, SF)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(map(tuple, got.select(*want.columns).collect()), key=str) == sorted(want.fetchall(), key=str)

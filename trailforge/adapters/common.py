@@ -57,7 +57,7 @@ def flat(rows: DataFrame, emitted: list[Column] | Column, scenario: Column, orde
     listed = F.array(*emitted) if isinstance(emitted, list) else emitted
     parts = rows.select("*", F.posexplode(F.array_compact(listed)).alias("__at", "__f"))
     seq = F.row_number().over(Window.partitionBy("scenario_id").orderBy(*order, "__at")) - 1
-    out = parts.withColumn("scenario_id", scenario).withColumn("seq", seq.cast("long"))
+    out = parts.withColumn("scenario_id", scenario.cast("string")).withColumn("seq", seq.cast("long"))
     return promoted(out.select("scenario_id", "seq", "__f.*"))
 
 
@@ -67,6 +67,11 @@ def resorted(fragments: DataFrame, *order: str) -> DataFrame:
     return fragments.withColumn("__seq", seq.cast("long")).drop("seq").withColumnRenamed("__seq", "seq").select(*fragments.columns)
 
 
+def scenario_column(scenario: str | Column) -> Column:
+    """A scenario's name: one for all records, or a column of them (the file, a session)."""
+    return F.lit(scenario) if isinstance(scenario, str) else scenario
+
+
 def scenario_rows(fragments: DataFrame, architecture: Column | str, tier: str) -> DataFrame:
     """One scenario row for each scenario among the fragments."""
     arch = F.lit(architecture) if isinstance(architecture, str) else architecture

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailforge.adapters.common import flat, fragment, payload, quoted, raw, scenario_rows, value_at
+from trailforge.adapters.common import flat, fragment, payload, quoted, raw, scenario_column, scenario_rows, value_at
 from trailforge.functions.scalars import any_of, epoch, filled, first_filled, get, matches, truthy
 from trailforge.sources.manifests import records
 
@@ -28,8 +28,13 @@ class Options:
 
 def fragments(spark: SparkSession, path: str, scenario_id: str, options: Options = Options()) -> DataFrame:
     """Fragments of the runs of a file, in the order of their start times (of equals, of the file)."""
+    return from_records(records(spark, path, inner="runs"), scenario_id, options)
+
+
+def from_records(rows: DataFrame, scenario: str | Column, options: Options = Options()) -> DataFrame:
+    """Fragments of runs (file, pos, record), wherever they come from; a scenario's runs are ordered on their own."""
     o, run = options, F.col("record")
-    runs = records(spark, path, inner="runs").select("file", "pos", "record")
+    runs = rows.select("file", "pos", "record")
     runs = runs.withColumns({
         "type": F.lower(F.coalesce(get(run, "$.run_type"), F.lit(""))), "id": F.coalesce(get(run, "$.id"), F.lit("None")), "name": filled(get(run, "$.name")), "ts": epoch(get(run, "$.start_time")),
         "tags": F.coalesce(F.from_json(get(run, "$.tags"), "array<string>"), F.array().cast("array<string>")), "parent": get(run, "$.parent_run_id"), "failed": truthy(run, "$.error"), "node": get(run, "$.extra.metadata.langgraph_node"),
@@ -64,7 +69,7 @@ def fragments(spark: SparkSession, path: str, scenario_id: str, options: Options
         F.when(chain & ~F.col("human"), one("msg", "agent_message", {"content": dict_or("$.inputs", "$.outputs")})),
         F.when(ruled & F.col("failed"), one("err", "error", {"error": raw(value_at(run, "$.error"))}, 0.002)),
     ]
-    return flat(runs, emitted, F.lit(scenario_id), ["ts", "file", "pos"])
+    return flat(runs, emitted, scenario_column(scenario), ["ts", "file", "pos"])
 
 
 def ingest(spark: SparkSession, path: str, scenario_id: str, options: Options = Options()) -> tuple[DataFrame, DataFrame]:

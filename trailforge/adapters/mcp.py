@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailforge.adapters.common import flat, fragment, payload, quoted, raw, resorted, scenario_rows, value_at
+from trailforge.adapters.common import flat, fragment, payload, quoted, raw, resorted, scenario_column, scenario_rows, value_at
 from trailforge.functions.scalars import epoch, filled, first_filled, get, kind_of, matches, truthy
 from trailforge.sources.manifests import records
 
@@ -51,8 +51,12 @@ def redacted(documents: pd.Series) -> pd.Series:
 
 
 def frames(spark: SparkSession, path: str) -> DataFrame:
-    """One row a frame: its time, session, place and redacted JSON-RPC message."""
-    rows = records(spark, path, inner="frames", skip_bad=True)
+    """One row a frame of a file: its time, session, place and redacted JSON-RPC message."""
+    return frames_of(records(spark, path, inner="frames", skip_bad=True))
+
+
+def frames_of(rows: DataFrame) -> DataFrame:
+    """One row a frame of the records (file, pos, record)."""
     rows = rows.withColumn("index", F.row_number().over(Window.partitionBy("file").orderBy("pos")) - 1)
     r = F.col("record")
     own = value_at(r, "$.frame").isNotNull()
@@ -82,8 +86,16 @@ def paired(rows: DataFrame) -> DataFrame:
 
 def ingest(spark: SparkSession, path: str, scenario_id: str, options: Options = Options()) -> tuple[DataFrame, DataFrame]:
     """(scenarios, fragments), sorted by time and id; everything crosses the stack's border."""
-    o = options
-    rows = frames(spark, path)
+    found = _fragments(frames(spark, path), scenario_id, options)
+    return scenario_rows(found, options.architecture, "cross_stack"), found
+
+
+def from_records(rows: DataFrame, scenario: str | Column, options: Options = Options()) -> DataFrame:
+    """Fragments of frame records (file, pos, record), wherever they come from."""
+    return _fragments(frames_of(rows), scenario, options)
+
+
+def _fragments(rows: DataFrame, scenario: str | Column, o: Options) -> DataFrame:
     rows = rows.where(F.col("session") == o.session_id) if o.session_id is not None else rows
     rows = paired(rows)
     f, q = F.col("frame"), F.col("asked")
@@ -126,7 +138,6 @@ def ingest(spark: SparkSession, path: str, scenario_id: str, options: Options =
         F.when((F.col("method") == "sampling/createMessage") & F.col("id").isNotNull(), one(F.concat("id", F.lit("_sampling")), "model_generation", F.col("ts"), server, payload(model_id=sampled, internal_reasoning=F.lit('"opaque"'), messages=at(f, "$.params.messages", "[]"), system_prompt=raw(value_at(f, "$.params.systemPrompt")), partial=F.lit("true")))),
         F.when(F.col("update") & (F.col("nth") <= o.max_state_mutations_per_resource), one(F.concat(F.lit("resource_updated_"), F.col("nth").cast("string")), "state_mutation", F.col("ts"), server, payload(resource=uri(F.col("resource"), quoted(F.col("resource"))), event=F.lit('"resource updated"'), state_change_magnitude=F.lit("1.0")))),
     ]
-    found = resorted(flat(rows, emitted, F.lit(scenario_id), ["ts", "index"]), "timestamp", "fragment_id")
-    return scenario_rows(found, o.architecture, "cross_stack"), found
+    return resorted(flat(rows, emitted, scenario_column(scenario), ["ts", "index"]), "timestamp", "fragment_id")
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailforge.adapters.common import content, flat, fragment, is_string, number, payload, plain, quoted, raw, resorted, scenario_rows
+from trailforge.adapters.common import content, flat, fragment, is_string, number, payload, plain, quoted, raw, resorted, scenario_column, scenario_rows
 from trailforge.functions.scalars import any_of, filled, first_filled, get, matches
 
 from trailforge.schema import KINDS, STACK_TIERS
@@ -77,8 +77,13 @@ def _id(text: Column, size: int) -> Column:
 
 
 def spans(spark: SparkSession, path: str) -> DataFrame:
-    """One row a span, normalised: ids, times, kind, status, attributes and events."""
-    rows = records(spark, path).select("file", "pos", F.try_parse_json("record").alias("v"))
+    """One row a span of a file, normalised: ids, times, kind, status, attributes and events."""
+    return spans_of(records(spark, path))
+
+
+def spans_of(rows: DataFrame) -> DataFrame:
+    """One row a span of the records (file, pos, record)."""
+    rows = rows.select("file", "pos", F.try_parse_json("record").alias("v"))
     deep = F.try_variant_get("v", "$.resourceSpans", "array<variant>")
     bundled = rows.where(deep.isNotNull()).select("file", "pos", F.posexplode(deep).alias("p1", "r"))
     bundled = bundled.select("file", "pos", "p1", "r", F.posexplode(F.try_variant_get("r", "$.scopeSpans", "array<variant>")).alias("p2", "s"))
@@ -134,7 +139,12 @@ def fragments(spark: SparkSession, path: str, scenario_id: str, options: Options
     return _fragments(spans(spark, path), scenario_id, options)
 
 
-def _fragments(rows: DataFrame, scenario_id: str, o: Options) -> DataFrame:
+def from_records(rows: DataFrame, scenario: str | Column, options: Options = Options()) -> DataFrame:
+    """Fragments of span records (file, pos, record), wherever they come from."""
+    return _fragments(spans_of(rows), scenario, options)
+
+
+def _fragments(rows: DataFrame, scenario: str | Column, o: Options) -> DataFrame:
     rates = [attribute(k) for k in ("otel.trace.sample_rate", "sampling.priority", "sampling.rate")]
     if not o.accept_sampled:
         rate = o.sampling_rate
@@ -203,7 +213,7 @@ def _fragments(rows: DataFrame, scenario_id: str, o: Options) -> DataFrame:
     failed = F.when(F.upper("code") == "ERROR", one("error", "error", {"error": raw(F.col("message"))}, 0.002))
     emitted = F.concat(F.array(*first), F.transform("events", message), F.array(failed))
     # embeddings give nothing at all
-    out = flat(rows.where(own | (op != "embeddings")), emitted, F.lit(scenario_id), ["ts", "span_id", "file", "at"])
+    out = flat(rows.where(own | (op != "embeddings")), emitted, scenario_column(scenario), ["ts", "span_id", "file", "at"])
     return resorted(out, "timestamp", "fragment_id")
 
 
