@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trailforge.adapters.common import flat, fragment, payload, raw, resorted, scenario_rows, value_at, with_key
+from trailforge.adapters.common import flat, fragment, payload, raw, resorted, scenario_column, scenario_rows, value_at, with_key
 from trailforge.functions.scalars import any_of, epoch, filled, first_filled, get, matches, truthy
 from trailforge.operators.pairing import fifo
 from trailforge.sources.manifests import records
@@ -44,18 +44,18 @@ def _text(json_text: Column, field: str) -> Column:
     return F.coalesce(own, get(json_text, f"$.{OLDER[field]}")) if field in OLDER else own
 
 
-def events(spark: SparkSession, path: str) -> DataFrame:
-    """One row an event, numbered by time and place."""
+def events_of(rows: DataFrame, scenario: str | Column) -> DataFrame:
+    """One row an event, numbered in its scenario by time and place."""
     e = F.col("record")
-    rows = records(spark, path, inner="events")
+    rows = rows.select("file", "pos", "record", scenario_column(scenario).cast("string").alias("scenario"))
     rows = rows.withColumn("index", F.row_number().over(Window.partitionBy("file").orderBy("pos")) - 1)
     body = F.coalesce(F.when(truthy(e, "$.payload"), value_at(e, "$.payload")), F.lit("{}"))
     rows = rows.select(
-        "index", F.coalesce(get(e, "$.event_type"), get(e, "$.eventType"), F.lit("unknown")).alias("type"), F.coalesce(get(e, "$.message_id"), get(e, "$.messageId"), get(e, "$.id"), F.format_string("event_%04d", F.col("index") + 1)).alias("id"),
+        "scenario", "index", F.coalesce(get(e, "$.event_type"), get(e, "$.eventType"), F.lit("unknown")).alias("type"), F.coalesce(get(e, "$.message_id"), get(e, "$.messageId"), get(e, "$.id"), F.format_string("event_%04d", F.col("index") + 1)).alias("id"),
         F.coalesce(get(e, "$.trace_id"), get(e, "$.traceId"), F.lit("trace_unknown")).alias("trace"), get(e, "$.topic").alias("topic"), get(e, "$.sender").alias("sender"), get(e, "$.recipient").alias("recipient"),
         value_at(e, "$.topic").alias("topic_json"), value_at(e, "$.recipient").alias("recipient_json"), body.alias("body"), epoch(F.coalesce(get(e, "$.ts"), get(e, "$.timestamp"))).alias("ts"),
     )
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("ts", "index", "id")))
+    return rows.withColumn("n", F.row_number().over(Window.partitionBy("scenario").orderBy("ts", "index", "id")))
 
 
 def ingest(spark: SparkSession, path: str, scenario_id: str, options: Options = Options()) -> tuple[DataFrame, DataFrame]:
@@ -63,11 +63,24 @@ def ingest(spark: SparkSession, path: str, scenario_id: str, options: Options =
 
     Calls and returns are paired first in, first out; a call without a return is incomplete. What a
     round was goes to the trace's next fragment: the row right before it, if that is a round."""
+    source = records(spark, path, inner="events")
+    found = from_records(source, scenario_id, options)
+    label = _architecture(_on_topic(events_of(source, scenario_id), options), options)
+    return scenario_rows(found, label, options.stack_tier), found
+
+
+def _on_topic(rows: DataFrame, o: Options) -> DataFrame:
+    if not o.topic_filter:
+        return rows
+    topic = F.coalesce("topic", get("body", "$.topic"))
+    return rows.where(topic.isNull() | topic.rlike(o.topic_filter))
+
+
+def from_records(records_: DataFrame, scenario: str | Column, options: Options = Options()) -> DataFrame:
+    """Fragments of event records (file, pos, record), wherever they come from; each scenario's
+    events are numbered and paired on their own."""
     o = options
-    rows = events(spark, path)
-    if o.topic_filter:
-        topic = F.coalesce("topic", get("body", "$.topic"))
-        rows = rows.where(topic.isNull() | topic.rlike(o.topic_filter))
+    rows = _on_topic(events_of(records_, scenario), o)
     b = F.col("body")
     actor = F.lit(o.actor_override) if o.actor_override else F.when(F.lower("sender").isin(*MANAGERS), "manager").otherwise(first_filled(F.col("sender"), _text(b, "agent_id"), _text(b, "agent_name"), F.concat(F.lit("agent_"), F.substring("trace", 1, 8))))
     override = F.when((F.col("type") != "content_safety_decision") & get(b, "$.demm_kind").isin("policy_snapshot", "config_snapshot"), get(b, "$.demm_kind"))
@@ -79,19 +92,19 @@ def ingest(spark: SparkSession, path: str, scenario_id: str, options: Options =
     for phase, (kind, start, end) in enumerate(PAIRED, 1):
         queue = {"agent": scope, "tool": F.concat_ws("\x00", "actor", first_filled(_text(b, "tool_name"), F.lit("tool_unknown"))), "model": F.concat_ws("\x00", "actor", first_filled(get(b, "$.model"), F.lit("model_unknown")))}[kind]
         some = plain.where(F.col("type").isin(start, end)).withColumns({"queue": queue, "opens": F.col("type") == start})
-        pairs = fifo(some, ["trace", "queue"], ["n"], "n", "opens").select("open_id", "close_id").withColumn("kind", F.lit(kind))
+        pairs = fifo(some, ["scenario", "trace", "queue"], ["n"], "n", "opens").select("scenario", "open_id", "close_id").withColumn("kind", F.lit(kind))
         pairs = pairs.withColumn("at", F.when(F.col("close_id").isNull(), F.struct(F.lit(phase).alias("phase"), F.col("open_id").alias("n"))).otherwise(F.struct(F.lit(0).alias("phase"), F.col("close_id").alias("n"))))
         work = pairs if work is None else work.unionByName(pairs)
     single = rows.where(F.col("override").isNotNull() | F.col("type").isin(*SINGLE, "round_completed"))
     kind = F.when(F.col("override").isNotNull(), "snapshot").otherwise(F.col("type"))
-    work = work.unionByName(single.select(F.col("n").alias("open_id"), F.lit(None).cast("int").alias("close_id"), kind.alias("kind"), F.struct(F.lit(0).alias("phase"), F.col("n").alias("n")).alias("at")))
-    work = work.join(side("s"), F.col("open_id") == F.col("s_n"), "left").join(side("e"), F.col("close_id") == F.col("e_n"), "left")
+    work = work.unionByName(single.select("scenario", F.col("n").alias("open_id"), F.lit(None).cast("int").alias("close_id"), kind.alias("kind"), F.struct(F.lit(0).alias("phase"), F.col("n").alias("n")).alias("at")))
+    work = work.join(side("s"), (F.col("scenario") == F.col("s_scenario")) & (F.col("open_id") == F.col("s_n")), "left").join(side("e"), (F.col("scenario") == F.col("e_scenario")) & (F.col("close_id") == F.col("e_n")), "left")
     work = work.withColumns({f"b_{c}": F.coalesce(f"s_{c}", f"e_{c}") for c in rows.columns})
     both = F.col("s_n").isNotNull() & F.col("e_n").isNotNull()
     work = work.withColumns({"done": both, "actor": F.coalesce("e_actor", "s_actor")})
     body = F.col("b_body")
     known = payload(round_num=raw(value_at(body, "$.round_num")), messages_in_round=raw(value_at(body, "$.messages_in_round")))
-    before = F.lag(F.when(F.col("kind") == "round_completed", known)).over(Window.partitionBy("b_trace").orderBy("at"))
+    before = F.lag(F.when(F.col("kind") == "round_completed", known)).over(Window.partitionBy("scenario", "b_trace").orderBy("at"))
     work = work.withColumn("round", before).where("kind <> 'round_completed'")
     runtime = F.lit(o.runtime) if o.runtime else F.when(F.lower(first_filled(get(body, "$.runtime"), get(body, "$.metadata.runtime"), get(body, "$.metadata.transport"), F.lit(""))).contains("grpc"), "grpc").otherwise("single_threaded")
     tier = F.when(runtime == "grpc", "cross_stack").otherwise(o.stack_tier)
@@ -131,8 +144,7 @@ def ingest(spark: SparkSession, path: str, scenario_id: str, options: Options =
         F.when(is_("tool") & changes, one("tool_state", "state_mutation", payload(tool_name=j("tool_name"), args=args), tool_tier, offset=0.0001, context=False)),
         F.when(is_("model"), one("model_call", "model_generation", payload(model_id=model_id, messages=or_empty(body, "messages", "[]"), client_type=client, internal_reasoning=F.lit('"opaque"'), choices=F.when(done, or_empty(F.col("e_body"), "choices", "[]")), incomplete=open_))),
     ]
-    found = resorted(flat(work, emitted, F.lit(scenario_id), ["at"]), "timestamp", "fragment_id")
-    return scenario_rows(found, _architecture(rows, o), o.stack_tier), found
+    return resorted(flat(work, emitted, F.col("scenario"), ["at"]), "timestamp", "fragment_id")
 
 
 def _architecture(rows: DataFrame, o: Options) -> str:

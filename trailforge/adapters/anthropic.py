@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailforge.adapters.common import flat, fragment, number, payload, quoted, raw, resorted, scenario_rows, value_at
+from trailforge.adapters.common import flat, fragment, number, payload, quoted, raw, resorted, scenario_column, scenario_rows, value_at
 from trailforge.functions.scalars import epoch, first_filled, get, kind_of, matches, truthy
 from trailforge.sources.manifests import records
 
@@ -54,15 +54,15 @@ def images_hashed(documents: pd.Series) -> pd.Series:
     return documents.map(lambda d: None if d is None else json.dumps(_without_images(json.loads(d))))
 
 
-def rounds(spark: SparkSession, path: str) -> DataFrame:
+def rounds_of(rows: DataFrame, scenario: str | Column) -> DataFrame:
     """One row a round; a round without a request or a response is an error."""
     r = F.col("record")
-    rows = records(spark, path, inner="rounds").withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("pos")))
+    rows = rows.select("file", "pos", "record", scenario_column(scenario).cast("string").alias("scenario")).withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("pos")))
     whole = truthy(r, "$.request") & truthy(r, "$.response")
     record = F.when(whole, r).otherwise(F.raise_error(F.lit("a round needs a request and a response")))
     rows = rows.withColumn("record", record)
     round_id = first_filled(get(r, "$.round_id"), get(r, "$.roundId"), F.format_string("round_%04d", "n"))
-    return rows.select("file", "n", round_id.alias("round_id"), epoch(get(r, "$.timestamp")).alias("ts"), value_at(r, "$.request").alias("request"), value_at(r, "$.response").alias("response"))
+    return rows.select("scenario", "file", "n", round_id.alias("round_id"), epoch(get(r, "$.timestamp")).alias("ts"), value_at(r, "$.request").alias("request"), value_at(r, "$.response").alias("response"))
 
 
 def _items(json_text: Column, path: str) -> Column:
@@ -72,12 +72,12 @@ def _items(json_text: Column, path: str) -> Column:
 
 
 def tool_results(rows: DataFrame) -> DataFrame:
-    """(use_id, result, failed): the last result of each tool use, images hashed."""
-    messages = rows.select("file", "n", F.posexplode(_items(F.col("request"), "$.messages")).alias("m", "message")).where(get("message", "$.role") == "user")
-    blocks = messages.select("file", "n", "m", F.posexplode(_items(F.col("message"), "$.content")).alias("b", "block"))
+    """(scenario, use_id, result, failed): the last result of each tool use of a scenario, images hashed."""
+    messages = rows.select("scenario", "file", "n", F.posexplode(_items(F.col("request"), "$.messages")).alias("m", "message")).where(get("message", "$.role") == "user")
+    blocks = messages.select("scenario", "file", "n", "m", F.posexplode(_items(F.col("message"), "$.content")).alias("b", "block"))
     blocks = blocks.where((get("block", "$.type") == "tool_result") & truthy(F.col("block"), "$.tool_use_id"))
-    blocks = blocks.select(get("block", "$.tool_use_id").alias("use_id"), F.struct("file", "n", "m", "b").alias("at"), F.struct(images_hashed(raw(value_at("block", "$.content"))).alias("result"), truthy(F.col("block"), "$.is_error").alias("failed")).alias("r"))
-    return blocks.groupBy("use_id").agg(F.max_by("r", "at").alias("r")).select("use_id", "r.*")
+    blocks = blocks.select("scenario", get("block", "$.tool_use_id").alias("use_id"), F.struct("file", "n", "m", "b").alias("at"), F.struct(images_hashed(raw(value_at("block", "$.content"))).alias("result"), truthy(F.col("block"), "$.is_error").alias("failed")).alias("r"))
+    return blocks.groupBy("scenario", "use_id").agg(F.max_by("r", "at").alias("r")).select("scenario", "use_id", "r.*")
 
 
 def _said(content: Column, kind: Column) -> Column:
@@ -93,8 +93,15 @@ def ingest(spark: SparkSession, path: str, scenario_id: str, options: Options =
 
     Requests, messages and response blocks are rows of one relation; tool uses are joined with
     their last results by id."""
+    found = from_records(records(spark, path, inner="rounds"), scenario_id, options)
+    return scenario_rows(found, options.architecture, options.stack_tier), found
+
+
+def from_records(records_: DataFrame, scenario: str | Column, options: Options = Options()) -> DataFrame:
+    """Fragments of round records (file, pos, record), wherever they come from; a tool use is
+    answered inside its scenario."""
     o = options
-    rows = rounds(spark, path)
+    rows = asked = rounds_of(records_, scenario)
     q, a = F.col("request"), F.col("response")
     first_line = F.get(F.split(F.trim(get(q, "$.system")), "\n"), F.lit(0))
     called = F.regexp_extract(first_line, r"(?i)^You are\s+([^.,:]+)", 1)
@@ -111,7 +118,7 @@ def ingest(spark: SparkSession, path: str, scenario_id: str, options: Options =
     x, i, ts = F.col("x"), F.col("i"), F.col("ts")
     block = F.when(F.col("part") == "block", get(x, "$.type"))
     rows = rows.withColumns({"block": block, "use_id": F.when(block == "tool_use", first_filled(get(x, "$.id"), F.format_string("tool_%d", i + 1))), "tool": first_filled(get(x, "$.name"), F.lit("tool"))})
-    rows = rows.join(tool_results(rounds(spark, path)), "use_id", "left")
+    rows = rows.join(tool_results(asked), ["scenario", "use_id"], "left")
 
     def one(suffix, kind, at, body, tier=None):
         name = F.concat(F.lit("anthropic_"), "round_id", F.lit("_"), suffix if isinstance(suffix, Column) else F.lit(suffix))
@@ -154,5 +161,4 @@ def ingest(spark: SparkSession, path: str, scenario_id: str, options: Options =
         F.when(is_request & decision.isin("approved", "rejected"), one(F.when(decision == "approved", "human_approval").otherwise("human_rejection"), F.when(decision == "approved", "human_approval").otherwise("human_rejection"), ts + 0.0002, payload(decision=quoted(decision)), "human")),
     ]
     order = F.array_position(F.array(*[F.lit(p) for p in ("request", "message", "response", "block")]), F.col("part"))
-    found = resorted(flat(rows.withColumn("o", order), emitted, F.lit(scenario_id), ["file", "n", "o", "i"]), "timestamp", "fragment_id")
-    return scenario_rows(found, o.architecture, o.stack_tier), found
+    return resorted(flat(rows.withColumn("o", order), emitted, F.col("scenario"), ["file", "n", "o", "i"]), "timestamp", "fragment_id")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trailforge.adapters.common import flat, fragment, payload, quoted, raw, resorted, scenario_rows, value_at
+from trailforge.adapters.common import flat, fragment, payload, quoted, raw, resorted, scenario_column, scenario_rows, value_at
 from trailforge.functions.scalars import epoch, filled, first_filled, get, matches, truthy
 from trailforge.operators.pairing import as_of, fifo
 from trailforge.sources.manifests import records
@@ -38,15 +38,14 @@ def slug(name: Column) -> Column:
     return F.coalesce(filled(F.trim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "_"), F.lit("_"))), F.lit("crew"))
 
 
-def events(spark: SparkSession, path: str) -> DataFrame:
-    """One row an event, in the order of the file. ``body`` answers for a payload field, taken from
-    the event itself where the payload lacks it."""
+def events_of(rows: DataFrame, scenario: str | Column) -> DataFrame:
+    """One row an event, numbered in its scenario by file and place. ``body`` answers for a payload
+    field, taken from the event itself where the payload lacks it."""
     e = F.col("record")
-    rows = records(spark, path, inner="events")
-    order = Window.partitionBy(F.lit(0)).orderBy("file", "pos")  # a trace file; its order is its time line
-    rows = rows.withColumn("n", F.row_number().over(order))
+    rows = rows.select("file", "pos", "record", scenario_column(scenario).cast("string").alias("scenario"))
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("scenario").orderBy("file", "pos")))
     inner = F.coalesce(F.when(truthy(e, "$.payload"), value_at(e, "$.payload")), F.lit("{}"))
-    rows = rows.select("n", e.alias("event"), inner.alias("inner"), first_filled(get(e, "$.event_type"), get(e, "$.eventType"), F.lit("unknown")).alias("type"), first_filled(get(e, "$.event_id"), get(e, "$.id"), F.format_string("event_%04d", "n")).alias("id"), epoch(first_filled(get(e, "$.timestamp"), get(e, "$.ts"))).alias("ts"))
+    rows = rows.select("scenario", "n", e.alias("event"), inner.alias("inner"), first_filled(get(e, "$.event_type"), get(e, "$.eventType"), F.lit("unknown")).alias("type"), first_filled(get(e, "$.event_id"), get(e, "$.id"), F.format_string("event_%04d", "n")).alias("id"), epoch(first_filled(get(e, "$.timestamp"), get(e, "$.ts"))).alias("ts"))
     return rows.withColumn("crew", first_filled(body_text("crew_name"), body_text("crew"), F.lit("crew_default")))
 
 
@@ -73,8 +72,8 @@ def _with_actors(rows: DataFrame, o: Options) -> DataFrame:
     keeps = F.col("type").isin("agent_execution_started", "task_started", "consensual_vote_cast", *[x for start, ends, *_ in PAIRED.values() for x in (start, *ends)])
     sets = F.when(F.col("type") == "manager_agent_invoked", "Manager").when(F.col("type") == "delegation", filled(body_text("to_agent"))).when(keeps, own)
     rows = rows.withColumns({"own": own, "sets": sets})
-    rows = rows.withColumn("before", F.lag("sets").over(Window.partitionBy("crew").orderBy("n")))
-    rows = as_of(rows, ["crew"], ["n"], "before", "current")
+    rows = rows.withColumn("before", F.lag("sets").over(Window.partitionBy("scenario", "crew").orderBy("n")))
+    rows = as_of(rows, ["scenario", "crew"], ["n"], "before", "current")
     return rows.withColumn("actor", F.coalesce("own", "current", F.concat(F.lit("agent_"), slug(F.col("crew"))))).drop("own", "sets", "before")
 
 
@@ -82,9 +81,10 @@ def _paired(rows: DataFrame, kind: str) -> DataFrame:
     """(start, end) of one kind of work: events in columns s_* and e_*, either of them may lack."""
     start, ends, field, default = PAIRED[kind]
     some = rows.where(F.col("type").isin(start, *ends)).withColumns({"queue": first_filled(body_text(field), F.lit(default)), "opens": F.col("type") == start})
-    pairs = fifo(some, ["crew", "actor", "queue"], ["n"], "n", "opens").select("open_id", "close_id")
+    pairs = fifo(some, ["scenario", "crew", "actor", "queue"], ["n"], "n", "opens").select("scenario", "open_id", "close_id")
     side = lambda p: rows.select(*[F.col(c).alias(f"{p}_{c}") for c in rows.columns])
-    return pairs.join(side("s"), F.col("open_id") == F.col("s_n"), "left").join(side("e"), F.col("close_id") == F.col("e_n"), "left").drop("open_id", "close_id")
+    pairs = pairs.join(side("s"), (F.col("scenario") == F.col("s_scenario")) & (F.col("open_id") == F.col("s_n")), "left")
+    return pairs.join(side("e"), (F.col("scenario") == F.col("e_scenario")) & (F.col("close_id") == F.col("e_n")), "left").drop("scenario", "open_id", "close_id")
 
 
 def ingest(spark: SparkSession, path: str, scenario_id: str, options: Options = Options()) -> tuple[DataFrame, DataFrame]:
@@ -93,10 +93,21 @@ def ingest(spark: SparkSession, path: str, scenario_id: str, options: Options =
     Starts and ends of tool, model and memory work are paired first in, first out; an end without a
     start stands for itself, a start without an end is incomplete. Log lines go to the next model
     call of their crew and actor."""
+    source = records(spark, path, inner="events")
+    found = from_records(source, scenario_id, options)
+    label = _architecture(_of_crew(events_of(source, scenario_id), options), options)
+    return scenario_rows(found, label, options.stack_tier), found
+
+
+def _of_crew(rows: DataFrame, o: Options) -> DataFrame:
+    return rows.where(F.col("crew") == o.crew_name) if o.crew_name is not None else rows
+
+
+def from_records(records_: DataFrame, scenario: str | Column, options: Options = Options()) -> DataFrame:
+    """Fragments of event records (file, pos, record), wherever they come from; each scenario's
+    events are numbered, paired and named on their own."""
     o = options
-    rows = events(spark, path)
-    rows = rows.where(F.col("crew") == o.crew_name) if o.crew_name is not None else rows
-    rows = _with_actors(rows, o)
+    rows = _with_actors(_of_crew(events_of(records_, scenario), o), o)
 
     def one(suffix, kind, body, p="", actor="actor", tier=None, offset=0.0):
         c = lambda name: F.col(p + name)
@@ -121,7 +132,7 @@ def ingest(spark: SparkSession, path: str, scenario_id: str, options: Options =
         F.when(typ == "demm_policy_snapshot", one("policy_snapshot", "policy_snapshot", merged)),
         F.when(typ.isin(*ERRORS), one("scope_error", "error", payload(error=j("error")))),
     ]
-    found = flat(rows, single, F.lit(scenario_id), ["n"])
+    found = flat(rows, single, F.col("scenario"), ["n"])
 
     def of(p, f):
         return body_json(f, p + "event", p + "inner")
@@ -149,28 +160,28 @@ def ingest(spark: SparkSession, path: str, scenario_id: str, options: Options =
         F.when(F.lit(True), one("tool_call", "tool_call", call, "b_", tier=tier)),
         F.when(failed, one("tool_error", "error", payload(error=raw(of("e_", "error"))), "e_")),
         F.when(changed, one("tool_state", "state_mutation", payload(tool_name=raw(of("b_", "tool_name")), args=args), "b_", tier=tier, offset=0.0001)),
-    ], F.lit(scenario_id), ["b_n"]))
+    ], F.col("b_scenario"), ["b_n"]))
 
     # log lines belong to the next completed model call of their crew and actor, later ones to the first that is left open
     calls = begun(_paired(rows, "llm")).withColumn("key_actor", F.coalesce("e_actor", "s_actor"))
     ends = rows.where("type in ('agent_logs_execution', 'llm_call_completed')")
-    after = F.count_if(F.col("type") == "llm_call_completed").over(Window.partitionBy("crew", "actor").orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
+    after = F.count_if(F.col("type") == "llm_call_completed").over(Window.partitionBy("scenario", "crew", "actor").orderBy("n").rowsBetween(Window.unboundedPreceding, -1))
     ends = ends.withColumn("turn", F.coalesce(after, F.lit(0)))
     line = F.substring(F.coalesce(body_text("text"), F.lit("")), 1, 500)
-    logs = ends.where("type = 'agent_logs_execution'").groupBy("crew", "actor", "turn").agg(F.array_sort(F.collect_list(F.struct("n", line.alias("t")))).alias("lines"))
-    logs = logs.select(F.col("crew").alias("l_crew"), F.col("actor").alias("l_actor"), F.col("turn").alias("l_turn"), F.array_join(F.filter(F.transform("lines", lambda x: x["t"]), lambda t: t != ""), "\n").alias("log"))
-    turns = ends.where("type = 'llm_call_completed'").select(F.col("n").alias("t_n"), F.col("turn").alias("t_turn"))
-    total = ends.groupBy("crew", "actor").agg(F.count_if(F.col("type") == "llm_call_completed").alias("t_total")).select(F.col("crew").alias("t_crew"), F.col("actor").alias("t_actor"), "t_total")
-    calls = calls.join(turns, F.col("e_n") == F.col("t_n"), "left").join(total, (F.col("b_crew") == F.col("t_crew")) & (F.col("key_actor") == F.col("t_actor")), "left")
-    open_rank = F.row_number().over(Window.partitionBy("b_crew", "key_actor", F.col("e_n").isNull()).orderBy("b_n"))
+    logs = ends.where("type = 'agent_logs_execution'").groupBy("scenario", "crew", "actor", "turn").agg(F.array_sort(F.collect_list(F.struct("n", line.alias("t")))).alias("lines"))
+    logs = logs.select(F.col("scenario").alias("l_scenario"), F.col("crew").alias("l_crew"), F.col("actor").alias("l_actor"), F.col("turn").alias("l_turn"), F.array_join(F.filter(F.transform("lines", lambda x: x["t"]), lambda t: t != ""), "\n").alias("log"))
+    turns = ends.where("type = 'llm_call_completed'").select(F.col("scenario").alias("n_scenario"), F.col("n").alias("t_n"), F.col("turn").alias("t_turn"))
+    total = ends.groupBy("scenario", "crew", "actor").agg(F.count_if(F.col("type") == "llm_call_completed").alias("t_total")).select(F.col("scenario").alias("t_scenario"), F.col("crew").alias("t_crew"), F.col("actor").alias("t_actor"), "t_total")
+    calls = calls.join(turns, (F.col("b_scenario") == F.col("n_scenario")) & (F.col("e_n") == F.col("t_n")), "left").join(total, (F.col("b_scenario") == F.col("t_scenario")) & (F.col("b_crew") == F.col("t_crew")) & (F.col("key_actor") == F.col("t_actor")), "left")
+    open_rank = F.row_number().over(Window.partitionBy("b_scenario", "b_crew", "key_actor", F.col("e_n").isNull()).orderBy("b_n"))
     calls = calls.withColumn("open_rank", open_rank)
     turn = F.when(F.col("e_n").isNotNull(), F.col("t_turn")).when(F.col("open_rank") == 1, F.col("t_total"))
-    calls = calls.withColumn("own_turn", turn).join(logs, (F.col("b_crew") == F.col("l_crew")) & (F.col("key_actor") == F.col("l_actor")) & (F.col("own_turn") == F.col("l_turn")), "left")
+    calls = calls.withColumn("own_turn", turn).join(logs, (F.col("b_scenario") == F.col("l_scenario")) & (F.col("b_crew") == F.col("l_crew")) & (F.col("key_actor") == F.col("l_actor")) & (F.col("own_turn") == F.col("l_turn")), "left")
     both = F.col("s_n").isNotNull() & F.col("e_n").isNotNull()
     tokens = F.when(both, of("e_", "tokens"))
     model = payload(model_id=raw(either("model")), messages=F.coalesce(F.when(of("b_", "messages") != "null", of("b_", "messages")), F.lit("[]")), internal_reasoning=F.lit('"opaque"'), output=F.when(both, raw(of("e_", "output"))), token_count=tokens, incomplete=F.when(~both, "true"), agent_visible_log=F.when(F.col("log").isNotNull(), quoted(F.col("log"))))
     calls = calls.withColumn("actor", F.col("key_actor"))
-    found = found.unionByName(flat(calls, [F.when(F.lit(True), one("llm_call", "model_generation", model, "b_"))], F.lit(scenario_id), ["b_n"]))
+    found = found.unionByName(flat(calls, [F.when(F.lit(True), one("llm_call", "model_generation", model, "b_"))], F.col("b_scenario"), ["b_n"]))
 
     queries = begun(_paired(rows, "memory"))
     both = F.col("s_n").isNotNull() & F.col("e_n").isNotNull()
@@ -178,9 +189,8 @@ def ingest(spark: SparkSession, path: str, scenario_id: str, options: Options =
     results = F.when(both, F.when(of("e_", "results") != "null", of("e_", "results")))
     query = payload(query=raw(of("b_", "query")), memory_type=quoted(memory), retrieved=F.coalesce(results, F.lit("[]")), incomplete=F.when(~both, "true"))
     tier = F.when(memory.isin(*EXTERNAL_MEMORY), "cross_stack").otherwise(o.stack_tier)
-    found = found.unionByName(flat(queries, [F.when(F.lit(True), one("memory_query", "retrieval_result", query, "b_", tier=tier))], F.lit(scenario_id), ["b_n"]))
-    found = resorted(found, "timestamp", "fragment_id")
-    return scenario_rows(found, _architecture(rows, o), o.stack_tier), found
+    found = found.unionByName(flat(queries, [F.when(F.lit(True), one("memory_query", "retrieval_result", query, "b_", tier=tier))], F.col("b_scenario"), ["b_n"]))
+    return resorted(found, "timestamp", "fragment_id")
 
 
 def _architecture(rows: DataFrame, o: Options) -> str:

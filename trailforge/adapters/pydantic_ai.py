@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trailforge.adapters.common import flat, fragment, payload, plain, quoted, raw, resorted, scenario_rows, value_at
+from trailforge.adapters.common import flat, fragment, payload, plain, quoted, raw, resorted, scenario_column, scenario_rows, value_at
 from trailforge.functions.scalars import epoch, filled, first_filled, get, matches, truthy
 from trailforge.sources.manifests import records
 
@@ -36,12 +36,12 @@ def _items(json_text: Column) -> Column:
     return F.coalesce(F.transform(F.try_variant_get(F.try_parse_json(json_text), "$", "array<variant>"), lambda v: F.to_json(v)), F.array().cast("array<string>"))
 
 
-def steps(spark: SparkSession, path: str) -> DataFrame:
+def steps_of(rows: DataFrame, scenario: str | Column) -> DataFrame:
     """One row a step of a run: the run itself (m = -1), each message (p = -1), each part."""
     r = F.col("record")
-    rows = records(spark, path, inner="runs").withColumn("k", F.row_number().over(Window.partitionBy("file").orderBy("pos")))
+    rows = rows.select("file", "pos", "record", scenario_column(scenario).cast("string").alias("scenario")).withColumn("k", F.row_number().over(Window.partitionBy("file").orderBy("pos")))
     rows = rows.select(
-        "file", "pos", r.alias("run"), first_filled(get(r, "$.run_id"), get(r, "$.runId"), F.format_string("run_%04d", "k")).alias("run_id"),
+        "scenario", "file", "pos", r.alias("run"), first_filled(get(r, "$.run_id"), get(r, "$.runId"), F.format_string("run_%04d", "k")).alias("run_id"),
         first_filled(get(r, "$.agent_name"), get(r, "$.agentName"), F.lit("pydantic_ai_agent")).alias("agent"), first_filled(get(r, "$.model"), F.lit("unknown_model")).alias("model"),
         epoch(first_filled(get(r, "$.ts_start"), get(r, "$.tsStart"))).alias("began"), epoch(first_filled(get(r, "$.ts_end"), get(r, "$.tsEnd"), get(r, "$.ts_start"), get(r, "$.tsStart"))).alias("ended"),
         _items(_or(r, "messages", "message_history", "all_messages")).alias("messages"),
@@ -68,8 +68,18 @@ def ingest(spark: SparkSession, path: str, scenario_id: str, options: Options =
     A tool return answers the call right before it among the calls and returns of its id; a call
     that nothing follows is incomplete, one that another call follows is lost. Texts of a response
     are joined into its model fragment. A retry names the last model or tool fragment before it."""
+    o, source = options, records(spark, path, inner="runs")
+    found, label = from_records(source, scenario_id, o), o.architecture
+    if o.auto_architecture:
+        label = "multi_agent" if steps_of(source, scenario_id).agg(F.count_distinct("agent")).first()[0] >= 2 else "single_agent"
+    return scenario_rows(found, label, o.stack_tier), found
+
+
+def from_records(records_: DataFrame, scenario: str | Column, options: Options = Options()) -> DataFrame:
+    """Fragments of run records (file, pos, record), wherever they come from; a scenario may hold
+    several runs, and a run is one record."""
     o = options
-    rows = steps(spark, path)
+    rows = steps_of(records_, scenario)
     run, x, p = F.col("run"), F.col("message"), F.col("part")
     is_call, is_return = F.col("what") == "tool-call", F.col("what") == "tool-return"
     rows = rows.withColumn("call_id", F.when(is_call, F.coalesce("call_id", F.concat_ws("_", F.lit("tool_call"), F.col("m").cast("string"), F.col("p").cast("string")))).when(is_return, F.coalesce("call_id", F.lit(""))))
@@ -123,8 +133,4 @@ def ingest(spark: SparkSession, path: str, scenario_id: str, options: Options =
         F.when(F.col("answered") & takes_over, one(F.concat(stamp, F.lit("_takeover")), verdict, F.col("tool_ts") + 0.0002, payload(tool_name=quoted(F.col("tool")), content=quoted(reply)), own_tier=F.lit("human"), own_actor=F.col("tool"))),
         F.when(is_run & (F.col("p") == -1) & value_at(run, "$.result").isNotNull(), one(F.concat(base, F.lit("result")), "agent_message", F.when(F.col("ended") != 0, F.col("ended")).otherwise(F.col("began")), payload(result=value_at(run, "$.result"), usage=F.coalesce(F.when(truthy(run, "$.usage"), value_at(run, "$.usage")), F.lit("{}"))))),
     ]
-    found = resorted(flat(rows, emitted, F.lit(scenario_id), ["file", "pos", "m", "p"]), "timestamp", "fragment_id")
-    label = o.architecture
-    if o.auto_architecture:
-        label = "multi_agent" if rows.agg(F.count_distinct("agent")).first()[0] >= 2 else "single_agent"
-    return scenario_rows(found, label, o.stack_tier), found
+    return resorted(flat(rows, emitted, F.col("scenario"), ["file", "pos", "m", "p"]), "timestamp", "fragment_id")
