@@ -3,17 +3,18 @@
 import duckdb
 import pytest
 
-from trailforge.plans import adapter_queries
+from trailforge.plans import adapter_queries, vendor_queries
 
 SF = "/root/testdata/sf0.001"
+QUERIES, ORACLES = adapter_queries.QUERIES | vendor_queries.QUERIES, adapter_queries.ORACLES | vendor_queries.ORACLES
 
 
-@pytest.mark.parametrize("name", sorted(adapter_queries.ORACLES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_queries_equal_sql(spark, name):
     con = duckdb.connect()
     for t in ("events", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    want = con.sql(adapter_queries.ORACLES[name])
-    got = adapter_queries.QUERIES[name](spark, SF)
+    want = con.sql(ORACLES[name])
+    got = QUERIES[name](spark, SF)
     assert sorted(got.columns) == sorted(want.columns)
     assert sorted(map(tuple, got.select(*want.columns).collect()), key=str) == sorted(want.fetchall(), key=str)
