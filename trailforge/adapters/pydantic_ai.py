@@ -36,6 +36,17 @@ def _items(json_text: Column) -> Column:
     return F.coalesce(F.transform(F.try_variant_get(F.try_parse_json(json_text), "$", "array<variant>"), lambda v: F.to_json(v)), F.array().cast("array<string>"))
 
 
+def _tools(run: Column) -> Column:
+    """The run's tool definitions, in one shape."""
+    shape = lambda t: payload(tool_name=F.coalesce(_or(t, "tool_name", "name"), F.lit('"tool_unknown"')), description=raw(value_at(t, "$.description")), params_schema=raw(_or(t, "params_schema", "paramsSchema", "json_schema")), is_takeover=F.when(truthy(t, "$.is_takeover") | truthy(t, "$.isTakeover"), "true").otherwise("false"))
+    return F.transform(F.filter(_items(_or(run, "tools", "tool_definitions", "toolDefinitions")), lambda t: t.startswith("{")), shape)
+
+
+def _config(run: Column) -> Column:
+    """The part of a run's configuration that is read as it stands."""
+    return payload(deps_type=raw(_or(run, "deps_type", "depsType")), result_type=raw(_or(run, "result_type", "resultType")), result_schema=raw(_or(run, "result_schema", "resultTypeSchema", "result_type_schema")))
+
+
 def steps_of(rows: DataFrame, scenario: str | Column) -> DataFrame:
     """One row a step of a run: the run itself (m = -1), each message (p = -1), each part."""
     r = F.col("record")
@@ -46,10 +57,15 @@ def steps_of(rows: DataFrame, scenario: str | Column) -> DataFrame:
         epoch(first_filled(get(r, "$.ts_start"), get(r, "$.tsStart"))).alias("began"), epoch(first_filled(get(r, "$.ts_end"), get(r, "$.tsEnd"), get(r, "$.ts_start"), get(r, "$.tsStart"))).alias("ended"),
         _items(_or(r, "messages", "message_history", "all_messages")).alias("messages"),
     )
-    whole = rows.select("*", F.lit(-1).alias("m"), F.lit("{}").alias("message")).drop("messages")
-    told = rows.select("*", F.posexplode("messages").alias("m", "message")).drop("messages")
+    # what belongs to the run is read once a run, and only its own row carries it further
+    run = F.struct(_config(F.col("run")).alias("config"), value_at("run", "$.result").alias("result"), F.coalesce(_or(F.col("run"), "usage"), F.lit("{}")).alias("usage"))
+    rows = rows.withColumns({"tools": _tools(F.col("run")), "own": run}).drop("run")
+    one = lambda m, text, own: F.struct(m.alias("m"), text.alias("message"), own.alias("whole"))
+    none = F.lit(None).cast("struct<config:string,result:string,usage:string>")
+    told = F.concat(F.array(one(F.lit(-1), F.lit("{}"), F.col("own"))), F.transform("messages", lambda v, i: one(i, v, none)))
+    rows = rows.withColumn("q", F.explode(told)).drop("messages", "own").select("*", "q.*").drop("q")
     x = F.col("message")
-    both = whole.unionByName(told).withColumns({"message_id": first_filled(get(x, "$.message_id"), get(x, "$.messageId"), F.format_string("msg_%04d", F.col("m") + 1)), "kind": F.when(F.col("m") >= 0, first_filled(get(x, "$.kind"), F.lit("request")))})
+    both = rows.withColumns({"message_id": first_filled(get(x, "$.message_id"), get(x, "$.messageId"), F.format_string("msg_%04d", F.col("m") + 1)), "kind": F.when(F.col("m") >= 0, first_filled(get(x, "$.kind"), F.lit("request")))})
     said = epoch(get(x, "$.timestamp"))
     both = both.withColumn("said", F.when(said != 0, said).otherwise(F.col("began")))
     parts = F.concat(F.array(F.struct(F.lit(-1).alias("p"), F.lit("{}").alias("part"))), F.transform(_items(value_at(x, "$.parts")), lambda v, i: F.struct(i.alias("p"), v.alias("part"))))
@@ -80,7 +96,7 @@ def from_records(records_: DataFrame, scenario: str | Column, options: Options =
     several runs, and a run is one record."""
     o = options
     rows = steps_of(records_, scenario)
-    run, x, p = F.col("run"), F.col("message"), F.col("part")
+    x, p = F.col("message"), F.col("part")
     is_call, is_return = F.col("what") == "tool-call", F.col("what") == "tool-return"
     rows = rows.withColumn("call_id", F.when(is_call, F.coalesce("call_id", F.concat_ws("_", F.lit("tool_call"), F.col("m").cast("string"), F.col("p").cast("string")))).when(is_return, F.coalesce("call_id", F.lit(""))))
     key = Window.partitionBy("file", "pos", "call_id", is_call | is_return).orderBy("m", "p")
@@ -91,11 +107,8 @@ def from_records(records_: DataFrame, scenario: str | Column, options: Options =
     pick = lambda f: F.when(F.col("answered"), F.col(f"before.{f}")).otherwise(F.col(f))
     rows = rows.withColumns({"tool": pick("tool"), "args": pick("args"), "tool_ts": pick("ts")})
     # the run's definition of the tool, the last of that name
-    tools = _items(_or(run, "tools", "tool_definitions", "toolDefinitions"))
-    shape = lambda t: payload(tool_name=F.coalesce(_or(t, "tool_name", "name"), F.lit('"tool_unknown"')), description=raw(value_at(t, "$.description")), params_schema=raw(_or(t, "params_schema", "paramsSchema", "json_schema")), is_takeover=F.when(truthy(t, "$.is_takeover") | truthy(t, "$.isTakeover"), "true").otherwise("false"))
-    rows = rows.withColumn("tools", F.transform(F.filter(tools, lambda t: t.startswith("{")), shape))
     definition = F.element_at(F.concat(F.array(F.lit("{}")), F.filter("tools", lambda t: get(t, "$.tool_name") == F.col("tool"))), -1)
-    rows = rows.withColumn("definition", definition)
+    rows = rows.withColumn("definition", F.when(is_call | is_return, definition).otherwise("{}"))
     base = F.concat(F.lit("pydantic_ai_"), "run_id", F.lit("_"))
     stamp = F.concat(base, "tool", F.lit("_"), (F.col("tool_ts") * 1000).cast("long").cast("string"))
     model_name = F.concat(base, "message_id", F.lit("_model"))
@@ -114,7 +127,7 @@ def from_records(records_: DataFrame, scenario: str | Column, options: Options =
         return fragment(name, at, kind, body, F.lit(o.stack_tier) if own_tier is None else own_tier, actor if own_actor is None else own_actor, F.col("run_id"), F.col("run_id"))
 
     named = lambda end: F.concat(base, "message_id", F.lit(f"_{end}_"), (F.col("p") + 1).cast("string"))
-    config = payload(agent_name=quoted(F.col("agent")), model=quoted(F.col("model")), deps_type=raw(_or(run, "deps_type", "depsType")), result_type=raw(_or(run, "result_type", "resultType")), result_schema=raw(_or(run, "result_schema", "resultTypeSchema", "result_type_schema")), tools=F.concat(F.lit("["), F.array_join("tools", ", "), F.lit("]")))
+    config = payload(agent_name=quoted(F.col("agent")), model=quoted(F.col("model")), **{k: raw(value_at("whole.config", f"$.{k}")) for k in ("deps_type", "result_type", "result_schema")}, tools=F.concat(F.lit("["), F.array_join("tools", ", "), F.lit("]")))
     model = payload(model_id=F.coalesce(_or(x, "model_name", "modelName"), quoted(F.col("model"))), internal_reasoning=F.lit('"opaque"'), kind_metadata=F.coalesce(_or(x, "kind_metadata", "kindMetadata"), F.lit("{}")), text=text)
     is_run, works = F.col("m") == -1, F.col("answered") | F.col("open")
     called = payload(tool_name=quoted(F.col("tool")), args=F.col("args"), result=F.when(F.col("answered"), raw(value_at(p, "$.content"))), incomplete=F.when(F.col("open"), "true"))
@@ -131,6 +144,6 @@ def from_records(records_: DataFrame, scenario: str | Column, options: Options =
         F.when(works, one(F.concat(stamp, F.lit("_tool")), "tool_call", F.col("tool_ts"), called, **by_tool)),
         F.when(works & matches(filled(F.col("tool")), o.state_mutation_tool_pattern, False), one(F.concat(stamp, F.lit("_state")), "state_mutation", F.col("tool_ts") + 0.0001, payload(tool_name=quoted(F.col("tool")), args=F.col("args")), **by_tool)),
         F.when(F.col("answered") & takes_over, one(F.concat(stamp, F.lit("_takeover")), verdict, F.col("tool_ts") + 0.0002, payload(tool_name=quoted(F.col("tool")), content=quoted(reply)), own_tier=F.lit("human"), own_actor=F.col("tool"))),
-        F.when(is_run & (F.col("p") == -1) & value_at(run, "$.result").isNotNull(), one(F.concat(base, F.lit("result")), "agent_message", F.when(F.col("ended") != 0, F.col("ended")).otherwise(F.col("began")), payload(result=value_at(run, "$.result"), usage=F.coalesce(F.when(truthy(run, "$.usage"), value_at(run, "$.usage")), F.lit("{}"))))),
+        F.when(is_run & (F.col("p") == -1) & F.col("whole.result").isNotNull(), one(F.concat(base, F.lit("result")), "agent_message", F.when(F.col("ended") != 0, F.col("ended")).otherwise(F.col("began")), payload(result=F.col("whole.result"), usage=F.col("whole.usage")))),
     ]
     return resorted(flat(rows, emitted, F.col("scenario"), ["file", "pos", "m", "p"]), "timestamp", "fragment_id")
