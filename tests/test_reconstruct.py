@@ -10,9 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from trailforge.functions import scalars as S
-from trailforge.operators import boundary, classify, evaluate, ordering, pairing
+from trailforge.operators import boundary, classify, evaluate, ordering, pairing, values
 from trailforge.plans import queries
-from trailforge.schema import BREAKS, CATEGORIES, FRAGMENT
+from trailforge.schema import BREAKS, CATEGORIES, FILLERS, FRAGMENT
 from trailforge.sources import manifests
 
 #: Recorded results of worked examples, read as data; without them these tests are left out.
@@ -101,6 +101,26 @@ def test_causal_order_against_plain_python(spark):
     assert all(kids[r[0], r[2]] == [x[2] for x in rows if x[0] == r[0] and x[8] == r[2]] for r in rows)
 
 
+def test_causal_order_of_chains_cycles_and_shared_ids(spark):
+    """Deep chains against the clock, cycles with tails, ids that several rows share."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for s in range(40):
+        n = int(rng.integers(2, 25))
+        ids = [f"f{rng.integers(n)}" for _ in range(n)] if s % 2 else [f"f{i}" for i in range(n)]
+        for i in range(n):
+            parent = ids[int(rng.integers(n))] if rng.random() < 0.9 else None
+            rows.append(fragment(i, ids[i], rng.integers(0, 9), parent=parent, scenario=f"s{s:02d}"))
+    rows += [fragment(i, f"c{i:03d}", 500 - i, parent=f"c{i - 1:03d}" if i else None, scenario="chain") for i in range(500)]
+    rows += [fragment(i, f"r{i:03d}", (i * 37) % 101, parent=f"r{(i + 1) % 101:03d}", scenario="ring") for i in range(101)]
+    rows += [fragment(i, f"x{i}", i, parent="x0", scenario="star") for i in range(30)]
+    got = {}
+    for r in ordering.order_fragments(spark.createDataFrame(rows, FRAGMENT).repartition(3)).orderBy("scenario_id", "rn").collect():
+        got.setdefault(r.scenario_id, []).append(r.seq)
+    for s in got:
+        assert got[s] == plain_order([r for r in rows if r[0] == s]), s
+
+
 def test_boundaries(spark):
     rows = [
         fragment(0, "a", 0, "tool_call", "x"),
@@ -151,13 +171,98 @@ def test_fifo_pairs_against_plain_python(spark):
     assert {tuple(r) for r in pairing.fifo(table, ["k"], ["i"], "i", "opens").collect()} == want
 
 
-@pytest.mark.parametrize(
-    "found, truth, tolerance, f1",
-    [([2, 3, 1], [1, 4], 0, None), ([1, 4], [1, 4], 0, 1.0), ([1, 4], [2, 5], 1, 1.0), ([1, 4], [1], 0, 2 / 3), ([], [], 1, 1.0), ([], [1], 1, 0.0), ([1], [], 1, 0.0)],
-)
-def test_boundary_f1(spark, found, truth, tolerance, f1):
-    row = spark.createDataFrame([(found, truth, tolerance)], "f array<int>, t array<int>, tol int").select(evaluate.boundary_f1("f", "t", "tol")).first()[0]
-    assert f1 is None or row == pytest.approx(f1)
+def plain_f1(found, truth, tolerance):
+    if not found or not truth:
+        return 0, float(len(found) == len(truth))
+    free, hits = list(dict.fromkeys(truth)), 0
+    for d in found:
+        near = next((t for t in free if abs(d - t) <= tolerance), None)
+        if near is not None:
+            free.remove(near)
+            hits += 1
+    precision, recall = hits / len(found), hits / len(truth)
+    return hits, 2 * precision * recall / (precision + recall) if hits else 0.0
+
+
+def test_boundary_f1_against_plain_python(spark):
+    """One-to-one matches in any order of the true ones: sparse, dense, and one long run."""
+    rng = np.random.default_rng(6)
+    cases = [([], []), ([], [1]), ([1], []), ([1, 4], [1, 4]), ([1, 4], [1]), ([2, 3, 1], [1, 4]), (list(range(200)), list(range(1, 300, 2)))]
+    cases += [(sorted(rng.choice(60, rng.integers(0, 40), replace=False).tolist()), rng.choice(60, rng.integers(0, 40), replace=False).tolist()) for _ in range(60)]
+    cases[5] = ([1, 2, 3], [4, 1, 2])
+    cases.append(([1, 2, 3], [1, 1, 4]))
+    names = spark.createDataFrame([(str(i),) for i in range(len(cases))], "scenario_id string")
+    found = spark.createDataFrame([(str(i), d) for i, (f, _) in enumerate(cases) for d in f], "scenario_id string, pos int")
+    truth = spark.createDataFrame([(str(i), t, k) for i, (_, ts) in enumerate(cases) for k, t in enumerate(ts)], "scenario_id string, pos int, place int")
+    for tolerance in (0, 1, 3):
+        got = {int(r.scenario_id): (r.hits, r.boundary_f1) for r in evaluate.boundary_f1(names, found, truth, tolerance).collect()}
+        assert got == {i: plain_f1(f, t, tolerance) for i, (f, t) in enumerate(cases)}
+
+
+def test_true_positions_in_set_order(spark):
+    lists = [[3, 1, 2], [8, 0, 16, 9], [5, 5], []]
+    got = spark.createDataFrame([(x,) for x in lists], "t array<int>").select(evaluate.in_set_order("t").alias("s")).collect()
+    assert [r.s for r in got] == [list(set(x)) for x in lists]
+
+
+def plain_values(rows, architecture, tier):
+    """{property: (category, value)} of the rules for one unit, from its fragments in order."""
+    actors, out = sorted({r[6] for r in rows}), {}
+    for prop, kinds in FILLERS.items():
+        bodies = [r[7] for r in rows if r[4] in kinds]
+        if prop == "reasoning_trace" and bodies:
+            out[prop] = ("opaque", "text", json.dumps("<authorization_envelope>"))
+        elif tier == "cross_stack" and prop in ("inputs", "post_condition_state"):
+            out[prop] = ("partially_fillable", "payload", bodies[0]) if bodies else ("structurally_unfillable", None, None)
+        elif architecture == "multi_agent" and prop == "operator_identity" and len(actors) > 2:
+            out[prop] = ("partially_fillable", "actors", json.dumps(actors))
+        elif architecture == "multi_agent" and prop == "output_action" and len(actors) >= 2 and bodies:
+            out[prop] = ("partially_fillable", "payload", bodies[0])
+        elif not bodies:
+            out[prop] = ("structurally_unfillable", None, None)
+        else:
+            out[prop] = ("fully_fillable", "payload", bodies[0]) if len(bodies) == 1 else ("fully_fillable", "list", "[" + ", ".join(bodies) + "]")
+    return out
+
+
+def test_values_against_plain_python(spark):
+    """The evidence of every unit, and of the chain's best units, with actors whose names need escapes."""
+    rng = np.random.default_rng(9)
+    rows, kinds = [], sorted({k for ks in FILLERS.values() for k in ks} | {"error"})
+    cells = [(a, t) for a in ("single_agent", "multi_agent", "human_in_the_loop") for t in ("within_stack", "cross_stack")]
+    for s in range(30):
+        for i in range(int(rng.integers(1, 15))):
+            actor = ['a"1', "b", "ü", "d"][int(rng.integers(0, 1 + s % 4))]
+            r = fragment(i, f"f{i:02d}", i, str(rng.choice(kinds)), actor, scenario=f"s{s}", magnitude=1.0)
+            rows.append((*r[:7], json.dumps({"n": i, "s": s}), *r[8:]))
+    scenarios = spark.createDataFrame([(f"s{s}", *cells[s % 6]) for s in range(31)], "scenario_id string, architecture string, stack_tier string")
+    detected = boundary.detect(ordering.order_fragments(spark.createDataFrame(rows, FRAGMENT))).cache()
+    units, names = {}, {s.scenario_id: (s.architecture, s.stack_tier) for s in scenarios.collect()}
+    for d, r in zip(detected.orderBy("scenario_id", "seq").collect(), sorted(rows, key=lambda r: (r[0], r[1])), strict=True):
+        units.setdefault((d.scenario_id, d.unit_idx), []).append(r)
+    want = {(s, u, p): v for (s, u), own in units.items() for p, v in plain_values(own, *names[s]).items()}
+    load = lambda text: None if text is None else json.loads(text)
+    got = {(r.scenario_id, r.unit_idx, r.property): (r.category, r.value_shape, load(r.value)) for r in values.unit_values(scenarios, detected).collect()}
+    assert got == {k: (c, shape, load(v)) for k, (c, shape, v) in want.items()}
+    rank = {"fully_fillable": 4, "opaque": 3, "partially_fillable": 2, "structurally_unfillable": 1}
+    weight = lambda p, c, s: {"fully_fillable": 1.0, "opaque": 0.9, "structurally_unfillable": 0.0}.get(c, 0.6 if p == "output_action" else 0.5)
+    chain = {(r.scenario_id, r.property): r for r in values.chain_values(scenarios, detected).collect()}
+    assert len(chain) == 31 * 7 and all(chain["s30", p].value is None for p in FILLERS)
+    for s, (architecture, _) in names.items():
+        everyone = sorted({r[6] for r in rows if r[0] == s})
+        for p in FILLERS:
+            own = [(rank[v[0]], weight(p, v[0], s), -u, v) for (x, u, q), v in want.items() if x == s and q == p]
+            r = chain[s, p]
+            if not own:
+                continue
+            best = max(own)[3]
+            if architecture == "multi_agent" and len(everyone) >= 3 and p == "operator_identity":
+                assert (r.value_shape, load(r.value)) == ("actors", everyone)
+            elif r.category == "structurally_unfillable":
+                assert r.value is None and r.value_shape is None
+            else:
+                assert (r.value_shape, load(r.value)) == (best[1], load(best[2])), (s, p)
+    detected.unpersist()
 
 
 def test_scalars(spark):

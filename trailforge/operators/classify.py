@@ -107,22 +107,24 @@ def mode_break(mode: Column) -> Column:
 
 def chains(scenarios: DataFrame, counts: DataFrame) -> DataFrame:
     """One row for each scenario, those without fragments included: counts of fragments, units and
-    actors, and ``per_property``, seven structs (ord, property, category, confidence, gap, weight, mode).
+    actors, and ``per_property``, seven structs (ord, property, category, confidence, gap, weight, mode, and
+    unit_idx and matches of the unit that the finding comes from).
 
     A property is as good as in its best unit (category, then confidence, then the earlier unit).
     The seven are columns of one aggregation, so no row is multiplied and nothing is regrouped."""
     unit = _units(counts, scenarios)
     rank = lambda f: _by_value(f["category"], {k: F.lit(v) for k, v in _RANK.items()}, "int")
-    best = [F.max_by(f"f{i}", F.struct(rank(F.col(f"f{i}")), F.col(f"f{i}.confidence"), -F.col("unit_idx"))).alias(f"b{i}") for i in range(len(PROPERTIES))]
+    own = lambda i: F.struct(F.col(f"f{i}").alias("f"), "unit_idx", F.col(f"m{i}").alias("matches"))
+    best = [F.max_by(own(i), F.struct(rank(F.col(f"f{i}")), F.col(f"f{i}.confidence"), -F.col("unit_idx"))).alias(f"b{i}") for i in range(len(PROPERTIES))]
     policy = F.col(f"m{PROPERTIES.index('policy_basis')}") > 0
     chain = unit.groupBy("scenario_id").agg(*best, F.sum("new_actors").alias("actors"), F.count_if(policy).alias("policy_units"), F.count(F.lit(1)).cast("int").alias("units_detected"), F.sum("n").cast("int").alias("fragments"))
     rows = scenarios.select("scenario_id", "architecture", F.col("stack_tier").alias("tier")).join(chain, "scenario_id", "left")
-    rows = rows.withColumns({f"c{i}": _chain_finding(p, F.col(f"b{i}")) for i, p in enumerate(PROPERTIES)})
+    rows = rows.withColumns({f"c{i}": _chain_finding(p, F.col(f"b{i}.f")) for i, p in enumerate(PROPERTIES)})
 
     def one(i: int, p: str) -> Column:
         f = F.col(f"c{i}")
         weight = F.when(f["category"].isin(FULL, OPAQUE), 1.0).when(f["category"] == PARTIAL, f["confidence"]).otherwise(0.0)
-        return F.struct(F.lit(i).alias("ord"), F.lit(p).alias("property"), f["category"].alias("category"), f["confidence"].alias("confidence"), f["gap"].alias("gap"), weight.alias("weight"), failure_mode(p, f["category"]).alias("mode"))
+        return F.struct(F.lit(i).alias("ord"), F.lit(p).alias("property"), f["category"].alias("category"), f["confidence"].alias("confidence"), f["gap"].alias("gap"), weight.alias("weight"), failure_mode(p, f["category"]).alias("mode"), F.col(f"b{i}.unit_idx").alias("unit_idx"), F.col(f"b{i}.matches").alias("matches"))
 
     per = F.array(*[one(i, p) for i, p in enumerate(PROPERTIES)])
     none = {c: F.coalesce(c, F.lit(0)) for c in ("fragments", "units_detected", "actors")}
@@ -130,7 +132,7 @@ def chains(scenarios: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def chain_feasibility(chain_rows: DataFrame) -> DataFrame:
-    """(scenario_id, architecture, tier, ord, property, category, confidence, gap, weight, mode):
+    """(scenario_id, architecture, tier, ord, property, category, confidence, gap, weight, mode, unit_idx, matches):
     seven rows for each scenario."""
     return chain_rows.select("scenario_id", "architecture", "tier", F.explode("per_property").alias("p")).select("scenario_id", "architecture", "tier", "p.*")
 

@@ -7,13 +7,16 @@ import random
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailforge.operators.classify import mode_break, reconstruct
+from trailforge.operators.boundary import detect
+from trailforge.operators.classify import chains, mode_break, reports, unit_actor_counts
+from trailforge.operators.ordering import order_fragments
 from trailforge.schema import AGENTIC, CATEGORIES, PROPERTIES
 from trailforge.sources.manifests import promoted
+from trailforge.sources.scratch import written
 
 # Fixed values of the synthetic matrix.
 START, SEED_STEP = 1_700_000_000.0, 100.0
@@ -23,12 +26,17 @@ MODELS = ("gpt-4o", "claude-3-5", "llama-70b")
 _RAW = "scenario_id string, architecture string, stack_tier string, seed int, truth array<int>, seq bigint, fragment_id string, timestamp double, kind string, fragment_tier string, actor_id string, payload string"
 
 
+def stable_seed(*names: Column) -> Column:
+    """The first 31 bits of the digest of the names, joined by ``|``."""
+    digest = F.sha2(F.concat_ws("|", *[n.cast("string") for n in names]).cast("binary"), 256)
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+
+
 def seeds(spark: SparkSession, per_cell: int) -> DataFrame:
     """(cell, k, architecture, tier, seed): a row for each scenario of the matrix."""
     cells = [(i, a, t) for i, (a, t) in enumerate([(a, t) for a in AGENTIC for t in ("within_stack", "cross_stack")] + [("non_agentic", "baseline")])]
     dims = spark.createDataFrame(cells, "cell int, architecture string, tier string")
-    name = F.concat_ws("|", "architecture", "tier", F.col("k").cast("string"))
-    seed = F.conv(F.substring(F.sha2(name.cast("binary"), 256), 1, 8), 16, 10).cast("long").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
+    seed = stable_seed(F.col("architecture"), F.col("tier"), F.col("k"))
     return spark.range(per_cell).select(F.col("id").cast("int").alias("k")).crossJoin(F.broadcast(dims)).withColumn("seed", seed)
 
 
@@ -117,43 +125,66 @@ def matrix(spark: SparkSession, per_cell: int = 20) -> tuple[DataFrame, DataFram
     return first.join(order, "scenario_id"), promoted(fragments)
 
 
-@F.pandas_udf(T.DoubleType())
-def boundary_f1(found: pd.Series, truth: pd.Series, tolerance: pd.Series) -> pd.Series:
-    """F1 of boundary positions, matched one to one within a tolerance.
-
-    A found boundary takes the first free true one in the order of a Python set, as the recorded
-    results did; a sorted match differs in rare cases."""
-
-    def one(f, t, tol) -> float:
-        if not len(f) or not len(t):
-            return float(len(f) == len(t))
-        free, hits = list({int(x) for x in t}), 0
-        for x in f:
-            near = next((y for y in free if abs(x - y) <= tol), None)
-            if near is not None:
-                free.remove(near)
-                hits += 1
-        precision, recall = hits / len(f), hits / len(t)
-        return 2 * precision * recall / (precision + recall) if hits else 0.0
-
-    return pd.Series([one(f, t, tol) for f, t, tol in zip(found, truth, tolerance, strict=True)])
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def in_set_order(positions: pd.Series) -> pd.Series:
+    """The distinct positions of each list in the order of a Python set, in which the recorded results took them."""
+    return positions.map(lambda p: list({int(x) for x in p}))
+
+
+def matched(found: DataFrame, truth: DataFrame, tolerance: int) -> DataFrame:
+    """(scenario_id, hits): how many found boundaries (scenario_id, pos) have a true one (scenario_id, pos, place) of
+    their own, at most ``tolerance`` fragments off.
+
+    In order of position each found boundary takes, of the free true ones in reach, the one with the least
+    ``place``. Positions in reach meet by an equi-join on each offset. Found boundaries that share no true
+    one with an earlier one begin a run; runs decide nothing about each other, and each is settled by one
+    fold over its own rows, which remembers only the true ones still in reach. Repeated positions are one.
+    """
+    truth = truth.groupBy("scenario_id", F.col("pos").alias("t")).agg(F.min("place").alias("place"))
+    reach = F.explode(F.sequence(F.col("pos") - tolerance, F.col("pos") + tolerance)).alias("t")
+    near = found.select("scenario_id", "pos").distinct().select("scenario_id", "pos", reach).join(truth, ["scenario_id", "t"])
+    near = near.groupBy("scenario_id", "pos").agg(F.array_sort(F.collect_list(F.struct("place", "t"))).alias("near"))
+    by = Window.partitionBy("scenario_id").orderBy("pos")
+    begins = F.when(F.col("pos") - F.lag("pos").over(by) <= 2 * tolerance, 0).otherwise(1)
+    runs = near.withColumn("_begins", begins).withColumn("run", F.sum("_begins").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    runs = runs.groupBy("scenario_id", "run").agg(F.array_sort(F.collect_list(F.struct("pos", "near"))).alias("rows"))
+
+    def step(done, row):
+        mine = F.slice(F.filter(F.transform(row["near"], lambda x: x["t"]), lambda t: ~F.array_contains(done["taken"], t)), 1, 1)
+        still = F.filter(done["taken"], lambda t: t > row["pos"] - tolerance)
+        return F.struct((done["hits"] + F.size(mine)).cast("long").alias("hits"), F.concat(still, mine).alias("taken"))
+
+    start = F.struct(F.lit(0).cast("long").alias("hits"), F.array().cast("array<int>").alias("taken"))
+    settled = runs.select("scenario_id", F.aggregate("rows", start, step)["hits"].alias("hits"))
+    return settled.groupBy("scenario_id").agg(F.sum("hits").alias("hits"))
+
+
+def boundary_f1(scenarios: DataFrame, found: DataFrame, truth: DataFrame, tolerance: int = 1) -> DataFrame:
+    """(scenario_id, found, truth, hits, boundary_f1) of each scenario: F1 of the found boundaries (scenario_id, pos)
+    against the true ones (scenario_id, pos, place), matched one to one. Two empty sides agree fully, one alone not at all."""
+    count = lambda rows, name: rows.groupBy("scenario_id").agg(F.count(F.lit(1)).alias(name))
+    rows = scenarios.select("scenario_id").join(count(found, "found"), "scenario_id", "left").join(count(truth, "truth"), "scenario_id", "left")
+    rows = rows.join(matched(found, truth, tolerance), "scenario_id", "left").fillna(0, ["found", "truth", "hits"])
+    precision, recall = F.col("hits") / F.col("found"), F.col("hits") / F.col("truth")
+    empty = (F.col("found") == 0) | (F.col("truth") == 0)
+    f1 = F.when(empty, (F.col("found") == F.col("truth")).cast("double")).when(F.col("hits") == 0, 0.0).otherwise(F.lit(2.0) * precision * recall / (precision + recall))
+    return rows.withColumn("boundary_f1", f1)
 
 
 def detected_positions(detected: DataFrame) -> DataFrame:
-    """(scenario_id, found): the places of the last fragments of all units but the last."""
-    starts = detected.where("reason is not null and rn > 1").groupBy("scenario_id")
-    return starts.agg(F.array_sort(F.collect_list((F.col("rn") - 2).cast("int"))).alias("found"))
+    """(scenario_id, pos): the places, from 0, of the last fragments of all units but the last."""
+    return detected.where("reason is not null and rn > 1").select("scenario_id", (F.col("rn") - 2).cast("int").alias("pos"))
 
 
 def evaluate(scenarios: DataFrame, fragments: DataFrame) -> DataFrame:
-    """A row for each scenario: the report, and F1 against the true boundaries."""
-    from trailforge.operators.boundary import detect
-    from trailforge.operators.ordering import order_fragments
+    """A row for each scenario: the report, and F1 against the true boundaries (an array of positions).
 
-    found = detected_positions(detect(order_fragments(fragments)))
-    report = reconstruct(scenarios, fragments)
-    rows = report.join(scenarios.select("scenario_id", "seed", "truth", "position"), "scenario_id").join(found, "scenario_id", "left")
-    return rows.withColumn("boundary_f1", boundary_f1(F.coalesce("found", F.array().cast("array<int>")), "truth", F.lit(1)))
+    The fragments are ordered and cut once, into a written table."""
+    detected = written(detect(order_fragments(fragments)).select("scenario_id", "rn", "kind", "actor_id", "reason", "unit_idx"), "detected")
+    truth = scenarios.select("scenario_id", F.posexplode(in_set_order("truth")).alias("place", "pos"))
+    scored = boundary_f1(scenarios, detected_positions(detected), truth).select("scenario_id", "boundary_f1")
+    report = reports(chains(scenarios, unit_actor_counts(detected)))
+    return report.join(scenarios.select("scenario_id", "seed", "truth", "position"), "scenario_id").join(scored, "scenario_id")
 
 
 def bootstrap_ci(values: DataFrame, group: list[str], value: str, order: str, rounds: int = 1000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
@@ -208,4 +239,4 @@ def per_property(evaluated: DataFrame) -> DataFrame:
     return rows.groupBy("ord", "property").agg(*share)
 
 
-__all__ = ["PROPERTIES", "bootstrap_ci", "boundary_f1", "cells", "evaluate", "matrix", "per_property", "seeds"]
+__all__ = ["PROPERTIES", "bootstrap_ci", "boundary_f1", "cells", "evaluate", "matched", "matrix", "per_property", "seeds"]

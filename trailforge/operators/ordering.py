@@ -2,62 +2,97 @@
 
 from __future__ import annotations
 
-import heapq
+from math import ceil, log2
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _topological(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Ranks of one scenario: the smallest (timestamp, id) whose parent is not waiting comes next;
-    if all wait for each other, the smallest does."""
-    rows = pdf.sort_values(["timestamp", "fragment_id", "seq"], kind="stable").reset_index(drop=True)
-    ids, parents = rows["fragment_id"].tolist(), rows["parent_trace_id"].tolist()
-    copies: dict[str, int] = {}
-    for name in ids:
-        copies[name] = copies.get(name, 0) + 1
-    waiting: dict[str, list[int]] = {}
-    ready, blocked = [], []
-    for k, parent in enumerate(parents):
-        if isinstance(parent, str) and parent in copies:
-            waiting.setdefault(parent, []).append(k)
-            heapq.heappush(blocked, k)
-        else:
-            ready.append(k)
-    heapq.heapify(ready)
-    rank, done = [0] * len(ids), [False] * len(ids)
-    for at in range(1, len(ids) + 1):
-        while ready and done[ready[0]]:
-            heapq.heappop(ready)
-        source = ready if ready else blocked
-        while done[source[0]]:
-            heapq.heappop(source)
-        k = heapq.heappop(source)
-        done[k], rank[k] = True, at
-        # an id is gone with the first of its rows
-        if copies.pop(ids[k], None) is not None:
-            for child in waiting.pop(ids[k], ()):
-                heapq.heappush(ready, child)
-    return rows.assign(rn=rank)
+from trailforge.sources.scratch import written
 
 
 def order_fragments(fragments: DataFrame, parents: bool = True) -> DataFrame:
     """Fragments with ``rn`` from 1: by timestamp, then id, a parent before its children.
 
-    Scenarios in which no parent id is a fragment id (all that vendor traces gave so far) are
-    ordered by one window; only the others are ordered scenario by scenario in Python.
-    ``parents=False`` says that there are none, and saves the look.
+    At each place stands the smallest fragment, by time and id, whose parent is not still to come; if all that are left
+    wait for each other, the smallest of them does. An id has come when the first of its rows has; a parent
+    that is no fragment is none. ``parents=False`` says that there are no links, and saves the look.
+
+    One window numbers all by time. What links change is a key of three parts, so one more window sorts all: whether a
+    fragment hangs on a cycle, the fragment at which that cycle is broken, and the *path of falling
+    maxima*: of the ancestors from the top down to the fragment, those that are later than all below them, the
+    fragment itself last. (Once a late fragment has come, the earlier ones below it follow at once, before
+    anything later; so fragments come in the order of the latest ancestor, then of the latest one
+    below that, and so on.) Keys are found by pointer doubling: joins in number the logarithm of the deepest chain.
     """
     by_time = Window.partitionBy("scenario_id").orderBy("timestamp", "fragment_id", "seq")
+    ranked = fragments.withColumn("rn", F.row_number().over(by_time))
     if not parents:
-        return fragments.withColumn("rn", F.row_number().over(by_time))
-    ids = fragments.select("scenario_id", F.col("fragment_id").alias("parent_trace_id")).distinct()
-    linked = fragments.where("parent_trace_id is not null").join(ids, ["scenario_id", "parent_trace_id"], "left_semi").select("scenario_id").distinct()
-    plain = fragments.join(linked, "scenario_id", "left_anti").withColumn("rn", F.row_number().over(by_time))
-    schema = fragments.withColumn("rn", F.lit(1)).schema
-    tied = fragments.join(linked, "scenario_id", "left_semi").groupBy("scenario_id").applyInPandas(_topological, schema)
-    return plain.unionByName(tied)
+        return ranked
+    keys = _causal_keys(ranked.select("scenario_id", "rn", "fragment_id", "parent_trace_id"))
+    if keys is None:
+        return ranked
+    own = {"_blocked": F.coalesce("_blocked", F.lit(False)), "_root": F.coalesce("_root", F.lit(0)), "_path": F.coalesce("_path", F.array("rn"))}
+    keyed = ranked.join(keys, ["scenario_id", "rn"], "left").withColumns(own)
+    place = F.row_number().over(Window.partitionBy("scenario_id").orderBy(*own))
+    return keyed.withColumn("rn", place).select(*ranked.columns)
+
+
+def _causal_keys(ranked: DataFrame) -> DataFrame | None:
+    """(scenario_id, rn, _blocked, _root, _path) of the fragments with a parent among the fragments; None if there are none."""
+    parent = ranked.select("scenario_id", F.col("fragment_id").alias("parent_trace_id"), F.col("rn").alias("p"))
+    links = ranked.where("parent_trace_id is not null").join(parent, ["scenario_id", "parent_trace_id"]).select("scenario_id", F.col("rn").alias("v"), "p")
+    links = written(links, "parent-links")
+    rows, several = links.groupBy("scenario_id", "v").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)), F.max("n")).first()
+    if not rows:
+        return None
+    chosen = links.groupBy("scenario_id", "v").agg(F.min("p").alias("p"))
+    while True:
+        chosen = written(chosen, "parents")
+        keys = _keys(chosen)
+        named = keys.withColumnRenamed("v", "rn")
+        if several == 1:
+            return named
+        # rows share an id: the first of them to come is the parent, and keys say which that is; each round finds earlier ones
+        first = F.struct(F.coalesce("_blocked", F.lit(False)), F.coalesce("_root", F.lit(0)), F.coalesce("_path", F.array("p")), "p")
+        better = links.join(keys.withColumnRenamed("v", "p"), ["scenario_id", "p"], "left").groupBy("scenario_id", "v").agg(F.min(first)["p"].alias("p"))
+        better = written(better, "parents")
+        if not better.join(chosen, ["scenario_id", "v", "p"], "left_anti").take(1):
+            return named
+        chosen = better
+
+
+def _later_first(above: Column, below: Column) -> Column:
+    """The path of falling maxima of a chain from those of its upper and its lower part."""
+    return F.concat(F.filter(above, lambda x: x > below[0]), below)
+
+
+def _climbed(links: DataFrame, rounds: int) -> DataFrame:
+    """Links (scenario_id, v, p) -> (scenario_id, v, up, path, low): the path up to the top and the least of it; ``up`` is
+    null where the top was reached, that is, not on or below a cycle."""
+    state = links.select("scenario_id", "v", F.col("p").alias("up"), F.array("v").alias("path"), F.col("v").alias("low"))
+    for _ in range(rounds):
+        above = state.select("scenario_id", F.col("v").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"), F.col("low").alias("_low"))
+        joined = state.join(above, ["scenario_id", "up"], "left")
+        higher = F.coalesce("_path", F.when(F.col("up").isNotNull(), F.array("up")), F.array().cast("array<int>"))
+        state = written(joined.select("scenario_id", "v", F.col("_up").alias("up"), _later_first(higher, F.col("path")).alias("path"), F.least("low", "_low").alias("low")), "climbed")
+        if not state.where("up is not null").take(1):
+            break
+    return state
+
+
+def _keys(links: DataFrame) -> DataFrame:
+    """Links (scenario_id, v, p), one a fragment -> their keys (scenario_id, v, _blocked, _root, _path)."""
+    deepest = links.groupBy("scenario_id").count().agg(F.max("count")).first()[0]
+    rounds = ceil(log2(deepest + 1)) + 1
+    found = _climbed(links, rounds)
+    free = found.where("up is null").select("scenario_id", "v", F.lit(False).alias("_blocked"), F.lit(0).alias("_root"), F.col("path").alias("_path"))
+    stuck = found.where("up is not null").select("scenario_id", "v", F.col("low").alias("_root"))
+    if not stuck.take(1):
+        return free
+    # whatever waits for a cycle comes after the first of all that it waits for, itself included
+    below = _climbed(written(links.join(stuck.where("v <> _root"), ["scenario_id", "v"], "left_semi"), "cut-links"), rounds).select("scenario_id", "v", "path")
+    paths = stuck.join(below, ["scenario_id", "v"], "left").select("scenario_id", "v", F.lit(True).alias("_blocked"), "_root", F.coalesce("path", F.array("v")).alias("_path"))
+    return free.unionByName(paths)
 
 
 def causal_edges(fragments: DataFrame) -> DataFrame:

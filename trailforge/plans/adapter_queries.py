@@ -99,17 +99,21 @@ def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.reconstruct(traces.events_as_scenarios(spark, sf_dir), traces.events_as_fragments(spark, sf_dir), parents=False)
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(scenario_id, boundary_f1): found boundaries against the places of ``error`` rows, matched exactly."""
+def _scored(spark: SparkSession, sf_dir: str, tolerance: int) -> DataFrame:
+    """(scenario_id, boundary_f1): found boundaries against the places of ``error`` rows."""
     detected = boundary.detect(ordering.order_fragments(traces.events_as_fragments(spark, sf_dir), parents=False))
-    errors = F.collect_list(F.when(F.col("kind") == "error", (F.col("rn") - 1).cast("int")))
-    truth = detected.groupBy("scenario_id").agg(F.array_sort(errors).alias("truth"))
-    rows = truth.join(evaluate.detected_positions(detected), "scenario_id", "left")
-    return rows.select("scenario_id", evaluate.boundary_f1(F.coalesce("found", F.array().cast("array<int>")), "truth", F.lit(0)).alias("boundary_f1"))
+    truth = detected.where("kind = 'error'").select("scenario_id", (F.col("rn") - 1).cast("int").alias("pos"), F.col("rn").alias("place"))
+    return evaluate.boundary_f1(traces.events_as_scenarios(spark, sf_dir), evaluate.detected_positions(detected), truth, tolerance)
 
 
 def boundary_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir)
+    """Matched exactly."""
+    return _scored(spark, sf_dir, 0).select("scenario_id", "boundary_f1")
+
+
+def boundary_f1_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matched one to one within one fragment."""
+    return _scored(spark, sf_dir, 1).select("scenario_id", *[F.col(c).cast("long").alias(c) for c in ("found", "truth", "hits")], "boundary_f1")
 
 
 def property_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,11 +124,11 @@ def property_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Completeness, F1 and modal mode of each architecture and tier; intervals, whose draws are
     Python's own random numbers, are left to the tests."""
-    rows = _reports(spark, sf_dir).join(_scored(spark, sf_dir), "scenario_id").withColumn("position", F.col("scenario_id").cast("int"))
+    rows = _reports(spark, sf_dir).join(boundary_f1(spark, sf_dir), "scenario_id").withColumn("position", F.col("scenario_id").cast("int"))
     return evaluate.cells(rows).select("architecture", "stack_tier", "n", "completeness_pct", "boundary_f1", "modal_mode", "modal_mode_share", "dominant_break")
 
 
-QUERIES = {f.__name__: f for f in (langsmith_fragments, otlp_fragments, mcp_fragments, content_digest, redacted_payloads, boundary_f1, property_shares, cells)}
+QUERIES = {f.__name__: f for f in (langsmith_fragments, otlp_fragments, mcp_fragments, content_digest, redacted_payloads, boundary_f1, boundary_f1_near, property_shares, cells)}
 
 # --- SQL ---------------------------------------------------------------------------------
 
@@ -199,6 +203,17 @@ ORACLES = {
     "redacted_payloads": """SELECT event_id, '{"api_key": "[REDACTED]", "items": [{"n": ' || k || ', "access_token": "[REDACTED]", "note": ' || CASE WHEN k % 3 = 0 THEN '"[REDACTED]"' ELSE '"plain"' END || '}]}' AS document
        FROM (SELECT event_id, json_extract_string(props, '$.k')::INTEGER AS k FROM events)""",
     "boundary_f1": _with(_FRAG, _DET, _F1) + "SELECT scenario_id, boundary_f1 FROM f1",
+    "boundary_f1_near": "WITH RECURSIVE "
+    + ",\n".join((_FRAG, _DET))
+    + """, ds AS (SELECT scenario_id, rn - 2 AS d, row_number() OVER (PARTITION BY scenario_id ORDER BY rn) AS i FROM det WHERE reason IS NOT NULL AND rn > 1),
+    ts AS (SELECT scenario_id, list(rn - 1 ORDER BY rn) AS free, count(*) AS n FROM det WHERE kind = 'error' GROUP BY 1),
+    run AS (SELECT scenario_id, free, 0::BIGINT AS i, 0::BIGINT AS hits FROM ts
+      UNION ALL SELECT scenario_id, list_filter(free, lambda x: x IS DISTINCT FROM pick), i, hits + (pick IS NOT NULL)::BIGINT FROM (
+        SELECT scenario_id, free, ds.i, hits, list_filter(free, lambda x: abs(x - d) <= 1)[1] AS pick FROM run JOIN ds USING (scenario_id) WHERE ds.i = run.i + 1)),
+    n AS (SELECT s.scenario_id, coalesce(f, 0) AS found, coalesce(ts.n, 0) AS truth, coalesce(h, 0) AS hits FROM (SELECT DISTINCT scenario_id FROM det) s
+      LEFT JOIN (SELECT scenario_id, count(*) AS f FROM ds GROUP BY 1) USING (scenario_id) LEFT JOIN ts USING (scenario_id) LEFT JOIN (SELECT scenario_id, max(hits) AS h FROM run GROUP BY 1) USING (scenario_id))
+    SELECT *, CASE WHEN found = 0 OR truth = 0 THEN (found = truth)::INTEGER::DOUBLE WHEN hits = 0 THEN 0.0::DOUBLE
+      ELSE 2 * (hits / found::DOUBLE) * (hits / truth::DOUBLE) / (hits / found::DOUBLE + hits / truth::DOUBLE) END AS boundary_f1 FROM n""",
     "property_shares": _with(_FRAG, _DET, _CHAIN) + "SELECT property, " + ", ".join(f"round_even(count(*) FILTER (category = '{c}') / count(*)::DOUBLE * 100, 1) AS {c}" for c in CATEGORIES) + " FROM chain GROUP BY 1",
     "cells": _with(_FRAG, _DET, _CHAIN, _F1)
     + f""", modes AS (SELECT architecture, tier, mode, count(*) AS k, min(scenario_id::INTEGER * 10 + {_ORD}) AS seen FROM chain WHERE mode IS NOT NULL GROUP BY ALL),

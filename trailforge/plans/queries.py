@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trailforge.functions import scalars as S
-from trailforge.operators import boundary, classify, evaluate, ordering, pairing
+from trailforge.operators import boundary, classify, evaluate, ordering, pairing, values
 from trailforge.plans import traces
 from trailforge.plans.traces import table
 from trailforge.schema import CATEGORIES, FILLERS, KINDS, PROPERTIES
@@ -45,12 +45,13 @@ def primary_actor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unit_property_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scenarios, counts = traces.events_as_scenarios(spark, sf_dir), classify.unit_actor_counts(_detected(spark, sf_dir))
-    return classify.unit_feasibility(counts, scenarios).select("scenario_id", F.col("unit_idx").cast("long").alias("unit_idx"), "property", "category", "confidence", "gap")
+    found = values.unit_values(traces.events_as_scenarios(spark, sf_dir), _detected(spark, sf_dir))
+    return found.select("scenario_id", F.col("unit_idx").cast("long").alias("unit_idx"), "property", "category", "confidence", "gap", "value_shape", "value")
 
 
 def chain_feasibility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _chain(spark, sf_dir).select("scenario_id", "property", "category", "confidence", "gap")
+    found = values.chain_values(traces.events_as_scenarios(spark, sf_dir), _detected(spark, sf_dir))
+    return found.select("scenario_id", "property", "category", "confidence", "gap", "value_shape", "value")
 
 
 def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,8 +154,26 @@ def auto_architecture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The synthetic matrix's seeds for 20 scenarios a cell."""
-    return evaluate.seeds(spark, 20).select("architecture", "tier", "k", F.col("seed").cast("long").alias("seed"))
+    """The stable seed of each user's scenario."""
+    rows = traces.events_as_scenarios(spark, sf_dir)
+    return rows.select("scenario_id", evaluate.stable_seed(F.col("architecture"), F.col("stack_tier"), F.col("scenario_id")).cast("long").alias("seed"))
+
+
+def causal_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events whose parents are other events of the user, some places later or earlier by their number: chains, clocks that
+    disagree, cycles, and what hangs on them."""
+    fragments = traces.events_as_fragments(spark, sf_dir)
+    place = F.row_number().over(Window.partitionBy("scenario_id").orderBy("timestamp", "fragment_id"))
+    k = F.get_json_object("payload", "$.k").cast("int") % 10
+    step = F.element_at(F.array(*[F.lit(n) for n in PARENT_STEPS]), k + 1)
+    numbered = fragments.withColumn("place", place).withColumn("wanted", F.when(step != 0, F.col("place") + step))
+    ids = numbered.select("scenario_id", F.col("place").alias("wanted"), F.col("fragment_id").alias("parent_trace_id"))
+    linked = numbered.drop("parent_trace_id").join(ids, ["scenario_id", "wanted"], "left").drop("place", "wanted")
+    return ordering.order_fragments(linked).select("scenario_id", "fragment_id", F.col("rn").cast("long").alias("rn"))
+
+
+#: Where an event's parent stands, by the last digit of its number; 0: it has none.
+PARENT_STEPS = (2, -1, 1, -3, -10, 5, 0, 0, 0, 0)
 
 
 QUERIES = {
@@ -162,7 +181,7 @@ QUERIES = {
     for f in (
         order_fragments, boundary_flags, units, primary_actor, unit_property_matrix, chain_feasibility, completeness, failure_modes, dominant_break, reconstruct,
         cell_aggregate, per_property_pivot, conversation_units, boundary_f1_counts, causal_children, fifo_pairing, follow_ups, last_known_actor, rate_limited,
-        content_hash, epoch_coercion, redaction, auto_architecture, seeds,
+        content_hash, epoch_coercion, redaction, auto_architecture, seeds, causal_order,
     )
 }
 
@@ -171,7 +190,7 @@ QUERIES = {
 _KINDS = ", ".join(f"'{k}'" for k in KINDS)
 _FRAG = f"""frag AS (
   SELECT user_id::VARCHAR AS scenario_id, event_id AS seq, 'e' || lpad(event_id::VARCHAR, 12, '0') AS fragment_id, epoch_us(ts) / 1e6 AS ts,
-         [{_KINDS}][k % 10 + 1] AS kind, 'agent_' || (k % 5)::VARCHAR AS actor_id, value / 100 AS magnitude, (k // 10) % 2 = 0 AS active, user_id
+         [{_KINDS}][k % 10 + 1] AS kind, 'agent_' || (k % 5)::VARCHAR AS actor_id, value / 100 AS magnitude, (k // 10) % 2 = 0 AS active, user_id, props AS payload, k
   FROM (SELECT *, json_extract_string(props, '$.k')::INTEGER AS k FROM events)),
 scen AS (
   SELECT DISTINCT user_id::VARCHAR AS scenario_id, ['single_agent', 'multi_agent', 'human_in_the_loop', 'non_agentic'][user_id % 4 + 1] AS arch,
@@ -222,13 +241,24 @@ pa AS (SELECT scenario_id, unit_idx, actor_id FROM det GROUP BY 1, 2, 3 QUALIFY
 _CONV = """frag AS (SELECT conv_id::VARCHAR AS scenario_id, turn AS seq, 't' || lpad(turn::VARCHAR, 6, '0') AS fragment_id, turn::DOUBLE AS ts,
   CASE role WHEN 'system' THEN 'config_snapshot' WHEN 'user' THEN 'agent_message' ELSE 'model_generation' END AS kind, coalesce(role, 'unknown') AS actor_id, 0.0 AS magnitude, false AS active FROM conversations)"""
 
+# what stands behind a finding: every unit's payloads and actors, then the one that its shape asks for
+_VALUES = f"""vals AS (SELECT scenario_id, unit_idx, property, first(payload ORDER BY rn) FILTER ({_FILL}) AS one, '[' || string_agg(payload, ', ' ORDER BY rn) FILTER ({_FILL}) || ']' AS every,
+  '["' || array_to_string(list_sort(list(DISTINCT actor_id)), '", "') || '"]' AS actors FROM det CROSS JOIN props GROUP BY ALL),
+whole AS (SELECT scenario_id, '["' || array_to_string(list_sort(list(DISTINCT actor_id)), '", "') || '"]' AS everyone FROM det GROUP BY 1)"""
+_SHAPE = """CASE {c} WHEN 'opaque' THEN 'text' WHEN 'fully_fillable' THEN CASE WHEN {m} = 1 THEN 'payload' ELSE 'list' END
+  WHEN 'partially_fillable' THEN CASE WHEN property <> 'operator_identity' THEN 'payload' WHEN arch = 'multi_agent' THEN 'actors' WHEN {m} = 1 THEN 'payload' ELSE 'list' END END"""
+_VALUE = "CASE " + _SHAPE + """ WHEN 'text' THEN '"<authorization_envelope>"' WHEN 'payload' THEN one WHEN 'list' THEN every WHEN 'actors' THEN {a} END"""
+
 ORACLES = {
     "order_fragments": _with(_FRAG, _DET) + "SELECT scenario_id, fragment_id, rn FROM det",
     "boundary_flags": _with(_FRAG, _DET) + "SELECT scenario_id, fragment_id, reason, unit_idx FROM det",
     "units": _with(_FRAG, _DET, _UNITS) + f"SELECT scenario_id, unit_id, r AS boundary_reason, {_CONF} AS boundary_confidence, fragments, start_timestamp, end_timestamp FROM u",
     "primary_actor": _with(_FRAG, _DET, _UNITS) + "SELECT scenario_id, unit_id, actor_id AS primary_actor, actors FROM u JOIN pa USING (scenario_id, unit_idx)",
-    "unit_property_matrix": _with(_FRAG, _DET, _CHAIN) + "SELECT scenario_id, unit_idx, property, x.c AS category, x.f AS confidence, x.g AS gap FROM uf",
-    "chain_feasibility": _with(_FRAG, _DET, _CHAIN) + "SELECT scenario_id, property, category, confidence, gap FROM chain",
+    "unit_property_matrix": _with(_FRAG, _DET, _CHAIN, _VALUES)
+    + f"SELECT u.scenario_id, u.unit_idx, u.property, x.c AS category, x.f AS confidence, x.g AS gap, {_SHAPE.format(c='x.c', m='m')} AS value_shape, {_VALUE.format(c='x.c', m='m', a='actors')} AS value FROM uf u JOIN vals USING (scenario_id, unit_idx, property)",
+    "chain_feasibility": _with(_FRAG, _DET, _CHAIN, _VALUES)
+    + f"""SELECT c.scenario_id, c.property, category, c.confidence, gap, {_SHAPE.format(c='category', m='b.m')} AS value_shape, {_VALUE.format(c='category', m='b.m', a='everyone')} AS value
+       FROM chain c JOIN best b USING (scenario_id, property) JOIN vals v ON v.scenario_id = c.scenario_id AND v.property = c.property AND v.unit_idx = b.unit_idx JOIN whole w ON w.scenario_id = c.scenario_id""",
     "completeness": _with(_FRAG, _DET, _CHAIN) + "SELECT scenario_id, architecture, tier, sum(tenths) / 70.0 AS completeness FROM chain GROUP BY ALL",
     "failure_modes": _with(_FRAG, _DET, _CHAIN) + f"SELECT scenario_id, property, mode, {_BREAK.format('mode')} AS structural_break FROM chain WHERE mode IS NOT NULL",
     "dominant_break": _with(_FRAG, _DET, _CHAIN, _DOMINANT) + f"SELECT scenario_id, dominant_mode, {_BREAK.format('dominant_mode')} AS dominant_break, coalesce(modes, 0) AS unrecoverable_mode_count FROM scen LEFT JOIN dm USING (scenario_id)",
@@ -261,7 +291,14 @@ ORACLES = {
     "epoch_coercion": "SELECT event_id, CASE event_id % 3 WHEN 0 THEN (epoch_us(ts) // 1000) / 1000.0::DOUBLE WHEN 1 THEN epoch_us(ts) / 1e6 ELSE 0.0 END::DOUBLE AS seconds FROM events",
     "redaction": r"""SELECT conv_id, turn, sha256(regexp_replace(regexp_replace(text, '[A-Za-z0-9._]+@[A-Za-z0-9.]+', '[REDACTED]', 'g'), '[0-9]{4,}', '[REDACTED]', 'g')) AS sha256 FROM conversations""",
     "auto_architecture": _with(_FRAG) + "SELECT scenario_id, CASE WHEN bool_or(starts_with(kind, 'human_')) THEN 'human_in_the_loop' WHEN count(DISTINCT actor_id) >= 2 THEN 'multi_agent' ELSE 'single_agent' END AS architecture FROM frag GROUP BY 1",
-    "seeds": """SELECT architecture, tier, k, (('0x' || substr(sha256(architecture || '|' || tier || '|' || k), 1, 8))::BIGINT & 2147483647)::BIGINT AS seed
-       FROM (VALUES ('single_agent', 'within_stack'), ('single_agent', 'cross_stack'), ('multi_agent', 'within_stack'), ('multi_agent', 'cross_stack'), ('human_in_the_loop', 'within_stack'), ('human_in_the_loop', 'cross_stack'), ('non_agentic', 'baseline')) t(architecture, tier),
-            (SELECT range::INTEGER AS k FROM range(20))""",
+    "seeds": _with(_FRAG) + """SELECT scenario_id, (('0x' || substr(sha256(arch || '|' || tier || '|' || scenario_id), 1, 8))::BIGINT & 2147483647)::BIGINT AS seed FROM scen""",
+    # by the rule itself: the smallest that waits for nothing, else the smallest, one after the other
+    "causal_order": "WITH RECURSIVE "
+    + _FRAG
+    + f""", num AS (SELECT *, row_number() OVER (PARTITION BY scenario_id ORDER BY ts, fragment_id) AS i, count(*) OVER (PARTITION BY scenario_id) AS n, {list(PARENT_STEPS)}[k % 10 + 1] AS step FROM frag),
+    par AS (SELECT scenario_id, n, list(CASE WHEN step <> 0 AND i + step BETWEEN 1 AND n THEN i + step ELSE 0 END ORDER BY i) AS ps, list(fragment_id ORDER BY i) AS ids FROM num GROUP BY 1, 2),
+    run AS (SELECT scenario_id, n, ps, range(1, n + 1) AS pending, 0::BIGINT AS rn, 0::BIGINT AS i FROM par
+      UNION ALL SELECT scenario_id, n, ps, list_filter(pending, lambda x: x <> pick), rn + 1, pick FROM (
+        SELECT *, coalesce(list_filter(pending, lambda x: NOT list_contains(pending, ps[x]))[1], pending[1]) AS pick FROM run WHERE rn < n))
+    SELECT scenario_id, ids[i] AS fragment_id, rn FROM run JOIN par USING (scenario_id) WHERE rn > 0""",
 }
