@@ -7,9 +7,11 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trailforge.functions.ranges import numbered
 from trailforge.functions.scalars import iso_utc
 from trailforge.operators import boundary, classify
 from trailforge.operators.ordering import order_fragments
+from trailforge.sources.scratch import written
 
 # The vocabulary's terms. Its namespaces are parameters of ``context``.
 _LISTS = {"perPropertyFeasibility": ("demm:perPropertyFeasibility", None), "members": ("prov:hadMember", "@id"), "fragments": ("prov:wasInfluencedBy", "@id")}
@@ -64,7 +66,8 @@ def nodes(scenarios: DataFrame, fragments: DataFrame, unit_records: bool = False
     units, fragments and agents, each agent once, in the order of its first fragment.
 
     The usual document has no property records at its units; ``unit_records`` adds them."""
-    detected = boundary.detect(order_fragments(fragments)).withColumn("frag", _iri("frag", F.col("fragment_id")))
+    kept = boundary.detect(order_fragments(fragments)).select("scenario_id", "rn", "fragment_id", "timestamp", "kind", "stack_tier", "actor_id", "reason", "unit_idx")
+    detected = written(kept, "detected").withColumn("frag", _iri("frag", F.col("fragment_id")))
     fragment_nodes = detected.select(
         "scenario_id", F.lit(2).alias("part"), F.col("rn").cast("long").alias("pos"),
         _node(at_id=F.col("frag"), at_type=_types("prov:Entity", "Fragment"), prov__generatedAtTime=_time(F.col("timestamp")), prov__wasAttributedTo=_ref(_iri("agent", F.col("actor_id"))), fragmentKind=F.col("kind"), demm__stackTier=F.col("stack_tier")).alias("node"),
@@ -97,6 +100,33 @@ def nodes(scenarios: DataFrame, fragments: DataFrame, unit_records: bool = False
     return chain_nodes.unionByName(unit_nodes).unionByName(fragment_nodes).unionByName(agent_nodes)
 
 
+def bundle(scenarios: DataFrame, fragments: DataFrame) -> DataFrame:
+    """(place, node): the nodes of one graph of many chains, in order from 0: chain by chain (``position`` in scenarios), the
+    chain, its units, its fragments, and after the first fragment of each agent the agent.
+
+    Rows keep where they belong as a key of four numbers; ranges of that key are sorted and numbered
+    by many tasks, so neither a chain nor the graph is gathered."""
+    found = nodes(scenarios, fragments).join(scenarios.select("scenario_id", "position"), "scenario_id")
+    agent = F.col("part") == 3  # stands behind the fragment of the same number
+    keyed = found.select("position", "scenario_id", F.least("part", F.lit(2)).alias("part"), "pos", agent.alias("behind"), "node")
+    return numbered(written(keyed.withColumn("all", F.lit(0)), "nodes"), ["all"], ["position", "scenario_id", "part", "pos", "behind"], "place", "n").select("place", "n", "node")
+
+
+def document_lines(ordered: DataFrame, ld_context: dict | None = None) -> DataFrame:
+    """(place, line): the lines of the JSON-LD document of nodes (place, n, node)."""
+    spark = ordered.sparkSession
+    lines = ordered.select("place", F.when(F.col("place") + 1 < F.col("n"), F.concat("node", F.lit(","))).otherwise(F.col("node")).alias("line"))
+    head = json.dumps({"@context": ld_context or context()})[:-1] + ', "@graph": ['
+    ends = spark.createDataFrame([(-1, head), (2**62, "]}")], "place bigint, line string")
+    return lines.unionByName(ends)
+
+
+def write_document(lines: DataFrame, folder: str) -> None:
+    """Write the lines as text files of consecutive ranges; joined in the order of their names they are the document."""
+    n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lines.repartitionByRange(n, "place").sortWithinPartitions("place").select("line").write.text(folder)
+
+
 def graphs(node_rows: DataFrame, ld_context: dict | None = None) -> DataFrame:
     """(scenario_id, document): one JSON-LD document for each scenario."""
     listed = node_rows.groupBy("scenario_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "pos", "node"))), lambda x: x["node"]), ",").alias("g"))

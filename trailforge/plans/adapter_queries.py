@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from trailforge.adapters import langsmith, mcp, otlp
 from trailforge.adapters.common import content, quoted
-from trailforge.operators import boundary, classify, evaluate, ordering
+from trailforge.operators import boundary, classify, evaluate, ordering, prov
 from trailforge.plans import traces
-from trailforge.plans.queries import _CHAIN, _DET, _FRAG, _with
+from trailforge.plans.queries import _BREAK, _CHAIN, _CONF, _DET, _DOMINANT, _FRAG, _UNITS, _with
 from trailforge.plans.traces import table
 from trailforge.schema import CATEGORIES, PROPERTIES
 
@@ -128,7 +128,13 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.cells(rows).select("architecture", "stack_tier", "n", "completeness_pct", "boundary_f1", "modal_mode", "modal_mode_share", "dominant_break")
 
 
-QUERIES = {f.__name__: f for f in (langsmith_fragments, otlp_fragments, mcp_fragments, content_digest, redacted_payloads, boundary_f1, boundary_f1_near, property_shares, cells)}
+def provenance_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The provenance graph of all users' scenarios: its nodes in the order of the document."""
+    scenarios = traces.events_as_scenarios(spark, sf_dir).withColumn("position", F.col("scenario_id").cast("long"))
+    return prov.bundle(scenarios, traces.events_as_fragments(spark, sf_dir)).select("place", "node")
+
+
+QUERIES = {f.__name__: f for f in (langsmith_fragments, otlp_fragments, mcp_fragments, content_digest, redacted_payloads, boundary_f1, boundary_f1_near, property_shares, cells, provenance_nodes)}
 
 # --- SQL ---------------------------------------------------------------------------------
 
@@ -195,7 +201,32 @@ n AS (SELECT s.scenario_id, (SELECT count(*) FROM pos WHERE pos.scenario_id = s.
 f1 AS (SELECT scenario_id, CASE WHEN f = 0 OR t = 0 THEN (f = t)::INTEGER::DOUBLE WHEN h = 0 THEN 0.0::DOUBLE ELSE 2 * (h / f) * (h / t) / (h / f + h / t) END AS boundary_f1 FROM n)"""
 _ORD = "CASE property " + " ".join(f"WHEN '{p}' THEN {i}" for i, p in enumerate(PROPERTIES)) + " END"
 
+_ISO = "strftime({0}, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us({0}) % 1000000 = 0 THEN '' ELSE '.' || lpad((epoch_us({0}) % 1000000)::VARCHAR, 6, '0') END || '+00:00'"
+_TIME = "'{{\"@value\":\"' || " + _ISO + " || '\",\"@type\":\"xsd:dateTime\"}}'"
+_TEXT = "coalesce('\"' || {0} || '\"', 'null')"
+_PROV = _with(_FRAG, _DET, _UNITS, _CHAIN, _DOMINANT) + f""",
+stamped AS (SELECT det.*, 'trace:' || det.scenario_id AS s, e.ts AS stamp FROM det JOIN events e ON e.event_id = det.seq),
+list AS (SELECT scenario_id, unit_idx, min(stamp) AS t0, max(stamp) AS t1, string_agg('"' || s || '#frag/' || fragment_id || '"', ',' ORDER BY rn) AS frags FROM stamped GROUP BY 1, 2),
+feas AS (SELECT scenario_id, round_even(sum(tenths) / 70.0, 4)::DOUBLE AS completeness, string_agg('{{"@id":"trace:' || scenario_id || '#chain/feas/' || property || '","@type":"PropertyFeasibility","property":"schema:' || property || '","category":"' || category
+  || '","gap":' || {_TEXT.format("gap")} || ',"demm:confidence":' || confidence || '}}', ',' ORDER BY o) AS feas FROM chain GROUP BY 1),
+members AS (SELECT scenario_id, string_agg('"trace:' || scenario_id || '#unit/' || unit_id || '"', ',' ORDER BY unit_idx) AS members FROM u GROUP BY 1),
+all_nodes AS (
+  SELECT scenario_id, 0 AS part, 0 AS pos, 0 AS behind, '{{"@id":"trace:' || scenario_id || '","@type":["prov:Collection","DecisionChain"],"demm:scenarioId":"' || scenario_id || '","architecture":"' || arch || '","stackTier":"' || tier || '","completeness":' || completeness
+    || ',"dominantMode":' || coalesce(dominant_mode::VARCHAR, 'null') || ',"dominantBreak":' || {_TEXT.format("(" + _BREAK.format("dominant_mode") + ")")} || ',"members":[' || members || '],"perPropertyFeasibility":[' || feas || ']}}' AS node
+  FROM scen JOIN feas USING (scenario_id) JOIN members USING (scenario_id) LEFT JOIN dm USING (scenario_id)
+  UNION ALL
+  SELECT scenario_id, 1, unit_idx, 0, '{{"@id":"trace:' || scenario_id || '#unit/' || unit_id || '","@type":["prov:Activity","DecisionUnit"],"prov:startedAtTime":' || {_TIME.format("t0")} || ',"prov:endedAtTime":' || {_TIME.format("t1")}
+    || ',"prov:wasAssociatedWith":{{"@id":"trace:' || scenario_id || '#agent/' || actor_id || '"}},"boundaryReason":"' || r || '","boundaryConfidence":' || {_CONF} || ',"fragments":[' || frags || ']}}'
+  FROM u JOIN pa USING (scenario_id, unit_idx) JOIN list USING (scenario_id, unit_idx)
+  UNION ALL
+  SELECT scenario_id, 2, rn, 0, '{{"@id":"' || s || '#frag/' || fragment_id || '","@type":["prov:Entity","Fragment"],"prov:generatedAtTime":' || {_TIME.format("stamp")} || ',"prov:wasAttributedTo":{{"@id":"' || s || '#agent/' || actor_id || '"}},"fragmentKind":"' || kind
+    || '","demm:stackTier":"within_stack"}}' FROM stamped
+  UNION ALL
+  SELECT scenario_id, 2, min(rn), 1, '{{"@id":"trace:' || scenario_id || '#agent/' || actor_id || '","@type":"prov:Agent","actorId":"' || actor_id || '"}}' FROM det GROUP BY scenario_id, actor_id)
+SELECT row_number() OVER (ORDER BY scenario_id::BIGINT, part, pos, behind) - 1 AS place, node FROM all_nodes"""
+
 ORACLES = {
+    "provenance_nodes": _PROV,
     "langsmith_fragments": _LANGSMITH,
     "otlp_fragments": _OTLP,
     "mcp_fragments": _MCP,
