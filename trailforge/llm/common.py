@@ -5,15 +5,17 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import re
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trailforge.functions.ranges import in_order, numbered
+from trailforge.sources.scratch import new_folder, shared_dir, written
+
+__all__ = ["LOWER", "SPACES", "UPPER", "ascii_lower", "deal_pairs", "gapless", "give_back", "in_order", "new_folder", "numbered", "shared_dir", "small_batches", "table", "whole_text", "written"]
+
 #: ASCII white space that separates words: space and 0x09 to 0x0D.
 SPACES = "\\x20\\x09-\\x0D"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -23,35 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset in local mode
-    (tests) one is made and named there; a cluster's executors would not see it.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        path = "file://" + tempfile.mkdtemp(prefix="trailforge-")
-        spark.conf.set("spark.checkpoint.dir", path)
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage, survives lost
-    executors, runs the plan once, and gives the planner real sizes."""
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """For applications (the registered queries, the pipeline), not for operators: let the session
     hand documents to Python in batches of ``rows`` rows, where it has Spark's default of
@@ -103,36 +76,6 @@ def gapless(df: DataFrame, groups: Sequence[str], order: Sequence[str], name: st
     return numbered.join(starts, same).withColumn(name, (F.col("_start") + F.col("_r")).cast("long")).drop("_b", "_r", "_start", *[f"_k{i}" for i in range(len(keys))])
 
 
-def in_order(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
-    """``df`` sorted by ``order`` (nulls first) over many tasks and written, with ``_part``, the number of a
-    row's range, and ``_at``, its place among all rows of that range and of those before. Read twice: give it a written table."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    return written(ranges.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), name)
-
-
-def numbered(df: DataFrame, groups: Sequence[str], order: Sequence[str], pos: str, total: str, most_shared: int = 500_000) -> DataFrame:
-    """Rows with ``pos``, their place from 0 in ``order`` inside their group, and ``total``, the group's rows.
-
-    Rows are cut into ranges of (groups, order), so a large group is sorted by many tasks. A range's
-    places are shifted by what earlier ranges hold of the group: one number for each group and range,
-    sent to every task up to ``most_shared`` of them, counted, and else joined. ``order`` should end in something that rows rarely share.
-    """
-    rows = in_order(df, [*groups, *order], "ordered")
-    per = rows.groupBy("_part", *groups).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    whole = Window.partitionBy(*groups)
-    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    shift = F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")
-    per = per.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col("_part").alias("_p"), shift.alias("_shift"), F.sum("_n").over(whole).alias(total))
-    per = written(per, "shifts")
-    same = F.col("_part") == F.col("_p")
-    for i, g in enumerate(groups):
-        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    per = F.broadcast(per) if per.count() <= most_shared else per
-    found = rows.join(per, same).withColumn(pos, F.col("_at") + F.col("_shift"))
-    return found.drop("_part", "_at", "_p", "_shift", *[f"_g{i}" for i in range(len(groups))])
-
-
 def deal_pairs(rows: DataFrame, bucket: str, spread: str, chunk: int) -> DataFrame:
     """Rows with ``task`` and ``side`` so that any two rows of a bucket meet in one task.
 

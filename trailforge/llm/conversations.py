@@ -57,8 +57,9 @@ def step(layer: tuple, kind: int) -> tuple[tuple, int, tuple]:
     """The next layer, what is taken off its costs, and each state's parent (state, code).
 
     A layer has for each state the (cost, rank) of its best prefix, or None: costs above the least, and
-    the place of its audit among the layer's, which stands for the audit itself. As few layers
-    occur, they are looked up.
+    the place of its audit among the layer's, which stands for the audit itself. What an assistant turn at the end
+    (or a user turn and an insert) can go on to, nothing or a system turn at the end can do better by one deleted
+    system turn at most; beyond that they are left out. So few layers occur, and they are looked up.
     """
     best: list = [None] * 4
     for state, code, to, cost in moves(kind):
@@ -66,6 +67,11 @@ def step(layer: tuple, kind: int) -> tuple[tuple, int, tuple]:
             found = (layer[state][0] + cost, layer[state][1], code, state)
             if best[to] is None or found < best[to]:
                 best[to] = found
+    paired = min((b[0] + more for b, more in ((best[ASSISTANT], 0), (best[USER], INSERT)) if b is not None), default=None)
+    if paired is not None:
+        for state, lead in ((NONE, DELETE), (SYSTEM, 0)):
+            if best[state] is not None and best[state][0] > paired + lead:
+                best[state] = None
     reached = [b for b in best if b is not None]
     least, order = min(b[0] for b in reached), {k: n for n, k in enumerate(sorted({(b[1], b[2]) for b in reached}))}
     layer = tuple(None if b is None else (b[0] - least, order[b[1], b[2]]) for b in best)
