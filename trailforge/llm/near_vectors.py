@@ -35,7 +35,7 @@ def codes(dim: int, words: int, structures: int, seed: int = 7) -> list[tuple[np
     return out
 
 
-def list_decode(unit: np.ndarray, words: int, structures: int, slack: float) -> tuple[np.ndarray, np.ndarray]:
+def list_decode(unit: np.ndarray, words: int, structures: int, slack: float | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, filter) of every filter direction whose cap a unit vector falls into.
 
     A vector's cap height is ``slack`` below its best direction of the structure. The best
@@ -99,6 +99,98 @@ def _vectors(kind: str):
     return run
 
 
+def cap_slack(dim: int, threshold: float, spread: float) -> float:
+    """How far below its best direction a vector's cap reaches: ``spread`` times what a pair at the threshold differs by in
+    the direction of one word, in as many standard deviations as blocks of eight components have."""
+    return spread * np.sqrt(2 - 2 * threshold) / np.sqrt(dim / 8)
+
+
+#: The mean of a label's unit vectors is taken off before filters are chosen where its square is at least SHARED, but for
+#: labels with more than a share CROWDED of their vectors nearer to the mean than CLOSE, as directions from it tell little there.
+#: A vector nearer to it than CORE goes by its place alone.
+SHARED, CROWDED, CLOSE, CORE = 0.2, 0.02, 0.3, 0.15
+
+
+def filter_lists(unit: np.ndarray, mean: np.ndarray, words: int, structures: int, threshold: float, spread: float) -> list[np.ndarray]:
+    """The sorted filters of each unit vector, chosen by its direction from ``mean`` (a row each; zero: as it is).
+
+    From the mean, a vector at distance r sees a near one at an angle wider by 1 / r, and so its slack is. Where r is under
+    ``CORE``, its one filter is that of all vectors within reach of such ones. Few components leave room for few words.
+    """
+    n, dim = unit.shape
+    words = min(words, max(8, 2 ** int(0.75 * dim)))
+    off = unit - mean
+    away = np.linalg.norm(off, axis=1)
+    centred = mean.any(axis=1)
+    off = np.where(away[:, None] > 1e-9, off / np.maximum(away, 1e-9)[:, None], unit)
+    by_angle = np.flatnonzero(~centred | (away >= CORE))
+    slack = cap_slack(dim, threshold, spread) / np.where(centred, away, 1.0)[by_angle]
+    row, number = list_decode(off[by_angle], words, structures, slack) if len(by_angle) else (by_angle, by_angle)
+    near = np.flatnonzero(centred & (away < CORE + np.sqrt(2 - 2 * threshold)))
+    row, number = np.append(by_angle[row], near), np.append(number, np.full(len(near), structures * words ** (2 if dim >= 4 else 1)))
+    order = np.lexsort((number, row))
+    row, number = row[order], number[order]
+    return np.split(number, np.searchsorted(row, np.arange(1, n)))
+
+
+def _sums(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
+    """(label, vector) -> a task's sums of unit vectors by label and length."""
+    found: dict = {}
+    for batch in batches:
+        labels, sizes = batch.column(0).to_pylist(), np.array([len(v) for v in batch.column(1).to_pylist()])
+        for size in np.unique(sizes):
+            some = np.flatnonzero(sizes == size)
+            for label, v in zip([labels[i] for i in some], _unit(batch.column(1).take(pa.array(some)), kind), strict=True):
+                n, total = found.get((label, int(size)), (0, 0.0))
+                found[label, int(size)] = (n + 1, total + v)
+        if len(found) * batch.num_rows > 10_000_000 or len(found) > 2000:
+            yield _sum_rows(found, batch.column(0).type)
+            found = {}
+    if found:
+        yield _sum_rows(found, batch.column(0).type)
+
+
+def _sum_rows(found: dict, label: pa.DataType) -> pa.RecordBatch:
+    keys = list(found)
+    return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], label), pa.array([k[1] for k in keys], pa.int32()), pa.array([found[k][0] for k in keys], pa.int64()), pa.array([found[k][1].tolist() for k in keys], pa.list_(pa.float64()))], ["label", "size", "n", "total"])
+
+
+def _means(classes: DataFrame, label_type: str, kind: str) -> DataFrame:
+    """(label, size, mean): of the labels whose vectors share a direction, the mean of their unit vectors. Tasks add up
+    their rows first; labels are summed component by component."""
+    sums = classes.select("label", "vector").mapInArrow(lambda b: _sums(b, kind), f"label {label_type}, size int, n bigint, total array<double>")
+    each = sums.select("label", "size", "n", F.posexplode("total").alias("at", "x")).groupBy("label", "size", "at").agg((F.sum("x") / F.sum("n")).alias("x"))
+    mean = each.groupBy("label", "size").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda p: p["x"]).alias("mean"))
+    square = F.aggregate("mean", F.lit(0.0), lambda a, x: a + x * x)
+    means = written(mean.where(square >= SHARED), "means")
+    crowd = _with_means(classes, means).where("mean is not null").mapInArrow(lambda b: _crowd(b, kind), f"label {label_type}, size int, near bigint, n bigint")
+    crowd = crowd.groupBy("label", "size").agg((F.sum("near") <= CROWDED * F.sum("n")).alias("clear")).where("clear").select("label", "size")
+    return written(means.join(crowd, ["label", "size"], "left_semi"), "means")
+
+
+def _with_means(classes: DataFrame, means: DataFrame) -> DataFrame:
+    size = means.agg(F.sum(F.size("mean") * 8)).first()[0] or 0
+    means = means.select(F.col("label").alias("_label"), F.col("size").alias("_size"), "mean")
+    means = F.broadcast(means) if size <= 1 << 25 else means  # 32 MB of means; more are joined
+    return classes.join(means, (F.col("label") == F.col("_label")) & (F.length("vector") == F.col("_size")), "left").select("label", "rep", "copies", "vector", "mean")
+
+
+def _crowd(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
+    """(label, rep, copies, vector, mean) -> by label and length how many vectors are close to the mean, and how many there are."""
+    for batch in batches:
+        found: dict = {}
+        sizes = np.array([len(v) for v in batch.column("vector").to_pylist()])
+        labels, means = batch.column("label").to_pylist(), batch.column("mean").to_pylist()
+        for size in np.unique(sizes):
+            some = np.flatnonzero(sizes == size)
+            away = np.linalg.norm(_unit(batch.column("vector").take(pa.array(some)), kind) - np.array([means[k] for k in some]), axis=1)
+            for k, r in zip(some, away, strict=True):
+                near, n = found.get((labels[k], int(size)), (0, 0))
+                found[labels[k], int(size)] = (near + int(r < CLOSE), n + 1)
+        keys = list(found)
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], batch.column("label").type), pa.array([k[1] for k in keys], pa.int32()), *(pa.array([found[k][i] for k in keys], pa.int64()) for i in (0, 1))], ["label", "size", "near", "n"])
+
+
 def _decoded(words: int, structures: int, threshold: float, spread: float, kind: str):
     step = max(16, min(1024, (1 << 21) // words))  # so that a block of scores stays at 16 MB
 
@@ -107,16 +199,16 @@ def _decoded(words: int, structures: int, threshold: float, spread: float, kind:
             for at in range(0, whole.num_rows, step):
                 batch = whole.slice(at, step)
                 sizes = np.array([len(v) for v in batch.column("vector").to_pylist()])
+                means = batch.column("mean").to_pylist()
                 lists: list = [None] * len(sizes)
                 for size in np.unique(sizes):
                     some = np.flatnonzero(sizes == size)
                     unit = _unit(batch.column("vector").take(pa.array(some)), kind)
-                    row, number = list_decode(unit, words, structures, spread * np.sqrt(2 - 2 * threshold) / np.sqrt(size / 8))
-                    order = np.lexsort((number, row))
-                    row, number = row[order], number[order]
-                    for k, part in zip(some, np.split(number, np.searchsorted(row, np.arange(1, len(some)))), strict=True):
+                    nothing = np.zeros(unit.shape[1])
+                    mean = np.stack([nothing if means[k] is None else np.array(means[k]) for k in some])
+                    for k, part in zip(some, filter_lists(unit, mean, words, structures, threshold, spread), strict=True):
                         lists[k] = part
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int64()))], [*batch.schema.names, "filters"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("label", "rep", "copies", "vector")), pa.array(lists, pa.list_(pa.int64()))], ["label", "rep", "copies", "vector", "filters"])
 
     return run
 
@@ -193,7 +285,8 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     their label and are compared there; every link returned is checked, and recall is that of
     the filters (tests hold it to at least 0.99). ``words`` follows the number of classes, so
     that the classes under a filter stay few; a vector falls into about 4 filters with 8 words and 8
-    with 512, at any size of table. A large filter is compared part by part.
+    with 512, at any size of table, and some 30 where the label's mean is taken off. A large filter is
+    compared part by part.
 
     Null, empty, zero and non-finite vectors, vectors with a null component, and rows with a null
     label link with nothing: n_links 0, their own component. Vectors of different lengths never
@@ -211,6 +304,7 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
         most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 1
         words = int(max(8, 2 ** np.ceil(np.log2(np.sqrt(most) + 1))))
     live = classes.where("rep is not null").select("label", "rep", "copies", "vector")
+    live = _with_means(live, _means(live, label_type, kind))
     decoded = live.mapInArrow(_decoded(words, structures, threshold, spread, kind), f"label {label_type}, rep bigint, copies bigint, vector binary, filters array<bigint>")
     decoded = written(decoded, "filter-lists")
     under = decoded.withColumn("filter", F.explode("filters")).withColumn("bucket", F.xxhash64("label", "filter", F.length("vector")))
