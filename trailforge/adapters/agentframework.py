@@ -7,10 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trailforge.adapters.common import flat, fragment, payload, raw, resorted, scenario_column, scenario_rows, value_at, with_key
-from trailforge.functions.scalars import any_of, epoch, filled, first_filled, get, matches, truthy
+from trailforge.adapters.common import flat, fragment, payload, raw, resorted, scenario_column, scenario_rows, with_key
+from trailforge.functions.scalars import any_of, epoch, filled, first_filled, matches
+from trailforge.functions.variants import at, empty, get, parsed, truthy, value_at
 from trailforge.operators.pairing import fifo
 from trailforge.sources.manifests import records
+from trailforge.sources.scratch import written
 
 # Fixed values of this format: senders that are the manager, pairs of events, older field names.
 MANAGERS = ("system", "<group_chat_manager>", "manager")
@@ -33,23 +35,23 @@ class Options:
     topic_filter: str | None = None
 
 
-def _body(json_text: Column, field: str) -> Column:
+def _body(doc: Column, field: str) -> Column:
     """The JSON of a payload field, by its name or its older one."""
-    own = value_at(json_text, f"$.{field}")
-    return F.coalesce(own, value_at(json_text, f"$.{OLDER[field]}")) if field in OLDER else own
+    own = value_at(doc, f"$.{field}")
+    return F.coalesce(own, value_at(doc, f"$.{OLDER[field]}")) if field in OLDER else own
 
 
-def _text(json_text: Column, field: str) -> Column:
-    own = get(json_text, f"$.{field}")
-    return F.coalesce(own, get(json_text, f"$.{OLDER[field]}")) if field in OLDER else own
+def _text(doc: Column, field: str) -> Column:
+    own = get(doc, f"$.{field}")
+    return F.coalesce(own, get(doc, f"$.{OLDER[field]}")) if field in OLDER else own
 
 
 def events_of(rows: DataFrame, scenario: str | Column) -> DataFrame:
     """One row an event, numbered in its scenario by time and place."""
     e = F.col("record")
-    rows = rows.select("file", "pos", "record", scenario_column(scenario).cast("string").alias("scenario"))
+    rows = rows.select("file", "pos", parsed("record").alias("record"), scenario_column(scenario).cast("string").alias("scenario"))
     rows = rows.withColumn("index", F.row_number().over(Window.partitionBy("file").orderBy("pos")) - 1)
-    body = F.coalesce(F.when(truthy(e, "$.payload"), value_at(e, "$.payload")), F.lit("{}"))
+    body = F.coalesce(F.when(truthy(e, "$.payload"), at(e, "$.payload")), empty())
     rows = rows.select(
         "scenario", "index", F.coalesce(get(e, "$.event_type"), get(e, "$.eventType"), F.lit("unknown")).alias("type"), F.coalesce(get(e, "$.message_id"), get(e, "$.messageId"), get(e, "$.id"), F.format_string("event_%04d", F.col("index") + 1)).alias("id"),
         F.coalesce(get(e, "$.trace_id"), get(e, "$.traceId"), F.lit("trace_unknown")).alias("trace"), get(e, "$.topic").alias("topic"), get(e, "$.sender").alias("sender"), get(e, "$.recipient").alias("recipient"),
@@ -84,7 +86,8 @@ def from_records(records_: DataFrame, scenario: str | Column, options: Options =
     b = F.col("body")
     actor = F.lit(o.actor_override) if o.actor_override else F.when(F.lower("sender").isin(*MANAGERS), "manager").otherwise(first_filled(F.col("sender"), _text(b, "agent_id"), _text(b, "agent_name"), F.concat(F.lit("agent_"), F.substring("trace", 1, 8))))
     override = F.when((F.col("type") != "content_safety_decision") & get(b, "$.demm_kind").isin("policy_snapshot", "config_snapshot"), get(b, "$.demm_kind"))
-    rows = rows.withColumns({"actor": actor, "override": override})
+    # both sides of every pair are events: they are parsed, numbered and named once
+    rows = written(rows.withColumns({"actor": actor, "override": override}), "events")
     scope = first_filled(_text(b, "agent_id"), _text(b, "agent_name"), F.col("recipient"), F.col("sender"), F.col("id"))
     plain = rows.where("override is null")
     side = lambda p: rows.select(*[F.col(c).alias(f"{p}_{c}") for c in rows.columns])
@@ -126,8 +129,8 @@ def from_records(records_: DataFrame, scenario: str | Column, options: Options =
     # snapshots and errors carry the payload, with the newer names beside the older
     newer = F.array_compact(F.array(*[F.when(value_at(body, f"$.{new}").isNull(), F.concat(F.lit(f'"{new}": '), value_at(body, f"$.{old}"))) for new, old in OLDER.items()]))
     work = work.withColumn("newer", F.array_join(newer, ", "))
-    cut = F.regexp_replace(body, r"\s*\}\s*$", "")
-    shaped = F.when(F.col("newer") == "", body).otherwise(F.concat(cut, F.when(cut == "{", "").otherwise(", "), "newer", F.lit("}")))
+    cut = F.regexp_replace(F.to_json(body), r"\s*\}\s*$", "")
+    shaped = F.when(F.col("newer") == "", F.to_json(body)).otherwise(F.concat(cut, F.when(cut == "{", "").otherwise(", "), "newer", F.lit("}")))
     work = work.withColumn("shaped", shaped)
     shaped = F.col("shaped")
     safety = F.when(value_at(body, "$.constraint_activated").isNull(), with_key(shaped, "constraint_activated", F.lit("true"))).otherwise(shaped)

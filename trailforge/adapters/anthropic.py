@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailforge.adapters.common import flat, fragment, number, payload, quoted, raw, resorted, scenario_column, scenario_rows, value_at
-from trailforge.functions.scalars import epoch, first_filled, get, kind_of, matches, truthy
+from trailforge.adapters.common import flat, fragment, number, payload, quoted, raw, resorted, scenario_column, scenario_rows
+from trailforge.functions.scalars import epoch, first_filled, matches
+from trailforge.functions.variants import at, empty, get, items, kind_of, parsed, text_of, truthy, value_at
 from trailforge.sources.manifests import records
 
 # Built-in tools and what their actions change.
@@ -57,35 +58,29 @@ def images_hashed(documents: pd.Series) -> pd.Series:
 def rounds_of(rows: DataFrame, scenario: str | Column) -> DataFrame:
     """One row a round; a round without a request or a response is an error."""
     r = F.col("record")
-    rows = rows.select("file", "pos", "record", scenario_column(scenario).cast("string").alias("scenario")).withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("pos")))
+    rows = rows.select("file", "pos", parsed("record").alias("record"), scenario_column(scenario).cast("string").alias("scenario")).withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("pos")))
     whole = truthy(r, "$.request") & truthy(r, "$.response")
     record = F.when(whole, r).otherwise(F.raise_error(F.lit("a round needs a request and a response")))
     rows = rows.withColumn("record", record)
     round_id = first_filled(get(r, "$.round_id"), get(r, "$.roundId"), F.format_string("round_%04d", "n"))
-    return rows.select("scenario", "file", "n", round_id.alias("round_id"), epoch(get(r, "$.timestamp")).alias("ts"), value_at(r, "$.request").alias("request"), value_at(r, "$.response").alias("response"))
-
-
-def _items(json_text: Column, path: str) -> Column:
-    """The JSON texts of a list's items; no list has none."""
-    found = F.when(kind_of(json_text, path).startswith("ARRAY"), F.transform(F.try_variant_get(F.try_parse_json(json_text), path, "array<variant>"), lambda v: F.to_json(v)))
-    return F.coalesce(found, F.array().cast("array<string>"))
+    return rows.select("scenario", "file", "n", round_id.alias("round_id"), epoch(get(r, "$.timestamp")).alias("ts"), at(r, "$.request").alias("request"), at(r, "$.response").alias("response"))
 
 
 def tool_results(rows: DataFrame) -> DataFrame:
     """(scenario, use_id, result, failed): the last result of each tool use of a scenario, images hashed."""
-    messages = rows.select("scenario", "file", "n", F.posexplode(_items(F.col("request"), "$.messages")).alias("m", "message")).where(get("message", "$.role") == "user")
-    blocks = messages.select("scenario", "file", "n", "m", F.posexplode(_items(F.col("message"), "$.content")).alias("b", "block"))
+    messages = rows.select("scenario", "file", "n", F.posexplode(items("request", "$.messages")).alias("m", "message")).where(get("message", "$.role") == "user")
+    blocks = messages.select("scenario", "file", "n", "m", F.posexplode(items("message", "$.content")).alias("b", "block"))
     blocks = blocks.where((get("block", "$.type") == "tool_result") & truthy(F.col("block"), "$.tool_use_id"))
     blocks = blocks.select("scenario", get("block", "$.tool_use_id").alias("use_id"), F.struct("file", "n", "m", "b").alias("at"), F.struct(images_hashed(raw(value_at("block", "$.content"))).alias("result"), truthy(F.col("block"), "$.is_error").alias("failed")).alias("r"))
     return blocks.groupBy("scenario", "use_id").agg(F.max_by("r", "at").alias("r")).select("scenario", "use_id", "r.*")
 
 
-def _said(content: Column, kind: Column) -> Column:
+def _said(content: Column) -> Column:
     """What a user message says, tool results left out: JSON, or null."""
-    blocks = F.filter(_items(content, "$"), lambda b: get(b, "$.type").isNull() | (get(b, "$.type") != "tool_result"))
-    parts = F.transform(blocks, lambda b: F.when(get(b, "$.type") == "text", raw(value_at(b, "$.text"))).otherwise(b))
+    blocks = F.filter(items(content), lambda b: get(b, "$.type").isNull() | (get(b, "$.type") != "tool_result"))
+    parts = F.transform(blocks, lambda b: F.when(get(b, "$.type") == "text", raw(value_at(b, "$.text"))).otherwise(F.to_json(b)))
     many = F.concat(F.lit("["), F.array_join(parts, ", "), F.lit("]"))
-    return F.when(kind == "STRING", content).when(F.size(parts) > 1, many).when(F.size(parts) == 1, F.get(parts, F.lit(0)))
+    return F.when(kind_of(content) == "STRING", text_of(content)).when(F.size(parts) > 1, many).when(F.size(parts) == 1, F.get(parts, F.lit(0)))
 
 
 def ingest(spark: SparkSession, path: str, scenario_id: str, options: Options = Options()) -> tuple[DataFrame, DataFrame]:
@@ -107,29 +102,13 @@ def from_records(records_: DataFrame, scenario: str | Column, options: Options =
     called = F.regexp_extract(first_line, r"(?i)^You are\s+([^.,:]+)", 1)
     called = F.when(kind_of(q, "$.system") == "STRING", F.replace(F.trim(called), F.lit(" "), F.lit("_")))
     actor = F.lit(o.actor_override) if o.actor_override else first_filled(get(q, "$.metadata.user_id"), called, get(a, "$.model"), F.concat(F.lit("agent_"), F.substring(first_filled(get(a, "$.id"), F.lit("anthropic")), 1, 12)))
-    rows = rows.withColumns({"actor": actor, "trace": first_filled(get(a, "$.id"), F.col("round_id"))})
-    parts = F.concat(
-        F.array(F.struct(F.lit("request").alias("part"), F.lit(0).alias("i"), F.lit("{}").alias("x"))),
-        F.transform(_items(q, "$.messages"), lambda x, i: F.struct(F.lit("message").alias("part"), i.alias("i"), x.alias("x"))),
-        F.array(F.struct(F.lit("response").alias("part"), F.lit(0).alias("i"), F.lit("{}").alias("x"))),
-        F.transform(_items(a, "$.content"), lambda x, i: F.struct(F.lit("block").alias("part"), i.alias("i"), x.alias("x"))),
-    )
-    rows = rows.withColumn("p", F.explode(parts)).select("*", "p.*").drop("p")
-    x, i, ts = F.col("x"), F.col("i"), F.col("ts")
-    block = F.when(F.col("part") == "block", get(x, "$.type"))
-    rows = rows.withColumns({"block": block, "use_id": F.when(block == "tool_use", first_filled(get(x, "$.id"), F.format_string("tool_%d", i + 1))), "tool": first_filled(get(x, "$.name"), F.lit("tool"))})
-    rows = rows.join(tool_results(asked), ["scenario", "use_id"], "left")
-
-    def one(suffix, kind, at, body, tier=None):
-        name = F.concat(F.lit("anthropic_"), "round_id", F.lit("_"), suffix if isinstance(suffix, Column) else F.lit(suffix))
-        return fragment(name, at, kind, body, F.lit(tier or o.stack_tier) if tier is None or isinstance(tier, str) else tier, F.col("actor"), F.col("trace"), F.col("trace"))
-
+    # what is said of a request or a response is made once a round; parts carry only what is theirs
     def marker(b: Column, place: Column) -> Column:
         return F.when(value_at(b, "$.cache_control").isNotNull(), payload(location=place, cache_control=value_at(b, "$.cache_control")))
 
     marks = F.concat(
-        F.transform(_items(q, "$.system"), lambda b: marker(b, F.lit('"system"'))),
-        F.flatten(F.transform(_items(q, "$.messages"), lambda m: F.transform(_items(m, "$.content"), lambda b: marker(b, raw(value_at(m, "$.role")))))),
+        F.transform(items(q, "$.system"), lambda b: marker(b, F.lit('"system"'))),
+        F.flatten(F.transform(items(q, "$.messages"), lambda m: F.transform(items(m, "$.content"), lambda b: marker(b, raw(value_at(m, "$.role")))))),
     )
     policy = get(q, "$.metadata.demm_kind") == "policy_snapshot"
     snapshot = payload(
@@ -139,25 +118,41 @@ def from_records(records_: DataFrame, scenario: str | Column, options: Options =
     tokens = [get(a, f"$.usage.{k}").try_cast("bigint") for k in ("input_tokens", "output_tokens")]
     model_id = F.coalesce(F.when(truthy(a, "$.model"), value_at(a, "$.model")), value_at(q, "$.model"), F.lit("null"))
     model = payload(model_id=model_id, internal_reasoning=F.lit('"opaque"'), stop_reason=raw(value_at(a, "$.stop_reason")), token_count=F.when((tokens[0] + tokens[1]).isNotNull(), number(tokens[0] + tokens[1])), usage=F.when(truthy(a, "$.usage"), value_at(a, "$.usage")))
+    rows = rows.withColumns({"actor": actor, "trace": first_filled(get(a, "$.id"), F.col("round_id")), "policy": F.coalesce(policy, F.lit(False)), "decision": get(q, "$.metadata.demm_human_approval"), "model_id": model_id})
+    part = lambda name, i, x, body=None: F.struct(F.lit(name).alias("part"), i.alias("i"), x.alias("x"), (F.lit(None).cast("string") if body is None else body).alias("body"))
+    parts = F.concat(
+        F.array(part("request", F.lit(0), empty(), snapshot)), F.transform(items(q, "$.messages"), lambda x, i: part("message", i, x)),
+        F.array(part("response", F.lit(0), empty(), model)), F.transform(items(a, "$.content"), lambda x, i: part("block", i, x)),
+    )
+    rows = rows.select("scenario", "file", "n", "round_id", "ts", "actor", "trace", "policy", "decision", "model_id", F.explode(parts).alias("p")).select("*", "p.*").drop("p")
+    x, i, ts = F.col("x"), F.col("i"), F.col("ts")
+    block = F.when(F.col("part") == "block", get(x, "$.type"))
+    rows = rows.withColumns({"block": block, "use_id": F.when(block == "tool_use", first_filled(get(x, "$.id"), F.format_string("tool_%d", i + 1))), "tool": first_filled(get(x, "$.name"), F.lit("tool"))})
+    rows = rows.join(tool_results(asked), ["scenario", "use_id"], "left")
+
+    def one(suffix, kind, moment, body, tier=None):
+        name = F.concat(F.lit("anthropic_"), "round_id", F.lit("_"), suffix if isinstance(suffix, Column) else F.lit(suffix))
+        return fragment(name, moment, kind, body, F.lit(tier or o.stack_tier) if tier is None or isinstance(tier, str) else tier, F.col("actor"), F.col("trace"), F.col("trace"))
+
     thought = F.coalesce(get(x, "$.thinking"), F.lit(""))
     thinking = raw(value_at(x, "$.thinking")) if o.store_thinking else F.to_json(F.struct(F.sha2(thought, 256).alias("sha256"), F.length(thought).alias("length")))
-    said = _said(F.when(value_at(x, "$.content").isNotNull(), value_at(x, "$.content")).otherwise(F.lit("null")), kind_of(x, "$.content"))
+    said = _said(at(x, "$.content"))
     tool, action = F.col("tool"), F.coalesce(get(x, "$.input.action"), F.lit(""))
     tier = F.when(tool.isin(*BUILT_IN) | matches(tool, o.cross_stack_tools_pattern), "cross_stack").otherwise(o.stack_tier)
     command = first_filled(get(x, "$.input.command"), get(x, "$.input.text"), F.lit(" "))
     changes = F.when(tool == "computer", action.isin(*COMPUTER_CHANGES)).when(tool == "bash", ~matches(command, o.bash_readonly_pattern)).when(tool == "text_editor", action.isin(*EDITOR_CHANGES)).otherwise(matches(tool, o.state_mutation_tool_pattern))
-    at = ts + 0.0002 + i * 0.00001
-    is_request, is_use, decision = F.col("part") == "request", F.col("block") == "tool_use", get(q, "$.metadata.demm_human_approval")
+    used = ts + 0.0002 + i * 0.00001
+    is_request, is_use, decision = F.col("part") == "request", F.col("block") == "tool_use", F.col("decision")
     name = lambda end: F.concat("use_id", F.lit(end))
     emitted = [
-        F.when(is_request, one("request_snapshot", F.when(policy, "policy_snapshot").otherwise("config_snapshot"), ts, snapshot)),
+        F.when(is_request, one("request_snapshot", F.when(F.col("policy"), "policy_snapshot").otherwise("config_snapshot"), ts, F.col("body"))),
         F.when((F.col("part") == "message") & (get(x, "$.role") == "user") & said.isNotNull(), one(F.format_string("user_%d", i + 1), "agent_message", ts + i * 0.00001, payload(content=said, role=F.lit('"user"')))),
-        F.when(F.col("part") == "response", one("response_model", "model_generation", ts + 0.00005, model)),
-        F.when(F.col("block") == "thinking", one(F.format_string("thinking_%d", i + 1), "model_generation", ts + 0.000051 + i * 0.000001, payload(model_id=model_id, internal_reasoning=F.lit('"opaque"'), thinking=thinking))),
+        F.when(F.col("part") == "response", one("response_model", "model_generation", ts + 0.00005, F.col("body"))),
+        F.when(F.col("block") == "thinking", one(F.format_string("thinking_%d", i + 1), "model_generation", ts + 0.000051 + i * 0.000001, payload(model_id=F.col("model_id"), internal_reasoning=F.lit('"opaque"'), thinking=thinking))),
         F.when(F.col("block") == "text", one(F.format_string("assistant_text_%d", i + 1), "agent_message", ts + 0.0001 + i * 0.000001, payload(content=raw(value_at(x, "$.text")), role=F.lit('"assistant"')))),
-        F.when(is_use, one(name("_tool"), "tool_call", at, payload(tool_name=quoted(tool), args=raw(value_at(x, "$.input")), result=F.col("result")), tier)),
-        F.when(is_use & changes, one(name("_state"), "state_mutation", at + 0.000001, payload(state_change_magnitude=F.lit("1.0"), event=quoted(F.concat(F.lit("state mutation via "), tool))), tier)),
-        F.when(is_use & F.col("failed"), one(name("_error"), "error", at + 0.000002, payload(error=F.col("result")), tier)),
+        F.when(is_use, one(name("_tool"), "tool_call", used, payload(tool_name=quoted(tool), args=raw(value_at(x, "$.input")), result=F.col("result")), tier)),
+        F.when(is_use & changes, one(name("_state"), "state_mutation", used + 0.000001, payload(state_change_magnitude=F.lit("1.0"), event=quoted(F.concat(F.lit("state mutation via "), tool))), tier)),
+        F.when(is_use & F.col("failed"), one(name("_error"), "error", used + 0.000002, payload(error=F.col("result")), tier)),
         F.when(is_request & decision.isin("approved", "rejected"), one(F.when(decision == "approved", "human_approval").otherwise("human_rejection"), F.when(decision == "approved", "human_approval").otherwise("human_rejection"), ts + 0.0002, payload(decision=quoted(decision)), "human")),
     ]
     order = F.array_position(F.array(*[F.lit(p) for p in ("request", "message", "response", "block")]), F.col("part"))

@@ -7,10 +7,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trailforge.adapters.common import flat, fragment, payload, quoted, raw, resorted, scenario_column, scenario_rows, value_at
-from trailforge.functions.scalars import epoch, filled, first_filled, get, matches, truthy
+from trailforge.adapters.common import flat, fragment, payload, quoted, raw, resorted, scenario_column, scenario_rows
+from trailforge.functions import scalars
+from trailforge.functions.scalars import epoch, filled, first_filled, matches
+from trailforge.functions.variants import at, empty, get, parsed, true_text, truthy, value_at
 from trailforge.operators.pairing import as_of, fifo
 from trailforge.sources.manifests import records
+from trailforge.sources.scratch import written
 
 # Fixed values of this format.
 EXTERNAL_MEMORY = ("long_term", "entity", "external")
@@ -42,9 +45,9 @@ def events_of(rows: DataFrame, scenario: str | Column) -> DataFrame:
     """One row an event, numbered in its scenario by file and place. ``body`` answers for a payload
     field, taken from the event itself where the payload lacks it."""
     e = F.col("record")
-    rows = rows.select("file", "pos", "record", scenario_column(scenario).cast("string").alias("scenario"))
+    rows = rows.select("file", "pos", parsed("record").alias("record"), scenario_column(scenario).cast("string").alias("scenario"))
     rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("scenario").orderBy("file", "pos")))
-    inner = F.coalesce(F.when(truthy(e, "$.payload"), value_at(e, "$.payload")), F.lit("{}"))
+    inner = F.coalesce(F.when(truthy(e, "$.payload"), at(e, "$.payload")), empty())
     rows = rows.select("scenario", "n", e.alias("event"), inner.alias("inner"), first_filled(get(e, "$.event_type"), get(e, "$.eventType"), F.lit("unknown")).alias("type"), first_filled(get(e, "$.event_id"), get(e, "$.id"), F.format_string("event_%04d", "n")).alias("id"), epoch(first_filled(get(e, "$.timestamp"), get(e, "$.ts"))).alias("ts"))
     return rows.withColumn("crew", first_filled(body_text("crew_name"), body_text("crew"), F.lit("crew_default")))
 
@@ -107,7 +110,8 @@ def from_records(records_: DataFrame, scenario: str | Column, options: Options =
     """Fragments of event records (file, pos, record), wherever they come from; each scenario's
     events are numbered, paired and named on their own."""
     o = options
-    rows = _with_actors(_of_crew(events_of(records_, scenario), o), o)
+    # every kind of work reads the events again: they are parsed, numbered and named once
+    rows = written(_with_actors(_of_crew(events_of(records_, scenario), o), o), "events")
 
     def one(suffix, kind, body, p="", actor="actor", tier=None, offset=0.0):
         c = lambda name: F.col(p + name)
@@ -116,11 +120,12 @@ def from_records(records_: DataFrame, scenario: str | Column, options: Options =
         return fragment(name, c("ts") + offset, kind, body, F.lit(o.stack_tier) if tier is None else tier, F.col(actor), c("crew"), hint)
 
     j = lambda f: raw(body_json(f))
-    listed = lambda f: F.coalesce(F.when(truthy(F.concat(F.lit('{"v":'), raw(body_json(f)), F.lit("}")), "$.v"), body_json(f)), F.lit("[]"))
-    flag = lambda f: F.when(truthy(F.concat(F.lit('{"v":'), raw(body_json(f)), F.lit("}")), "$.v"), "true").otherwise("false")
+    listed = lambda f: F.coalesce(F.when(true_text(body_json(f)), body_json(f)), F.lit("[]"))
+    flag = lambda f: F.when(true_text(body_json(f)), "true").otherwise("false")
     typ = F.col("type")
-    whole = F.concat(F.lit("{"), F.array_join(F.array_compact(F.transform(F.map_entries(F.try_variant_get(F.try_parse_json("event"), "$", "map<string,variant>")), lambda kv: F.when(~kv["key"].isin(*_OWN) & ~F.array_contains(F.json_object_keys("inner"), kv["key"]), F.concat(F.concat(F.lit('"'), kv["key"], F.lit('"')), F.lit(": "), F.to_json(kv["value"]))))), ", "), F.lit("}"))
-    merged = F.when(F.col("inner") == "{}", whole).when(whole == "{}", F.col("inner")).otherwise(F.concat(F.regexp_replace("inner", r"\s*\}\s*$", ", "), F.regexp_replace(whole, r"^\{", "")))
+    whole = F.concat(F.lit("{"), F.array_join(F.array_compact(F.transform(F.map_entries(F.try_variant_get("event", "$", "map<string,variant>")), lambda kv: F.when(~kv["key"].isin(*_OWN) & ~F.array_contains(F.map_keys(F.try_variant_get("inner", "$", "map<string,variant>")), kv["key"]), F.concat(F.concat(F.lit('"'), kv["key"], F.lit('"')), F.lit(": "), F.to_json(kv["value"]))))), ", "), F.lit("}"))
+    inner = F.to_json("inner")
+    merged = F.when(inner == "{}", whole).when(whole == "{}", inner).otherwise(F.concat(F.regexp_replace(inner, r"\s*\}\s*$", ", "), F.regexp_replace(whole, r"^\{", "")))
     merged = F.when(body_json("constraint_activated").isNull(), F.when(merged == "{}", '{"constraint_activated": true}').otherwise(F.concat(F.regexp_replace(merged, r"\s*\}\s*$", ""), F.lit(', "constraint_activated": true}')))).otherwise(merged)
     single = [
         F.when((typ == "crew_kickoff_started") & F.lit(o.emit_config_snapshot), one("crew_config", "config_snapshot", payload(crew_name=quoted(F.col("crew")), agents=listed("agents"), tasks=listed("tasks"), process=j("process")))),
@@ -196,8 +201,8 @@ def from_records(records_: DataFrame, scenario: str | Column, options: Options =
 def _architecture(rows: DataFrame, o: Options) -> str:
     if not o.auto_architecture:
         return o.architecture
-    human = truthy(F.concat(F.lit('{"v":'), raw(body_json("human_input")), F.lit("}")), "$.v") | (get(F.col("inner"), "$.tasks").rlike(r'"human_input"\s*:\s*true'))
-    roles = F.transform(F.from_json(body_text("agents"), "array<string>"), lambda a: F.coalesce(first_filled(get(a, "$.role"), get(a, "$.agent_role"), get(a, "$.name")), a))
+    human = true_text(body_json("human_input")) | (get(F.col("inner"), "$.tasks").rlike(r'"human_input"\s*:\s*true'))
+    roles = F.transform(F.from_json(body_text("agents"), "array<string>"), lambda a: F.coalesce(first_filled(*[scalars.get(a, f"$.{k}") for k in ("role", "agent_role", "name")]), a))
     named = F.concat(F.array(*[filled(body_text(f)) for f in ACTOR_FIELDS]), F.when(F.col("type") == "crew_kickoff_started", F.coalesce(roles, F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>")))
     actors = rows.select(F.explode(F.array_compact(named)).alias("a")).where("a not in ('Manager', '')").distinct().count()
     seen = rows.agg(F.max(F.coalesce(human, F.lit(False))), F.max_by(F.when(F.col("type") == "crew_kickoff_started", filled(body_text("process"))), F.when((F.col("type") == "crew_kickoff_started") & filled(body_text("process")).isNotNull(), F.col("n")))).first()

@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailforge.adapters.common import flat, fragment, payload, quoted, raw, scenario_column, scenario_rows, value_at
-from trailforge.functions.scalars import any_of, epoch, filled, first_filled, get, matches, truthy
+from trailforge.adapters.common import flat, fragment, payload, quoted, raw, scenario_column, scenario_rows
+from trailforge.functions.scalars import any_of, epoch, filled, first_filled, matches
+from trailforge.functions.variants import get, parsed, truthy, value_at
 from trailforge.sources.manifests import records
 
 
@@ -34,10 +35,10 @@ def fragments(spark: SparkSession, path: str, scenario_id: str, options: Options
 def from_records(rows: DataFrame, scenario: str | Column, options: Options = Options()) -> DataFrame:
     """Fragments of runs (file, pos, record), wherever they come from; a scenario's runs are ordered on their own."""
     o, run = options, F.col("record")
-    runs = rows.select("file", "pos", "record")
+    runs = rows.select("file", "pos", parsed("record").alias("record"))
     runs = runs.withColumns({
         "type": F.lower(F.coalesce(get(run, "$.run_type"), F.lit(""))), "id": F.coalesce(get(run, "$.id"), F.lit("None")), "name": filled(get(run, "$.name")), "ts": epoch(get(run, "$.start_time")),
-        "tags": F.coalesce(F.from_json(get(run, "$.tags"), "array<string>"), F.array().cast("array<string>")), "parent": get(run, "$.parent_run_id"), "failed": truthy(run, "$.error"), "node": get(run, "$.extra.metadata.langgraph_node"),
+        "tags": F.coalesce(F.try_variant_get(run, "$.tags", "array<string>"), F.array().cast("array<string>")), "parent": get(run, "$.parent_run_id"), "failed": truthy(run, "$.error"), "node": get(run, "$.extra.metadata.langgraph_node"),
     })
     meta = [get(run, f"$.extra.metadata.{k}") for k in ("langgraph_node", "agent_name", "actor_id")]
     actor = F.lit(o.actor_override) if o.actor_override else first_filled(*meta, F.col("name"), F.concat(F.lit("agent_"), F.substring(F.coalesce(get(run, "$.id"), F.lit("")), 1, 8)))

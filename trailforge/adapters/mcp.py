@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailforge.adapters.common import flat, fragment, payload, quoted, raw, resorted, scenario_column, scenario_rows, value_at
-from trailforge.functions.scalars import epoch, filled, first_filled, get, kind_of, matches, truthy
+from trailforge.adapters.common import flat, fragment, payload, quoted, raw, resorted, scenario_column, scenario_rows
+from trailforge.functions.scalars import epoch, filled, first_filled, matches
+from trailforge.functions.variants import get, kind_of, parsed, truthy, value_at
 from trailforge.sources.manifests import records
 
 # Methods that carry no evidence, and names whose values are secrets.
@@ -57,11 +58,12 @@ def frames(spark: SparkSession, path: str) -> DataFrame:
 
 def frames_of(rows: DataFrame) -> DataFrame:
     """One row a frame of the records (file, pos, record)."""
+    rows = rows.select("file", "pos", parsed("record").alias("record"), F.col("record").alias("text"))
     rows = rows.withColumn("index", F.row_number().over(Window.partitionBy("file").orderBy("pos")) - 1)
     r = F.col("record")
     own = value_at(r, "$.frame").isNotNull()
-    bare = F.when(truthy(r, "$.jsonrpc"), r).when(truthy(r, "$.message"), value_at(r, "$.message")).otherwise(r)
-    frame = redacted(F.when(own, value_at(r, "$.frame")).otherwise(bare))
+    bare = F.when(truthy(r, "$.jsonrpc"), F.col("text")).when(truthy(r, "$.message"), value_at(r, "$.message")).otherwise(F.col("text"))
+    frame = parsed(redacted(F.when(own, value_at(r, "$.frame")).otherwise(bare)))
     session = first_filled(get(r, "$.session_id"), get(r, "$.sessionId"), F.format_string("session_%04d", F.col("index") + 1))
     return rows.select("file", "index", epoch(F.when(own, get(r, "$.ts")).otherwise(first_filled(get(r, "$.ts"), get(r, "$.timestamp")))).alias("ts"), session.alias("session"), first_filled(get(r, "$.transport"), F.lit("stdio")).alias("transport"), frame.alias("frame"))
 

@@ -144,8 +144,40 @@ def from_records(rows: DataFrame, scenario: str | Column, options: Options = Opt
     return _fragments(spans_of(rows), scenario, options)
 
 
+#: The attributes that rules read.
+ATTRIBUTES = (
+    "demm.fragment_kind",
+    "demm.stack_tier",
+    "gen_ai.agent.id",
+    "gen_ai.agent.name",
+    "gen_ai.operation.name",
+    "gen_ai.request.model",
+    "gen_ai.response.model",
+    "gen_ai.system",
+    "gen_ai.tool.arguments",
+    "gen_ai.tool.call.arguments",
+    "gen_ai.tool.name",
+    "gen_ai.usage.input_tokens",
+    "gen_ai.usage.output_tokens",
+    "mcp.session.id",
+    "otel.trace.sample_rate",
+    "sampling.priority",
+    "sampling.rate",
+    "server.address",
+    "service.name",
+    "tool.arguments",
+)
+
+
+def _named(key: str) -> str:
+    """The column that holds an attribute."""
+    return "a_" + key.replace(".", "_")
+
+
 def _fragments(rows: DataFrame, scenario: str | Column, o: Options) -> DataFrame:
-    rates = [attribute(k) for k in ("otel.trace.sample_rate", "sampling.priority", "sampling.rate")]
+    # each attribute that a rule asks for is looked up once a span
+    rows = rows.withColumns({_named(k): attribute(k) for k in ATTRIBUTES}).drop("attrs", "resource", "v")
+    rates = [F.col(_named(k)) for k in ("otel.trace.sample_rate", "sampling.priority", "sampling.rate")]
     if not o.accept_sampled:
         rate = o.sampling_rate
         if rate is None:
@@ -153,15 +185,15 @@ def _fragments(rows: DataFrame, scenario: str | Column, o: Options) -> DataFrame
             rate = rows.where(numeric.isNotNull()).agg(F.min_by(numeric, F.struct("file", "at"))).first()[0]
         if rate is not None and rate < 0.5:
             raise ValueError(f"the trace was sampled at rate {rate:.3f}; set accept_sampled to use it")
-    text = lambda key: plain(attribute(key))
+    text = lambda key: plain(F.col(_named(key)))
     tier, address = text("demm.stack_tier"), text("server.address")
     outside = (F.col("kind") == "client") & address.isNotNull() & ~address.isin(*o.within_stack_services) if o.within_stack_services else F.lit(False)
     actor = F.lit(o.actor_override) if o.actor_override else first_filled(text("gen_ai.agent.id"), text("gen_ai.agent.name"), text("service.name"), F.col("name"))
     rows = rows.withColumns({
         "op": F.lower(F.coalesce(text("gen_ai.operation.name"), F.lit(""))), "tool": text("gen_ai.tool.name"), "own_kind": text("demm.fragment_kind"), "actor": actor,
-        "tier": F.when(tier.isin(*STACK_TIERS), tier).when(attribute("mcp.session.id").isNotNull() | outside, "cross_stack").otherwise(o.stack_tier),
+        "tier": F.when(tier.isin(*STACK_TIERS), tier).when(F.col(_named("mcp.session.id")).isNotNull() | outside, "cross_stack").otherwise(o.stack_tier),
         "prefix": F.concat(F.lit("otlp_"), F.coalesce(filled(F.substring(F.replace(F.col("span_id"), F.lit("-"), F.lit("")), 1, 12)), F.lit("unknown")), F.lit("_")),
-        "system": attribute("gen_ai.system"),
+        "system": F.col(_named("gen_ai.system")),
     })
     rows = rows.withColumn("own_kind", F.when(F.col("own_kind").isin(*KINDS), F.col("own_kind")))
     keep = o.store_content
@@ -169,7 +201,7 @@ def _fragments(rows: DataFrame, scenario: str | Column, o: Options) -> DataFrame
     said = F.filter(F.transform(event_named("gen_ai.assistant.message"), lambda e: _attr_of(e, "content")), lambda c: c.isNotNull() & (c != "null"))
     rows = rows.withColumn("said", said).withColumn("tool_event", F.get(event_named("gen_ai.tool.message"), F.lit(0)))
     result = F.coalesce(_attr_of(F.col("tool_event"), "content"), F.to_json(F.try_variant_get("tool_event", "$.attributes", "variant")))
-    args = F.coalesce(*[attribute(k) for k in ("gen_ai.tool.call.arguments", "gen_ai.tool.arguments", "tool.arguments")])
+    args = F.coalesce(*[F.col(_named(k)) for k in ("gen_ai.tool.call.arguments", "gen_ai.tool.arguments", "tool.arguments")])
     media = F.filter(F.flatten(F.transform("events", lambda e: F.map_entries(F.transform_values(F.try_variant_get(e, "$.attributes", _MAP), lambda _, x: F.to_json(x))))), lambda m: F.lower(m["key"]).rlike("image|audio|video"))
     described = F.transform(media, lambda m: F.to_json(F.struct(m["key"].alias("type"), F.sha2(plain(m["value"]), 256).alias("hash"), F.octet_length(plain(m["value"])).alias("size_bytes"))))
     # digests of non-string content run once a row, outside the lambdas
@@ -188,7 +220,7 @@ def _fragments(rows: DataFrame, scenario: str | Column, o: Options) -> DataFrame
     chat, tools = ~own & op.isin("chat", "text_completion", "generate_content"), ~own & (op == "execute_tool")
     listed = lambda a: F.concat(F.lit("["), F.array_join(a, ", "), F.lit("]"))
     model = {
-        "model_id": F.coalesce(attribute("gen_ai.response.model"), attribute("gen_ai.request.model"), F.lit('"undisclosed"')), "internal_reasoning": F.lit('"opaque"'),
+        "model_id": F.coalesce(F.col(_named("gen_ai.response.model")), F.col(_named("gen_ai.request.model")), F.lit('"undisclosed"')), "internal_reasoning": F.lit('"opaque"'),
         "token_count": number(usage("gen_ai.usage.input_tokens") + usage("gen_ai.usage.output_tokens")), "assistant_messages": listed(F.transform("said", digest)), "media": F.when(F.size("media") > 0, listed(F.col("media"))),
     }
     tool_name = F.coalesce("tool", F.col("name"))
@@ -199,7 +231,7 @@ def _fragments(rows: DataFrame, scenario: str | Column, o: Options) -> DataFrame
         F.when(tools, one("tool", "tool_call", {"tool_name": quoted(tool_name), "args": F.col("args"), "result": F.col("result")})),
         F.when(tools & matches(F.col("tool"), o.state_mutation_tool_pattern), one("state", "state_mutation", {"state_change_magnitude": F.lit("1.0"), "event": quoted(F.concat(F.lit("state mutation via "), tool_name))}, 0.001)),
         F.when(tools & retrieved, one("retrieval", "retrieval_result", {"query": F.col("args"), "retrieved": F.col("result")}, 0.0015)),
-        F.when(~own & (op == "create_agent"), one("config", "config_snapshot", {"config_version": F.coalesce(attribute("gen_ai.agent.id"), attribute("gen_ai.agent.name"), quoted(F.col("name")))})),
+        F.when(~own & (op == "create_agent"), one("config", "config_snapshot", {"config_version": F.coalesce(F.col(_named("gen_ai.agent.id")), F.col(_named("gen_ai.agent.name")), quoted(F.col("name")))})),
         F.when(~own & ~op.isin("chat", "text_completion", "generate_content", "execute_tool", "embeddings", "create_agent") & ((op == "invoke_agent") | F.col("system").isNotNull()), one("msg", "agent_message", {"content": quoted(F.col("name"))})),
     ]
 

@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trailforge.adapters.common import flat, fragment, payload, plain, quoted, raw, resorted, scenario_column, scenario_rows, value_at
-from trailforge.functions.scalars import epoch, filled, first_filled, get, matches, truthy
+from trailforge.adapters.common import flat, fragment, payload, quoted, raw, resorted, scenario_column, scenario_rows
+from trailforge.functions.scalars import epoch, filled, first_filled, matches
+from trailforge.functions.variants import empty, first_true, get, items, kind_of, parsed, text_of, truthy, value_at
 from trailforge.sources.manifests import records
 
 
@@ -27,48 +28,40 @@ class Options:
     actor_override: str | None = None
 
 
-def _or(doc: Column, *names: str) -> Column:
-    """The first true value among the names, as JSON."""
-    return F.coalesce(*[F.when(truthy(doc, f"$.{n}"), value_at(doc, f"$.{n}")) for n in names])
-
-
-def _items(json_text: Column) -> Column:
-    return F.coalesce(F.transform(F.try_variant_get(F.try_parse_json(json_text), "$", "array<variant>"), lambda v: F.to_json(v)), F.array().cast("array<string>"))
-
-
 def _tools(run: Column) -> Column:
-    """The run's tool definitions, in one shape."""
-    shape = lambda t: payload(tool_name=F.coalesce(_or(t, "tool_name", "name"), F.lit('"tool_unknown"')), description=raw(value_at(t, "$.description")), params_schema=raw(_or(t, "params_schema", "paramsSchema", "json_schema")), is_takeover=F.when(truthy(t, "$.is_takeover") | truthy(t, "$.isTakeover"), "true").otherwise("false"))
-    return F.transform(F.filter(_items(_or(run, "tools", "tool_definitions", "toolDefinitions")), lambda t: t.startswith("{")), shape)
+    """The run's tool definitions: name, whether people take over, the text of the parameters' schema, and all of it as JSON."""
 
+    def shape(t: Column) -> Column:
+        name, schema, over = first_true(t, "tool_name", "name"), first_true(t, "params_schema", "paramsSchema", "json_schema"), truthy(t, "$.is_takeover") | truthy(t, "$.isTakeover")
+        whole = payload(tool_name=F.coalesce(text_of(name), F.lit('"tool_unknown"')), description=raw(value_at(t, "$.description")), params_schema=raw(text_of(schema)), is_takeover=F.when(over, "true").otherwise("false"))
+        return F.struct(F.coalesce(get(name), F.lit("tool_unknown")).alias("name"), over.alias("takeover"), get(schema).alias("schema"), whole.alias("whole"))
 
-def _config(run: Column) -> Column:
-    """The part of a run's configuration that is read as it stands."""
-    return payload(deps_type=raw(_or(run, "deps_type", "depsType")), result_type=raw(_or(run, "result_type", "resultType")), result_schema=raw(_or(run, "result_schema", "resultTypeSchema", "result_type_schema")))
+    return F.transform(F.filter(items(first_true(run, "tools", "tool_definitions", "toolDefinitions")), lambda t: kind_of(t).startswith("OBJECT")), shape)
 
 
 def steps_of(rows: DataFrame, scenario: str | Column) -> DataFrame:
     """One row a step of a run: the run itself (m = -1), each message (p = -1), each part."""
     r = F.col("record")
-    rows = rows.select("file", "pos", "record", scenario_column(scenario).cast("string").alias("scenario")).withColumn("k", F.row_number().over(Window.partitionBy("file").orderBy("pos")))
+    rows = rows.select("file", "pos", parsed("record").alias("record"), scenario_column(scenario).cast("string").alias("scenario")).withColumn("k", F.row_number().over(Window.partitionBy("file").orderBy("pos")))
     rows = rows.select(
         "scenario", "file", "pos", r.alias("run"), first_filled(get(r, "$.run_id"), get(r, "$.runId"), F.format_string("run_%04d", "k")).alias("run_id"),
         first_filled(get(r, "$.agent_name"), get(r, "$.agentName"), F.lit("pydantic_ai_agent")).alias("agent"), first_filled(get(r, "$.model"), F.lit("unknown_model")).alias("model"),
         epoch(first_filled(get(r, "$.ts_start"), get(r, "$.tsStart"))).alias("began"), epoch(first_filled(get(r, "$.ts_end"), get(r, "$.tsEnd"), get(r, "$.ts_start"), get(r, "$.tsStart"))).alias("ended"),
-        _items(_or(r, "messages", "message_history", "all_messages")).alias("messages"),
+        items(first_true(r, "messages", "message_history", "all_messages")).alias("messages"),
     )
     # what belongs to the run is read once a run, and only its own row carries it further
-    run = F.struct(_config(F.col("run")).alias("config"), value_at("run", "$.result").alias("result"), F.coalesce(_or(F.col("run"), "usage"), F.lit("{}")).alias("usage"))
-    rows = rows.withColumns({"tools": _tools(F.col("run")), "own": run}).drop("run")
-    one = lambda m, text, own: F.struct(m.alias("m"), text.alias("message"), own.alias("whole"))
-    none = F.lit(None).cast("struct<config:string,result:string,usage:string>")
-    told = F.concat(F.array(one(F.lit(-1), F.lit("{}"), F.col("own"))), F.transform("messages", lambda v, i: one(i, v, none)))
+    first = lambda *names: raw(text_of(first_true(F.col("run"), *names)))
+    own = {"deps_type": first("deps_type", "depsType"), "result_type": first("result_type", "resultType"), "result_schema": first("result_schema", "resultTypeSchema", "result_type_schema"), "result": value_at("run", "$.result"), "usage": F.coalesce(text_of(first_true(F.col("run"), "usage")), F.lit("{}"))}
+    rows = rows.withColumns({"tools": _tools(F.col("run")), "own": F.struct(*[c.alias(k) for k, c in own.items()])}).drop("run")
+    one = lambda m, message, own: F.struct(m.alias("m"), message.alias("message"), own.alias("whole"))
+    none = F.lit(None).cast("struct<deps_type:string,result_type:string,result_schema:string,result:string,usage:string>")
+    told = F.concat(F.array(one(F.lit(-1), empty(), F.col("own"))), F.transform("messages", lambda v, i: one(i, v, none)))
     rows = rows.withColumn("q", F.explode(told)).drop("messages", "own").select("*", "q.*").drop("q")
     x = F.col("message")
     both = rows.withColumns({"message_id": first_filled(get(x, "$.message_id"), get(x, "$.messageId"), F.format_string("msg_%04d", F.col("m") + 1)), "kind": F.when(F.col("m") >= 0, first_filled(get(x, "$.kind"), F.lit("request")))})
     said = epoch(get(x, "$.timestamp"))
     both = both.withColumn("said", F.when(said != 0, said).otherwise(F.col("began")))
-    parts = F.concat(F.array(F.struct(F.lit(-1).alias("p"), F.lit("{}").alias("part"))), F.transform(_items(value_at(x, "$.parts")), lambda v, i: F.struct(i.alias("p"), v.alias("part"))))
+    parts = F.concat(F.array(F.struct(F.lit(-1).alias("p"), empty().alias("part"))), F.transform(items(x, "$.parts"), lambda v, i: F.struct(i.alias("p"), v.alias("part"))))
     both = both.withColumn("q", F.explode(parts)).select("*", "q.*").drop("q")
     p = F.col("part")
     own = epoch(get(p, "$.timestamp"))
@@ -107,8 +100,7 @@ def from_records(records_: DataFrame, scenario: str | Column, options: Options =
     pick = lambda f: F.when(F.col("answered"), F.col(f"before.{f}")).otherwise(F.col(f))
     rows = rows.withColumns({"tool": pick("tool"), "args": pick("args"), "tool_ts": pick("ts")})
     # the run's definition of the tool, the last of that name
-    definition = F.element_at(F.concat(F.array(F.lit("{}")), F.filter("tools", lambda t: get(t, "$.tool_name") == F.col("tool"))), -1)
-    rows = rows.withColumn("definition", F.when(is_call | is_return, definition).otherwise("{}"))
+    rows = rows.withColumn("definition", F.when(is_call | is_return, F.get(F.reverse(F.filter("tools", lambda t: t["name"] == F.col("tool"))), F.lit(0))))
     base = F.concat(F.lit("pydantic_ai_"), "run_id", F.lit("_"))
     stamp = F.concat(base, "tool", F.lit("_"), (F.col("tool_ts") * 1000).cast("long").cast("string"))
     model_name = F.concat(base, "message_id", F.lit("_model"))
@@ -116,22 +108,22 @@ def from_records(records_: DataFrame, scenario: str | Column, options: Options =
     failure = F.when(starts, F.struct(F.lit("model_generation").alias("kind"), model_name.alias("id"))).when(F.col("answered"), F.struct(F.lit("tool_call").alias("kind"), F.concat(stamp, F.lit("_tool")).alias("id")))
     rows = rows.withColumn("fails", failure)
     rows = rows.withColumn("last", F.last("fails", ignorenulls=True).over(Window.partitionBy("file", "pos").orderBy("m", "p").rowsBetween(Window.unboundedPreceding, -1)))
-    texts = F.filter(_items(value_at(x, "$.parts")), lambda v: F.coalesce(first_filled(get(v, "$.part_kind"), get(v, "$.partKind")), F.lit("text")) == "text")
+    texts = F.filter(items(x, "$.parts"), lambda v: F.coalesce(first_filled(get(v, "$.part_kind"), get(v, "$.partKind")), F.lit("text")) == "text")
     joined = F.array_join(F.array_compact(F.transform(texts, lambda v: get(v, "$.content"))), "\n")
     text = F.when(F.size(texts) > 0, quoted(joined))
     actor = F.lit(o.actor_override) if o.actor_override else F.col("agent")
-    url = F.exists(F.array(plain(value_at("definition", "$.params_schema"))), lambda s: s.rlike(r'"[^"]*https?://[^"]*"(?!\s*:)'))
+    url = F.col("definition.schema").rlike(r'"[^"]*https?://[^"]*"(?!\s*:)')
     tier = F.when(matches(F.col("tool"), o.cross_stack_tools_pattern, False) | F.coalesce(url, F.lit(False)), "cross_stack").otherwise(o.stack_tier)
 
     def one(name, kind, at, body, own_tier=None, own_actor=None):
         return fragment(name, at, kind, body, F.lit(o.stack_tier) if own_tier is None else own_tier, actor if own_actor is None else own_actor, F.col("run_id"), F.col("run_id"))
 
     named = lambda end: F.concat(base, "message_id", F.lit(f"_{end}_"), (F.col("p") + 1).cast("string"))
-    config = payload(agent_name=quoted(F.col("agent")), model=quoted(F.col("model")), **{k: raw(value_at("whole.config", f"$.{k}")) for k in ("deps_type", "result_type", "result_schema")}, tools=F.concat(F.lit("["), F.array_join("tools", ", "), F.lit("]")))
-    model = payload(model_id=F.coalesce(_or(x, "model_name", "modelName"), quoted(F.col("model"))), internal_reasoning=F.lit('"opaque"'), kind_metadata=F.coalesce(_or(x, "kind_metadata", "kindMetadata"), F.lit("{}")), text=text)
+    config = payload(agent_name=quoted(F.col("agent")), model=quoted(F.col("model")), **{k: F.col(f"whole.{k}") for k in ("deps_type", "result_type", "result_schema")}, tools=F.concat(F.lit("["), F.array_join(F.transform("tools", lambda t: t["whole"]), ", "), F.lit("]")))
+    model = payload(model_id=F.coalesce(text_of(first_true(x, "model_name", "modelName")), quoted(F.col("model"))), internal_reasoning=F.lit('"opaque"'), kind_metadata=F.coalesce(text_of(first_true(x, "kind_metadata", "kindMetadata")), F.lit("{}")), text=text)
     is_run, works = F.col("m") == -1, F.col("answered") | F.col("open")
     called = payload(tool_name=quoted(F.col("tool")), args=F.col("args"), result=F.when(F.col("answered"), raw(value_at(p, "$.content"))), incomplete=F.when(F.col("open"), "true"))
-    takes_over = truthy(F.col("definition"), "$.is_takeover") | matches(F.col("tool"), o.takeover_tool_pattern, False)
+    takes_over = F.coalesce("definition.takeover", F.lit(False)) | matches(F.col("tool"), o.takeover_tool_pattern, False)
     reply = F.coalesce(F.when(truthy(p, "$.content"), get(p, "$.content")), F.lit(""))
     verdict = F.when(matches(reply, o.human_approval_pattern, False), "human_approval").otherwise("human_rejection")
     by_tool = {"own_tier": tier, "own_actor": F.col("tool")}
