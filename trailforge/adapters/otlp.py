@@ -59,12 +59,16 @@ def _attribute_value(v: Column) -> Column:
 
 
 def _attributes(v: Column, path: str) -> Column:
-    """map<string, JSON text> from an object of attributes or a list of key-value pairs (the last
-    of equal keys wins)."""
+    """Entries (key, JSON text) of an object of attributes or a list of key-value pairs."""
     listed = F.try_variant_get(v, path, _PAIRS)
     named = F.map_entries(F.transform_values(F.try_variant_get(v, path, _MAP), lambda _, x: F.to_json(x)))
     pairs = F.transform(F.filter(listed, lambda p: p["key"].isNotNull()), lambda p: F.struct(p["key"].alias("key"), _attribute_value(p["value"]).alias("value")))
-    entries = F.coalesce(named, pairs, F.array().cast("array<struct<key:string,value:string>>"))
+    return F.coalesce(named, pairs, F.array().cast("array<struct<key:string,value:string>>"))
+
+
+def _mapped(column: str) -> Column:
+    """map<string, JSON text> of a column of entries; the last of equal keys wins."""
+    entries = F.col(column)
     last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]))
     return F.map_from_entries(last)
 
@@ -101,7 +105,7 @@ def spans_of(rows: DataFrame) -> DataFrame:
     named = F.lower(F.replace(kind, F.lit("SPAN_KIND_"), F.lit("")))
     code = F.coalesce(F.try_variant_get(v, "$.status.code", "string"), F.when(~F.coalesce(F.schema_of_variant(F.try_variant_get(v, "$.status", "variant")).startswith("OBJECT"), F.lit(False)), F.try_variant_get(v, "$.status", "string")), F.lit("OK"))
     start = _seconds(either("start_time_unix_nano", "startTimeUnixNano"))
-    return rows.select(
+    found = rows.select(
         "file", "at", "resource", "v",
         _id(plain(either("span_id", "spanId")), 8).alias("span_id"),
         filled(_id(plain(either("parent_span_id", "parentSpanId")), 8)).alias("parent"),
@@ -115,6 +119,7 @@ def spans_of(rows: DataFrame) -> DataFrame:
         _attributes(v, "$.attributes").alias("attrs"),
         F.coalesce(F.try_variant_get(v, "$.events", "array<variant>"), F.array().cast("array<variant>")).alias("events"),
     )
+    return found.withColumns({c: _mapped(c) for c in ("resource", "attrs")})
 
 
 def attribute(key: str) -> Column:

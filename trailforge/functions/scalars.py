@@ -31,7 +31,7 @@ def truthy(json: Column, path: str = "$") -> Column:
         .when(kind == "STRING", F.length(text) > 0)
         .when(kind.startswith("ARRAY"), text != "[]")
         .when(kind.startswith("OBJECT"), text != "{}")
-        .otherwise(F.coalesce(text.try_cast("double"), F.lit(1.0)) != 0.0)
+        .otherwise(~text.rlike(r"^-?0+(\.0*)?([eE][-+]?[0-9]+)?$"))
     )
 
 
@@ -51,7 +51,8 @@ def epoch(text: Column, milliseconds: bool = False) -> Column:
     With ``milliseconds``, numbers above ten thousand million are milliseconds. Texts without a
     zone are in the session's zone. What is none of these is null.
     """
-    number = text.try_cast("double")
+    # only what can be a number is cast: a cast that fails costs an exception a row
+    number = F.when(text.rlike(r"^[\s0-9eE.+-]+$"), text.try_cast("double"))
     if milliseconds:
         number = F.when(number > MILLISECONDS_FROM, number / 1000.0).otherwise(number)
     iso = F.unix_micros(F.try_to_timestamp(text)) / F.lit(1e6)

@@ -45,7 +45,8 @@ def kind_of(v: Column | str, path: str = "$") -> Column:
 
 def true_text(json_text: Column) -> Column:
     """Python's truth of a JSON value: missing, null, false, 0, "", [] and {} are false."""
-    return F.coalesce(~json_text.isin("null", "false", '""', "[]", "{}") & (F.coalesce(json_text.try_cast("double"), F.lit(1.0)) != 0.0), F.lit(False))
+    # zeros by their text: a cast that fails costs an exception a row
+    return F.coalesce(~json_text.isin("null", "false", '""', "[]", "{}") & ~json_text.rlike(r"^-?0+(\.0*)?([eE][-+]?[0-9]+)?$"), F.lit(False))
 
 
 def truthy(v: Column | str, path: str = "$") -> Column:

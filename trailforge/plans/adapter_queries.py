@@ -22,7 +22,7 @@ FRAGMENT_COLUMNS = ("scenario_id", "seq", "fragment_id", "timestamp", "kind", "s
 
 
 def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
+    events = traces.dealt(table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "props"))
     return events.select("event_id", F.col("user_id").cast("string").alias("file"), "ts", F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 

@@ -12,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows over all cores, where their files make fewer tasks than that: for work that costs much more a row than moving it."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def events_as_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fragments from ``events``: the number in ``props`` picks kind and actor, the value is the
     magnitude. Every branch of the boundary and classification rules occurs."""
