@@ -15,6 +15,7 @@ from trailforge.functions.scalars import epoch, first_filled, get, kind_of, matc
 from trailforge.operators.pairing import architecture
 from trailforge.schema import ARCHITECTURES, KINDS, STACK_TIERS
 from trailforge.sources import settings
+from trailforge.sources.lines import numbered_lines
 
 
 @dataclass(frozen=True)
@@ -130,12 +131,12 @@ def _has(above, last: str) -> bool:
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(n, record): the objects of a line-JSON file with their line numbers from 1. A line that is no
+    """(n, record): the objects of a line-JSON file with their line numbers from 1, read by splits. A line that is no
     JSON object is an error."""
-    text = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("n", "line")).where(F.trim("line") != "")
+    text = numbered_lines(spark, path).where(F.trim("line") != "")
     good = F.coalesce(kind_of(F.col("line")).startswith("OBJECT"), F.lit(False))
-    bad = F.raise_error(F.concat(F.lit("no JSON object in line "), (F.col("n") + 1).cast("string")))
-    return text.select((F.col("n") + 1).alias("n"), F.when(good, F.trim("line")).otherwise(bad).alias("record"))
+    bad = F.raise_error(F.concat(F.lit("no JSON object in line "), F.col("n").cast("string")))
+    return text.select("n", F.when(good, F.trim("line")).otherwise(bad).alias("record"))
 
 
 def _needed(text: Column, path: str, what: str) -> Column:
@@ -199,7 +200,7 @@ def _absorbed(rows: DataFrame, m: Mapping) -> DataFrame | None:
         direct, name = value_at(r, json_path(rule["payload_key"])), rule["payload_key"]
         only = F.when(F.json_array_length(F.to_json(F.json_object_keys("body"))) == 1, value_at("body", f"$.{name}")) if "." not in name else F.lit(None).cast("string")
         value = F.coalesce(direct, only, F.col("body"))
-        followers = rows.where(F.col("raw_kind") == kind).select("n", get(r, json_path(rule["parent_match_field"])).alias("key"), F.lit(None).cast("int").alias("parent"), value.alias("value"))
+        followers = rows.where(F.col("raw_kind") == kind).select("n", get(r, json_path(rule["parent_match_field"])).alias("key"), F.lit(None).cast("long").alias("parent"), value.alias("value"))
         both = parents.unionByName(followers).where("key is not null")
         key = Window.partitionBy("key").orderBy("n")
         before = F.last("parent", ignorenulls=True).over(key.rowsBetween(Window.unboundedPreceding, -1))
