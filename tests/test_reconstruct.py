@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 from pathlib import Path
 
 import duckdb
@@ -201,6 +202,26 @@ def test_boundary_f1_against_plain_python(spark):
         assert got == {i: plain_f1(f, t, tolerance) for i, (f, t) in enumerate(cases)}
 
 
+def test_intervals_against_a_plain_loop(spark):
+    """Groups of one to many values, two of one size, null keys, values and ties; chunks and blocks of rounds are small."""
+    rng = np.random.default_rng(5)
+    sizes = {"one": 1, "two": 2, "five": 5, "also": 5, None: 16, "long": 333}
+    rows = [(g, i, float(rng.integers(0, 8)) / 7) for g, n in sizes.items() for i in range(n)]
+    rows += [("two", 5, None), ("none", 0, None)]
+    table = spark.createDataFrame(rows, "g string, o int, v double").repartition(3)
+
+    def plain(values, rounds, alpha):
+        draw, n = random.Random(42), len(values)
+        means = sorted(sum(values[draw.randint(0, n - 1)] for _ in range(n)) / n for _ in range(rounds))
+        return means[int(rounds * alpha / 2)], means[int(rounds * (1 - alpha / 2))]
+
+    want = {g: plain([v for h, _, v in rows if h == g and v is not None], 110, 0.1) for g in sizes}
+    for at_once, chunk in ((25, 64), (7, 1 << 17)):
+        got = evaluate.bootstrap_ci(table, ["g"], "v", "o", rounds=110, alpha=0.1, rounds_at_once=at_once, chunk=chunk).collect()
+        assert {r.g: (r.ci_low, r.ci_high) for r in got} == {g: pytest.approx(ends, abs=1e-12) for g, ends in want.items()}
+    assert evaluate.bootstrap_ci(table.limit(0), ["g"], "v", "o").collect() == []
+
+
 def test_true_positions_in_set_order(spark):
     lists = [[3, 1, 2], [8, 0, 16, 9], [5, 5], []]
     got = spark.createDataFrame([(x,) for x in lists], "t array<int>").select(evaluate.in_set_order("t").alias("s")).collect()

@@ -6,11 +6,13 @@ import json
 import random
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trailforge.functions.ranges import numbered
 from trailforge.operators.boundary import detect
 from trailforge.operators.classify import chains, mode_break, reports, unit_actor_counts
 from trailforge.operators.ordering import order_fragments
@@ -187,44 +189,98 @@ def evaluate(scenarios: DataFrame, fragments: DataFrame) -> DataFrame:
     return report.join(scenarios.select("scenario_id", "seed", "truth", "position"), "scenario_id").join(scored, "scenario_id")
 
 
-def bootstrap_ci(values: DataFrame, group: list[str], value: str, order: str, rounds: int = 1000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
-    """Percentile bootstrap interval of a mean by group.
+def _drawn(bits: np.random.MT19937, n: int, want: int) -> Iterator[np.ndarray]:
+    """``want`` numbers below ``n``, in pieces, as Python's ``randrange`` draws them: the top bits of a 32-bit word,
+    thrown away where they reach ``n``. Never a word more than that takes, so the generator stands where Python's would."""
+    shift = np.uint64(32 - n.bit_length())
+    while want:
+        words = bits.random_raw(min(want, 1 << 20)) >> shift
+        words = words[words < n]
+        want -= len(words)
+        yield words.astype(np.int64)
 
-    The draws depend on the group's size alone, so all groups of a size share one list of
-    indexes; the resampled means are sorted in one function a group."""
-    low, high = int(rounds * alpha / 2), int(rounds * (1 - alpha / 2))
 
-    @F.pandas_udf(T.StructType().add("low", "double").add("high", "double"))
-    def interval(lists: pd.Series) -> pd.DataFrame:
-        drawn: dict[int, list[list[int]]] = {}
+def _generator(state: bytes) -> np.random.MT19937:
+    words = np.frombuffer(state, np.uint32)
+    bits = np.random.MT19937()
+    bits.state = {"bit_generator": "MT19937", "state": {"key": words[:-1], "pos": int(words[-1])}}
+    return bits
+
+
+def _state(bits: np.random.MT19937) -> bytes:
+    at = bits.state["state"]
+    return np.append(at["key"], at["pos"]).astype(np.uint32).tobytes()
+
+
+def bootstrap_ci(values: DataFrame, group: list[str], value: str, order: str, rounds: int = 1000, alpha: float = 0.05, seed: int = 42, rounds_at_once: int = 25, chunk: int = 1 << 17) -> DataFrame:
+    """(group, ci_low, ci_high): the percentile bootstrap interval of a mean by group, with the draws of Python's
+    ``random.Random(seed)``, which the recorded results used.
+
+    The draws depend on a group's size alone. For each size that occurs one walk over the generator saves its
+    state before every ``rounds_at_once`` rounds (2.5 KB each). A group's values are numbered in ``order`` by
+    ranges and cut into chunks of at most ``chunk``; a row is a chunk and a block of rounds, which starts from its saved state and
+    sums up, for each round, the picks that fall into its chunk. The sums are added over chunks, and the
+    interval's ends are picked from the ``rounds`` means of a group. No list holds a group's values.
+
+    Null values count as missing and are left out; a group without values has no row; ``value`` is cast to
+    double. Rows that tie in ``order`` are ordered by value. Null keys are a group.
+    """
+    keys = [f"_k{i}" for i in range(len(group))]
+    named = values.select(*[F.col(g).alias(k) for g, k in zip(group, keys, strict=True)], F.col(order).alias("_o"), F.col(value).cast("double").alias("_v")).where("_v is not null")
+    placed = written(numbered(written(named, "values"), keys, ["_o", "_v"], "_i", "_n"), "placed")
+
+    def saved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for n in batch["_n"].tolist():
+                internal = random.Random(seed).getstate()[1]
+                bits = _generator(np.array(internal, np.uint32).tobytes())
+                for block in range(-(-rounds // rounds_at_once)):
+                    yield pd.DataFrame({"_n": [n], "_block": [block], "_state": [_state(bits)]})
+                    for _ in _drawn(bits, n, n * rounds_at_once):
+                        pass
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def picked(sizes: pd.Series, blocks: pd.Series, states: pd.Series, firsts: pd.Series, chunks: pd.Series) -> pd.Series:
         out = []
-        for values in lists:
-            n = len(values)
-            if n not in drawn:
-                rng = random.Random(seed)
-                drawn[n] = [[rng.randint(0, n - 1) for _ in range(n)] for _ in range(rounds)]
-            v = [float(x) for x in values]
-            means = sorted(sum(v[i] for i in picks) / n for picks in drawn[n])
-            out.append((means[low], means[high]))
-        return pd.DataFrame(out, columns=["low", "high"])
-
-    lists = values.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, F.col(value).alias("v")))), lambda x: x["v"]).alias("v"))
-    return lists.withColumn("ci", interval("v")).select(*group, F.col("ci.low").alias("ci_low"), F.col("ci.high").alias("ci_high"))
-
-
-def cells(evaluated: DataFrame) -> DataFrame:
-    """Mean completeness with interval, mean F1 and the modal failure mode of each architecture
-    and tier; of equally frequent modes the one seen first."""
+        for n, block, state, first, part in zip(sizes, blocks, states, firsts, chunks, strict=True):
+            bits, exact = _generator(state), np.asarray(part, np.longdouble)
+            sums = []
+            for _ in range(min(rounds_at_once, rounds - block * rounds_at_once)):
+                total = np.longdouble(0)
+                for picks in _drawn(bits, n, n):
+                    here = picks - first
+                    total += exact[here[(here >= 0) & (here < len(exact))]].sum()
+                sums.append(float(total))
+            out.append(sums)
+        return pd.Series(out)
+
+    sizes = placed.select("_n").distinct().repartition("_n")
+    states = written(sizes.mapInPandas(saved, "_n bigint, _block int, _state binary"), "states")
+    chunks = placed.groupBy(*keys, "_n", F.floor(F.col("_i") / chunk).alias("_chunk")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_v"))), lambda x: x["_v"]).alias("_part"))
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(-(-rounds // rounds_at_once) - 1))).alias("_block")
+    work = chunks.select("*", blocks).join(states, ["_n", "_block"])
+    sums = work.select(*keys, "_n", "_chunk", "_block", F.posexplode(picked("_n", "_block", "_state", F.col("_chunk") * chunk, "_part")).alias("_r", "_sum"))
+    added = F.aggregate(F.array_sort(F.collect_list(F.struct("_chunk", "_sum"))), F.lit(0.0), lambda a, x: a + x["_sum"])  # a sum a chunk, always in one order
+    means = sums.groupBy(*keys, "_n", "_block", "_r").agg((added / F.col("_n")).alias("_mean"))
+    ends = [F.get(F.col("_means"), F.lit(int(rounds * a))).alias(name) for a, name in ((alpha / 2, "ci_low"), (1 - alpha / 2, "ci_high"))]
+    return means.groupBy(*keys).agg(F.array_sort(F.collect_list("_mean")).alias("_means")).select(*[F.col(k).alias(g) for g, k in zip(group, keys, strict=True)], *ends)
+
+
+def cells(evaluated: DataFrame, intervals: bool = True) -> DataFrame:
+    """Mean completeness with its interval (unless ``intervals`` is false: null), mean F1 and the modal failure mode of
+    each architecture and tier; of equally frequent modes the one seen first. Means are of sums of decimals, the same in any order."""
     group = ["architecture", "stack_tier"]
-    means = evaluated.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n"), F.min("position").alias("position"),
-        F.aggregate(F.array_sort(F.collect_list(F.struct("position", F.col("completeness").alias("v")))), F.lit(0.0), lambda a, x: a + x["v"]).alias("total"),
-        F.aggregate(F.array_sort(F.collect_list(F.struct("position", F.col("boundary_f1").alias("v")))), F.lit(0.0), lambda a, x: a + x["v"]).alias("f1"),
-    )
+    evaluated = written(evaluated.select(*group, "position", "completeness", "boundary_f1", "per_property"), "evaluated")
+    exact = lambda c: F.sum(F.col(c).cast("decimal(38,18)")).cast("double")
+    means = evaluated.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.min("position").alias("position"), exact("completeness").alias("total"), exact("boundary_f1").alias("f1"))
     modes = evaluated.select(*group, "position", F.explode("per_property").alias("p")).where("p.mode is not null").groupBy(*group, F.col("p.mode").alias("mode"))
     modes = modes.agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("position", "p.ord")).alias("seen"))
     modal = modes.groupBy(*group).agg(F.max_by("mode", F.struct("k", -F.col("seen.position"), -F.col("seen.ord"))).alias("modal_mode"), (F.max("k") / F.sum("k")).alias("share"))
-    out = means.join(bootstrap_ci(evaluated, group, "completeness", "position"), group).join(modal, group, "left")
+    out = means.join(modal, group, "left")
+    if intervals:
+        out = out.join(bootstrap_ci(evaluated, group, "completeness", "position"), group)
+    else:
+        out = out.withColumns({c: F.lit(None).cast("double") for c in ("ci_low", "ci_high")})
     pct = lambda c: F.bround(c * 100, 1)
     return out.select(
         *group, F.col("n").cast("int").alias("n"), pct(F.col("total") / F.col("n")).alias("completeness_pct"), pct(F.col("ci_low")).alias("completeness_ci_low"), pct(F.col("ci_high")).alias("completeness_ci_high"),

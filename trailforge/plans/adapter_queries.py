@@ -121,11 +121,19 @@ def property_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.per_property(_reports(spark, sf_dir)).select("property", *CATEGORIES)
 
 
+def _cell_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reports(spark, sf_dir).join(boundary_f1(spark, sf_dir), "scenario_id").withColumn("position", F.col("scenario_id").cast("int"))
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Completeness, F1 and modal mode of each architecture and tier; intervals, whose draws are
-    Python's own random numbers, are left to the tests."""
-    rows = _reports(spark, sf_dir).join(boundary_f1(spark, sf_dir), "scenario_id").withColumn("position", F.col("scenario_id").cast("int"))
-    return evaluate.cells(rows).select("architecture", "stack_tier", "n", "completeness_pct", "boundary_f1", "modal_mode", "modal_mode_share", "dominant_break")
+    """Completeness, F1 and modal mode of each architecture and tier."""
+    rows = evaluate.cells(_cell_rows(spark, sf_dir), intervals=False)
+    return rows.select("architecture", "stack_tier", "n", "completeness_pct", "boundary_f1", "modal_mode", "modal_mode_share", "dominant_break")
+
+
+def completeness_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bootstrap interval of each cell's completeness. SQL has no words for the generator's draws: a test holds it to a plain loop."""
+    return evaluate.bootstrap_ci(_cell_rows(spark, sf_dir), ["architecture", "stack_tier"], "completeness", "position")
 
 
 def provenance_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +142,7 @@ def provenance_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prov.bundle(scenarios, traces.events_as_fragments(spark, sf_dir)).select("place", "node")
 
 
-QUERIES = {f.__name__: f for f in (langsmith_fragments, otlp_fragments, mcp_fragments, content_digest, redacted_payloads, boundary_f1, boundary_f1_near, property_shares, cells, provenance_nodes)}
+QUERIES = {f.__name__: f for f in (langsmith_fragments, otlp_fragments, mcp_fragments, content_digest, redacted_payloads, boundary_f1, boundary_f1_near, property_shares, cells, completeness_intervals, provenance_nodes)}
 
 # --- SQL ---------------------------------------------------------------------------------
 
