@@ -232,3 +232,39 @@ def test_settings_files():
     assert settings.parse('{"a": [1]}') == {"a": [1]}
     with pytest.raises(ValueError, match="one line"):
         settings.parse("a: {b: 1}")
+
+
+def test_otlp_nested_values(spark):
+    """Lists and key lists inside each other to depth 5, in a span, its event and its resource, against plain values."""
+    def wire(x):
+        if isinstance(x, dict):
+            return {"kvlistValue": {"values": [{"key": k, "value": wire(v)} for k, v in x.items()]}}
+        if isinstance(x, list):
+            return {"arrayValue": {"values": [wire(v) for v in x]}}
+        name = {bool: "boolValue", int: "intValue", float: "doubleValue", str: "stringValue"}[type(x)]
+        return {name: str(x) if type(x) is int else x}
+
+    values = {
+        "a": [1, [2.5, ["x", {"k": [True, {"stringValue": "kept"}]}]]], "b": {"intValue": {"c": [{"d": {"e": [[]]}}]}}, "c": "plain", "d": [], "e": {}, "f": [["only"], 9007199254740993],
+        "g": [[["deep", -1], {"n": "\u00e9\n"}]],
+    }
+    pairs = [{"key": k, "value": wire(v)} for k, v in values.items()]
+    odd = [{"key": "c", "value": wire("first")}, {"value": wire("no key")}, *pairs, {"key": "x", "value": {"intValue": "no number"}}, {"key": "y", "value": {"kvlistValue": None}}, {"key": "z"}]
+    span = {"spanId": "00000000000000aa", "name": "s", "startTimeUnixNano": "1700000000000000000", "attributes": odd, "events": [{"name": "e", "attributes": pairs}]}
+    bundle = {"resourceSpans": [{"resource": {"attributes": pairs}, "scopeSpans": [{"scope": {"name": "n"}, "spans": [span]}]}]}
+    deep = wire("bottom")
+    for _ in range(60):
+        deep = {"arrayValue": {"values": [deep]}}
+    single = {"spanId": "00000000000000bb", "name": "t", "startTimeUnixNano": "1700000001000000000", "attributes": [{"key": "deep", "value": deep}]}
+    flat = {"spanId": "00000000000000cc", "name": "u", "startTimeUnixNano": "1700000002000000000", "attributes": [{"key": "l", "value": wire([1, "a"])}]}
+    rows = spark.createDataFrame([("f", i, json.dumps(r) if r else '{"kvlistValue" broken') for i, r in enumerate((bundle, single, flat, None))], "file string, pos long, record string")
+    got = {r.span_id: r for r in otlp.spans_of(rows).collect() if r.span_id}
+    plain = lambda m: {k: json.loads(v) for k, v in m.items()}
+    assert plain(got["00000000000000aa"].attrs) == values | {"x": "no number", "y": {}, "z": None}
+    assert plain(got["00000000000000aa"].resource) == values
+    assert json.loads(got["00000000000000aa"].events[0].toJson())["attributes"] == values
+    bottom = plain(got["00000000000000bb"].attrs)["deep"]
+    for _ in range(60):
+        (bottom,) = bottom
+    assert bottom == "bottom"
+    assert plain(got["00000000000000cc"].attrs) == {"l": [1, "a"]}

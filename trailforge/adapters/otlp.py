@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import math
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trailforge.adapters.common import content, flat, fragment, is_string, number, payload, plain, quoted, raw, resorted, scenario_column, scenario_rows
 from trailforge.functions.scalars import any_of, filled, first_filled, get, matches
@@ -48,7 +52,7 @@ def _seconds(json_text: Column) -> Column:
 
 def _attribute_value(v: Column) -> Column:
     """The JSON text of an attribute's value; the typed wrappers of the wire form are taken off
-    (lists of scalars too; wrappers nested deeper stay)."""
+    (lists of scalars too; ``unwrapped`` has taken deeper ones off)."""
     scalar = F.coalesce(
         F.to_json(F.try_variant_get(v, "$.stringValue", "variant")), F.try_variant_get(v, "$.intValue", "bigint").cast("string"),
         F.try_variant_get(v, "$.doubleValue", "double").cast("string"), F.to_json(F.try_variant_get(v, "$.boolValue", "variant")), F.to_json(F.try_variant_get(v, "$.bytesValue", "variant")),
@@ -58,6 +62,70 @@ def _attribute_value(v: Column) -> Column:
     return F.coalesce(scalar, F.concat(F.lit("["), F.array_join(F.transform(items, one), ", "), F.lit("]")), F.to_json(v))
 
 
+def _plain_value(value):
+    """A wire value without its typed wrappers, at any depth; what has no wrapper is itself. Numbers that do not parse, or
+    are not finite, stay as written. The wrappers are walked with a list of open ends, so depth costs no stack."""
+    top: list = [None]
+    open_ends: list[tuple] = [(top, 0, value)]
+    while open_ends:
+        holder, place, v = open_ends.pop()
+        found, inner = v, None
+        if isinstance(v, dict):
+            name = next((n for n in ("stringValue", "intValue", "doubleValue", "boolValue", "bytesValue", "arrayValue", "kvlistValue") if n in v), None)
+            found = v if name is None else v[name]
+            if name in ("intValue", "doubleValue"):
+                try:
+                    number = int(found) if name == "intValue" else float(found)
+                    found = number if math.isfinite(number) else str(found)
+                except (TypeError, ValueError, OverflowError):
+                    pass
+            elif name in ("arrayValue", "kvlistValue"):
+                inner = found.get("values") if isinstance(found, dict) else None
+                inner = inner if isinstance(inner, list) else []
+                if name == "arrayValue":
+                    found = [None] * len(inner)
+                    open_ends += [(found, i, x) for i, x in enumerate(inner)]
+                else:
+                    pairs = {str(x["key"]): x.get("value") for x in inner if isinstance(x, dict) and "key" in x}
+                    found = dict.fromkeys(pairs)
+                    open_ends += [(found, k, x) for k, x in pairs.items()]
+        holder[place] = found
+    return top[0]
+
+
+def _named_attributes(text: str | None) -> str | None:
+    """A JSON record whose lists of attributes have become objects of plain values; no JSON stays as it is."""
+    if text is None:
+        return None
+    try:
+        data = json.loads(text)
+        open_ends = [data]
+        while open_ends:
+            one = open_ends.pop()
+            if isinstance(one, list):
+                open_ends += one
+            elif isinstance(one, dict):
+                listed = one.get("attributes")
+                if isinstance(listed, list):
+                    one["attributes"] = {str(x["key"]): _plain_value(x.get("value")) for x in listed if isinstance(x, dict) and x.get("key") is not None}
+                open_ends += [v for k, v in one.items() if k != "attributes"]
+        return json.dumps(data)
+    except (ValueError, RecursionError):
+        return text
+
+
+@F.pandas_udf(T.StringType())
+def _renamed(texts: pd.Series) -> pd.Series:
+    return texts.map(_named_attributes)
+
+
+def unwrapped(record: Column) -> Column:
+    """The record with nested values (lists of lists, lists of keys) of attributes made plain. Only records that may have
+    some go through Python, as SQL has no words for any depth: those with a list of keys, or more than one list."""
+    deep = record.contains('"kvlistValue"') | record.rlike(r'(?s)"arrayValue".*"arrayValue"')
+    return F.coalesce(_renamed(F.when(deep, record)), record)
+
+
 def _attributes(v: Column, path: str) -> Column:
     """Entries (key, JSON text) of an object of attributes or a list of key-value pairs."""
     listed = F.try_variant_get(v, path, _PAIRS)
@@ -87,7 +155,7 @@ def spans(spark: SparkSession, path: str) -> DataFrame:
 
 def spans_of(rows: DataFrame) -> DataFrame:
     """One row a span of the records (file, pos, record)."""
-    rows = rows.select("file", "pos", F.try_parse_json("record").alias("v"))
+    rows = rows.select("file", "pos", F.try_parse_json(unwrapped(F.col("record"))).alias("v"))
     deep = F.try_variant_get("v", "$.resourceSpans", "array<variant>")
     bundled = rows.where(deep.isNotNull()).select("file", "pos", F.posexplode(deep).alias("p1", "r"))
     bundled = bundled.select("file", "pos", "p1", "r", F.posexplode(F.try_variant_get("r", "$.scopeSpans", "array<variant>")).alias("p2", "s"))
