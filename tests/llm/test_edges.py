@@ -207,3 +207,15 @@ def test_stages_keep_columns(spark, docs, none, labels, tmp_path):
         assert "doc_id" in now.columns and now.count() >= 0
     digest = hashlib.sha256(b"").hexdigest()
     assert corpus_pipeline.STAGES[-1][1](spark, docs.where("text is null"), "").where(F.col("decoded_sha256") == digest).count() == 2
+
+
+def test_token_files_of_two_row_orders(spark):
+    """Rows with null and repeated keys: the files hold the same bytes in whatever order the rows arrive."""
+    rows = [(k, f"{w} {w} text {i}") for i, w in enumerate(("b", "a", "d", "c", "z")) for k in (None, 7, i)] + [(None, None), (7, ""), (7, "b b text 0")]
+
+    def files(table):
+        folder, listed = token_files.write_token_files(table, public_tokenizers.path("byte_bpe_50k.json"), ids_per_file=20, docs_per_task=6)
+        return {r.file: zlib.crc32(open(f"{folder.removeprefix('file://')}/{r.file}", "rb").read()) for r in listed.collect()}
+
+    one, two = (spark.createDataFrame(r, "doc_id bigint, text string").repartition(n) for r, n in ((rows, 1), (rows[::-1], 5)))
+    assert files(one) == files(two) and len(files(one)) > 4

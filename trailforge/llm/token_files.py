@@ -305,7 +305,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, text: str = "text", key:
 
     Ranges of the key go to tasks (its quantiles come from the key column alone); each task
     sorts its range and streams it into files of about ``ids_per_file`` ids; a longer document
-    has a longer file. Null texts are empty. Rows that share a key stay together, in any order. There are
+    has a longer file. Null texts are empty. Rows that share a key stay together, in order of their
+    text, so a range's files hold the same bytes however its rows arrive: an attempt that runs again, or beside another, replaces a file by itself. There are
     100,000 ranges at most; a task holds one file's ids, however long its range is.
     """
     spark = docs.sparkSession
@@ -315,7 +316,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, text: str = "text", key:
     bounds = docs.select(F.percentile_approx(key, [i / tasks for i in range(1, tasks)], 10 * tasks)).first()[0] if tasks > 1 else []
     bounds = sorted(set(bounds or []))
     part = F.when(F.col(key).isNull(), 0).otherwise(_rank(F.col(key).cast("long"), bounds)).cast("int")
-    dealt = docs.select(part.alias("part"), F.col(key).cast("long").alias("key"), F.col(text).alias("text")).repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "key")
+    dealt = docs.select(part.alias("part"), F.col(key).cast("long").alias("key"), F.col(text).alias("text")).repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         listed = pa.schema([("file", pa.string()), ("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
