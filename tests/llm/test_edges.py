@@ -219,3 +219,16 @@ def test_token_files_of_two_row_orders(spark):
 
     one, two = (spark.createDataFrame(r, "doc_id bigint, text string").repartition(n) for r, n in ((rows, 1), (rows[::-1], 5)))
     assert files(one) == files(two) and len(files(one)) > 4
+
+
+def test_rows_alike_are_told_apart(spark):
+    """Counts below, at and above a block, and of none; then a mix of many equal null rows."""
+    counts = {"a": 1, "b": 4, "c": 5, "d": 23, None: 8}
+    table = spark.createDataFrame([(k, n) for k, n in counts.items()], "id string, alike bigint")
+    got = [(r.id, r.nth) for r in mixing._told_apart(table, block=4).collect()]
+    assert sorted(got, key=str) == sorted(((k, i) for k, n in counts.items() for i in range(1, n + 1)), key=str)
+    rows = spark.range(300_000).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit("a b").alias("text"), F.lit(None).cast("string").alias("source"))
+    more = spark.range(100).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("s").alias("source"))
+    mixed = mixing.mix(rows.union(more)).groupBy("source").agg(F.count("*").alias("n"), F.sum(F.col("copies") * F.col("size")).alias("taken"), F.max("target").alias("target")).collect()
+    assert {r.source: r.n for r in mixed} == {None: 300_000, "s": 100}
+    assert all(abs(r.taken - r.target) <= 3 for r in mixed)

@@ -82,6 +82,16 @@ def pivotal(size: np.ndarray, part: np.ndarray, rng: np.random.Generator) -> tup
     return np.array(p), held
 
 
+def _told_apart(alike: DataFrame, block: int = 65_536) -> DataFrame:
+    """Each row ``alike`` times, numbered from 1 by ``nth``. Beyond a block of them the blocks are dealt over tasks first, so
+    that neither an array nor a task holds all."""
+    few = alike.where(F.col("alike") <= block).withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("alike"))))
+    blocks = alike.where(F.col("alike") > block).withColumn("_block", F.explode(F.sequence(F.lit(0), F.expr(f"(alike - 1) div {block}")))).repartition("_block")
+    first = F.col("_block") * block
+    many = blocks.withColumn("nth", F.explode(F.sequence(first + 1, F.least(first + block, F.col("alike"))))).drop("_block")
+    return few.unionByName(many)
+
+
 def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", weights: Sequence[float] = WEIGHTS, most: float = 3.0, rows_per_group: int = 2_000, fan_in: int = 256, seed: int = 0) -> DataFrame:
     """(key, source, size, source_size, target, copies): how often the mix takes each row.
 
@@ -102,7 +112,7 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     few = few.withColumnRenamed("source", "_source")
     # rows that agree in all of these are told apart by a number, so that they spread over groups
     alike = sizes.groupBy("id", "source", "size").agg(F.count(F.lit(1)).alias("alike"))
-    rows = alike.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("alike")))).drop("alike")
+    rows = _told_apart(alike).drop("alike")
     rows = rows.join(few, rows.source.eqNullSafe(F.col("_source"))).drop("_source")
     ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))).otherwise(0.0)
     groups = F.ceil(F.col("n_rows") / rows_per_group)
