@@ -1,5 +1,7 @@
 """The queries that run adapters and statistics, against their SQL."""
 
+import random
+
 import duckdb
 import pytest
 
@@ -18,3 +20,16 @@ def test_queries_equal_sql(spark, name):
     got = QUERIES[name](spark, SF)
     assert sorted(got.columns) == sorted(want.columns)
     assert sorted(map(tuple, got.select(*want.columns).collect()), key=str) == sorted(want.fetchall(), key=str)
+
+
+def test_intervals_of_the_cells(spark):
+    """Each cell's interval against the generator's draws in a plain loop."""
+    values = {}
+    for r in adapter_queries._cell_rows(spark, SF).orderBy("position").collect():
+        values.setdefault((r.architecture, r.stack_tier), []).append(r.completeness)
+    got = {(r.architecture, r.stack_tier): (r.ci_low, r.ci_high) for r in adapter_queries.completeness_intervals(spark, SF).collect()}
+    assert set(got) == set(values)
+    for cell, v in values.items():
+        draw, n = random.Random(42), len(v)
+        means = sorted(sum(v[draw.randint(0, n - 1)] for _ in range(n)) / n for _ in range(1000))
+        assert got[cell] == pytest.approx((means[25], means[975]), abs=1e-12)
