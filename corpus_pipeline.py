@@ -34,7 +34,9 @@ def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, Jaccard 0.8 or more): the one
-    with the smallest id. Every row is a document, whether or not others have its id."""
+    with the smallest id. The trie self-join of SimHash fingerprints links first, an exact comparison
+    follows; pairs beyond its bits are found by bands. Every row is a document, whether or not others
+    have its id."""
     small_batches(spark)
     return near_text.keep_one(docs, near=near_text.jaccard_duplicates)
 

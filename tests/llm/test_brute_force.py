@@ -97,6 +97,32 @@ def test_near_copies_stage_equals_brute_force_jaccard(spark, texts, chunk):
         assert {r.doc_id for r in kept.collect()} == {k for k, c in want.items() if c == k}
 
 
+def test_near_copies_stage_joins_fingerprints_in_tries(spark, texts, monkeypatch):
+    """The stage's first links are those of the trie self-join, and span all fingerprints at four or fewer differing bits."""
+    rng, made = np.random.default_rng(17), dict(list(texts.items())[:60])
+    for k in range(40):
+        words = [f"w{x}" for x in rng.integers(0, 300, 400)]
+        made |= {1_000_000 + 2 * k: " ".join(words), 1_000_001 + 2 * k: " ".join([*words, "end"])}
+    table, seen, join = spark.createDataFrame(list(made.items()), "doc_id bigint, text string"), [], near_text.hamming_links
+
+    def watched(classes, *args, **options):
+        links = join(classes, *args, **options)
+        seen.append(({r.rep: r.fp for r in classes.collect()}, [(r.u, r.v) for r in links.collect()]))
+        return links
+
+    monkeypatch.setattr(near_text, "hamming_links", watched)
+    kept = {r.doc_id for r in corpus_pipeline.near_copies_out(spark, table, SF).collect()}
+    groups = brute_jaccard(made)
+    assert kept == {k for k, c in groups.items() if c == k}
+    ((prints, links),) = seen
+    sets = {near_text.set_node(x): near_text.set_simhash(x) for x in map(near_text.shingle_set, made.values())}
+    assert {v & (1 << 64) - 1 for v in prints.values()} == set(sets.values())
+    nodes = sorted(prints)
+    found = reach(len(nodes), [(nodes.index(u), nodes.index(v)) for u, v in links])
+    assert {n: nodes[x] for n, x in zip(nodes, found, strict=True)} == brute_groups({n: prints[n] & (1 << 64) - 1 for n in nodes})
+    assert len(links) >= 20
+
+
 def test_a_large_group_of_near_copies_gives_few_links(spark):
     """Copies of one text that are near it, but hardly near each other: rows out of the tasks follow the rows, not the pairs."""
     rng, base = np.random.default_rng(13), [f"w{i}" for i in range(200)]

@@ -348,25 +348,32 @@ def _near_links(batches: Iterator[pa.RecordBatch], budget: int, least: float, at
     give_back()
 
 
-def jaccard_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, least: float = 0.8, budget: int = 28, chunk: int = 4096) -> DataFrame:
+def fingerprint_pairs(classes: DataFrame, budget: int, chunk: int = 4096) -> DataFrame:
+    """(node, fp) -> pairs (u, v) of nodes whose fingerprints agree, and pairs that span all fingerprints at
+    ``budget`` or fewer differing bits, from the trie self-join."""
+    prints = written(classes.groupBy("fp").agg(F.min("node").alias("rep")), "prints")
+    alike = classes.join(prints, "fp").where("node <> rep").select(F.col("node").alias("u"), F.col("rep").alias("v"))
+    return hamming_links(prints, budget, chunk=chunk).union(alike)
+
+
+def jaccard_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, least: float = 0.8, budget: int = 28, chunk: int = 4096, close: int = 4) -> DataFrame:
     """(key, component_id): every document with the smallest key that pairs with a Jaccard similarity
     of ``least`` or more reach, over sets of shingles of ``size`` words; itself included.
 
-    Equal sets are one class. Classes meet in sub-tries named by bands of min-hashes, as a budget of
-    fingerprint bits wide enough for 0.8 leaves nothing to name them by; there the trie join of
-    their fingerprints leaves pairs at ``budget`` or fewer differing bits (of a pair at 0.8, 10 to 12 are
-    expected), and the pairs' sets are compared whole. First every class with the smallest of
-    its bands; then, in the tasks of the bands that this left open, all that no path links yet, and
-    only links that span come out. Documents without words are one class. Null keys are no nodes:
+    Equal sets are one class. The self-join of binary tries links the classes' SimHash fingerprints at
+    ``close`` or fewer differing bits, and the sets of every link are compared whole. Pairs with more
+    differing bits (at 0.8, 10 to 12 are expected), or whose path of links failed that comparison, are what
+    is left: a budget of bits that wide leaves nothing to name sub-tries by, so these meet in sub-tries
+    named by bands of min-hashes. First a class that differs in label from the smallest of its band meets
+    that one; then, in the tasks of the bands that this left open, the trie join leaves pairs at ``budget``
+    or fewer differing bits, all that no path links yet are compared whole, and only links that
+    span come out. Documents without words are one class. Null keys are no nodes:
     they get the component of their class. The bands are for a ``least`` of 0.8 or more.
     """
     spark = docs.sparkSession
     sketches = written(_sketches(docs, text, key, size), "sketches")
     classes = sketches.groupBy("digest").agg(F.min("_key").alias("rep"), *[F.first(c).alias(c) for c in ("node", "n", "fp", "bands")])
     classes = written(classes, "classes")
-    rows = classes.where("rep is not null").select("node", "rep", "n", "fp", F.explode("bands").alias("bucket"))
-    firsts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("all"), F.min("node").alias("first")).where("`all` > 1").drop("all")
-    rows = written(rows.join(firsts, "bucket"), "bands")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -394,9 +401,15 @@ def jaccard_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id",
         a, b = sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), sets.select(F.col("node").alias("v"), F.col("shingles").alias("b"))
         return written(pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(compared, "u bigint, v bigint"), "verified")
 
-    near = verified(rows.where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v")))
+    nodes = classes.where("rep is not null")
+    close_links = verified(fingerprint_pairs(nodes.select("node", "fp"), close, chunk))
+    nodes = nodes.join(components(close_links), "node", "left").select("node", "n", "fp", F.coalesce("component", "node").alias("label"), "bands")
+    rows = nodes.select("node", "n", "fp", "label", F.explode("bands").alias("bucket"))
+    firsts = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("all"), F.min(F.struct("node", "label")).alias("first")).where("`all` > 1").drop("all")
+    rows = written(rows.join(firsts, "bucket"), "bands")
+    near = close_links.union(verified(rows.where("label <> first.label").select(F.col("node").alias("u"), F.col("first.node").alias("v"))))
     labels = components(near)
-    labelled = rows.join(labels, "node", "left").select("bucket", F.col("node").alias("rep"), "n", F.col("fp").alias("key"), F.coalesce("component", "node").alias("label"))
+    labelled = rows.drop("label").join(labels, "node", "left").select("bucket", F.col("node").alias("rep"), "n", F.col("fp").alias("key"), F.coalesce("component", "node").alias("label"))
     labelled = written(labelled, "labelled-bands")
     mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
     opened = written(labelled.join(mixed, "bucket", "left_semi"), "open-bands")
