@@ -33,3 +33,12 @@ def test_intervals_of_the_cells(spark):
         draw, n = random.Random(42), len(v)
         means = sorted(sum(v[draw.randint(0, n - 1)] for _ in range(n)) / n for _ in range(1000))
         assert got[cell] == pytest.approx((means[25], means[975]), abs=1e-12)
+
+
+@pytest.mark.parametrize("name", ["pydantic_ai_fragments", "anthropic_fragments", "otlp_fragments", "mcp_fragments", "crewai_fragments", "agentframework_fragments"])
+def test_payloads_that_nobody_reads_are_not_made(spark, name):
+    """A fragment's columns are chosen one by one, so a query without payloads works none out."""
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    found = QUERIES[name](spark, SF)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "internal_reasoning" not in plan and "state_change_magnitude" not in plan

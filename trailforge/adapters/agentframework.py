@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trailforge.adapters.common import flat, fragment, payload, raw, resorted, scenario_column, scenario_rows, with_key
+from trailforge.adapters.common import BY_TIME, emit, flat, fragment, payload, raw, scenario_column, scenario_rows, with_key
 from trailforge.functions.scalars import any_of, epoch, filled, first_filled, matches
 from trailforge.functions.variants import at, empty, get, parsed, truthy, value_at
 from trailforge.operators.pairing import fifo
@@ -136,18 +136,18 @@ def from_records(records_: DataFrame, scenario: str | Column, options: Options =
     safety = F.when(value_at(body, "$.constraint_activated").isNull(), with_key(shaped, "constraint_activated", F.lit("true"))).otherwise(shaped)
     changes = matches(filled(_text(F.coalesce("e_body", "s_body"), "tool_name")), o.state_mutation_tool_pattern, False)
     emitted = [
-        F.when(is_("snapshot"), one(F.col("b_override"), F.col("b_override"), shaped)),
-        F.when(is_("message_published"), one("published", "agent_message", payload(content=j("content"), topic=raw(F.col("b_topic_json")), recipient=raw(F.col("b_recipient_json"))))),
-        F.when(is_("speaker_selected"), one("speaker_selected", "agent_message", payload(role=F.lit('"speaker_select"'), selected=j("selected"), candidates=or_empty(body, "candidates", "[]")), own_actor="manager")),
-        F.when(is_("termination"), one("termination", "agent_message", payload(terminal=F.lit("true"), reason=j("reason")))),
-        F.when(is_("content_safety_decision"), one("policy_snapshot", "policy_snapshot", safety)),
-        F.when(is_("error"), one("error", "error", payload(error=shaped))),
-        F.when(is_("agent"), one("agent_call", "agent_message", payload(agent_id=j("agent_id"), agent_name=j("agent_name"), input=j("input"), output=F.when(done, end("output")), incomplete=open_))),
-        F.when(is_("tool"), one("tool_call", "tool_call", payload(tool_name=j("tool_name"), args=args, result=F.when(done, end("result")), incomplete=open_), tool_tier)),
-        F.when(is_("tool") & changes, one("tool_state", "state_mutation", payload(tool_name=j("tool_name"), args=args), tool_tier, offset=0.0001, context=False)),
-        F.when(is_("model"), one("model_call", "model_generation", payload(model_id=model_id, messages=or_empty(body, "messages", "[]"), client_type=client, internal_reasoning=F.lit('"opaque"'), choices=F.when(done, or_empty(F.col("e_body"), "choices", "[]")), incomplete=open_))),
+        emit(is_("snapshot"), one(F.col("b_override"), F.col("b_override"), shaped)),
+        emit(is_("message_published"), one("published", "agent_message", payload(content=j("content"), topic=raw(F.col("b_topic_json")), recipient=raw(F.col("b_recipient_json"))))),
+        emit(is_("speaker_selected"), one("speaker_selected", "agent_message", payload(role=F.lit('"speaker_select"'), selected=j("selected"), candidates=or_empty(body, "candidates", "[]")), own_actor="manager")),
+        emit(is_("termination"), one("termination", "agent_message", payload(terminal=F.lit("true"), reason=j("reason")))),
+        emit(is_("content_safety_decision"), one("policy_snapshot", "policy_snapshot", safety)),
+        emit(is_("error"), one("error", "error", payload(error=shaped))),
+        emit(is_("agent"), one("agent_call", "agent_message", payload(agent_id=j("agent_id"), agent_name=j("agent_name"), input=j("input"), output=F.when(done, end("output")), incomplete=open_))),
+        emit(is_("tool"), one("tool_call", "tool_call", payload(tool_name=j("tool_name"), args=args, result=F.when(done, end("result")), incomplete=open_), tool_tier)),
+        emit(is_("tool") & changes, one("tool_state", "state_mutation", payload(tool_name=j("tool_name"), args=args), tool_tier, offset=0.0001, context=False)),
+        emit(is_("model"), one("model_call", "model_generation", payload(model_id=model_id, messages=or_empty(body, "messages", "[]"), client_type=client, internal_reasoning=F.lit('"opaque"'), choices=F.when(done, or_empty(F.col("e_body"), "choices", "[]")), incomplete=open_))),
     ]
-    return resorted(flat(work, emitted, F.col("scenario"), ["at"]), "timestamp", "fragment_id")
+    return flat(work, emitted, F.col("scenario"), ["at"], BY_TIME)
 
 
 def _architecture(rows: DataFrame, o: Options) -> str:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailforge.adapters.common import flat, fragment, number, payload, quoted, raw, resorted, scenario_column, scenario_rows
+from trailforge.adapters.common import BY_TIME, emit, flat, fragment, number, payload, quoted, raw, scenario_column, scenario_rows
 from trailforge.functions.scalars import epoch, first_filled, matches
 from trailforge.functions.variants import at, empty, get, items, kind_of, parsed, text_of, truthy, value_at
 from trailforge.sources.manifests import records
@@ -71,8 +71,9 @@ def tool_results(rows: DataFrame) -> DataFrame:
     messages = rows.select("scenario", "file", "n", F.posexplode(items("request", "$.messages")).alias("m", "message")).where(get("message", "$.role") == "user")
     blocks = messages.select("scenario", "file", "n", "m", F.posexplode(items("message", "$.content")).alias("b", "block"))
     blocks = blocks.where((get("block", "$.type") == "tool_result") & truthy(F.col("block"), "$.tool_use_id"))
-    blocks = blocks.select("scenario", get("block", "$.tool_use_id").alias("use_id"), F.struct("file", "n", "m", "b").alias("at"), F.struct(images_hashed(raw(value_at("block", "$.content"))).alias("result"), truthy(F.col("block"), "$.is_error").alias("failed")).alias("r"))
-    return blocks.groupBy("scenario", "use_id").agg(F.max_by("r", "at").alias("r")).select("scenario", "use_id", "r.*")
+    blocks = blocks.select("scenario", get("block", "$.tool_use_id").alias("use_id"), F.struct("file", "n", "m", "b").alias("at"), raw(value_at("block", "$.content")).alias("result"), truthy(F.col("block"), "$.is_error").alias("failed"))
+    # each by itself, so that the one that nobody reads is not carried
+    return blocks.groupBy("scenario", "use_id").agg(F.max_by("result", "at").alias("result"), F.max_by("failed", "at").alias("failed")).withColumn("result", images_hashed("result"))
 
 
 def _said(content: Column) -> Column:
@@ -118,18 +119,16 @@ def from_records(records_: DataFrame, scenario: str | Column, options: Options =
     tokens = [get(a, f"$.usage.{k}").try_cast("bigint") for k in ("input_tokens", "output_tokens")]
     model_id = F.coalesce(F.when(truthy(a, "$.model"), value_at(a, "$.model")), value_at(q, "$.model"), F.lit("null"))
     model = payload(model_id=model_id, internal_reasoning=F.lit('"opaque"'), stop_reason=raw(value_at(a, "$.stop_reason")), token_count=F.when((tokens[0] + tokens[1]).isNotNull(), number(tokens[0] + tokens[1])), usage=F.when(truthy(a, "$.usage"), value_at(a, "$.usage")))
-    rows = rows.withColumns({"actor": actor, "trace": first_filled(get(a, "$.id"), F.col("round_id")), "policy": F.coalesce(policy, F.lit(False)), "decision": get(q, "$.metadata.demm_human_approval"), "model_id": model_id})
-    part = lambda name, i, x, body=None: F.struct(F.lit(name).alias("part"), i.alias("i"), x.alias("x"), (F.lit(None).cast("string") if body is None else body).alias("body"))
+    rows = rows.withColumns({"actor": actor, "trace": first_filled(get(a, "$.id"), F.col("round_id")), "policy": F.coalesce(policy, F.lit(False)), "decision": get(q, "$.metadata.demm_human_approval"), "model_id": model_id, "snapshot": snapshot, "model": model})
+    part = lambda name, i, x: F.struct(F.lit(name).alias("part"), i.alias("i"), x.alias("x"))
     parts = F.concat(
-        F.array(part("request", F.lit(0), empty(), snapshot)), F.transform(items(q, "$.messages"), lambda x, i: part("message", i, x)),
-        F.array(part("response", F.lit(0), empty(), model)), F.transform(items(a, "$.content"), lambda x, i: part("block", i, x)),
+        F.array(part("request", F.lit(0), empty())), F.transform(items(q, "$.messages"), lambda x, i: part("message", i, x)),
+        F.array(part("response", F.lit(0), empty())), F.transform(items(a, "$.content"), lambda x, i: part("block", i, x)),
     )
-    rows = rows.select("scenario", "file", "n", "round_id", "ts", "actor", "trace", "policy", "decision", "model_id", F.explode(parts).alias("p")).select("*", "p.*").drop("p")
+    rows = rows.select("scenario", "file", "n", "round_id", "ts", "actor", "trace", "policy", "decision", "model_id", "snapshot", "model", F.explode(parts).alias("p")).select("*", "p.*").drop("p")
     x, i, ts = F.col("x"), F.col("i"), F.col("ts")
     block = F.when(F.col("part") == "block", get(x, "$.type"))
     rows = rows.withColumns({"block": block, "use_id": F.when(block == "tool_use", first_filled(get(x, "$.id"), F.format_string("tool_%d", i + 1))), "tool": first_filled(get(x, "$.name"), F.lit("tool"))})
-    rows = rows.join(tool_results(asked), ["scenario", "use_id"], "left")
-
     def one(suffix, kind, moment, body, tier=None):
         name = F.concat(F.lit("anthropic_"), "round_id", F.lit("_"), suffix if isinstance(suffix, Column) else F.lit(suffix))
         return fragment(name, moment, kind, body, F.lit(tier or o.stack_tier) if tier is None or isinstance(tier, str) else tier, F.col("actor"), F.col("trace"), F.col("trace"))
@@ -142,18 +141,25 @@ def from_records(records_: DataFrame, scenario: str | Column, options: Options =
     command = first_filled(get(x, "$.input.command"), get(x, "$.input.text"), F.lit(" "))
     changes = F.when(tool == "computer", action.isin(*COMPUTER_CHANGES)).when(tool == "bash", ~matches(command, o.bash_readonly_pattern)).when(tool == "text_editor", action.isin(*EDITOR_CHANGES)).otherwise(matches(tool, o.state_mutation_tool_pattern))
     used = ts + 0.0002 + i * 0.00001
+    # what is read of a part is read here, and only that goes on to the join
+    order = F.array_position(F.array(*[F.lit(p) for p in ("request", "message", "response", "block")]), F.col("part"))
+    own = {
+        "o": order, "body": F.when(F.col("part") == "request", F.col("snapshot")).when(F.col("part") == "response", F.col("model")), "tier": tier, "changes": (F.col("block") == "tool_use") & changes, "said": F.when((F.col("part") == "message") & (get(x, "$.role") == "user"), said), "thinking": F.when(F.col("block") == "thinking", thinking),
+        "words": F.when(F.col("block") == "text", raw(value_at(x, "$.text"))), "args": F.when(F.col("block") == "tool_use", raw(value_at(x, "$.input"))),
+    }
+    rows = rows.withColumns(own).drop("x", "snapshot", "model").join(tool_results(asked), ["scenario", "use_id"], "left")
+    tier, changes, said, thinking = (F.col(c) for c in ("tier", "changes", "said", "thinking"))
     is_request, is_use, decision = F.col("part") == "request", F.col("block") == "tool_use", F.col("decision")
     name = lambda end: F.concat("use_id", F.lit(end))
     emitted = [
-        F.when(is_request, one("request_snapshot", F.when(F.col("policy"), "policy_snapshot").otherwise("config_snapshot"), ts, F.col("body"))),
-        F.when((F.col("part") == "message") & (get(x, "$.role") == "user") & said.isNotNull(), one(F.format_string("user_%d", i + 1), "agent_message", ts + i * 0.00001, payload(content=said, role=F.lit('"user"')))),
-        F.when(F.col("part") == "response", one("response_model", "model_generation", ts + 0.00005, F.col("body"))),
-        F.when(F.col("block") == "thinking", one(F.format_string("thinking_%d", i + 1), "model_generation", ts + 0.000051 + i * 0.000001, payload(model_id=F.col("model_id"), internal_reasoning=F.lit('"opaque"'), thinking=thinking))),
-        F.when(F.col("block") == "text", one(F.format_string("assistant_text_%d", i + 1), "agent_message", ts + 0.0001 + i * 0.000001, payload(content=raw(value_at(x, "$.text")), role=F.lit('"assistant"')))),
-        F.when(is_use, one(name("_tool"), "tool_call", used, payload(tool_name=quoted(tool), args=raw(value_at(x, "$.input")), result=F.col("result")), tier)),
-        F.when(is_use & changes, one(name("_state"), "state_mutation", used + 0.000001, payload(state_change_magnitude=F.lit("1.0"), event=quoted(F.concat(F.lit("state mutation via "), tool))), tier)),
-        F.when(is_use & F.col("failed"), one(name("_error"), "error", used + 0.000002, payload(error=F.col("result")), tier)),
-        F.when(is_request & decision.isin("approved", "rejected"), one(F.when(decision == "approved", "human_approval").otherwise("human_rejection"), F.when(decision == "approved", "human_approval").otherwise("human_rejection"), ts + 0.0002, payload(decision=quoted(decision)), "human")),
+        emit(is_request, one("request_snapshot", F.when(F.col("policy"), "policy_snapshot").otherwise("config_snapshot"), ts, F.col("body"))),
+        emit(said.isNotNull(), one(F.format_string("user_%d", i + 1), "agent_message", ts + i * 0.00001, payload(content=said, role=F.lit('"user"')))),
+        emit(F.col("part") == "response", one("response_model", "model_generation", ts + 0.00005, F.col("body"))),
+        emit(F.col("block") == "thinking", one(F.format_string("thinking_%d", i + 1), "model_generation", ts + 0.000051 + i * 0.000001, payload(model_id=F.col("model_id"), internal_reasoning=F.lit('"opaque"'), thinking=thinking))),
+        emit(F.col("block") == "text", one(F.format_string("assistant_text_%d", i + 1), "agent_message", ts + 0.0001 + i * 0.000001, payload(content=F.col("words"), role=F.lit('"assistant"')))),
+        emit(is_use, one(name("_tool"), "tool_call", used, payload(tool_name=quoted(tool), args=F.col("args"), result=F.col("result")), tier)),
+        emit(changes, one(name("_state"), "state_mutation", used + 0.000001, payload(state_change_magnitude=F.lit("1.0"), event=quoted(F.concat(F.lit("state mutation via "), tool))), tier)),
+        emit(is_use & F.col("failed"), one(name("_error"), "error", used + 0.000002, payload(error=F.col("result")), tier)),
+        emit(is_request & decision.isin("approved", "rejected"), one(F.when(decision == "approved", "human_approval").otherwise("human_rejection"), F.when(decision == "approved", "human_approval").otherwise("human_rejection"), ts + 0.0002, payload(decision=quoted(decision)), "human")),
     ]
-    order = F.array_position(F.array(*[F.lit(p) for p in ("request", "message", "response", "block")]), F.col("part"))
-    return resorted(flat(rows.withColumn("o", order), emitted, F.col("scenario"), ["file", "n", "o", "i"]), "timestamp", "fragment_id")
+    return flat(rows, emitted, F.col("scenario"), ["file", "n", "o", "i"], BY_TIME)

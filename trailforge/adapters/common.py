@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -43,28 +45,73 @@ def value_at(json: Column | str, path: str) -> Column:
     return F.when(F.schema_of_variant(found) != "VOID", F.to_json(found))
 
 
-def fragment(suffix: Column | str, ts: Column, kind: Column | str, body: Column, tier: Column, actor: Column, parent: Column | None = None, hint: Column | None = None) -> Column:
+def fragment(suffix: Column | str, ts: Column, kind: Column | str, body: Column, tier: Column, actor: Column, parent: Column | None = None, hint: Column | None = None) -> dict[str, Column]:
+    """A fragment's columns by name."""
     lit = lambda x: F.lit(x) if isinstance(x, str) else x
-    return F.struct(
-        lit(suffix).alias("fragment_id"), ts.alias("timestamp"), lit(kind).alias("kind"), lit(tier).alias("stack_tier"), lit(actor).alias("actor_id"), body.alias("payload"),
-        (null_text() if parent is None else parent).alias("parent_trace_id"), (null_text() if hint is None else hint).alias("decision_id_hint"),
-    )
-
-
-def flat(rows: DataFrame, emitted: list[Column] | Column, scenario: Column, order: list) -> DataFrame:
-    """The fragments of all rows: each row's structs that are not null, in their order, numbered
-    along ``order`` within the scenario. ``emitted`` is a list of structs, or an array of them."""
-    listed = F.array(*emitted) if isinstance(emitted, list) else emitted
-    parts = rows.select("*", F.posexplode(F.array_compact(listed)).alias("__at", "__f"))
-    seq = F.row_number().over(Window.partitionBy("scenario_id").orderBy(*order, "__at")) - 1
-    out = parts.withColumn("scenario_id", scenario.cast("string")).withColumn("seq", seq.cast("long"))
-    return promoted(out.select("scenario_id", "seq", "__f.*"))
-
-
-def resorted(fragments: DataFrame, *order: str) -> DataFrame:
-    """Fragments renumbered along an order, the old order deciding between equals."""
-    seq = F.row_number().over(Window.partitionBy("scenario_id").orderBy(*order, "seq")) - 1
-    return fragments.withColumn("__seq", seq.cast("long")).drop("seq").withColumnRenamed("__seq", "seq").select(*fragments.columns)
+    return {
+        "fragment_id": lit(suffix), "timestamp": ts, "kind": lit(kind), "stack_tier": lit(tier), "actor_id": lit(actor), "payload": body,
+        "parent_trace_id": null_text() if parent is None else parent, "decision_id_hint": null_text() if hint is None else hint,
+    }
+
+
+def emit(condition: Column, fields: dict[str, Column]) -> tuple[Column, dict[str, Column]]:
+    """A fragment that a row gives where the condition holds."""
+    return condition, fields
+
+
+@dataclass(frozen=True)
+class Each:
+    """Fragments of a list's items: ``made`` gives the ``emit`` of an item and its place."""
+
+    items: Column
+    made: Callable[[Column, Column], tuple[Column, dict[str, Column]]]
+
+
+def emitted_rows(rows: DataFrame, emitted: list, scenario: Column, order: list) -> DataFrame:
+    """One row a fragment: scenario_id, what orders it, and its columns.
+
+    A row is first multiplied by the numbers of what it gives; each column is then one choice by that number, so
+    a fragment's expressions are worked out once, and a column that nobody reads (the payload) is not at all."""
+    marks, made, place = [], [], F.col("__mark")
+    mark = lambda n, condition, i: F.when(condition, F.struct(F.lit(n).alias("n"), i.cast("int").alias("i")))
+
+    def each(n: int, e: Each) -> Column:
+        return F.transform(e.items, lambda x, i: mark(n, e.made(x, i)[0], i))
+
+    for n, e in enumerate(emitted):
+        if isinstance(e, Each):
+            marks.append(each(n, e))
+            made.append(e.made(F.get(e.items, place["i"]), place["i"])[1])
+        else:
+            marks.append(F.array(mark(n, e[0], F.lit(0))))
+            made.append(e[1])
+
+    def chosen(name: str) -> Column:
+        out = F.when(place["n"] == 0, made[0][name])
+        for n, fields in enumerate(made[1:], 1):
+            out = out.when(place["n"] == n, fields[name])
+        return out
+
+    parts = rows.select("*", F.posexplode(F.array_compact(F.concat(*marks))).alias("__at", "__mark"))
+    by = [(F.col(c) if isinstance(c, str) else c).alias(f"__o{i}") for i, c in enumerate(order)]
+    return parts.select(scenario.cast("string").alias("scenario_id"), *by, "__at", *[chosen(c).alias(c) for c in made[0]])
+
+
+def numbered(parts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Fragments numbered in their scenario along ``by``, the order of ``emitted_rows`` deciding between equals: one window."""
+    order = [*by, *[c for c in parts.columns if c.startswith("__")]]
+    seq = F.row_number().over(Window.partitionBy("scenario_id").orderBy(*order)) - 1
+    return promoted(parts.withColumn("seq", seq.cast("long")))
+
+
+def flat(rows: DataFrame, emitted: list, scenario: Column, order: list, by: tuple[str, ...] = ()) -> DataFrame:
+    """The fragments of all rows, numbered within the scenario along ``by``, then ``order``, then their order in ``emitted``:
+    a list of ``emit`` and ``Each``."""
+    return numbered(emitted_rows(rows, emitted, scenario, order), by)
+
+
+#: What most formats are sorted by.
+BY_TIME = ("timestamp", "fragment_id")
 
 
 def scenario_column(scenario: str | Column) -> Column:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trailforge.adapters.common import flat, fragment, payload, quoted, raw, resorted, scenario_column, scenario_rows
+from trailforge.adapters.common import BY_TIME, emit, emitted_rows, fragment, numbered, payload, quoted, raw, scenario_column, scenario_rows
 from trailforge.functions import scalars
 from trailforge.functions.scalars import epoch, filled, first_filled, matches
 from trailforge.functions.variants import at, empty, get, parsed, true_text, truthy, value_at
@@ -128,16 +128,16 @@ def from_records(records_: DataFrame, scenario: str | Column, options: Options =
     merged = F.when(inner == "{}", whole).when(whole == "{}", inner).otherwise(F.concat(F.regexp_replace(inner, r"\s*\}\s*$", ", "), F.regexp_replace(whole, r"^\{", "")))
     merged = F.when(body_json("constraint_activated").isNull(), F.when(merged == "{}", '{"constraint_activated": true}').otherwise(F.concat(F.regexp_replace(merged, r"\s*\}\s*$", ""), F.lit(', "constraint_activated": true}')))).otherwise(merged)
     single = [
-        F.when((typ == "crew_kickoff_started") & F.lit(o.emit_config_snapshot), one("crew_config", "config_snapshot", payload(crew_name=quoted(F.col("crew")), agents=listed("agents"), tasks=listed("tasks"), process=j("process")))),
-        F.when(typ == "agent_execution_started", one("agent_execution", "agent_message", payload(task_id=j("task_id"), task_description=j("task_description"), tools=listed("tools")))),
-        F.when(typ == "task_started", one("task_started", "agent_message", payload(task_id=j("task_id"), task_description=j("task_description"), expected_output=j("expected_output"), human_input=flag("human_input"), static_assignment=F.lit("true")))),
-        F.when(typ == "delegation", one("delegation", "agent_message", payload(delegation=F.lit("true"), from_agent=j("from_agent"), to_agent=j("to_agent"), task=j("task")))),
-        F.when(typ == "manager_agent_invoked", one("manager_invoked", "agent_message", payload(manager=F.lit("true"), task=j("task")))),
-        F.when(typ == "consensual_vote_cast", one("vote", "agent_message", payload(vote=j("vote"), proposal=j("proposal")))),
-        F.when(typ == "demm_policy_snapshot", one("policy_snapshot", "policy_snapshot", merged)),
-        F.when(typ.isin(*ERRORS), one("scope_error", "error", payload(error=j("error")))),
+        emit((typ == "crew_kickoff_started") & F.lit(o.emit_config_snapshot), one("crew_config", "config_snapshot", payload(crew_name=quoted(F.col("crew")), agents=listed("agents"), tasks=listed("tasks"), process=j("process")))),
+        emit(typ == "agent_execution_started", one("agent_execution", "agent_message", payload(task_id=j("task_id"), task_description=j("task_description"), tools=listed("tools")))),
+        emit(typ == "task_started", one("task_started", "agent_message", payload(task_id=j("task_id"), task_description=j("task_description"), expected_output=j("expected_output"), human_input=flag("human_input"), static_assignment=F.lit("true")))),
+        emit(typ == "delegation", one("delegation", "agent_message", payload(delegation=F.lit("true"), from_agent=j("from_agent"), to_agent=j("to_agent"), task=j("task")))),
+        emit(typ == "manager_agent_invoked", one("manager_invoked", "agent_message", payload(manager=F.lit("true"), task=j("task")))),
+        emit(typ == "consensual_vote_cast", one("vote", "agent_message", payload(vote=j("vote"), proposal=j("proposal")))),
+        emit(typ == "demm_policy_snapshot", one("policy_snapshot", "policy_snapshot", merged)),
+        emit(typ.isin(*ERRORS), one("scope_error", "error", payload(error=j("error")))),
     ]
-    found = flat(rows, single, F.col("scenario"), ["n"])
+    found = emitted_rows(rows, single, F.col("scenario"), ["n"])
 
     def of(p, f):
         return body_json(f, p + "event", p + "inner")
@@ -161,10 +161,10 @@ def from_records(records_: DataFrame, scenario: str | Column, options: Options =
     done = F.coalesce(F.col("e_type") == "tool_usage_finished", F.lit(False))
     call = payload(tool_name=raw(either("tool_name")), args=args, result=F.when(done, raw(of("e_", "output"))), error=error, incomplete=F.when(~done & error.isNull(), "true"))
     changed = matches(filled(F.coalesce(body_text("tool_name", "e_event", "e_inner"), F.when(F.col("e_n").isNull(), name))), o.state_mutation_tool_pattern, False)
-    found = found.unionByName(flat(tools, [
-        F.when(F.lit(True), one("tool_call", "tool_call", call, "b_", tier=tier)),
-        F.when(failed, one("tool_error", "error", payload(error=raw(of("e_", "error"))), "e_")),
-        F.when(changed, one("tool_state", "state_mutation", payload(tool_name=raw(of("b_", "tool_name")), args=args), "b_", tier=tier, offset=0.0001)),
+    found = found.unionByName(emitted_rows(tools, [
+        emit(F.lit(True), one("tool_call", "tool_call", call, "b_", tier=tier)),
+        emit(failed, one("tool_error", "error", payload(error=raw(of("e_", "error"))), "e_")),
+        emit(changed, one("tool_state", "state_mutation", payload(tool_name=raw(of("b_", "tool_name")), args=args), "b_", tier=tier, offset=0.0001)),
     ], F.col("b_scenario"), ["b_n"]))
 
     # log lines belong to the next completed model call of their crew and actor, later ones to the first that is left open
@@ -186,7 +186,7 @@ def from_records(records_: DataFrame, scenario: str | Column, options: Options =
     tokens = F.when(both, of("e_", "tokens"))
     model = payload(model_id=raw(either("model")), messages=F.coalesce(F.when(of("b_", "messages") != "null", of("b_", "messages")), F.lit("[]")), internal_reasoning=F.lit('"opaque"'), output=F.when(both, raw(of("e_", "output"))), token_count=tokens, incomplete=F.when(~both, "true"), agent_visible_log=F.when(F.col("log").isNotNull(), quoted(F.col("log"))))
     calls = calls.withColumn("actor", F.col("key_actor"))
-    found = found.unionByName(flat(calls, [F.when(F.lit(True), one("llm_call", "model_generation", model, "b_"))], F.col("b_scenario"), ["b_n"]))
+    found = found.unionByName(emitted_rows(calls, [emit(F.lit(True), one("llm_call", "model_generation", model, "b_"))], F.col("b_scenario"), ["b_n"]))
 
     queries = begun(_paired(rows, "memory"))
     both = F.col("s_n").isNotNull() & F.col("e_n").isNotNull()
@@ -194,8 +194,8 @@ def from_records(records_: DataFrame, scenario: str | Column, options: Options =
     results = F.when(both, F.when(of("e_", "results") != "null", of("e_", "results")))
     query = payload(query=raw(of("b_", "query")), memory_type=quoted(memory), retrieved=F.coalesce(results, F.lit("[]")), incomplete=F.when(~both, "true"))
     tier = F.when(memory.isin(*EXTERNAL_MEMORY), "cross_stack").otherwise(o.stack_tier)
-    found = found.unionByName(flat(queries, [F.when(F.lit(True), one("memory_query", "retrieval_result", query, "b_", tier=tier))], F.col("b_scenario"), ["b_n"]))
-    return resorted(found, "timestamp", "fragment_id")
+    found = found.unionByName(emitted_rows(queries, [emit(F.lit(True), one("memory_query", "retrieval_result", query, "b_", tier=tier))], F.col("b_scenario"), ["b_n"]))
+    return numbered(found, BY_TIME)
 
 
 def _architecture(rows: DataFrame, o: Options) -> str:

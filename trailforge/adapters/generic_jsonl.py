@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailforge.adapters.common import flat, fragment, payload, quoted, raw, scenario_rows, value_at, with_key
+from trailforge.adapters.common import emit, flat, fragment, payload, quoted, raw, scenario_rows, value_at, with_key
 from trailforge.functions.scalars import epoch, first_filled, get, kind_of, matches
 from trailforge.operators.pairing import architecture
 from trailforge.schema import ARCHITECTURES, KINDS, STACK_TIERS
@@ -183,7 +183,7 @@ def ingest(spark: SparkSession, path: str, scenario_id: str, options: Options =
     changes = (F.col("kind") == "tool_call") & matches(at(m.mutation_field), m.mutation_regex, False)
     result = F.when(kind_of(r, "$.result").startswith("OBJECT"), value_at(r, "$.result"))
     one = lambda name, what, data: fragment(name, ts, what, data, F.col("tier"), F.col("actor"), F.lit(m.source_name))
-    emitted = [F.when(F.lit(True), one(F.col("id"), F.col("final_kind"), body)), F.when(changes, one(F.concat("id", F.lit("_state")), "state_mutation", payload(tool_name=tool_name, result=result)))]
+    emitted = [emit(F.lit(True), one(F.col("id"), F.col("final_kind"), body)), emit(changes, one(F.concat("id", F.lit("_state")), "state_mutation", payload(tool_name=tool_name, result=result)))]
     found = flat(mains, emitted, F.lit(scenario_id), ["n"])
     label = o.architecture or m.architecture
     if label == "auto":

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailforge.adapters.common import flat, fragment, payload, quoted, raw, scenario_column, scenario_rows
+from trailforge.adapters.common import emit, flat, fragment, payload, quoted, raw, scenario_column, scenario_rows
 from trailforge.functions.scalars import any_of, epoch, filled, first_filled, matches
 from trailforge.functions.variants import get, parsed, truthy, value_at
 from trailforge.sources.manifests import records
@@ -60,15 +60,15 @@ def from_records(rows: DataFrame, scenario: str | Column, options: Options = Opt
     model = first_filled(get(run, "$.extra.metadata.ls_model_name"), F.col("name"), F.lit("undisclosed"))
     chain = ruled & typ.isin("chain", "prompt")
     emitted = [
-        F.when(F.col("policy"), one("policy", "policy_snapshot", {"constraint_activated": F.lit("true"), "policy_id": raw(value_at(run, "$.name"))})),
-        F.when(~F.col("policy") & F.col("config"), one("config", "config_snapshot", {"config_version": raw(value_at(run, "$.name"))})),
-        F.when(ruled & (typ == "llm"), one("llm", "model_generation", {"model_id": quoted(model), "internal_reasoning": F.lit('"opaque"'), "token_count": raw(value_at(run, "$.total_tokens"))})),
-        F.when(ruled & (typ == "tool"), one("tool", "tool_call", {"tool_name": quoted(F.col("tool")), "args": dict_or("$.inputs")})),
-        F.when(ruled & (typ == "tool") & matches(F.col("tool"), o.state_mutation_tool_pattern), one("state", "state_mutation", {"state_change_magnitude": F.lit("1.0"), "event": quoted(F.concat(F.lit("state mutation via "), "tool"))}, 0.001)),
-        F.when(ruled & (typ == "retriever"), one("retr", "retrieval_result", {"retrieved": dict_or("$.outputs"), "query": dict_or("$.inputs")})),
-        F.when(chain & F.col("human"), one("human", F.when(F.col("failed"), "human_rejection").otherwise("human_approval"), {"approved_by": quoted(F.col("actor")), "error": raw(value_at(run, "$.error"))}, tier=F.lit("human"))),
-        F.when(chain & ~F.col("human"), one("msg", "agent_message", {"content": dict_or("$.inputs", "$.outputs")})),
-        F.when(ruled & F.col("failed"), one("err", "error", {"error": raw(value_at(run, "$.error"))}, 0.002)),
+        emit(F.col("policy"), one("policy", "policy_snapshot", {"constraint_activated": F.lit("true"), "policy_id": raw(value_at(run, "$.name"))})),
+        emit(~F.col("policy") & F.col("config"), one("config", "config_snapshot", {"config_version": raw(value_at(run, "$.name"))})),
+        emit(ruled & (typ == "llm"), one("llm", "model_generation", {"model_id": quoted(model), "internal_reasoning": F.lit('"opaque"'), "token_count": raw(value_at(run, "$.total_tokens"))})),
+        emit(ruled & (typ == "tool"), one("tool", "tool_call", {"tool_name": quoted(F.col("tool")), "args": dict_or("$.inputs")})),
+        emit(ruled & (typ == "tool") & matches(F.col("tool"), o.state_mutation_tool_pattern), one("state", "state_mutation", {"state_change_magnitude": F.lit("1.0"), "event": quoted(F.concat(F.lit("state mutation via "), "tool"))}, 0.001)),
+        emit(ruled & (typ == "retriever"), one("retr", "retrieval_result", {"retrieved": dict_or("$.outputs"), "query": dict_or("$.inputs")})),
+        emit(chain & F.col("human"), one("human", F.when(F.col("failed"), "human_rejection").otherwise("human_approval"), {"approved_by": quoted(F.col("actor")), "error": raw(value_at(run, "$.error"))}, tier=F.lit("human"))),
+        emit(chain & ~F.col("human"), one("msg", "agent_message", {"content": dict_or("$.inputs", "$.outputs")})),
+        emit(ruled & F.col("failed"), one("err", "error", {"error": raw(value_at(run, "$.error"))}, 0.002)),
     ]
     return flat(runs, emitted, scenario_column(scenario), ["ts", "file", "pos"])
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trailforge.adapters.common import flat, fragment, number, payload, quoted, raw, resorted, scenario_rows, value_at
+from trailforge.adapters.common import BY_TIME, emit, flat, fragment, number, payload, quoted, raw, scenario_rows, value_at
 from trailforge.functions.scalars import epoch, filled, first_filled, get, kind_of, matches, truthy
 from trailforge.sources.manifests import records
 
@@ -111,22 +111,22 @@ def ingest(spark: SparkSession, path: str, scenario_id: str, options: Options =
     verdict = F.lower(first_filled(get(d, "$.result"), F.lit("unknown")))
     guard = payload(constraint_activated=(verdict == "passed").cast("string"), policy_id=F.coalesce(F.when(truthy(d, "$.name"), value_at(d, "$.name")), given("guardrail_name")), result=quoted(verdict))
     emitted = [
-        F.when(override, one("override", "config_snapshot", payload(span_type=quoted(typ), name=given("name")), own_tier=o.stack_tier)),
-        F.when(plain("response", "generation"), one("model", "model_generation", model)),
-        F.when(plain("function"), one("tool", "tool_call", payload(tool_name=quoted(function), args=given("input"), output=given("output")))),
-        F.when(plain("function") & matches(function, o.state_mutation_tool_pattern), one("state", "state_mutation", payload(state_change_magnitude=F.lit("1.0"), event=quoted(F.concat(F.lit("state mutation via "), function))), 0.0001)),
-        F.when(plain("web_search"), one("web_tool", "tool_call", payload(tool_name=named("web_search"), args=given("input")))),
-        F.when(plain("web_search"), one("web_retrieval", "retrieval_result", payload(query=given("input"), retrieved=given("output")), 0.0001)),
-        F.when(plain("file_search"), one("file_search", "retrieval_result", payload(query=given("input"), retrieved=given("output")))),
-        F.when(plain("computer_use"), one("computer_tool", "tool_call", payload(tool_name=named("computer_use"), args=given("input"), output=given("output")))),
-        F.when(plain("computer_use"), one("computer_state", "state_mutation", payload(state_change_magnitude=still, event=F.lit('"computer use action executed"')), 0.0001)),
-        F.when(plain("agent"), one("agent", "agent_message", said)),
-        F.when(~override & ~typ.isin(*known), one("custom", "agent_message", said)),
-        F.when(plain("handoff"), one("handoff", "agent_message", payload(content=given("input"), handoff_to=quoted(to)), actor=to)),
-        F.when(plain("guardrail"), one("guardrail", "policy_snapshot", guard)),
-        F.when(truthy(s, "$.error"), one("error", "error", payload(error=raw(value_at(s, "$.error"))), 0.0001)),
+        emit(override, one("override", "config_snapshot", payload(span_type=quoted(typ), name=given("name")), own_tier=o.stack_tier)),
+        emit(plain("response", "generation"), one("model", "model_generation", model)),
+        emit(plain("function"), one("tool", "tool_call", payload(tool_name=quoted(function), args=given("input"), output=given("output")))),
+        emit(plain("function") & matches(function, o.state_mutation_tool_pattern), one("state", "state_mutation", payload(state_change_magnitude=F.lit("1.0"), event=quoted(F.concat(F.lit("state mutation via "), function))), 0.0001)),
+        emit(plain("web_search"), one("web_tool", "tool_call", payload(tool_name=named("web_search"), args=given("input")))),
+        emit(plain("web_search"), one("web_retrieval", "retrieval_result", payload(query=given("input"), retrieved=given("output")), 0.0001)),
+        emit(plain("file_search"), one("file_search", "retrieval_result", payload(query=given("input"), retrieved=given("output")))),
+        emit(plain("computer_use"), one("computer_tool", "tool_call", payload(tool_name=named("computer_use"), args=given("input"), output=given("output")))),
+        emit(plain("computer_use"), one("computer_state", "state_mutation", payload(state_change_magnitude=still, event=F.lit('"computer use action executed"')), 0.0001)),
+        emit(plain("agent"), one("agent", "agent_message", said)),
+        emit(~override & ~typ.isin(*known), one("custom", "agent_message", said)),
+        emit(plain("handoff"), one("handoff", "agent_message", payload(content=given("input"), handoff_to=quoted(to)), actor=to)),
+        emit(plain("guardrail"), one("guardrail", "policy_snapshot", guard)),
+        emit(truthy(s, "$.error"), one("error", "error", payload(error=raw(value_at(s, "$.error"))), 0.0001)),
     ]
-    found = resorted(flat(rows, emitted, F.col("scenario_id"), ["ts", "span_id", "file", "pos", "n"]), "timestamp", "fragment_id")
+    found = flat(rows, emitted, F.col("scenario_id"), ["ts", "span_id", "file", "pos", "n"], BY_TIME)
     if not o.auto_architecture:
         return scenario_rows(found, o.architecture, o.stack_tier), found
     agents = rows.groupBy("scenario_id").agg((F.max(typ == "handoff") | (F.count_distinct(F.when(typ == "agent", filled(get(d, "$.name")))) >= 2)).alias("several"))

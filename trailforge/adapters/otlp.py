@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trailforge.adapters.common import content, flat, fragment, is_string, number, payload, plain, quoted, raw, resorted, scenario_column, scenario_rows
+from trailforge.adapters.common import BY_TIME, Each, content, emit, flat, fragment, is_string, number, payload, plain, quoted, raw, scenario_column, scenario_rows
 from trailforge.functions.scalars import any_of, filled, first_filled, get, matches
 
 from trailforge.schema import KINDS, STACK_TIERS
@@ -156,17 +156,15 @@ def spans(spark: SparkSession, path: str) -> DataFrame:
 def spans_of(rows: DataFrame) -> DataFrame:
     """One row a span of the records (file, pos, record)."""
     rows = rows.select("file", "pos", F.try_parse_json(unwrapped(F.col("record"))).alias("v"))
-    deep = F.try_variant_get("v", "$.resourceSpans", "array<variant>")
-    bundled = rows.where(deep.isNotNull()).select("file", "pos", F.posexplode(deep).alias("p1", "r"))
-    bundled = bundled.select("file", "pos", "p1", "r", F.posexplode(F.try_variant_get("r", "$.scopeSpans", "array<variant>")).alias("p2", "s"))
-    bundled = bundled.select("file", "pos", "p1", "p2", "r", "s", F.posexplode(F.try_variant_get("s", "$.spans", "array<variant>")).alias("p3", "v"))
-    bundled = bundled.select("file", F.array("pos", "p1", "p2", "p3").alias("at"), "v", _attributes(F.col("r"), "$.resource.attributes").alias("resource"), F.try_variant_get("s", "$.scope", "variant").alias("scope"))
-    listed = F.try_variant_get("v", "$.spans", "array<variant>")
-    plain_rows = rows.where(deep.isNull()).select("file", "pos", F.posexplode(F.coalesce(listed, F.array("v"))).alias("p1", "v"))
-    zero = F.lit(0)
-    resource = F.when(F.try_variant_get("v", "$.resource.attributes", "variant").isNotNull(), _attributes(F.col("v"), "$.resource.attributes")).otherwise(_attributes(F.col("v"), "$.resource"))
-    plain_rows = plain_rows.select("file", F.array("pos", "p1", zero, zero).alias("at"), "v", resource.alias("resource"), F.try_variant_get("v", "$.scope", "variant").alias("scope"))
-    rows = bundled.unionByName(plain_rows)
+    # a record is parsed once, whichever of the two forms it has
+    listed = lambda v, path: F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.array().cast("array<variant>"))
+    part = lambda v, *paths: F.coalesce(*[F.try_variant_get(v, path, "variant") for path in paths])
+    one = lambda p1, p2, p3, v, resource, scope: F.struct(F.array(F.col("pos").cast("long"), *[x.cast("long") for x in (p1, p2, p3)]).alias("at"), v.alias("v"), resource.alias("resource"), scope.alias("scope"))
+    zero, deep = F.lit(0), F.try_variant_get("v", "$.resourceSpans", "array<variant>")
+    scoped = lambda r, i: F.flatten(F.transform(listed(r, "$.scopeSpans"), lambda s, j: F.transform(listed(s, "$.spans"), lambda v, k: one(i, j, k, v, part(r, "$.resource.attributes"), part(s, "$.scope")))))
+    plain_spans = F.coalesce(F.try_variant_get("v", "$.spans", "array<variant>"), F.array("v"))
+    found = F.when(deep.isNotNull(), F.flatten(F.transform(deep, scoped))).otherwise(F.transform(plain_spans, lambda v, i: one(i, zero, zero, v, part(v, "$.resource.attributes", "$.resource"), part(v, "$.scope"))))
+    rows = rows.select("file", F.explode(found).alias("s")).select("file", "s.at", "s.v", _attributes(F.col("s.resource"), "$").alias("resource"), "s.scope")
     v = F.col("v")
     either = lambda a, b: F.coalesce(F.to_json(F.try_variant_get(v, f"$.{a}", "variant")), F.to_json(F.try_variant_get(v, f"$.{b}", "variant")))
     kind = plain(F.to_json(F.try_variant_get(v, "$.kind", "variant")))
@@ -299,27 +297,28 @@ def _fragments(rows: DataFrame, scenario: str | Column, o: Options) -> DataFrame
     tool_name = F.coalesce("tool", F.col("name"))
     retrieved = any_of(*[get("result_raw", f"$.{k}").isNotNull() for k in ("documents", "results", "hits", "retrieved")]) & ~is_string(F.col("result_raw")) if keep else F.lit(False)
     first = [
-        F.when(own, one(F.col("own_kind"), F.col("own_kind"), {"override": F.lit("true")})),
-        F.when(chat, one("model", "model_generation", model)),
-        F.when(tools, one("tool", "tool_call", {"tool_name": quoted(tool_name), "args": F.col("args"), "result": F.col("result")})),
-        F.when(tools & matches(F.col("tool"), o.state_mutation_tool_pattern), one("state", "state_mutation", {"state_change_magnitude": F.lit("1.0"), "event": quoted(F.concat(F.lit("state mutation via "), tool_name))}, 0.001)),
-        F.when(tools & retrieved, one("retrieval", "retrieval_result", {"query": F.col("args"), "retrieved": F.col("result")}, 0.0015)),
-        F.when(~own & (op == "create_agent"), one("config", "config_snapshot", {"config_version": F.coalesce(F.col(_named("gen_ai.agent.id")), F.col(_named("gen_ai.agent.name")), quoted(F.col("name")))})),
-        F.when(~own & ~op.isin("chat", "text_completion", "generate_content", "execute_tool", "embeddings", "create_agent") & ((op == "invoke_agent") | F.col("system").isNotNull()), one("msg", "agent_message", {"content": quoted(F.col("name"))})),
+        emit(own, one(F.col("own_kind"), F.col("own_kind"), {"override": F.lit("true")})),
+        emit(chat, one("model", "model_generation", model)),
+        emit(tools, one("tool", "tool_call", {"tool_name": quoted(tool_name), "args": F.col("args"), "result": F.col("result")})),
+        emit(tools & matches(F.col("tool"), o.state_mutation_tool_pattern), one("state", "state_mutation", {"state_change_magnitude": F.lit("1.0"), "event": quoted(F.concat(F.lit("state mutation via "), tool_name))}, 0.001)),
+        emit(tools & retrieved, one("retrieval", "retrieval_result", {"query": F.col("args"), "retrieved": F.col("result")}, 0.0015)),
+        emit(~own & (op == "create_agent"), one("config", "config_snapshot", {"config_version": F.coalesce(F.col(_named("gen_ai.agent.id")), F.col(_named("gen_ai.agent.name")), quoted(F.col("name")))})),
+        emit(~own & ~op.isin("chat", "text_completion", "generate_content", "execute_tool", "embeddings", "create_agent") & ((op == "invoke_agent") | F.col("system").isNotNull()), one("msg", "agent_message", {"content": quoted(F.col("name"))})),
     ]
 
-    def message(e: Column, i: Column) -> Column:
+    # embeddings give nothing at all; a filter here would read all attributes again below them
+    live = own | (op != "embeddings")
+
+    def message(e: Column, i: Column) -> tuple[Column, dict[str, Column]]:
         name = F.try_variant_get(e, "$.name", "string")
         time = F.coalesce(F.to_json(F.try_variant_get(e, "$.time_unix_nano", "variant")), F.to_json(F.try_variant_get(e, "$.timeUnixNano", "variant")))
         at = F.when(_seconds(time) == 0, F.col("ts")).otherwise(_seconds(time))
         made = one(F.concat(F.lit("event_"), i.cast("string")), "agent_message", {"event_name": quoted(name), "role": raw(_attr_of(e, "role")), "content": digest(_attr_of(e, "content"))})
-        return F.when(name.isin("gen_ai.user.message", "gen_ai.system.message"), made.withField("timestamp", at))
+        return emit(live & name.isin("gen_ai.user.message", "gen_ai.system.message"), made | {"timestamp": at})
 
-    failed = F.when(F.upper("code") == "ERROR", one("error", "error", {"error": raw(F.col("message"))}, 0.002))
-    emitted = F.concat(F.array(*first), F.transform("events", message), F.array(failed))
-    # embeddings give nothing at all
-    out = flat(rows.where(own | (op != "embeddings")), emitted, scenario_column(scenario), ["ts", "span_id", "file", "at"])
-    return resorted(out, "timestamp", "fragment_id")
+    failed = emit(live & (F.upper("code") == "ERROR"), one("error", "error", {"error": raw(F.col("message"))}, 0.002))
+    emitted = [*first, Each(F.col("events"), message), failed]
+    return flat(rows, emitted, scenario_column(scenario), ["ts", "span_id", "file", "at"], BY_TIME)
 
 
 def ingest(spark: SparkSession, path: str, scenario_id: str, options: Options = Options()) -> tuple[DataFrame, DataFrame]:

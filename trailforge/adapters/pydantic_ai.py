@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trailforge.adapters.common import flat, fragment, payload, quoted, raw, resorted, scenario_column, scenario_rows
+from trailforge.adapters.common import BY_TIME, emit, flat, fragment, payload, quoted, raw, scenario_column, scenario_rows
 from trailforge.functions.scalars import epoch, filled, first_filled, matches
 from trailforge.functions.variants import empty, first_true, get, items, kind_of, parsed, text_of, truthy, value_at
 from trailforge.sources.manifests import records
@@ -92,25 +92,33 @@ def from_records(records_: DataFrame, scenario: str | Column, options: Options =
     x, p = F.col("message"), F.col("part")
     is_call, is_return = F.col("what") == "tool-call", F.col("what") == "tool-return"
     rows = rows.withColumn("call_id", F.when(is_call, F.coalesce("call_id", F.concat_ws("_", F.lit("tool_call"), F.col("m").cast("string"), F.col("p").cast("string")))).when(is_return, F.coalesce("call_id", F.lit(""))))
+    # what is read of a message or a part is read here, and only that goes through the windows
+    texts = F.filter(items(x, "$.parts"), lambda v: F.coalesce(first_filled(get(v, "$.part_kind"), get(v, "$.partKind")), F.lit("text")) == "text")
+    joined = F.array_join(F.array_compact(F.transform(texts, lambda v: get(v, "$.content"))), "\n")
+    starts = (F.col("p") == -1) & (F.col("kind") == "response")
+    rows = rows.withColumns({
+        "args": F.coalesce(F.when(truthy(p, "$.args"), value_at(p, "$.args")), F.lit("{}")), "content": raw(value_at(p, "$.content")), "reply": F.when(is_return, F.coalesce(F.when(truthy(p, "$.content"), get(p, "$.content")), F.lit(""))),
+        "text": F.when(starts & (F.size(texts) > 0), quoted(joined)), "model_id": F.when(starts, text_of(first_true(x, "model_name", "modelName"))), "metadata": F.when(starts, text_of(first_true(x, "kind_metadata", "kindMetadata"))),
+        "all_tools": F.when(F.col("m") == -1, F.concat(F.lit("["), F.array_join(F.transform("tools", lambda t: t["whole"]), ", "), F.lit("]"))),
+        # of the definitions only those that a call or a return may name
+        "tools": F.when(is_call | is_return, F.transform("tools", lambda t: t.dropFields("whole"))),
+    }).drop("message", "part")
     key = Window.partitionBy("file", "pos", "call_id", is_call | is_return).orderBy("m", "p")
-    args = F.coalesce(F.when(truthy(p, "$.args"), value_at(p, "$.args")), F.lit("{}"))
-    rows = rows.withColumn("args", args).withColumns({"before": F.lag(F.struct(is_call.alias("calls"), "tool", "args", "ts")).over(key), "after": F.lead("what").over(key)})
-    answered = is_return & F.col("before.calls")
+    # each by itself, so that those that nobody reads are not carried
+    rows = rows.withColumn("calls", is_call)
+    rows = rows.withColumns({**{f"before_{c}": F.lag(c).over(key) for c in ("calls", "tool", "args", "ts")}, "after": F.lead("what").over(key)})
+    answered = is_return & F.col("before_calls")
     rows = rows.withColumn("answered", F.coalesce(answered, F.lit(False))).withColumn("open", F.coalesce(is_call & F.col("after").isNull(), F.lit(False)))
-    pick = lambda f: F.when(F.col("answered"), F.col(f"before.{f}")).otherwise(F.col(f))
+    pick = lambda f: F.when(F.col("answered"), F.col(f"before_{f}")).otherwise(F.col(f))
     rows = rows.withColumns({"tool": pick("tool"), "args": pick("args"), "tool_ts": pick("ts")})
     # the run's definition of the tool, the last of that name
     rows = rows.withColumn("definition", F.when(is_call | is_return, F.get(F.reverse(F.filter("tools", lambda t: t["name"] == F.col("tool"))), F.lit(0))))
     base = F.concat(F.lit("pydantic_ai_"), "run_id", F.lit("_"))
     stamp = F.concat(base, "tool", F.lit("_"), (F.col("tool_ts") * 1000).cast("long").cast("string"))
     model_name = F.concat(base, "message_id", F.lit("_model"))
-    starts = (F.col("p") == -1) & (F.col("kind") == "response")
     failure = F.when(starts, F.struct(F.lit("model_generation").alias("kind"), model_name.alias("id"))).when(F.col("answered"), F.struct(F.lit("tool_call").alias("kind"), F.concat(stamp, F.lit("_tool")).alias("id")))
     rows = rows.withColumn("fails", failure)
     rows = rows.withColumn("last", F.last("fails", ignorenulls=True).over(Window.partitionBy("file", "pos").orderBy("m", "p").rowsBetween(Window.unboundedPreceding, -1)))
-    texts = F.filter(items(x, "$.parts"), lambda v: F.coalesce(first_filled(get(v, "$.part_kind"), get(v, "$.partKind")), F.lit("text")) == "text")
-    joined = F.array_join(F.array_compact(F.transform(texts, lambda v: get(v, "$.content"))), "\n")
-    text = F.when(F.size(texts) > 0, quoted(joined))
     actor = F.lit(o.actor_override) if o.actor_override else F.col("agent")
     url = F.col("definition.schema").rlike(r'"[^"]*https?://[^"]*"(?!\s*:)')
     tier = F.when(matches(F.col("tool"), o.cross_stack_tools_pattern, False) | F.coalesce(url, F.lit(False)), "cross_stack").otherwise(o.stack_tier)
@@ -119,23 +127,23 @@ def from_records(records_: DataFrame, scenario: str | Column, options: Options =
         return fragment(name, at, kind, body, F.lit(o.stack_tier) if own_tier is None else own_tier, actor if own_actor is None else own_actor, F.col("run_id"), F.col("run_id"))
 
     named = lambda end: F.concat(base, "message_id", F.lit(f"_{end}_"), (F.col("p") + 1).cast("string"))
-    config = payload(agent_name=quoted(F.col("agent")), model=quoted(F.col("model")), **{k: F.col(f"whole.{k}") for k in ("deps_type", "result_type", "result_schema")}, tools=F.concat(F.lit("["), F.array_join(F.transform("tools", lambda t: t["whole"]), ", "), F.lit("]")))
-    model = payload(model_id=F.coalesce(text_of(first_true(x, "model_name", "modelName")), quoted(F.col("model"))), internal_reasoning=F.lit('"opaque"'), kind_metadata=F.coalesce(text_of(first_true(x, "kind_metadata", "kindMetadata")), F.lit("{}")), text=text)
+    config = payload(agent_name=quoted(F.col("agent")), model=quoted(F.col("model")), **{k: F.col(f"whole.{k}") for k in ("deps_type", "result_type", "result_schema")}, tools=F.col("all_tools"))
+    model = payload(model_id=F.coalesce("model_id", quoted(F.col("model"))), internal_reasoning=F.lit('"opaque"'), kind_metadata=F.coalesce("metadata", F.lit("{}")), text=F.col("text"))
     is_run, works = F.col("m") == -1, F.col("answered") | F.col("open")
-    called = payload(tool_name=quoted(F.col("tool")), args=F.col("args"), result=F.when(F.col("answered"), raw(value_at(p, "$.content"))), incomplete=F.when(F.col("open"), "true"))
+    called = payload(tool_name=quoted(F.col("tool")), args=F.col("args"), result=F.when(F.col("answered"), F.col("content")), incomplete=F.when(F.col("open"), "true"))
     takes_over = F.coalesce("definition.takeover", F.lit(False)) | matches(F.col("tool"), o.takeover_tool_pattern, False)
-    reply = F.coalesce(F.when(truthy(p, "$.content"), get(p, "$.content")), F.lit(""))
+    reply = F.col("reply")
     verdict = F.when(matches(reply, o.human_approval_pattern, False), "human_approval").otherwise("human_rejection")
     by_tool = {"own_tier": tier, "own_actor": F.col("tool")}
     emitted = [
-        F.when(is_run & (F.col("p") == -1), one(F.concat(base, F.lit("config")), "config_snapshot", F.col("began"), config)),
-        F.when(starts, one(model_name, "model_generation", F.col("said"), model)),
-        F.when((F.col("what") == "system-prompt") & F.lit(o.emit_system_prompt), one(named("system"), "config_snapshot", F.col("ts"), payload(system_prompt=raw(value_at(p, "$.content"))))),
-        F.when(F.col("what") == "user-prompt", one(named("user"), "agent_message", F.col("ts"), payload(content=raw(value_at(p, "$.content")), role=F.lit('"user"')))),
-        F.when(F.col("what") == "retry-prompt", one(named("retry"), "error", F.col("ts"), payload(error=raw(value_at(p, "$.content")), failed_fragment_kind=quoted(F.col("last.kind")), failed_fragment_id=quoted(F.col("last.id"))))),
-        F.when(works, one(F.concat(stamp, F.lit("_tool")), "tool_call", F.col("tool_ts"), called, **by_tool)),
-        F.when(works & matches(filled(F.col("tool")), o.state_mutation_tool_pattern, False), one(F.concat(stamp, F.lit("_state")), "state_mutation", F.col("tool_ts") + 0.0001, payload(tool_name=quoted(F.col("tool")), args=F.col("args")), **by_tool)),
-        F.when(F.col("answered") & takes_over, one(F.concat(stamp, F.lit("_takeover")), verdict, F.col("tool_ts") + 0.0002, payload(tool_name=quoted(F.col("tool")), content=quoted(reply)), own_tier=F.lit("human"), own_actor=F.col("tool"))),
-        F.when(is_run & (F.col("p") == -1) & F.col("whole.result").isNotNull(), one(F.concat(base, F.lit("result")), "agent_message", F.when(F.col("ended") != 0, F.col("ended")).otherwise(F.col("began")), payload(result=F.col("whole.result"), usage=F.col("whole.usage")))),
+        emit(is_run & (F.col("p") == -1), one(F.concat(base, F.lit("config")), "config_snapshot", F.col("began"), config)),
+        emit(starts, one(model_name, "model_generation", F.col("said"), model)),
+        emit((F.col("what") == "system-prompt") & F.lit(o.emit_system_prompt), one(named("system"), "config_snapshot", F.col("ts"), payload(system_prompt=F.col("content")))),
+        emit(F.col("what") == "user-prompt", one(named("user"), "agent_message", F.col("ts"), payload(content=F.col("content"), role=F.lit('"user"')))),
+        emit(F.col("what") == "retry-prompt", one(named("retry"), "error", F.col("ts"), payload(error=F.col("content"), failed_fragment_kind=quoted(F.col("last.kind")), failed_fragment_id=quoted(F.col("last.id"))))),
+        emit(works, one(F.concat(stamp, F.lit("_tool")), "tool_call", F.col("tool_ts"), called, **by_tool)),
+        emit(works & matches(filled(F.col("tool")), o.state_mutation_tool_pattern, False), one(F.concat(stamp, F.lit("_state")), "state_mutation", F.col("tool_ts") + 0.0001, payload(tool_name=quoted(F.col("tool")), args=F.col("args")), **by_tool)),
+        emit(F.col("answered") & takes_over, one(F.concat(stamp, F.lit("_takeover")), verdict, F.col("tool_ts") + 0.0002, payload(tool_name=quoted(F.col("tool")), content=quoted(reply)), own_tier=F.lit("human"), own_actor=F.col("tool"))),
+        emit(is_run & (F.col("p") == -1) & F.col("whole.result").isNotNull(), one(F.concat(base, F.lit("result")), "agent_message", F.when(F.col("ended") != 0, F.col("ended")).otherwise(F.col("began")), payload(result=F.col("whole.result"), usage=F.col("whole.usage")))),
     ]
-    return resorted(flat(rows, emitted, F.col("scenario"), ["file", "pos", "m", "p"]), "timestamp", "fragment_id")
+    return flat(rows, emitted, F.col("scenario"), ["file", "pos", "m", "p"], BY_TIME)
