@@ -124,6 +124,26 @@ def test_causal_order_of_chains_cycles_and_shared_ids(spark):
         assert got[s] == plain_order([r for r in rows if r[0] == s]), s
 
 
+@pytest.mark.parametrize("most_local", [0, 1_000_000])
+def test_causal_order_over_many_tasks(spark, most_local):
+    """Cycles of even and odd length with tails of their own clocks, with rounds inside tasks and with rounds exchanged by fragment."""
+    rng = np.random.default_rng(31)
+    rows = []
+    for s in range(30):
+        ring, tail = s // 2 + 1, int(rng.integers(0, 20))
+        times = rng.permutation(ring + tail)
+        for i in range(ring + tail):
+            parent = (i + 1) % ring if i < ring else int(rng.integers(i))
+            rows.append(fragment(i, f"f{i:02d}", times[i], parent=f"f{parent:02d}", scenario=f"s{s:02d}"))
+    rows += [fragment(i, f"c{i % 40}", (i * 7) % 50, parent=f"c{(i * 3 + 1) % 45}", scenario="shared") for i in range(50)]
+    got = {}
+    for r in ordering.order_fragments(spark.createDataFrame(rows, FRAGMENT), per_task=100, most_local=most_local).orderBy("scenario_id", "rn").collect():
+        got.setdefault(r.scenario_id, []).append((r.rn, r.seq))
+    assert len(got) == 31
+    for s in got:
+        assert got[s] == list(enumerate(plain_order([r for r in rows if r[0] == s]), 1)), s
+
+
 def test_boundaries(spark):
     rows = [
         fragment(0, "a", 0, "tool_call", "x"),

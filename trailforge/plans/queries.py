@@ -162,13 +162,11 @@ def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def causal_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events whose parents are other events of the user, some places later or earlier by their number: chains, clocks that
     disagree, cycles, and what hangs on them."""
-    fragments = traces.events_as_fragments(spark, sf_dir)
-    place = F.row_number().over(Window.partitionBy("scenario_id").orderBy("timestamp", "fragment_id"))
     k = F.get_json_object("payload", "$.k").cast("int") % 10
-    step = F.element_at(F.array(*[F.lit(n) for n in PARENT_STEPS]), k + 1)
-    numbered = fragments.withColumn("place", place).withColumn("wanted", F.when(step != 0, F.col("place") + step))
-    ids = numbered.select("scenario_id", F.col("place").alias("wanted"), F.col("fragment_id").alias("parent_trace_id"))
-    linked = numbered.drop("parent_trace_id").join(ids, ["scenario_id", "wanted"], "left").drop("place", "wanted")
+    fragments = traces.events_as_fragments(spark, sf_dir).withColumn("step", F.element_at(F.array(*[F.lit(n) for n in PARENT_STEPS]), k + 1))
+    by_time = Window.partitionBy("scenario_id").orderBy("timestamp", "fragment_id", "seq")
+    parent = F.coalesce(*[F.when(F.col("step") == n, F.lead("fragment_id", n).over(by_time)) for n in PARENT_STEPS if n])
+    linked = fragments.withColumn("parent_trace_id", parent).drop("step")
     return ordering.order_fragments(linked).select("scenario_id", "fragment_id", F.col("rn").cast("long").alias("rn"))
 
 
